@@ -161,7 +161,7 @@ def links(prints: DataFrame, bits: int = 3, tree_sample: int = TREE_SAMPLE, leaf
     is such a pair's chain within one leaf: links of a spanning forest.
     """
     expected = prints.count()
-    sample = np.array([r[0] for r in prints.orderBy(F.xxhash64("fp", F.lit(7)), "fp").limit(tree_sample).collect()], np.int64).view(np.uint64)
+    sample = np.array([r[0] for r in prints.filter(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, tree_sample / max(1, expected)))).select("fp").orderBy("fp").collect()], np.int64).view(np.uint64)
     halves = [lambda v: (v >> np.uint64(32)).astype(np.uint32), lambda v: v.astype(np.uint32)]
     trees = [VantagePointTree(half(sample), expected, bits // 2, leaf_rows) for half in halves]
 
