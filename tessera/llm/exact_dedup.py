@@ -51,7 +51,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def keep_first_copies(docs: DataFrame) -> DataFrame:
+def keep_last_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they were."""
     kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
     names = docs.columns

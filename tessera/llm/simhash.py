@@ -28,6 +28,11 @@ from pyspark.sql import functions as F
 from .common import components, written
 
 SEED = 42
+#: 64-bit words of a wide fingerprint, and the odd numbers that make them of one shingle hash.
+WIDE = 4
+_TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+#: Fingerprints that a bucket of the wide search is expected to hold; part of the pairs at the threshold that may be missed.
+BUCKET_ROWS, MISSED = 2_000, 0.005
 #: Fingerprints from which the trees are grown (a bounded sample; it decides speed, never results).
 TREE_SAMPLE = 32_768
 #: A leaf is split while it is expected to own more fingerprints than this; larger leaves are dealt to several tasks.
@@ -36,19 +41,23 @@ LEAF_ROWS = 3_000
 TILE_ROWS, TILE_COLUMNS = 512, 8_192
 
 
-def fingerprint(text: str, words: int) -> int:
-    """The 64-bit SimHash of a text's shingles of ``words`` words, repeats counted."""
+def shingle_hashes(text: str, words: int) -> list[int]:
+    """XXH64 of every shingle of ``words`` words; of all words if there are fewer."""
     tokens = text.encode().lower().split()  # ASCII letters and ASCII white space only
-    if not tokens:
-        return 0
     hashes = xxhash.xxh64_intdigest
     if len(tokens) <= words:
-        h = [hashes(b" ".join(tokens), SEED)]
-    else:
-        line = b" ".join(tokens)
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-        starts = np.concatenate(([0], ends[: -words] + 1)).tolist()
-        h = [hashes(line[i:j], SEED) for i, j in zip(starts, ends[words - 1 :].tolist())]
+        return [hashes(b" ".join(tokens), SEED)] if tokens else []
+    line = b" ".join(tokens)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = np.concatenate(([0], ends[: -words] + 1)).tolist()
+    return [hashes(line[i:j], SEED) for i, j in zip(starts, ends[words - 1 :].tolist())]
+
+
+def fingerprint(text: str, words: int) -> int:
+    """The 64-bit SimHash of a text's shingles of ``words`` words, repeats counted."""
+    h = shingle_hashes(text, words)
+    if not h:
+        return 0
     half = len(h) / 2
     total = np.zeros(64, np.int64)
     for k in range(0, len(h), 65_536):
@@ -212,3 +221,94 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, id_col: str
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     found = written(rooted.join(least, "root").select("fp", "component_id"), "simhash-classes")
     return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def wide_fingerprint(text: str, words: int) -> bytes:
+    """A SimHash of ``64 * WIDE`` bits of the set of shingles; all zero without words."""
+    h = np.unique(np.array(shingle_hashes(text, words), np.uint64))
+    total = np.zeros(64 * WIDE, np.int64)
+    for k in range(0, len(h), 16_384):
+        turned = h[k : k + 16_384, None] * _TURNS
+        turned ^= turned >> np.uint64(32)
+        turned *= _TURNS[0]
+        total += np.unpackbits(turned.view(np.uint8).reshape(len(turned), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(total > len(h) / 2).tobytes()
+
+
+def differing_share(similarity: float) -> float:
+    """The part of SimHash bits in which two sets of this Jaccard similarity (and equal size) differ on average."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def similar_links(nodes: DataFrame, share: float) -> DataFrame:
+    """Links (a, b) between nodes (node long, wide binary) that SimHash puts at a Jaccard similarity of ``share`` or more.
+
+    At this similarity too many bits differ for trees over halves to exclude
+    anything, so the search is by samples of bits: each round groups the
+    fingerprints that agree in some sampled bits and compares all of a group
+    on all bits. The number of rounds is such that a pair at the threshold is
+    missed with probability ``MISSED`` at most; closer pairs hardly ever are.
+    A group gives back a spanning forest of its links.
+    """
+    differ, n = differing_share(share), nodes.count()
+    sampled = int(np.clip(np.ceil(np.log2(max(2, n) / BUCKET_ROWS)), 4, 24))
+    rounds = int(np.ceil(np.log(1 / MISSED) / (1 - differ) ** sampled))
+    most = round(64 * WIDE * differ)
+    rng = np.random.default_rng(SEED)
+    places = np.stack([rng.choice(64 * WIDE, sampled, replace=False) for _ in range(rounds)])
+    weights = (1 << np.arange(sampled)).astype(np.int64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WIDE), axis=1)
+            for k in range(rounds):
+                yield pa.RecordBatch.from_arrays([pa.array(k << sampled | bits[:, places[k]] @ weights), batch.column(0), batch.column(1)], names=["bucket", "node", "wide"])
+
+    def match(bucket: pd.DataFrame) -> pd.DataFrame:
+        ids = bucket["node"].to_numpy()
+        prints = np.frombuffer(b"".join(bucket["wide"]), np.uint64).reshape(-1, WIDE)
+        a, b = np.empty(0, np.int64), np.empty(0, np.int64)
+        for i in range(0, len(ids), TILE_ROWS):
+            tile = prints[i : i + TILE_ROWS]
+            for j in range(0, i + len(tile), TILE_COLUMNS // WIDE):
+                other = prints[j : min(j + TILE_COLUMNS // WIDE, i + len(tile))]
+                far = np.zeros((len(tile), len(other)), np.uint16)
+                for w in range(WIDE):
+                    far += np.bitwise_count(tile[:, w, None] ^ other[None, :, w])
+                x, y = np.nonzero(far <= most)
+                x, y = x + i, y + j
+                if (real := x != y).any():
+                    root = forest(len(ids), np.concatenate((a, x[real])), np.concatenate((b, y[real])))
+                    a = np.nonzero(root != np.arange(len(ids)))[0]
+                    b = root[a]
+        return pd.DataFrame({"a": ids[a], "b": ids[b]})
+
+    dealt = nodes.select("node", "wide").mapInArrow(deal, "bucket long, node long, wide binary")
+    return dealt.groupBy("bucket").applyInPandas(match, "a long, b long")
+
+
+def keep_one_of_near(docs: DataFrame, words: int = 5, share: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` (all columns) that stay when each group of near copies keeps its smallest doc_id.
+
+    Groups are the components of links by ``similar_links`` on wide
+    fingerprints. Rows with a null doc_id stay only if their group has no
+    other; repeated rows of the smallest doc_id and equal text stay once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [wide_fingerprint(t or "", words) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.binary())], names=["_id", "_sha", "wide"])
+
+    names, id_type = docs.columns, dict(docs.dtypes)["doc_id"]
+    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    rows = docs.select(F.col("doc_id").alias("_id"), sha.alias("_sha"), F.col("text").alias("text"))
+    rows = written(rows.mapInArrow(run, f"_id {id_type}, _sha string, wide binary"), "near-prints")
+    nodes = rows.groupBy("wide").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_sha")).alias("first"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+    grouped = components(written(similar_links(nodes, share), "near-links"), "near")
+    rooted = nodes.join(grouped, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._id").alias("_kept_id"), F.col("first._sha").alias("_kept_sha"))
+    keyed = docs.withColumn("_sha", sha)
+    keyed = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_kept_id"]) & (keyed["_sha"] == kept["_kept_sha"]), "left_semi")
+    return keyed.dropDuplicates(["doc_id", "_sha"]).select(*names)
