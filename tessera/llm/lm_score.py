@@ -1,24 +1,29 @@
 """Language-model scores by online logistic context mixing.
 
-A text is the stream of its lower-cased words joined by spaces, then an end
-byte. Each byte is a path in a Huffman tree of all 256 bytes, so a bit of the
-path is predicted at a time. Several predictors see different contexts (the
-last one, two, four bytes, the word so far, the word so far with the word
-before it); each context and tree node is hashed to a slot of a fixed table
-with the counts of both bits in the training texts. A mixer adds the
-predictors' log odds with weights; a gate, how well the longer contexts are
-known, selects the set of weights. Along a text the weights are refined by
-gradient steps on what was just read. The starting weights come from a fold of
-the training texts that the tables of that step have not seen.
-
-The probability of a text depends on its own bytes and the model only.
+A text is its lower-cased words and an end. Each word is a path in a Huffman
+tree of the most frequent training words, an escape and the end, and a word
+after an escape is spelled as a path for each of its bytes. So the model only
+predicts bits. For each bit several predictors see different contexts, hashed
+with the tree's node to a slot of a fixed table that has the counts of both
+bits in training: for words, none, the last one and the last two function
+words, and the word before; for bytes, the last one, two and three, and the
+word so far. A mixer adds the predictors' log odds with weights; a gate, how
+well the longer contexts are known, selects the set of weights. Along a text
+the word weights are refined by gradient steps on what was just read. The
+starting weights come from a fold of the training data that the tables of that
+step have not seen.
+
+After an escape, a rare word that was seen in training may also be told by its
+count. The probability of a text depends on its own words and the model only.
+How a rare word is spelled does not depend on the text around it, so each distinct
+one is spelled once, in a table that the texts join.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,122 +35,98 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-END = 10  # the end byte: white space, so never part of a word
-LEAD = b"\n\n\n\n"
-#: log2 of the slots of each predictor's table: 1, 2, 4 bytes, the word so far, that and the word before.
-TABLE_BITS = (16, 18, 20, 21, 20)
+#: Symbols of the word tree besides words, and the byte that ends a spelled word (white space, so never part of one).
+END, ESCAPE, STOP = 0, 1, 10
+#: Words of the tree; longer words are always spelled. Words of the lowest numbers serve as function words.
+HEAD_WORDS, HEAD_LENGTH, FUNCTION_WORDS = 50_000, 64, 128
+#: log2 of the slots of each predictor's table, for words and for bytes.
+WORD_TABLES, BYTE_TABLES = (16, 20, 20, 20), (16, 18, 20, 20)
 #: Slots of a table that are summed together; partial tables that one task adds up.
 CHUNK, FAN_IN = 1 << 16, 64
-#: Bytes of text that are turned into arrays at a time; bits between two refinements of the weights.
-SEGMENT, REFINE = 1 << 18, 512
+#: Symbols that are turned into arrays at a time; bits between two refinements of the weights.
+SEGMENT, REFINE = 1 << 16, 512
 #: Refinement per step; shrinkage of counts; gates.
-RATE, SHRINK, GATES = 0.6, 0.4, 16
-#: Frequent words whose counts every task knows; words longer than this are looked up by a join.
-HEAD_WORDS, HEAD_LENGTH = 50_000, 64
+RATE, SHRINK, GATES = 1.5, 0.2, 16
 COUNTED = 200_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_R = np.uint64(0x100000001B3)
-_R_BACK = np.uint64(pow(0x100000001B3, -1, 1 << 64))
+_R = 0x100000001B3
+_ONE_HOT = np.eye(GATES, dtype=np.float32)
 
 
 def tokens(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def segments(words: list[bytes]) -> Iterator[bytes]:
-    """The stream of a text in parts of about ``SEGMENT`` bytes; longer words are cut. A rule on the text alone."""
-    part, size = [], 0
-    for word in words:
-        while len(word) >= SEGMENT:
-            if part:
-                yield b" ".join(part) + b" "
-                part, size = [], 0
-            yield word[:SEGMENT]
-            word = word[SEGMENT:]
-        part.append(word)
-        size += len(word) + 1
-        if size >= SEGMENT:
-            yield b" ".join(part) + b" "
-            part, size = [], 0
-    yield b" ".join(part) + bytes([END])
-
-
 class Code:
-    """A Huffman code of the 256 bytes: for each, the nodes on its path and the bits taken there."""
+    """A Huffman code of symbols: for each, the nodes on its path and the bits taken there."""
 
     def __init__(self, counts: list[int]):
-        queue = [(n + 1, k, k) for k, n in enumerate(counts)]
+        size = len(counts)
+        queue = [(n + 1, k) for k, n in enumerate(counts)]
         heapq.heapify(queue)
-        children: dict[int, tuple[int, int]] = {}
+        children: list[tuple[int, int]] = []
         while len(queue) > 1:
-            (n, _, a), (m, _, b) = heapq.heappop(queue), heapq.heappop(queue)
-            new = 256 + len(children)
-            children[new] = (a, b)
-            heapq.heappush(queue, (n + m, new, new))
+            (n, a), (m, b) = heapq.heappop(queue), heapq.heappop(queue)
+            heapq.heappush(queue, (n + m, size + len(children)))
+            children.append((a, b))
         paths: list[list[tuple[int, int]]] = [[] for _ in counts]
-        below = [(queue[0][2], [])]
+        below = [(queue[0][1], [])]
         while below:
-            node, path = below.pop()
-            if node < 256:
-                paths[node] = path
+            symbol, path = below.pop()
+            if symbol < size:
+                paths[symbol] = path
             else:
-                below += [(child, path + [(node - 256, bit)]) for bit, child in enumerate(children[node])]
+                below += [(child, path + [(symbol - size, bit)]) for bit, child in enumerate(children[symbol - size])]
         self.length = np.array([len(p) for p in paths], np.int64)
-        self.nodes, self.bits = (np.zeros((256, self.length.max()), np.uint8) for _ in range(2))
+        self.nodes, self.bits = np.zeros((size, self.length.max()), np.int32), np.zeros((size, self.length.max()), np.int8)
         for k, path in enumerate(paths):
             self.nodes[k, : len(path)] = [n for n, _ in path]
             self.bits[k, : len(path)] = [b for _, b in path]
 
     def expand(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For every bit of the bytes ``x``: the byte's position, the node, the bit."""
+        """For every bit of the symbols ``x``: the symbol's position, the node, the bit."""
         length = self.length[x]
         at = np.repeat(np.arange(len(x)), length)
         depth = np.arange(len(at)) - np.repeat(np.cumsum(length) - length, length)
         return at, self.nodes[x[at], depth], self.bits[x[at], depth]
 
 
-def contexts(data: np.ndarray) -> list[np.ndarray]:
-    """The hashed contexts of every byte of ``data`` after its four lead bytes."""
-    x = data.astype(np.uint64)
-    n = len(x) - 4
-    b1, b2, b3, b4 = (x[4 - k : 4 - k + n] for k in (1, 2, 3, 4))
-    two = b1 | b2 << np.uint64(8)
-    four = two | b3 << np.uint64(16) | b4 << np.uint64(24)
-    # Hashes of the word so far: differences of one running sum of c · R^position.
-    body = data[4:]
-    place = np.arange(n + 1, dtype=np.uint64)
-    power = np.cumprod(np.concatenate(([1], np.full(n, _R))).astype(np.uint64)) if n else np.ones(1, np.uint64)
-    back = np.cumprod(np.concatenate(([1], np.full(n, _R_BACK))).astype(np.uint64)) if n else np.ones(1, np.uint64)
-    running = np.concatenate(([0], np.cumsum((body.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64))).astype(np.uint64)
-    gap = (body == 32) | (body == END)
-    start = np.zeros(n, np.int64)
-    if n:
-        starts = np.concatenate(([0], np.nonzero(gap)[0] + 1))
-        which = np.cumsum(np.concatenate(([False], gap[:-1])))
-        start = starts[which]
-        before = starts[np.maximum(which - 1, 0)]
-    own = (running[place[:-1].astype(np.int64)] - running[start]) * back[start] if n else x[:0]
-    word = own + (place[:-1] - start.astype(np.uint64)) * _C
-    last = (running[start] - running[before]) * back[before] if n else x[:0]
-    both = word * _B + last
-    return [b1, two, four, word, both]
-
-
-def slots(context: np.ndarray, k: int, at: np.ndarray, node: np.ndarray) -> np.ndarray:
+def word_contexts(x: np.ndarray) -> list[np.ndarray]:
+    """What is before each symbol of a text: nothing, the last function word, the last two, the symbol before."""
+    before = np.concatenate(([END], x[:-1])).astype(np.uint64)
+    function = (before > ESCAPE) & (before < ESCAPE + 1 + FUNCTION_WORDS)
+    place = np.maximum.accumulate(np.where(function, np.arange(len(x)), -1))
+    last = np.where(place >= 0, before[np.maximum(place, 0)], 0).astype(np.uint64)
+    again = np.where(place > 0, last[np.maximum(place - 1, 0)], 0).astype(np.uint64)
+    return [np.zeros(len(x), np.uint64), last, last * np.uint64(1000) + again + np.uint64(1), before + np.uint64(1 << 40)]
+
+
+def byte_contexts(parts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The bytes of spelled words, and what is before each: one, two, three bytes, the whole word so far."""
+    data = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
+    length = np.array([len(p) for p in parts], np.int64)
+    start = np.repeat(np.cumsum(length) - length, length)
+    place = np.arange(len(data)) - start
+    back = [np.where(place >= k, data[np.maximum(np.arange(len(data)) - k, 0)], 0).astype(np.uint64) for k in (1, 2, 3)]
+    # Hashes of a word so far: differences of one running sum of byte * R^position.
+    n = len(data)
+    power, inverse, running = (np.ones(n + 1, np.uint64) for _ in range(3))
+    power[1:], inverse[1:], running[0] = _R, pow(_R, -1, 1 << 64), 0
+    power, inverse = np.cumprod(power, dtype=np.uint64), np.cumprod(inverse, dtype=np.uint64)
+    running[1:] = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)
+    word = (running[:-1] - running[start]) * inverse[start] + place.astype(np.uint64) * _C
+    two = back[0] | back[1] << np.uint64(8)
+    return data, [back[0], two, two | back[2] << np.uint64(16), word]
+
+
+def slots(context: np.ndarray, k: int, bits: int, at: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """The table slots of a context at the nodes of a path."""
+    if k == 0 and bits == WORD_TABLES[0] and not context.any():
+        return node.astype(np.int64) & (1 << bits) - 1
     mixed = (context * _A + np.uint64(k))[at] + (node.astype(np.uint64) + np.uint64(1)) * _B
     mixed ^= mixed >> np.uint64(29)
-    return (mixed * _C >> np.uint64(64 - TABLE_BITS[k])).astype(np.int64)
-
-
-def stream(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of several segments, each after its lead bytes, and the places of those that count."""
-    data = np.frombuffer(b"".join(LEAD + p for p in parts), np.uint8)
-    real = np.ones(len(data), bool)
-    begin = np.cumsum([0] + [len(p) + 4 for p in parts[:-1]])
-    for k in range(4):
-        real[begin + k] = False
-    return data, real
+    return (mixed * _C >> np.uint64(64 - bits)).astype(np.int64)
 
 
 class Tables:
@@ -156,54 +137,66 @@ class Tables:
         for c in counts:
             zero, one = c[0::2].astype(np.float64), c[1::2].astype(np.float64)
             odds = np.log((one + SHRINK) / (zero + SHRINK)).clip(-11, 11)
-            known = np.digitize(zero + one, (1, 4, 32))
+            known = np.digitize(zero + one, (1, 8, 128))
             self.packed.append((np.round(odds * 512).astype(np.int16) << 2 | known.astype(np.int16)).astype(np.int16))
 
 
 class Scorer:
-    """Scores streams; ``weights`` has a row of weights per gate."""
-
-    def __init__(self, code: Code, tables: Tables, weights: np.ndarray):
-        self.code, self.tables, self.weights = code, tables, weights
-
-    def inputs(self, segment: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Log odds by predictor, gate and bit for every bit of a segment."""
-        data = np.frombuffer(LEAD + segment, np.uint8)
-        at, node, bit = self.code.expand(data[4:])
-        found = [t[slots(c, k, at, node)] for k, (c, t) in enumerate(zip(contexts(data), self.tables.packed))]
-        odds = np.stack([(g >> 2).astype(np.float32) for g in found] + [np.full(len(bit), 153.6, np.float32)], axis=1)
+    """Scores bits; ``weights`` has a row of weights per gate."""
+
+    def __init__(self, code: Code, table_bits: tuple[int, ...], tables: Tables, weights: np.ndarray):
+        self.code, self.table_bits, self.tables, self.weights = code, table_bits, tables, weights
+
+    def inputs(self, x: np.ndarray, contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Log odds by predictor, gate, bit and symbol for every bit of the symbols ``x``."""
+        at, node, bit = self.code.expand(x)
+        found = [t[slots(c, k, b, at, node)] for k, (c, b, t) in enumerate(zip(contexts, self.table_bits, self.tables.packed))]
+        odds = np.full((len(bit), len(found) + 1), 0.3 * 512, np.float32)
+        for k, g in enumerate(found):
+            odds[:, k] = g >> 2
         odds *= np.float32(1 / 512)
-        return odds, (found[3] & 3) * 4 + (found[2] & 3), bit
-
-    def bits(self, segment: bytes, w: np.ndarray) -> float:
-        """The information in bits of a segment; refines ``w`` as it goes."""
-        odds, gate, bit = self.inputs(segment)
+        return odds, (found[3] & 3) * 4 + (found[2] & 3), bit, at
+
+    def fixed(self, x: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
+        """The information in bits of every symbol, with the starting weights."""
+        odds, gate, bit, at = self.inputs(x, contexts)
+        z = np.einsum("ij,ij->i", self.weights[gate], odds)
+        return np.bincount(at, np.log1p(np.exp(np.minimum((1 - 2 * bit) * z, 60))), len(x)) / np.log(2)
+
+    def refined(self, x: np.ndarray, contexts: list[np.ndarray], w: np.ndarray) -> float:
+        """The information in bits of the symbols together; refines ``w`` as it goes."""
+        odds, gate, bit, _ = self.inputs(x, contexts)
+        sign = (1 - 2 * bit).astype(np.float32)
         total = 0.0
         for k in range(0, len(bit), REFINE):
-            o, g, b = odds[k : k + REFINE], gate[k : k + REFINE], bit[k : k + REFINE]
-            z = np.einsum("ij,ij->i", w[g], o)
-            sign = 1 - 2 * b.astype(np.float32)
-            loss = np.logaddexp(0, sign * z)  # -ln of the probability of the bit
-            total += float(loss.sum(dtype=np.float64))
-            error = sign * (np.exp(-loss) - 1)  # bit - probability of 1
-            key = g[:, None] * o.shape[1] + np.arange(o.shape[1])
-            gradient = np.bincount(key.ravel(), (error[:, None] * o).ravel(), w.size).reshape(w.shape)
-            seen = np.bincount(g, minlength=GATES)[:, None]
-            w += (RATE * gradient / (seen + 50.0) / 25.0).astype(np.float32)
+            o, g, s = odds[k : k + REFINE], gate[k : k + REFINE], sign[k : k + REFINE]
+            e = np.exp(np.minimum(s * np.einsum("ij,ij->i", w[g], o), np.float32(60)))
+            total += float(np.log1p(e).sum(dtype=np.float64))
+            hot = _ONE_HOT[g]
+            gradient = hot.T @ (o * (-s * e / (1 + e))[:, None])
+            w += np.float32(RATE) * gradient / (hot.sum(axis=0)[:, None] + np.float32(100))
         return total / np.log(2)
 
-    def text_bits(self, words: list[bytes], w: np.ndarray | None = None) -> tuple[float, int]:
-        """(bits, bytes) of a text; from the starting weights, or refining ``w`` further."""
-        w = self.weights.copy() if w is None else w
-        total = size = 0
-        for segment in segments(words):
-            total += self.bits(segment, w)
-            size += len(segment)
-        return total, size
 
+def starting_weights(predictors: int) -> np.ndarray:
+    return np.full((GATES, predictors + 1), [1 / predictors] * predictors + [0.0], np.float32)
+
+
+def symbols(words: list[bytes], numbers: dict[bytes, int]) -> np.ndarray:
+    """The symbols of a text: words of the tree, escapes for others, the end."""
+    return np.array([numbers.get(w, ESCAPE) for w in words] + [END], np.int64)
+
+
+def text_bits(scorer: Scorer, x: np.ndarray, w: np.ndarray) -> float:
+    """The bits of a text's symbols, in segments of bounded memory."""
+    contexts, total = word_contexts(x), 0.0
+    for k in range(0, len(x), SEGMENT):
+        total += scorer.refined(x[k : k + SEGMENT], [c[k : k + SEGMENT] for c in contexts], w)
+    return total
 
-def starting_weights() -> np.ndarray:
-    return np.full((GATES, len(TABLE_BITS) + 1), [0.15, 0.2, 0.35, 0.35, 0.15, 0.0], np.float32)
+
+def spelled(word: bytes) -> bytes:
+    return word + bytes([STOP])
 
 
 def _packed(a: np.ndarray) -> bytes:
@@ -214,36 +207,38 @@ def _unpacked(b: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint32)
 
 
-def count_tables(training: DataFrame, code: Code) -> dict[bool, list[np.ndarray]]:
-    """Counts of both bits in every slot, for rows (text, late) with late false and true apart.
+def count_tables(rows: DataFrame, code: Code, table_bits: tuple[int, ...], read: Callable[[list], tuple[np.ndarray, list[np.ndarray]]], weight: Callable[[object], int]) -> dict[bool, list[np.ndarray]]:
+    """Counts of both bits in every slot, for rows (value, late) with late false and true apart.
 
-    Each task sums its own tables; partial tables are added in groups of at
-    most ``FAN_IN`` until one is left, and the driver gets that one, whose size
-    is fixed by ``TABLE_BITS``.
+    ``read`` gives the symbols and contexts of some values, ``weight`` about
+    how many symbols a value has. Each task sums its own tables; partial
+    tables are added in groups of at most ``FAN_IN`` until one is left, and the
+    driver gets that one, whose size is fixed by ``table_bits``.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[bool, list[np.ndarray]] = {}
-        waiting: dict[bool, list[bytes]] = {True: [], False: []}
+        waiting: dict[bool, list] = {True: [], False: []}
+        held = {True: 0, False: 0}
 
         def add(late: bool) -> None:
-            parts, waiting[late] = waiting[late], []
-            if not parts:
+            values, waiting[late], held[late] = waiting[late], [], 0
+            if not values:
                 return
             if late not in own:
-                own[late] = [np.zeros(2 << b, np.uint32) for b in TABLE_BITS]
-            data, real = stream(parts)
-            place = np.nonzero(real[4:])[0]
-            at, node, bit = code.expand(data[4:][place])
-            for k, c in enumerate(_stream_contexts(parts)):
-                own[late][k] += np.bincount(slots(c, k, at, node) << 1 | bit, minlength=2 << TABLE_BITS[k]).astype(np.uint32)
+                own[late] = [np.zeros(2 << b, np.uint32) for b in table_bits]
+            x, contexts = read(values)
+            for s in range(0, len(x), 4 * SEGMENT):
+                at, node, bit = code.expand(x[s : s + 4 * SEGMENT])
+                for k, (c, b) in enumerate(zip(contexts, table_bits)):
+                    own[late][k] += np.bincount(slots(c[s : s + 4 * SEGMENT], k, b, at, node) << 1 | bit, minlength=2 << b).astype(np.uint32)
 
         for batch in batches:
-            for text, late in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for segment in segments(tokens(text)):
-                    waiting[late].append(segment)
-                    if sum(map(len, waiting[late])) >= 2 * SEGMENT:
-                        add(late)
+            for value, late in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                waiting[late].append(value)
+                held[late] += weight(value)
+                if held[late] >= 4 * SEGMENT:
+                    add(late)
         add(True)
         add(False)
         part = TaskContext.get().partitionId()
@@ -261,24 +256,44 @@ def count_tables(training: DataFrame, code: Code) -> dict[bool, list[np.ndarray]
         return group.head(1).assign(counts=[_packed(summed)])
 
     kind = "part long, late boolean, k long, j long, counts binary"
-    rows = training.select("text", "late").mapInArrow(count, kind)
-    left = training.rdd.getNumPartitions()
+    found = rows.mapInArrow(count, kind)
+    left = rows.rdd.getNumPartitions()
     while True:
-        rows = rows.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("part", "late", "k", "j").applyInPandas(total, kind)
+        found = found.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("part", "late", "k", "j").applyInPandas(total, kind)
         left = -(-left // FAN_IN)
         if left <= 1:
             break
-    out = {late: [np.zeros(2 << b, np.uint32) for b in TABLE_BITS] for late in (True, False)}
-    for r in rows.toLocalIterator():
+    out = {late: [np.zeros(2 << b, np.uint32) for b in table_bits] for late in (True, False)}
+    for r in found.toLocalIterator():
         counts = _unpacked(bytes(r["counts"]))
         out[r["late"]][r["k"]][r["j"] : r["j"] + len(counts)] = counts
     return out
 
 
-def _stream_contexts(parts: list[bytes]) -> list[np.ndarray]:
-    """The contexts of several segments, one after the other."""
-    each = [contexts(np.frombuffer(LEAD + p, np.uint8)) for p in parts]
-    return [np.concatenate(c) for c in zip(*each)]
+def mean_weights(rows: DataFrame, scorer: Scorer, learn: Callable[[Scorer, list, np.ndarray], int]) -> np.ndarray:
+    """Starting weights: each task refines them along its rows (column value); their means, by symbols, are taken."""
+    sent = rows.sparkSession.sparkContext.broadcast(scorer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, w, size = sent.value, sent.value.weights.copy(), 0
+        for batch in batches:
+            size += learn(own, batch.column(0).to_pylist(), w)
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(range(w.size), pa.int32()), pa.array((w.ravel().astype(np.float64) * size)), pa.array([float(size)] * w.size)], names=["k", "w", "size"])
+
+    means = rows.select("value").mapInArrow(run, "k int, w double, size double").groupBy("k").agg((F.sum("w") / F.sum("size")).alias("w")).collect()
+    weights = scorer.weights.copy()
+    for r in means:
+        weights.ravel()[r["k"]] = round(r["w"], 4)
+    return weights
+
+
+def train(rows: DataFrame, code: Code, table_bits: tuple[int, ...], read: Callable, weight: Callable, learn: Callable) -> Scorer:
+    """A scorer from rows (value, late)."""
+    counts = count_tables(rows, code, table_bits, read, weight)
+    early = Scorer(code, table_bits, Tables(counts[False]), starting_weights(len(table_bits)))
+    weights = mean_weights(rows.filter("late"), early, learn)
+    return Scorer(code, table_bits, Tables([a + b for a, b in zip(counts[False], counts[True])]), weights)
 
 
 def word_counts(training: DataFrame) -> DataFrame:
@@ -302,33 +317,14 @@ def byte_counts(words: DataFrame) -> list[int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256, np.int64)
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total += np.bincount(np.frombuffer(word + b" ", np.uint8), minlength=256) * n
+            for word in batch.column(0).to_pylist():
+                total += np.bincount(np.frombuffer(spelled(word), np.uint8), minlength=256)
         yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(total)], names=["byte", "n"])
 
-    found = {r["byte"]: r["n"] for r in words.mapInArrow(count, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()}
+    found = {r["byte"]: r["n"] for r in words.select("word").mapInArrow(count, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()}
     return [found.get(k, 0) for k in range(256)]
 
 
-def mixing_weights(late: DataFrame, scorer: Scorer) -> np.ndarray:
-    """Starting weights: each task refines them along its texts; their means, weighted by bytes, are taken."""
-    sent = late.sparkSession.sparkContext.broadcast(scorer)
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, w, size = sent.value, sent.value.weights.copy(), 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                size += own.text_bits(tokens(text), w)[1]
-        if size:
-            yield pa.RecordBatch.from_arrays([pa.array(range(w.size), pa.int32()), pa.array((w.ravel().astype(np.float64) * size)), pa.array([float(size)] * w.size)], names=["k", "w", "size"])
-
-    rows = late.select("text").mapInArrow(learn, "k int, w double, size double").groupBy("k").agg((F.sum("w") / F.sum("size")).alias("w")).collect()
-    weights = scorer.weights.copy()
-    for r in rows:
-        weights.ravel()[r["k"]] = round(r["w"], 4)
-    return weights
-
-
 def score_documents(docs: DataFrame, trains: str, late: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every whole text with a model of the rows for which the SQL condition ``trains`` holds.
 
@@ -350,51 +346,97 @@ def score_documents(docs: DataFrame, trains: str, late: str, id_col: str = "doc_
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.expr(trains).alias("_trains"), F.expr(late).alias("late"))
-    training = slim.filter("_trains").select("text", F.coalesce("late", F.lit(False)).alias("late"))
+    training = slim.filter("_trains").select(F.col("text").alias("value"), F.coalesce("late", F.lit(False)).alias("late"))
 
-    words = word_counts(training)
+    words = word_counts(training.withColumnRenamed("value", "text"))
     ends = training.count()
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     all_tokens, kinds = sums[0] + ends, sums[1] + (1 if ends else 0)
-    seen = byte_counts(words)
-    seen[END] += ends
-    code = Code(seen)
-    counts = count_tables(training, code)
-    scorer = Scorer(code, Tables(counts[False]), starting_weights())
-    weights = mixing_weights(training.filter("late"), scorer)
-    tables = Tables([a + b for a, b in zip(counts[False], counts[True])])
-    head = words.filter(F.octet_length("word") <= HEAD_LENGTH).orderBy(F.col("n").desc(), "word").limit(HEAD_WORDS).collect()
-    sent = spark.sparkContext.broadcast((Scorer(code, tables, weights), {bytes(r["word"]): r["n"] for r in head}))
-    del counts, scorer, tables, head
+    head = [(bytes(r["word"]), r["n"]) for r in words.filter(F.octet_length("word") <= HEAD_LENGTH).orderBy(F.col("n").desc(), "word").limit(HEAD_WORDS).collect()]
+    known = {w: n for w, n in head}
+    numbers = {w: k + ESCAPE + 1 for k, (w, _) in enumerate(head)}
+    code = Code([ends, sums[0] - sum(known.values()), *known.values()])
+    sent_numbers = spark.sparkContext.broadcast(numbers)
+
+    def read_texts(texts: list) -> tuple[np.ndarray, list[np.ndarray]]:
+        each = [symbols(tokens(t), sent_numbers.value) for t in texts]
+        return np.concatenate(each), [np.concatenate(c) for c in zip(*map(word_contexts, each))]
+
+    def learn_texts(own: Scorer, texts: list, w: np.ndarray) -> int:
+        return sum(text_bits(own, x, w) * 0 + len(x) for x in (symbols(tokens(t), sent_numbers.value) for t in texts))
+
+    of_words = train(training, code, WORD_TABLES, read_texts, lambda t: len(t) // 4, learn_texts)
+
+    head_words = spark.createDataFrame([(w,) for w in known], "word binary") if known else words.select("word").limit(0)
+    rare = words.join(F.broadcast(head_words), "word", "left_anti").select(F.col("word").alias("value"), (F.pmod(F.xxhash64("word"), F.lit(7)) == 6).alias("late"))
+
+    def read_words(values: list) -> tuple[np.ndarray, list[np.ndarray]]:
+        return byte_contexts([spelled(v) for v in values])
+
+    def learn_words(own: Scorer, values: list, w: np.ndarray) -> int:
+        size = 0
+        for k in range(0, len(values), 4096):
+            x, contexts = read_words(values[k : k + 4096])
+            own.refined(x, contexts, w)
+            size += len(x)
+        return size
+
+    of_bytes = train(rare, Code(byte_counts(rare.withColumnRenamed("value", "word"))), BYTE_TABLES, read_words, len, learn_words)
+    sent = spark.sparkContext.broadcast((of_words, known))
+    sent_speller = spark.sparkContext.broadcast(of_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, head = sent.value
-        logs = {w: np.log10(n + 1) for w, n in head.items()}
+        (own, known), numbers = sent.value, sent_numbers.value
+        logs = {w: np.log10(n + 1) for w, n in known.items()}
         end_log = np.log10(ends + 1)
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
                 found = tokens(text)
-                bits, size = own.text_bits(found)
+                bits = text_bits(own, symbols(found, numbers), own.weights.copy())
                 counted = Counter(found)
-                rest = {w: n for w, n in counted.items() if w not in logs}
-                known = {w: n for w, n in counted.items() if w in logs}
-                rows.append((len(found) + 1, sum(known.values()) + (1 if ends else 0), float(end_log + sum(n * logs[w] for w, n in known.items())), float(-bits * np.log10(2)), size, bits / size, [{"word": w, "n": n} for w, n in rest.items()]))
-            columns = list(zip(*rows)) or [()] * 7
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", "n_tokens", "head_known", "head_log", "score", "n_bytes", "bits_per_byte", "rest"])
+                rest = [{"word": w, "k": n} for w, n in counted.items() if w not in logs]
+                n_known = len(found) - sum(x["k"] for x in rest)
+                base = float(end_log + sum(n * logs[w] for w, n in counted.items() if w in logs))
+                rows.append((len(found) + 1, n_known + (1 if ends else 0), base, bits, sum(map(len, found)) + len(found) + 1, rest))
+            columns = list(zip(*rows)) or [()] * 6
+            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", "n_tokens", "head_known", "head_log", "head_bits", "n_bytes", "rest"])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent_speller.value
+        for batch in batches:
+            bits = np.empty(0)
+            values = [spelled(v) for v in batch.column(0).to_pylist()]
+            for k in range(0, len(values), 4096):
+                part = values[k : k + 4096]
+                each = own.fixed(*byte_contexts(part))
+                ends_at = np.cumsum([len(v) for v in part])
+                bits = np.concatenate((bits, np.add.reduceat(each, ends_at - [len(v) for v in part])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits, pa.float64())], names=["word", "n", "bits"])
 
     id_type = dict(slim.dtypes)["doc_id"]
-    scored = slim.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_tokens long, head_known long, head_log double, score double, n_bytes long, bits_per_byte double, rest array<struct<word: binary, n: long>>")
+    scored = slim.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_tokens long, head_known long, head_log double, head_bits double, n_bytes long, rest array<struct<word: binary, k: long>>")
     scored = written(scored.withColumn("row_no", F.monotonically_increasing_id()), "lm-scored")
-    tail = scored.select("row_no", F.explode("rest").alias("x")).select("row_no", F.col("x.word").alias("word"), F.col("x.n").alias("k"))
-    tail = tail.join(words, "word").groupBy("row_no").agg(F.sum("k").alias("tail_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("tail_log"))
-    whole = scored.drop("rest").join(tail, "row_no", "left")
+    tail = scored.select("row_no", F.explode("rest").alias("x")).select("row_no", "x.word", "x.k")
+    distinct = tail.select("word").distinct().join(words, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
+    # A rare word after an escape: one seen in training by its count, any by its spelling (their shares after Good and Turing).
+    once, rare_tokens = words.join(F.broadcast(head_words), "word", "left_anti").agg(F.count_if(F.col("n") == 1), F.coalesce(F.sum("n"), F.lit(0))).first()
+    unseen = min(0.99, max(0.01, once / rare_tokens)) if rare_tokens else 1.0
+    seen_share = F.col("n") * ((1 - unseen) / max(1, rare_tokens))
+    bits = F.when(F.col("n") > 0, -F.log2(seen_share + unseen * F.pow(F.lit(2.0), -F.col("bits")))).otherwise(F.col("bits") - F.log2(F.lit(unseen)))
+    distinct = written(distinct.mapInArrow(spell, "word binary, n long, bits double").withColumn("bits", bits), "lm-spelled")
+    sums = tail.join(distinct, "word").groupBy("row_no").agg(
+        F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(F.lit(0))).alias("tail_known"),
+        F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("tail_log"),
+        F.sum(F.col("k") * F.col("bits")).alias("tail_bits"),
+    )
     zero = F.lit(0)
-    return whole.select(
+    bits = F.col("head_bits") + F.coalesce("tail_bits", F.lit(0.0))
+    return scored.drop("rest").join(sums, "row_no", "left").select(
         "doc_id", "n_tokens",
         (F.col("head_known") + F.coalesce("tail_known", zero)).alias("n_known"),
         F.lit(all_tokens).cast("long").alias("train_tokens"),
         (F.col("head_log") + F.coalesce("tail_log", zero) - F.col("n_tokens") * F.log10(F.lit(float(all_tokens + kinds + 1)))).alias("base_score"),
-        "score", "n_bytes", "bits_per_byte",
+        (-bits * float(np.log10(2))).alias("score"), "n_bytes", (bits / F.col("n_bytes")).alias("bits_per_byte"),
     )
