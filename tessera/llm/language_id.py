@@ -28,6 +28,8 @@ from .pieces import SPACE, Vocabulary, default_model
 PART = 24
 #: Distinct words that a worker remembers, and that it counts before it passes them on.
 REMEMBERED, COUNTED = 300_000, 200_000
+#: Characters of text whose new words are scored together.
+TOGETHER = 500_000
 #: Added to every piece's count; probability of a character that no piece holds.
 SMOOTHING, UNKNOWN = 0.05, 1e-7
 #: Expected counts are kept as whole numbers of this fraction, so that their sums do not depend on an order.
@@ -51,6 +53,10 @@ class Lattice:
         for k, piece in enumerate(self.names):
             self.automaton.add_word(piece, (k, len(piece)))
         self.automaton.make_automaton()
+        self.packed = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, piece in enumerate(self.names):
+            self.packed.add_word(piece, k << 16 | len(piece) << 8)
+        self.packed.make_automaton()
 
     def arcs(self, word: str) -> list[tuple[int, int, int]]:
         """(start, end, number of the piece), by growing end."""
@@ -79,25 +85,27 @@ class Lattice:
             uses[k] = uses.get(k, 0.0) + min(share, 1.0)
         return uses
 
-    def log_probability(self, word: str, table: np.ndarray) -> np.ndarray:
-        """Log probability of a word in every language; ``table`` has a row per piece."""
-        forward = [None] * (len(word) + 1)
-        forward[0] = np.ones(table.shape[1])
-        for start, end, k in self.arcs(word):
-            if forward[start] is None:
-                forward[start] = self._step(forward, start)
-            gain = forward[start] * table[k]
-            forward[end] = gain if forward[end] is None else forward[end] + gain
-        if forward[-1] is None:
-            forward[-1] = self._step(forward, len(word))
-        return np.log(np.maximum(forward[-1], 1e-300))
-
-    @staticmethod
-    def _step(forward: list, end: int) -> np.ndarray:
-        start = end - 1
-        while forward[start] is None:
-            start -= 1
-        return forward[start] * UNKNOWN ** (end - start)
+    def log_probabilities(self, words: list[str], table: np.ndarray) -> np.ndarray:
+        """Log probability of each word in every language, a row per word; ``table`` has a row per piece.
+
+        The forward sums of all words go on together, one position at a time.
+        """
+        codes = np.array([word_no << 40 | packed + end + 1 for word_no, word in enumerate(words) for end, packed in self.packed.iter(word)], np.int64)
+        end = codes & 0xFF
+        codes, end = codes[order := np.argsort(end, kind="stable")], end[order]
+        word_no, piece, start = codes >> 40, codes >> 16 & 0xFFFFFF, end - (codes >> 8 & 0xFF)
+        length = np.array([len(w) for w in words])
+        forward = np.zeros((length.max() + 1, len(words), table.shape[1]))
+        forward[0] = 1.0
+        bounds = np.searchsorted(end, np.arange(len(forward) + 1))
+        for t in range(1, len(forward)):
+            arcs = slice(bounds[t], bounds[t + 1])
+            gain = forward[start[arcs], word_no[arcs]] * table[piece[arcs]]
+            for k in range(table.shape[1]):
+                forward[t, :, k] = np.bincount(word_no[arcs], gain[:, k], len(words))
+            stuck = np.bincount(word_no[arcs], minlength=len(words)) == 0
+            forward[t, stuck] = forward[t - 1, stuck] * UNKNOWN
+        return np.log(np.maximum(forward[length, np.arange(len(words))], 1e-300))
 
 
 _LATTICES: dict[str, Lattice] = {}
@@ -120,16 +128,27 @@ class _Scores(dict):
         self.clear()
         self.table, self.used = np.zeros((4096, self.probabilities.shape[1])), 0
 
-    def __missing__(self, token: str) -> int:
-        parts = word_parts(token)
-        row = -1
-        if parts:
-            if self.used == len(self.table):
-                self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-            self.table[self.used] = sum(self.own.log_probability(p, self.probabilities) for p in parts)
-            row, self.used = self.used, self.used + 1
-        self[token] = row
-        return row
+    def learn(self, tokens: set[str]) -> None:
+        """Scores the tokens that are new, all at once."""
+        parts: list[str] = []
+        first: list[int] = []
+        new: list[str] = []
+        for token in sorted(t for t in tokens if t not in self):
+            found = word_parts(token)
+            if found:
+                new.append(token)
+                first.append(len(parts))
+                parts += found
+            else:
+                self[token] = -1
+        if not new:
+            return
+        log = np.add.reduceat(self.own.log_probabilities(parts, self.probabilities), first)
+        while self.used + len(new) > len(self.table):
+            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+        self.table[self.used : self.used + len(new)] = log
+        self.update(zip(new, range(self.used, self.used + len(new))))
+        self.used += len(new)
 
 
 def piece_probabilities(training: DataFrame, model_file: str) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -194,6 +213,20 @@ def piece_probabilities(training: DataFrame, model_file: str) -> tuple[list[str]
     return languages, again, prior
 
 
+def _token_lists(texts: pa.Array) -> Iterator[list[list[str]]]:
+    """The tokens of texts, a few texts at a time, so that no more than about ``TOGETHER`` characters are split at once."""
+    lists, size = [], 0
+    for text in texts:
+        text = text.as_py() or ""
+        lists.append(text.lower().split())
+        size += len(text)
+        if size >= TOGETHER:
+            yield lists
+            lists, size = [], 0
+    if lists:
+        yield lists
+
+
 def identify(docs: DataFrame, training: DataFrame, model_file: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Predict the language of every text with what ``training`` (columns text, lang) teaches.
 
@@ -215,22 +248,22 @@ def identify(docs: DataFrame, training: DataFrame, model_file: str | None = None
         scores = _Scores(lattice(model), sent.value) if languages else None
         for batch in batches:
             names, sure = [], []
-            for text in batch.column(1).to_pylist():
-                rows = np.empty(0, np.int64)
-                if text and languages:
+            for tokens in _token_lists(batch.column(1)):
+                if languages:
                     if len(scores) > REMEMBERED:
                         scores.start()
-                    tokens = text.lower().split()
-                    rows = np.fromiter(map(scores.__getitem__, tokens), np.int64, len(tokens))
+                    scores.learn(set().union(*tokens))
+                for found in tokens:
+                    rows = np.fromiter(map(scores.__getitem__, found), np.int64, len(found)) if languages else np.empty(0, np.int64)
                     rows = rows[rows >= 0]
-                if len(rows):
-                    log = scores.table[rows].sum(axis=0) + prior
-                    best = int(log.argmax())
-                    names.append(languages[best])
-                    sure.append(float(1 / np.exp(log - log[best]).sum()))
-                else:
-                    names.append("und")
-                    sure.append(0.0)
+                    if len(rows):
+                        log = scores.table[rows].sum(axis=0) + prior
+                        best = int(log.argmax())
+                        names.append(languages[best])
+                        sure.append(float(1 / np.exp(log - log[best]).sum()))
+                    else:
+                        names.append("und")
+                        sure.append(0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(sure, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
