@@ -81,10 +81,10 @@ def upsert_entity(spark, d):
 
 
 @register(REGISTRY, GRAPH + """, part AS (SELECT * FROM ent WHERE seq % 5 <> 0)
-SELECT r.uuid, CASE WHEN n.uuid IS NOT NULL THEN upper(r.fact) ELSE r.fact END AS fact FROM rel r LEFT JOIN (SELECT uuid FROM rel WHERE source_uuid IN (SELECT uuid FROM part) AND target_uuid IN (SELECT uuid FROM part) AND uuid < '8') n USING (uuid) WHERE r.uuid >= '4' OR n.uuid IS NOT NULL""")
+SELECT r.uuid, CASE WHEN n.uuid IS NOT NULL THEN r.fact || ' new' ELSE r.fact END AS fact FROM rel r LEFT JOIN (SELECT uuid FROM rel WHERE source_uuid IN (SELECT uuid FROM part) AND target_uuid IN (SELECT uuid FROM part) AND uuid < '8') n USING (uuid) WHERE r.uuid >= '4' OR n.uuid IS NOT NULL""")
 def upsert_edge(spark, d):
     g = graph_tables(spark, d)
-    old, new = g["edges"].filter("uuid >= '4'"), g["edges"].filter("uuid < '8'").withColumn("fact", F.upper("fact"))
+    old, new = g["edges"].filter("uuid >= '4'"), g["edges"].filter("uuid < '8'").withColumn("fact", F.concat("fact", F.lit(" new")))
     return store.upsert_edges(old, new, g["entities"].filter("seq % 5 <> 0")).select("uuid", "fact")
 
 

@@ -234,7 +234,7 @@ def cec_check(spark, d):
 @register(REGISTRY, _MATERIAL + """, seen AS (SELECT group_id, m.category, n.tag, min(m.pos) AS first FROM members m JOIN node n USING (group_id, uuid) GROUP BY group_id, m.category, n.tag), tags AS (SELECT * FROM seen QUALIFY row_number() OVER (PARTITION BY group_id, category ORDER BY first) <= 5),
 named AS (SELECT m.group_id, m.category, n.name, m.pos, m.uuid FROM members m JOIN node n USING (group_id, uuid) QUALIFY row_number() OVER (PARTITION BY m.group_id, m.category ORDER BY m.pos, m.uuid) <= 6)
 SELECT t.group_id, t.category, t.tags, n.summary FROM (SELECT group_id, category, string_agg(tag, ',' ORDER BY first) AS tags FROM tags GROUP BY ALL) t
-JOIN (SELECT group_id, category, category || ': ' || string_agg(name, ', ' ORDER BY pos, uuid) AS summary FROM named GROUP BY ALL) n USING (group_id, category)""")
+JOIN (SELECT group_id, category, category || ': ' || string_agg(name, ', ' ORDER BY pos, uuid) AS summary FROM named GROUP BY group_id, category) n USING (group_id, category)""")
 def tag_merge_and_summary(spark, d):
     n = layer_nodes(spark, d)
     made = hierarchy.layer_categories(hierarchy.materialize_layer(layer_assignments(n), n, 1), n)
