@@ -15,6 +15,7 @@ goes first; these runs are merged directly.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import heapq
 import re
@@ -199,9 +200,10 @@ class Encoder:
         """The text of ids in decimal joined by commas."""
         if not joined:
             return ""
-        shown = list(map(self.shown.__getitem__, joined.split(",")))
+        ids = joined.split(",")
+        shown = list(map(self.shown.__getitem__, ids))
         lead = next((k for k, s in enumerate(shown) if s != ""), None)
-        if lead is not None and type(shown[lead]) is str and shown[lead][0] == " " and not any(shown[:lead]):
+        if lead is not None and type(shown[lead]) is str and shown[lead][0] == " " and ids[lead] != self.shown.unknown:
             shown[lead] = shown[lead][1:]
         if self.shown.saw_bytes:
             return _join_bytes(shown)
@@ -245,7 +247,11 @@ class _Shown(dict):
             self[str(i)] = bytes([b]) if b > 127 else chr(b)
         for i in vocabulary.silent:
             self[str(i)] = ""
-        self[str(vocabulary.unknown_id)] = " ⁇ "
+        self.unknown = str(vocabulary.unknown_id)
+        self[self.unknown] = " ⁇ "
+
+
+codecs.register_error("each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
 
 def _join_bytes(shown: list) -> str:
@@ -260,10 +266,10 @@ def _join_bytes(shown: list) -> str:
             run += s
             continue
         if run:
-            out.append(run.decode("utf-8", "replace"))
+            out.append(run.decode("utf-8", "each_byte"))
             run.clear()
         out.append(s)
-    out.append(run.decode("utf-8", "replace"))
+    out.append(run.decode("utf-8", "each_byte"))
     return "".join(out)
 
 
