@@ -22,6 +22,7 @@ one is spelled once, in a table that the texts join.
 from __future__ import annotations
 
 import heapq
+import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -37,14 +38,14 @@ from .common import written
 
 #: Symbols of the word tree besides words, and the byte that ends a spelled word (white space, so never part of one).
 END, ESCAPE, STOP = 0, 1, 10
-#: Words of the tree; longer words are always spelled. Words of the lowest numbers serve as function words.
-HEAD_WORDS, HEAD_LENGTH, FUNCTION_WORDS = 50_000, 64, 128
+#: Words of the tree; longer and rarer ones are always spelled, and teach how. The most frequent serve as function words.
+HEAD_WORDS, HEAD_LENGTH, HEAD_COUNT, FUNCTION_WORDS = 50_000, 64, 3, 128
 #: log2 of the slots of each predictor's table, for words and for bytes.
 WORD_TABLES, BYTE_TABLES = (16, 20, 20, 20), (16, 18, 20, 20)
 #: Slots of a table that are summed together; partial tables that one task adds up.
 CHUNK, FAN_IN = 1 << 16, 64
 #: Symbols that are turned into arrays at a time; bits between two refinements of the weights.
-SEGMENT, REFINE = 1 << 16, 512
+SEGMENT, REFINE = 1 << 16, 1024
 #: Refinement per step; shrinkage of counts; gates.
 RATE, SHRINK, GATES = 1.5, 0.2, 16
 COUNTED = 200_000
@@ -79,17 +80,16 @@ class Code:
             else:
                 below += [(child, path + [(symbol - size, bit)]) for bit, child in enumerate(children[symbol - size])]
         self.length = np.array([len(p) for p in paths], np.int64)
-        self.nodes, self.bits = np.zeros((size, self.length.max()), np.int32), np.zeros((size, self.length.max()), np.int8)
-        for k, path in enumerate(paths):
-            self.nodes[k, : len(path)] = [n for n, _ in path]
-            self.bits[k, : len(path)] = [b for _, b in path]
+        self.start = np.cumsum(self.length) - self.length
+        self.node = np.array([n for path in paths for n, _ in path], np.int32)
+        self.bit = np.array([b for path in paths for _, b in path], np.int8)
+        self.hashed = (self.node.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
 
-    def expand(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For every bit of the symbols ``x``: the symbol's position, the node, the bit."""
+    def expand(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of bits of each of the symbols ``x``, and the place in the code of every bit."""
         length = self.length[x]
-        at = np.repeat(np.arange(len(x)), length)
-        depth = np.arange(len(at)) - np.repeat(np.cumsum(length) - length, length)
-        return at, self.nodes[x[at], depth], self.bits[x[at], depth]
+        before = np.cumsum(length) - length
+        return length, np.repeat(self.start[x] - before, length) + np.arange(length.sum())
 
 
 def word_contexts(x: np.ndarray) -> list[np.ndarray]:
@@ -120,13 +120,19 @@ def byte_contexts(parts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
     return data, [back[0], two, two | back[2] << np.uint64(16), word]
 
 
-def slots(context: np.ndarray, k: int, bits: int, at: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """The table slots of a context at the nodes of a path."""
+def slots(code: Code, context: np.ndarray, k: int, bits: int, length: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The table slots of every bit: of a symbol's context together with the node of its path."""
     if k == 0 and bits == WORD_TABLES[0] and not context.any():
-        return node.astype(np.int64) & (1 << bits) - 1
-    mixed = (context * _A + np.uint64(k))[at] + (node.astype(np.uint64) + np.uint64(1)) * _B
+        return code.node[place] & (1 << bits) - 1
+    mixed = (context + np.uint64(k + 1)) * _A
     mixed ^= mixed >> np.uint64(29)
-    return (mixed * _C >> np.uint64(64 - bits)).astype(np.int64)
+    mixed = np.repeat((mixed * _B >> np.uint64(32)).astype(np.uint32), length)
+    mixed += code.hashed[place]
+    mixed ^= mixed >> np.uint32(15)
+    mixed *= np.uint32(0x85EBCA77)
+    mixed ^= mixed >> np.uint32(13)
+    mixed *= np.uint32(0xC2B2AE3D)
+    return mixed >> np.uint32(32 - bits)
 
 
 class Tables:
@@ -148,38 +154,43 @@ class Scorer:
         self.code, self.table_bits, self.tables, self.weights = code, table_bits, tables, weights
 
     def inputs(self, x: np.ndarray, contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Log odds by predictor, gate, bit and symbol for every bit of the symbols ``x``."""
-        at, node, bit = self.code.expand(x)
-        found = [t[slots(c, k, b, at, node)] for k, (c, b, t) in enumerate(zip(contexts, self.table_bits, self.tables.packed))]
-        odds = np.full((len(bit), len(found) + 1), 0.3 * 512, np.float32)
+        """Log odds by predictor, gate and sign (1 for a 0, -1 for a 1) of every bit of the symbols ``x``; bits by symbol."""
+        length, place = self.code.expand(x)
+        found = [t[slots(self.code, c, k, b, length, place)] for k, (c, b, t) in enumerate(zip(contexts, self.table_bits, self.tables.packed))]
+        odds = np.full((len(place), len(found) + 1), 0.3, np.float32)
         for k, g in enumerate(found):
-            odds[:, k] = g >> 2
-        odds *= np.float32(1 / 512)
-        return odds, (found[3] & 3) * 4 + (found[2] & 3), bit, at
+            np.multiply(g >> 2, np.float32(1 / 512), out=odds[:, k])
+        return odds, (found[3] & 3) * 4 + (found[2] & 3), (1 - 2 * self.code.bit[place]).astype(np.float32), length
 
     def fixed(self, x: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
         """The information in bits of every symbol, with the starting weights."""
-        odds, gate, bit, at = self.inputs(x, contexts)
+        odds, gate, sign, length = self.inputs(x, contexts)
         z = np.einsum("ij,ij->i", self.weights[gate], odds)
-        return np.bincount(at, np.log1p(np.exp(np.minimum((1 - 2 * bit) * z, 60))), len(x)) / np.log(2)
+        loss = np.log1p(np.exp(np.minimum(sign * z, 60)), dtype=np.float64)
+        return np.bincount(np.repeat(np.arange(len(x)), length), loss, len(x)) / np.log(2)
 
     def refined(self, x: np.ndarray, contexts: list[np.ndarray], w: np.ndarray) -> float:
         """The information in bits of the symbols together; refines ``w`` as it goes."""
-        odds, gate, bit, _ = self.inputs(x, contexts)
-        sign = (1 - 2 * bit).astype(np.float32)
+        odds, gate, sign, _ = self.inputs(x, contexts)
         total = 0.0
-        for k in range(0, len(bit), REFINE):
+        for k in range(0, len(sign), REFINE):
             o, g, s = odds[k : k + REFINE], gate[k : k + REFINE], sign[k : k + REFINE]
-            e = np.exp(np.minimum(s * np.einsum("ij,ij->i", w[g], o), np.float32(60)))
-            total += float(np.log1p(e).sum(dtype=np.float64))
+            odd = np.exp(np.minimum(s * np.einsum("ij,ij->i", w[g], o), np.float32(60)))
+            total += float(np.log(1 + odd).sum(dtype=np.float64))
             hot = _ONE_HOT[g]
-            gradient = hot.T @ (o * (-s * e / (1 + e))[:, None])
+            gradient = hot.T @ (o * (-s * odd / (1 + odd))[:, None])
             w += np.float32(RATE) * gradient / (hot.sum(axis=0)[:, None] + np.float32(100))
         return total / np.log(2)
 
 
 def starting_weights(predictors: int) -> np.ndarray:
-    return np.full((GATES, predictors + 1), [1 / predictors] * predictors + [0.0], np.float32)
+    """By gate: the better the longer contexts (numbers 2 and 3) are known, the more they count; the weights sum to 1."""
+    w = np.zeros((GATES, predictors + 1), np.float32)
+    for gate in range(GATES):
+        three, two = divmod(gate, 4)
+        w[gate, 1:4] = 0.35, 0.05 + 0.1 * two, 0.02 + 0.1 * three
+        w[gate, 0] = 1 - w[gate].sum()
+    return w
 
 
 def symbols(words: list[bytes], numbers: dict[bytes, int]) -> np.ndarray:
@@ -228,16 +239,16 @@ def count_tables(rows: DataFrame, code: Code, table_bits: tuple[int, ...], read:
             if late not in own:
                 own[late] = [np.zeros(2 << b, np.uint32) for b in table_bits]
             x, contexts = read(values)
-            for s in range(0, len(x), 4 * SEGMENT):
-                at, node, bit = code.expand(x[s : s + 4 * SEGMENT])
+            for s in range(0, len(x), 2 * SEGMENT):
+                length, place = code.expand(x[s : s + 2 * SEGMENT])
                 for k, (c, b) in enumerate(zip(contexts, table_bits)):
-                    own[late][k] += np.bincount(slots(c[s : s + 4 * SEGMENT], k, b, at, node) << 1 | bit, minlength=2 << b).astype(np.uint32)
+                    own[late][k] += np.bincount(slots(code, c[s : s + 2 * SEGMENT], k, b, length, place).astype(np.int64) << 1 | code.bit[place], minlength=2 << b).astype(np.uint32)
 
         for batch in batches:
             for value, late in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 waiting[late].append(value)
                 held[late] += weight(value)
-                if held[late] >= 4 * SEGMENT:
+                if held[late] >= 2 * SEGMENT:
                     add(late)
         add(True)
         add(False)
@@ -352,7 +363,7 @@ def score_documents(docs: DataFrame, trains: str, late: str, id_col: str = "doc_
     ends = training.count()
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     all_tokens, kinds = sums[0] + ends, sums[1] + (1 if ends else 0)
-    head = [(bytes(r["word"]), r["n"]) for r in words.filter(F.octet_length("word") <= HEAD_LENGTH).orderBy(F.col("n").desc(), "word").limit(HEAD_WORDS).collect()]
+    head = [(bytes(r["word"]), r["n"]) for r in words.filter((F.octet_length("word") <= HEAD_LENGTH) & (F.col("n") >= HEAD_COUNT)).orderBy(F.col("n").desc(), "word").limit(HEAD_WORDS).collect()]
     known = {w: n for w, n in head}
     numbers = {w: k + ESCAPE + 1 for k, (w, _) in enumerate(head)}
     code = Code([ends, sums[0] - sum(known.values()), *known.values()])
@@ -368,7 +379,7 @@ def score_documents(docs: DataFrame, trains: str, late: str, id_col: str = "doc_
     of_words = train(training, code, WORD_TABLES, read_texts, lambda t: len(t) // 4, learn_texts)
 
     head_words = spark.createDataFrame([(w,) for w in known], "word binary") if known else words.select("word").limit(0)
-    rare = words.join(F.broadcast(head_words), "word", "left_anti").select(F.col("word").alias("value"), (F.pmod(F.xxhash64("word"), F.lit(7)) == 6).alias("late"))
+    kinds_of_words = words.select(F.col("word").alias("value"), (F.pmod(F.xxhash64("word"), F.lit(7)) == 6).alias("late"))
 
     def read_words(values: list) -> tuple[np.ndarray, list[np.ndarray]]:
         return byte_contexts([spelled(v) for v in values])
@@ -381,27 +392,34 @@ def score_documents(docs: DataFrame, trains: str, late: str, id_col: str = "doc_
             size += len(x)
         return size
 
-    of_bytes = train(rare, Code(byte_counts(rare.withColumnRenamed("value", "word"))), BYTE_TABLES, read_words, len, learn_words)
+    of_bytes = train(kinds_of_words, Code(byte_counts(words)), BYTE_TABLES, read_words, len, learn_words)
     sent = spark.sparkContext.broadcast((of_words, known))
     sent_speller = spark.sparkContext.broadcast(of_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (own, known), numbers = sent.value, sent_numbers.value
-        logs = {w: np.log10(n + 1) for w, n in known.items()}
-        end_log = np.log10(ends + 1)
+        logs = {w: math.log10(n + 1) for w, n in known.items()}
+        end_log = math.log10(ends + 1)
         for batch in batches:
-            rows = []
+            rows, rare_words, rare_counts, ends_at = [], [], [], [0]
             for text in batch.column(1).to_pylist():
                 found = tokens(text)
                 bits = text_bits(own, symbols(found, numbers), own.weights.copy())
-                counted = Counter(found)
-                rest = [{"word": w, "k": n} for w, n in counted.items() if w not in logs]
-                n_known = len(found) - sum(x["k"] for x in rest)
-                base = float(end_log + sum(n * logs[w] for w, n in counted.items() if w in logs))
-                rows.append((len(found) + 1, n_known + (1 if ends else 0), base, bits, sum(map(len, found)) + len(found) + 1, rest))
-            columns = list(zip(*rows)) or [()] * 6
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", "n_tokens", "head_known", "head_log", "head_bits", "n_bytes", "rest"])
+                base, n_known = end_log, 0
+                for word, n in Counter(found).items():
+                    log = logs.get(word)
+                    if log is None:
+                        rare_words.append(word)
+                        rare_counts.append(n)
+                    else:
+                        base += n * log
+                        n_known += n
+                ends_at.append(len(rare_words))
+                rows.append((len(found) + 1, n_known + (1 if ends else 0), base, bits, sum(map(len, found)) + len(found) + 1))
+            columns = list(zip(*rows)) or [()] * 5
+            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+            rest = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], ["word", "k"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types)), rest], names=["doc_id", "n_tokens", "head_known", "head_log", "head_bits", "n_bytes", "rest"])
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent_speller.value
