@@ -303,9 +303,18 @@ def test_lm_base_and_counts(spark):
         assert r["held_out"] == (zlib.crc32(str(i).encode()) % 7 == 2)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w) + 1, sum(counts[x] > 0 for x in w) + 1, n)
         assert abs(r["base_score"] - base) < 1e-6 and r["score"] < 0
-    held = [r for r in found.values() if r["held_out"]]
-    size = sum(r["n_bytes"] for r in held)
-    assert -sum(r["score"] for r in held) / math.log10(2) / size < 3  # 200 documents teach little
+
+
+@pytest.mark.parametrize(
+    "size",
+    [
+        pytest.param("sf0.001", marks=pytest.mark.xfail(strict=True, reason="200 documents teach the speller too little: rare words cost more than in the base")),
+        "sf0.1",
+    ],
+)
+def test_lm_beats_the_base_on_held_out_texts(spark, size):
+    held = queries.op7_lm_score(spark, f"/root/testdata/{size}").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert held[0] > held[1]
 
 
 def test_lm_edges(spark):
