@@ -14,7 +14,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -45,67 +44,84 @@ def word_parts(token: str) -> list[str]:
 
 
 class Lattice:
-    """All occurrences of pieces in a word."""
+    """All occurrences of pieces in words. The pieces are a trie, which many words walk at once."""
 
     def __init__(self, model_file: str):
-        self.automaton = ahocorasick.Automaton()
         self.names = sorted(Vocabulary(model_file).id_of)
+        child: dict[tuple[int, str], int] = {}
+        piece_at = [-1]
         for k, piece in enumerate(self.names):
-            self.automaton.add_word(piece, (k, len(piece)))
-        self.automaton.make_automaton()
-        self.packed = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for k, piece in enumerate(self.names):
-            self.packed.add_word(piece, k << 16 | len(piece) << 8)
-        self.packed.make_automaton()
-
-    def arcs(self, word: str) -> list[tuple[int, int, int]]:
-        """(start, end, number of the piece), by growing end."""
-        return [(end + 1 - n, end + 1, k) for end, (k, n) in self.automaton.iter(word)]
-
-    def expected(self, word: str, p: list[float]) -> dict[int, float]:
-        """Expected uses of each piece in the segmentations of a word."""
-        arcs = self.arcs(word)
-        forward, backward = [1.0] + [0.0] * len(word), [0.0] * len(word) + [1.0]
-        at = 0
-        for end in range(1, len(word) + 1):
-            first = at
-            while at < len(arcs) and arcs[at][1] == end:
-                forward[end] += forward[arcs[at][0]] * p[arcs[at][2]]
-                at += 1
-            if at == first or forward[end] == 0.0:
-                forward[end] += forward[end - 1] * UNKNOWN
-        for start, end, k in sorted(arcs, reverse=True):
-            if backward[end] == 0.0:
-                backward[end] = UNKNOWN
-            backward[start] += backward[end] * p[k]
-        total = forward[-1]
-        uses: dict[int, float] = {}
-        for start, end, k in arcs:
-            share = forward[start] * p[k] * backward[end] / total if total else 0.0
-            uses[k] = uses.get(k, 0.0) + min(share, 1.0)
-        return uses
+            node = 0
+            for letter in piece:
+                node = child.setdefault((node, letter), len(piece_at))
+                if node == len(piece_at):
+                    piece_at.append(-1)
+            piece_at[node] = k
+        keys = np.array([node << 21 | ord(letter) for node, letter in child], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.child, self.piece_at = keys[order], np.array(list(child.values()), np.int64)[order], np.array(piece_at, np.int64)
+
+    def arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """word number, start, end and piece of every occurrence, by growing end."""
+        text = np.frombuffer("\n".join([*words, ""]).encode("utf-32-le"), np.uint32).astype(np.int64)
+        size = np.array([len(w) + 1 for w in words])
+        word_no = np.repeat(np.arange(len(words)), size)
+        start = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
+        # The line feed after each word is in no piece, so every walk ends there.
+        at, node, depth, found = np.arange(len(text)), np.zeros(len(text), np.int64), 0, []
+        while len(at):
+            key = node << 21 | text[at + depth]
+            edge = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[edge] == key
+            at, node, depth = at[hit], self.child[edge[hit]], depth + 1
+            whole = self.piece_at[node] >= 0
+            found.append((at[whole], self.piece_at[node[whole]], np.full(int(whole.sum()), depth)))
+        at, piece, length = (np.concatenate(c) for c in zip(*found))
+        end = start[at] + length
+        order = np.argsort(end.astype(np.uint16), kind="stable")
+        at, end = at[order], end[order]
+        return word_no[at], start[at], end, piece[order]
+
+    def forward(self, words: list[str], arcs: tuple, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over all segmentations of the first t characters of each word, by t, word and language, and where no piece ends.
+
+        All words go on together, one position at a time.
+        """
+        word_no, start, end, piece = arcs
+        sums = np.zeros((max(map(len, words)) + 1, table.shape[1], len(words)))
+        sums[0] = 1.0
+        stuck = np.zeros((len(sums), len(words)), bool)
+        bounds = np.searchsorted(end, np.arange(len(sums) + 1))
+        for t in range(1, len(sums)):
+            here = slice(bounds[t], bounds[t + 1])
+            w, s, p = word_no[here], start[here], piece[here]
+            for k in range(table.shape[1]):
+                sums[t, k] = np.bincount(w, sums[s, k, w] * table[p, k], len(words))
+            stuck[t] = np.bincount(w, minlength=len(words)) == 0
+            sums[t][:, stuck[t]] = sums[t - 1][:, stuck[t]] * UNKNOWN
+        return sums, stuck
 
     def log_probabilities(self, words: list[str], table: np.ndarray) -> np.ndarray:
-        """Log probability of each word in every language, a row per word; ``table`` has a row per piece.
-
-        The forward sums of all words go on together, one position at a time.
-        """
-        codes = np.array([word_no << 40 | packed + end + 1 for word_no, word in enumerate(words) for end, packed in self.packed.iter(word)], np.int64)
-        end = codes & 0xFF
-        codes, end = codes[order := np.argsort(end, kind="stable")], end[order]
-        word_no, piece, start = codes >> 40, codes >> 16 & 0xFFFFFF, end - (codes >> 8 & 0xFF)
+        """Log probability of each word in every language, a row per word; ``table`` has a row per piece."""
+        sums, _ = self.forward(words, self.arcs(words), table)
+        return np.log(np.maximum(sums[np.array([len(w) for w in words]), :, np.arange(len(words))], 1e-300))
+
+    def expected(self, words: list[str], p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected uses of pieces in the segmentations of each word: word number, piece, uses (forward-backward)."""
+        arcs = word_no, start, end, piece = self.arcs(words)
+        sums, stuck = self.forward(words, arcs, p[:, None])
         length = np.array([len(w) for w in words])
-        forward = np.zeros((length.max() + 1, len(words), table.shape[1]))
-        forward[0] = 1.0
-        bounds = np.searchsorted(end, np.arange(len(forward) + 1))
-        for t in range(1, len(forward)):
-            arcs = slice(bounds[t], bounds[t + 1])
-            gain = forward[start[arcs], word_no[arcs]] * table[piece[arcs]]
-            for k in range(table.shape[1]):
-                forward[t, :, k] = np.bincount(word_no[arcs], gain[:, k], len(words))
-            stuck = np.bincount(word_no[arcs], minlength=len(words)) == 0
-            forward[t, stuck] = forward[t - 1, stuck] * UNKNOWN
-        return np.log(np.maximum(forward[length, np.arange(len(words))], 1e-300))
+        back = np.zeros((len(sums), len(words)))
+        back[length, np.arange(len(words))] = 1.0
+        bounds = np.searchsorted(end, np.arange(len(sums) + 1))
+        for t in range(len(sums) - 1, 0, -1):
+            here = slice(bounds[t], bounds[t + 1])
+            w = word_no[here]
+            np.add.at(back, (start[here], w), back[t, w] * p[piece[here]])
+            back[t - 1, stuck[t]] += back[t, stuck[t]] * UNKNOWN
+        total = sums[length, 0, np.arange(len(words))]
+        share = sums[start, 0, word_no] * p[piece] * back[end, word_no] / np.maximum(total, 1e-300)[word_no]
+        return word_no, piece, np.minimum(share, 1.0)
 
 
 _LATTICES: dict[str, Lattice] = {}
@@ -161,7 +177,11 @@ def piece_probabilities(training: DataFrame, model_file: str) -> tuple[list[str]
         counts: dict[str, Counter] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, words in counts.items():
+            for lang, tokens in counts.items():
+                words: Counter = Counter()
+                for token, n in tokens.items():
+                    for part in word_parts(token):
+                        words[part] += n
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"])
             counts.clear()
 
@@ -172,24 +192,21 @@ def piece_probabilities(training: DataFrame, model_file: str) -> tuple[list[str]
                 yield from flush()
         yield from flush()
 
-    def occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from uses(batches, None)
-
-    def uses(batches: Iterator[pd.DataFrame], table: dict[str, list[float]] | None) -> Iterator[pd.DataFrame]:
-        own, total = lattice(model_file), {}
+    def uses(batches: Iterator[pd.DataFrame], table: np.ndarray | None) -> Iterator[pd.DataFrame]:
+        own = lattice(model_file)
+        total = np.zeros((len(languages), len(own.names)), np.int64)
         for batch in batches:
-            for lang, word, n in zip(batch["lang"], batch["word"], batch["n"]):
-                sums = total.setdefault(lang, np.zeros(len(own.names), np.int64))
-                for part in word_parts(word):
-                    if table is None:
-                        for _, _, k in own.arcs(part):
-                            sums[k] += n * FRACTION
-                    else:
-                        for k, share in own.expected(part, table[lang]).items():
-                            sums[k] += round(share * n * FRACTION)
-        for lang, sums in total.items():
-            at = np.nonzero(sums)[0]
-            yield pd.DataFrame({"lang": lang, "piece": at, "uses": sums[at]})
+            for lang, rows in batch.groupby("lang"):
+                words, n, k = rows["word"].tolist(), rows["n"].to_numpy(), languages.index(lang)
+                if table is None:
+                    word_no, _, _, piece = own.arcs(words)
+                    share = np.ones(len(piece))
+                else:
+                    word_no, piece, share = own.expected(words, table[:, k])
+                np.add.at(total[k], piece, np.round(share * n[word_no] * FRACTION).astype(np.int64))
+        for k, lang in enumerate(languages):
+            at = np.nonzero(total[k])[0]
+            yield pd.DataFrame({"lang": lang, "piece": at, "uses": total[k][at]})
 
     def gathered(rows: DataFrame, languages: list[str]) -> np.ndarray:
         own = lattice(model_file)
@@ -205,9 +222,8 @@ def piece_probabilities(training: DataFrame, model_file: str) -> tuple[list[str]
     words = training.select("text", "lang").mapInArrow(count, "lang string, word string, n long")
     words = written(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
     kind = "lang string, piece int, uses long"
-    first = gathered(words.mapInPandas(occurrences, kind), languages)
-    table = {lang: first[:, k].tolist() for k, lang in enumerate(languages)}
-    sent = words.sparkSession.sparkContext.broadcast(table)
+    first = gathered(words.mapInPandas(lambda batches: uses(batches, None), kind), languages)
+    sent = words.sparkSession.sparkContext.broadcast(first)
     again = gathered(words.mapInPandas(lambda batches: uses(batches, sent.value), kind), languages)
     prior = np.log(np.array([shares[x] for x in languages], np.float64) / sum(shares.values()))
     return languages, again, prior
