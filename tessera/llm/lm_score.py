@@ -25,6 +25,7 @@ import heapq
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -52,7 +53,6 @@ COUNTED = 200_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _R = 0x100000001B3
-_ONE_HOT = np.eye(GATES, dtype=np.float32)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -83,6 +83,7 @@ class Code:
         self.start = np.cumsum(self.length) - self.length
         self.node = np.array([n for path in paths for n, _ in path], np.int32)
         self.bit = np.array([b for path in paths for _, b in path], np.int8)
+        self.sign = (1 - 2 * self.bit).astype(np.float32)
         self.hashed = (self.node.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
 
     def expand(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,19 +121,22 @@ def byte_contexts(parts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
     return data, [back[0], two, two | back[2] << np.uint64(16), word]
 
 
-def slots(code: Code, context: np.ndarray, k: int, bits: int, length: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """The table slots of every bit: of a symbol's context together with the node of its path."""
-    if k == 0 and bits == WORD_TABLES[0] and not context.any():
-        return code.node[place] & (1 << bits) - 1
-    mixed = (context + np.uint64(k + 1)) * _A
-    mixed ^= mixed >> np.uint64(29)
-    mixed = np.repeat((mixed * _B >> np.uint64(32)).astype(np.uint32), length)
-    mixed += code.hashed[place]
-    mixed ^= mixed >> np.uint32(15)
-    mixed *= np.uint32(0x85EBCA77)
-    mixed ^= mixed >> np.uint32(13)
-    mixed *= np.uint32(0xC2B2AE3D)
-    return mixed >> np.uint32(32 - bits)
+def slots(code: Code, contexts: list[np.ndarray], table_bits: tuple[int, ...], length: np.ndarray, place: np.ndarray) -> Iterator[np.ndarray]:
+    """By predictor, the table slots of every bit: of a symbol's context together with the node of its path.
+
+    A context is mixed to a random place, from which its nodes spread in golden steps.
+    """
+    step = code.hashed[place]
+    for k, (context, bits) in enumerate(zip(contexts, table_bits)):
+        if k == 0 and not context.any():
+            yield code.node[place] & (1 << bits) - 1
+            continue
+        mixed = (context + np.uint64(k + 1)) * _A
+        mixed ^= mixed >> np.uint64(29)
+        at = np.repeat((mixed * _B >> np.uint64(32)).astype(np.uint32), length)
+        at += step
+        at >>= np.uint32(32 - bits)
+        yield at
 
 
 class Tables:
@@ -154,33 +158,42 @@ class Scorer:
         self.code, self.table_bits, self.tables, self.weights = code, table_bits, tables, weights
 
     def inputs(self, x: np.ndarray, contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Log odds by predictor, gate and sign (1 for a 0, -1 for a 1) of every bit of the symbols ``x``; bits by symbol."""
+        """Log odds (a row per predictor and one for the bias), gate and sign (1 for a 0, -1 for a 1) of every bit of the symbols ``x``; bits by symbol."""
         length, place = self.code.expand(x)
-        found = [t[slots(self.code, c, k, b, length, place)] for k, (c, b, t) in enumerate(zip(contexts, self.table_bits, self.tables.packed))]
-        odds = np.full((len(place), len(found) + 1), 0.3, np.float32)
-        for k, g in enumerate(found):
-            np.multiply(g >> 2, np.float32(1 / 512), out=odds[:, k])
-        return odds, (found[3] & 3) * 4 + (found[2] & 3), (1 - 2 * self.code.bit[place]).astype(np.float32), length
+        found = np.empty((len(contexts), len(place)), np.int16)
+        for k, at in enumerate(slots(self.code, contexts, self.table_bits, length, place)):
+            np.take(self.tables.packed[k], at, out=found[k], mode="clip")
+        odds = np.empty((len(found) + 1, len(place)), np.float32)
+        np.multiply(found >> 2, np.float32(1 / 512), out=odds[:-1])
+        odds[-1] = 0.3
+        return odds, (found[3] & 3) * 4 + (found[2] & 3), self.code.sign[place], length
 
     def fixed(self, x: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
         """The information in bits of every symbol, with the starting weights."""
         odds, gate, sign, length = self.inputs(x, contexts)
-        z = np.einsum("ij,ij->i", self.weights[gate], odds)
+        z = np.einsum("ij,ji->i", self.weights[gate], odds)
         loss = np.log1p(np.exp(np.minimum(sign * z, 60)), dtype=np.float64)
         return np.bincount(np.repeat(np.arange(len(x)), length), loss, len(x)) / np.log(2)
 
     def refined(self, x: np.ndarray, contexts: list[np.ndarray], w: np.ndarray) -> float:
         """The information in bits of the symbols together; refines ``w`` as it goes."""
         odds, gate, sign, _ = self.inputs(x, contexts)
-        total = 0.0
-        for k in range(0, len(sign), REFINE):
-            o, g, s = odds[k : k + REFINE], gate[k : k + REFINE], sign[k : k + REFINE]
-            odd = np.exp(np.minimum(s * np.einsum("ij,ij->i", w[g], o), np.float32(60)))
-            total += float(np.log(1 + odd).sum(dtype=np.float64))
-            hot = _ONE_HOT[g]
-            gradient = hot.T @ (o * (-s * odd / (1 + odd))[:, None])
-            w += np.float32(RATE) * gradient / (hot.sum(axis=0)[:, None] + np.float32(100))
-        return total / np.log(2)
+        n = len(sign)
+        odd = np.empty(n, np.float32)
+        # For each bit of a step a row of gates, of which only the bit's own counts.
+        first = np.arange(min(n, REFINE)) * GATES
+        errors = np.zeros((min(n, REFINE), GATES), np.float32)
+        for k in range(0, n, REFINE):
+            o, s, c, g = odds[:, k : k + REFINE].T, sign[k : k + REFINE], odd[k : k + REFINE], gate[k : k + REFINE]
+            at = first[: len(s)] + g
+            z = (o @ w.T).ravel().take(at)
+            z *= s
+            np.exp(np.minimum(z, np.float32(60), out=z), out=c)
+            errors.ravel()[at] = s * c / (np.float32(-1) - c)
+            counts = np.bincount(g, minlength=GATES).astype(np.float32)
+            w += np.float32(RATE) * (errors[: len(s)].T @ o) / (counts[:, None] + np.float32(100))
+            errors.ravel()[at] = 0
+        return float(np.log(np.float32(1) + odd).sum(dtype=np.float64)) / math.log(2)
 
 
 def starting_weights(predictors: int) -> np.ndarray:
@@ -195,7 +208,9 @@ def starting_weights(predictors: int) -> np.ndarray:
 
 def symbols(words: list[bytes], numbers: dict[bytes, int]) -> np.ndarray:
     """The symbols of a text: words of the tree, escapes for others, the end."""
-    return np.array([numbers.get(w, ESCAPE) for w in words] + [END], np.int64)
+    found = np.full(len(words) + 1, END, np.int64)
+    found[:-1] = np.fromiter(map(numbers.get, words, repeat(ESCAPE)), np.int64, len(words))
+    return found
 
 
 def text_bits(scorer: Scorer, x: np.ndarray, w: np.ndarray) -> float:
@@ -241,8 +256,9 @@ def count_tables(rows: DataFrame, code: Code, table_bits: tuple[int, ...], read:
             x, contexts = read(values)
             for s in range(0, len(x), 2 * SEGMENT):
                 length, place = code.expand(x[s : s + 2 * SEGMENT])
-                for k, (c, b) in enumerate(zip(contexts, table_bits)):
-                    own[late][k] += np.bincount(slots(code, c[s : s + 2 * SEGMENT], k, b, length, place).astype(np.int64) << 1 | code.bit[place], minlength=2 << b).astype(np.uint32)
+                bit = code.bit[place].astype(np.uint32)
+                for table, at in zip(own[late], slots(code, [c[s : s + 2 * SEGMENT] for c in contexts], table_bits, length, place)):
+                    np.add.at(table, (at.astype(np.uint32) << 1 | bit).astype(np.intp), np.uint32(1))
 
         for batch in batches:
             for value, late in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -398,22 +414,17 @@ def score_documents(docs: DataFrame, trains: str, late: str, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (own, known), numbers = sent.value, sent_numbers.value
-        logs = {w: math.log10(n + 1) for w, n in known.items()}
-        end_log = math.log10(ends + 1)
+        logs = np.log10(np.array([ends, 0, *known.values()], np.float64) + 1)
         for batch in batches:
             rows, rare_words, rare_counts, ends_at = [], [], [], [0]
             for text in batch.column(1).to_pylist():
                 found = tokens(text)
-                bits = text_bits(own, symbols(found, numbers), own.weights.copy())
-                base, n_known = end_log, 0
-                for word, n in Counter(found).items():
-                    log = logs.get(word)
-                    if log is None:
-                        rare_words.append(word)
-                        rare_counts.append(n)
-                    else:
-                        base += n * log
-                        n_known += n
+                x = symbols(found, numbers)
+                bits = text_bits(own, x, own.weights.copy())
+                rare = Counter(found[k] for k in np.nonzero(x == ESCAPE)[0].tolist())
+                rare_words += rare
+                rare_counts += rare.values()
+                base, n_known = float(logs[x].sum()), len(found) - rare.total()
                 ends_at.append(len(rare_words))
                 rows.append((len(found) + 1, n_known + (1 if ends else 0), base, bits, sum(map(len, found)) + len(found) + 1))
             columns = list(zip(*rows)) or [()] * 5
