@@ -34,46 +34,81 @@ SMOOTHING, UNKNOWN = 0.05, 1e-7
 #: Expected counts are kept as whole numbers of this fraction, so that their sums do not depend on an order.
 FRACTION = 1 << 10
 
+#: Letters that have a column in the dense table of children.
+FREQUENT = 63
+
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def word_parts(token: str) -> list[str]:
     """The runs of letters of a token in lower case, marked as words, in parts."""
-    found = [SPACE + w for w in _LETTERS.findall(token)]
+    found = [SPACE + token] if token.isalpha() else [SPACE + w for w in _LETTERS.findall(token)]
     return found if len(token) < PART else [w[k : k + PART] for w in found for k in range(0, len(w), PART)]
 
 
 class Lattice:
-    """All occurrences of pieces in words. The pieces are a trie, which many words walk at once."""
+    """All occurrences of pieces in words. The pieces are a trie, which many words walk at once.
+
+    Words are in lower case, so pieces that are not stay out of the trie. The
+    children by frequent letters are a dense table, those by others sorted keys.
+    """
 
     def __init__(self, model_file: str):
         self.names = sorted(Vocabulary(model_file).id_of)
         child: dict[tuple[int, str], int] = {}
         piece_at = [-1]
         for k, piece in enumerate(self.names):
+            if piece != piece.lower():
+                continue
             node = 0
             for letter in piece:
                 node = child.setdefault((node, letter), len(piece_at))
                 if node == len(piece_at):
                     piece_at.append(-1)
             piece_at[node] = k
-        keys = np.array([node << 21 | ord(letter) for node, letter in child], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.child, self.piece_at = keys[order], np.array(list(child.values()), np.int64)[order], np.array(piece_at, np.int64)
+        self.piece_at = np.array(piece_at, np.int64)
+        frequent = [letter for letter, _ in Counter(letter for _, letter in child).most_common(FREQUENT)]
+        # Letters by number: 0 is in no piece, the next are frequent, the rest have no column in the dense table.
+        self.number = np.zeros(0x110000, np.int64)
+        for k, letter in enumerate([*frequent, *sorted({letter for _, letter in child} - set(frequent))]):
+            self.number[ord(letter)] = k + 1
+        self.dense = np.zeros((len(piece_at), FREQUENT + 1), np.int32)
+        keys, to = [], []
+        for (node, letter), below in child.items():
+            column = int(self.number[ord(letter)])
+            if column <= FREQUENT:
+                self.dense[node, column] = below
+            else:
+                keys.append(node << 21 | column)
+                to.append(below)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.below = np.array(keys, np.int64)[order], np.array(to, np.int64)[order]
+
+    def step(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The child of each node by each letter's number; 0 where there is none."""
+        common = letter <= FREQUENT
+        if common.all():
+            return self.dense.ravel()[node * (FREQUENT + 1) + letter]
+        found = np.where(common, self.dense[node, np.where(common, letter, 0)], 0)
+        if len(self.keys):
+            rare = np.nonzero(~common)[0]
+            key = node[rare].astype(np.int64) << 21 | letter[rare]
+            edge = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            found[rare] = np.where(self.keys[edge] == key, self.below[edge], 0)
+        return found
 
     def arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """word number, start, end and piece of every occurrence, by growing end."""
-        text = np.frombuffer("\n".join([*words, ""]).encode("utf-32-le"), np.uint32).astype(np.int64)
+        text = self.number[np.frombuffer("\n".join([*words, ""]).encode("utf-32-le"), np.uint32)]
         size = np.array([len(w) + 1 for w in words])
         word_no = np.repeat(np.arange(len(words)), size)
         start = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
         # The line feed after each word is in no piece, so every walk ends there.
         at, node, depth, found = np.arange(len(text)), np.zeros(len(text), np.int64), 0, []
         while len(at):
-            key = node << 21 | text[at + depth]
-            edge = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[edge] == key
-            at, node, depth = at[hit], self.child[edge[hit]], depth + 1
+            node = self.step(node, text[at + depth])
+            hit = np.nonzero(node)[0]
+            at, node, depth = at[hit], node[hit], depth + 1
             whole = self.piece_at[node] >= 0
             found.append((at[whole], self.piece_at[node[whole]], np.full(int(whole.sum()), depth)))
         at, piece, length = (np.concatenate(c) for c in zip(*found))
@@ -149,7 +184,7 @@ class _Scores(dict):
         parts: list[str] = []
         first: list[int] = []
         new: list[str] = []
-        for token in sorted(t for t in tokens if t not in self):
+        for token in tokens.difference(self):
             found = word_parts(token)
             if found:
                 new.append(token)
