@@ -140,7 +140,7 @@ def running_accuracy(spark, d):
     return evaluate.running_accuracy(answers(spark, d)).select("group_id", "question_index", "seen", "correct", F.round("running_accuracy", 6).alias("running_accuracy"))
 
 
-@register(REGISTRY, GRAPH + """SELECT g.group_id AS query_id, coalesce(h.hits, 0) AS hits, CAST(5 AS BIGINT) AS n_gold FROM (SELECT DISTINCT group_id FROM ep) g LEFT JOIN (
+@register(REGISTRY, GRAPH + """SELECT g.group_id AS query_id, coalesce(h.hits, 0) AS hits, least(5, g.n) AS n_gold FROM (SELECT group_id, count(*) AS n FROM ep GROUP BY 1) g LEFT JOIN (
   SELECT group_id, count(*) AS hits FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY seq) AS k FROM ep) WHERE k <= 5 AND speaker = 'user' GROUP BY 1) h USING (group_id)""")
 def gold_hits(spark, d):
     from .base import episodes
