@@ -17,6 +17,7 @@ a leaf gives back the links of a spanning forest, not all of its pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -25,14 +26,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, small, written
 
 SEED = 42
 #: 64-bit words of a wide fingerprint, and the odd numbers that make them of one shingle hash.
 WIDE = 4
 _TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 #: Fingerprints that a bucket of the wide search is expected to hold; part of the pairs at the threshold that may be missed.
-BUCKET_ROWS, MISSED = 2_000, 0.005
+BUCKET_ROWS, MISSED = 2_000, 0.001
+#: Standard deviations above the mean distance of a pair at the threshold that still make it a candidate.
+TAIL = 4
+#: A bucket with more candidate pairs than this for each of its rows gives them in two steps (it decides speed, never results).
+DENSE = 16
 #: Fingerprints from which the trees are grown (a bounded sample; it decides speed, never results).
 TREE_SAMPLE = 32_768
 #: A leaf is split while it is expected to own more fingerprints than this; larger leaves are dealt to several tasks.
@@ -223,9 +228,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, id_col: str
     return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_fingerprint(text: str, words: int) -> bytes:
-    """A SimHash of ``64 * WIDE`` bits of the set of shingles; all zero without words."""
-    h = np.unique(np.array(shingle_hashes(text, words), np.uint64))
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, in order."""
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64))
+
+
+def wide_print(h: np.ndarray) -> bytes:
+    """A SimHash of ``64 * WIDE`` bits of a set of shingle hashes; all zero for none."""
     total = np.zeros(64 * WIDE, np.int64)
     for k in range(0, len(h), 16_384):
         turned = h[k : k + 16_384, None] * _TURNS
@@ -235,78 +244,179 @@ def wide_fingerprint(text: str, words: int) -> bytes:
     return np.packbits(total > len(h) / 2).tobytes()
 
 
+def wide_fingerprint(text: str, words: int) -> bytes:
+    """A SimHash of ``64 * WIDE`` bits of the set of shingles; all zero without words."""
+    return wide_print(shingle_set(text, words))
+
+
 def differing_share(similarity: float) -> float:
     """The part of SimHash bits in which two sets of this Jaccard similarity (and equal size) differ on average."""
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def similar_links(nodes: DataFrame, share: float) -> DataFrame:
-    """Links (a, b) between nodes (node long, wide binary) that SimHash puts at a Jaccard similarity of ``share`` or more.
+def differing_most(share: float, sizes: int = 60) -> float:
+    """The largest part of SimHash bits in which two sets of this Jaccard similarity or more differ on average.
+
+    ``differing_share`` is the limit for large sets of equal size. Sets of few
+    shingles differ in more bits, as a majority of few is decided by one of
+    them (4 of 5 shingles in common: 3/16), so sets of up to ``sizes``
+    shingles are counted exactly.
+    """
+    worst = differing_share(share)
+    ones = [np.array([comb(n, k) for k in range(n + 1)], float) / 2**n for n in range(sizes + 1)]
+    for common in range(1, sizes + 1):
+        for x in range(sizes - common + 1):
+            for y in range(x, sizes - common - x + 1):
+                if common / (common + x + y) >= share:
+                    s = np.arange(common + 1)[:, None]
+                    a, b = (((s + np.arange(e + 1) > (common + e) / 2) * ones[e]).sum(axis=1) for e in (x, y))
+                    worst = max(worst, float((ones[common] * (a * (1 - b) + b * (1 - a))).sum()))
+    return worst
+
+
+def search_plan(n: int, share: float) -> tuple[int, int, int]:
+    """(bits of a sample, rounds, most differing bits of a candidate) for a search among ``n`` fingerprints.
+
+    A pair at the threshold, whose differing bits are binomial if bits are
+    independent, is missed with probability ``MISSED`` at most, over all its
+    distances: by falling behind ``most``, or by no common sample in any round.
+    """
+    bits, differ = 64 * WIDE, differing_most(share)
+    most = int(np.ceil(bits * differ + TAIL * np.sqrt(bits * differ * (1 - differ))))
+    sampled = int(np.clip(np.ceil(np.log2(max(2, n) / BUCKET_ROWS)), 4, 24))
+    chance = np.array([comb(bits, d) * differ**d * (1 - differ) ** (bits - d) for d in range(most + 1)])
+    alone = 1 - np.array([comb(bits - d, sampled) / comb(bits, sampled) for d in range(most + 1)])
+    rounds = 1
+    while 1 - chance.sum() + (chance * alone**rounds).sum() > MISSED:
+        rounds += 1
+    return sampled, rounds, most
+
+
+def distances(tile: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Differing bits of each row of ``tile`` and each of ``other``."""
+    far = np.zeros((len(tile), len(other)), np.uint16)
+    for w in range(WIDE):
+        far += np.bitwise_count(tile[:, w, None] ^ other[None, :, w])
+    return far
 
-    At this similarity too many bits differ for trees over halves to exclude
+
+def candidates(nodes: DataFrame, plan: tuple[int, int, int], dense: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b, bucket) of nodes (node long, wide binary, root long) whose fingerprints may be those of a similar pair.
+
+    At such a similarity too many bits differ for trees over halves to exclude
     anything, so the search is by samples of bits: each round groups the
     fingerprints that agree in some sampled bits and compares all of a group
-    on all bits. The number of rounds is such that a pair at the threshold is
-    missed with probability ``MISSED`` at most; closer pairs hardly ever are.
-    A group gives back a spanning forest of its links.
+    on all bits. A group of more than ``DENSE`` pairs a row gives, for each
+    row, the closest of the rows before it and of all rows, and names itself
+    in ``bucket`` (else null). With ``dense``, only the groups named there
+    give pairs: all of theirs that have different roots.
     """
-    differ, n = differing_share(share), nodes.count()
-    sampled = int(np.clip(np.ceil(np.log2(max(2, n) / BUCKET_ROWS)), 4, 24))
-    rounds = int(np.ceil(np.log(1 / MISSED) / (1 - differ) ** sampled))
-    most = round(64 * WIDE * differ)
+    sampled, rounds, most = plan
     rng = np.random.default_rng(SEED)
     places = np.stack([rng.choice(64 * WIDE, sampled, replace=False) for _ in range(rounds)])
     weights = (1 << np.arange(sampled)).astype(np.int64)
+    first = dense is None
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WIDE), axis=1)
             for k in range(rounds):
-                yield pa.RecordBatch.from_arrays([pa.array(k << sampled | bits[:, places[k]] @ weights), batch.column(0), batch.column(1)], names=["bucket", "node", "wide"])
+                yield pa.RecordBatch.from_arrays([pa.array(k << sampled | bits[:, places[k]] @ weights), *batch.columns], names=["bucket", "node", "wide", "root"])
 
     def match(bucket: pd.DataFrame) -> pd.DataFrame:
-        ids = bucket["node"].to_numpy()
+        ids, root = bucket["node"].to_numpy(), bucket["root"].to_numpy()
         prints = np.frombuffer(b"".join(bucket["wide"]), np.uint64).reshape(-1, WIDE)
-        a, b = np.empty(0, np.int64), np.empty(0, np.int64)
+        found, count = [], 0
+        before, closest = (np.full(len(ids), np.iinfo(np.int64).max) for _ in range(2))
         for i in range(0, len(ids), TILE_ROWS):
             tile = prints[i : i + TILE_ROWS]
             for j in range(0, i + len(tile), TILE_COLUMNS // WIDE):
-                other = prints[j : min(j + TILE_COLUMNS // WIDE, i + len(tile))]
-                far = np.zeros((len(tile), len(other)), np.uint16)
-                for w in range(WIDE):
-                    far += np.bitwise_count(tile[:, w, None] ^ other[None, :, w])
+                far = distances(tile, prints[j : min(j + TILE_COLUMNS // WIDE, i + len(tile))])
                 x, y = np.nonzero(far <= most)
-                x, y = x + i, y + j
-                if (real := x != y).any():
-                    root = forest(len(ids), np.concatenate((a, x[real])), np.concatenate((b, y[real])))
-                    a = np.nonzero(root != np.arange(len(ids)))[0]
-                    b = root[a]
-        return pd.DataFrame({"a": ids[a], "b": ids[b]})
+                d, x, y = far[x, y].astype(np.int64) << 32, x + i, y + j
+                real = (x > y) & (first | (root[x] != root[y]))
+                d, x, y = d[real], x[real], y[real]
+                count += len(x)
+                if first:
+                    np.minimum.at(before, x, d | y)
+                    np.minimum.at(closest, x, d | y)
+                    np.minimum.at(closest, y, d | x)
+                if not first or count <= DENSE * len(ids):
+                    found.append((x, y))
+        named = first and count > DENSE * len(ids)
+        if named:
+            found = [(at := np.nonzero(c < np.iinfo(np.int64).max)[0], c[at] & 0xFFFFFFFF) for c in (before, closest)]
+        a, b = (np.concatenate([np.empty(0, np.int64), *part]) for part in (zip(*found) if found else ((), ())))
+        pairs = pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
+        return pairs.assign(bucket=pd.array([bucket["bucket"].iloc[0] if named else None] * len(pairs), "Int64"))
+
+    dealt = nodes.select("node", "wide", "root").mapInArrow(deal, "bucket long, node long, wide binary, root long")
+    if dense is not None:
+        dealt = dealt.join(small(dense), "bucket", "left_semi")
+    return dealt.groupBy("bucket").applyInPandas(match, "a long, b long, bucket long")
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, words: int, share: float) -> DataFrame:
+    """Links (a, b) between nodes (node long, wide binary, _sha string) whose shingle sets have a Jaccard similarity of ``share`` or more.
+
+    ``candidates`` finds pairs by their fingerprints, and the exact sets,
+    made of ``texts`` (_sha, text) for the nodes of those pairs, decide. In
+    dense groups the closest pairs are decided first; then all pairs that are
+    not yet connected, so that many copies of one text are not compared each
+    with each. All candidate pairs are connected by links, or decided.
+    """
 
-    dealt = nodes.select("node", "wide").mapInArrow(deal, "bucket long, node long, wide binary")
-    return dealt.groupBy("bucket").applyInPandas(match, "a long, b long")
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, TILE_ROWS):
+                batch = whole.slice(k, TILE_ROWS)
+                sets = [shingle_set(t or "", words).view(np.int64) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        asked = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "_sha"), "node"), "near-asked")
+        sets = texts.join(small(asked), "_sha").dropDuplicates(["node"]).select("node", "text").mapInArrow(make, "node long, shingles array<long>")
+        sets = written(sets, "near-sets")
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a")
+        both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
+        both = both.select("a", "b", (F.size("s") + F.size("t")).alias("n"), F.size(F.array_intersect("s", "t")).alias("common"))
+        return written(both.filter(F.col("common") / (F.col("n") - F.col("common")) >= share).select("a", "b"), "near-links")
+
+    plan = search_plan(nodes.count(), share)
+    found = written(candidates(nodes.withColumn("root", F.col("node")), plan), "near-found")
+    links = decided(written(found.select("a", "b").distinct(), "near-pairs"))
+    dense = found.filter("bucket IS NOT NULL").select("bucket").distinct()
+    if dense.isEmpty():
+        return links
+    grouped = components(links, "near-dense")
+    rooted = nodes.join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = candidates(written(rooted.select("node", "wide", "root"), "near-rooted"), plan, written(dense, "near-buckets"))
+    return links.union(decided(written(rest.select("a", "b").distinct(), "near-rest")))
 
 
 def keep_one_of_near(docs: DataFrame, words: int = 5, share: float = 0.8) -> DataFrame:
     """The rows of ``docs`` (all columns) that stay when each group of near copies keeps its smallest doc_id.
 
-    Groups are the components of links by ``similar_links`` on wide
-    fingerprints. Rows with a null doc_id stay only if their group has no
-    other; repeated rows of the smallest doc_id and equal text stay once.
+    Groups are the components of links between documents whose sets of
+    shingles have a Jaccard similarity of ``share`` or more (``similar_links``).
+    Rows with a null doc_id stay only if their group has no other; repeated
+    rows of the smallest doc_id and equal text stay once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [wide_fingerprint(t or "", words) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.binary())], names=["_id", "_sha", "wide"])
+            sets = [shingle_set(t or "", words) for t in batch.column(2).to_pylist()]
+            keys, prints = [xxhash.xxh3_128_digest(h.tobytes()) for h in sets], [wide_print(h) for h in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(prints, pa.binary())], names=["_id", "_sha", "key", "wide"])
 
     names, id_type = docs.columns, dict(docs.dtypes)["doc_id"]
     sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     rows = docs.select(F.col("doc_id").alias("_id"), sha.alias("_sha"), F.col("text").alias("text"))
-    rows = written(rows.mapInArrow(run, f"_id {id_type}, _sha string, wide binary"), "near-prints")
-    nodes = rows.groupBy("wide").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_sha")).alias("first"))
-    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
-    grouped = components(written(similar_links(nodes, share), "near-links"), "near")
+    texts = rows.select("_sha", "text")
+    rows = written(rows.mapInArrow(run, f"_id {id_type}, _sha string, key binary, wide binary"), "near-prints")
+    nodes = rows.groupBy("key").agg(F.first("wide").alias("wide"), F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_sha")).alias("first"))
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "wide", "first", F.col("first._sha").alias("_sha")), "near-nodes")
+    grouped = components(similar_links(nodes, texts, words, share), "near")
     rooted = nodes.join(grouped, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._id").alias("_kept_id"), F.col("first._sha").alias("_kept_sha"))
     keyed = docs.withColumn("_sha", sha)
