@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 
 # The letters that a sign may stand for.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "µ": "u"}
@@ -32,7 +32,7 @@ SIGN, SEPARATOR, REPEAT, KEPT = (math.log(x) for x in (0.05, 0.05, 0.1, 0.001))
 DECODED = 48
 #: Beginnings of words that are features.
 BEGINNINGS = (4, 5)
-#: Features that are learned; a feature's least number of toxic training documents; labels that are learned from.
+#: Features that are learned; a feature's least number of toxic training documents; examples that the regression is fitted to.
 FEATURES, LEAST_DOCS, SAMPLE = 4_096, 3, 45_000
 REMEMBERED, COUNTED = 300_000, 300_000
 OTHER, EDGE, SIGN_KEPT = "?", "^", "#"
@@ -209,18 +209,19 @@ class Judge:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Judge:
-    """Learn from the rows of ``docs`` that ``labels`` (doc_id, toxic) marks: about ``SAMPLE`` labels at most, by a hash of the id.
+    """Learn from the rows of ``docs`` that ``labels`` (doc_id, toxic) marks.
 
-    So the marked ids are few enough to be broadcast, and no text is shuffled
-    to find its label. Copies of a text with the same label count once. Labels
+    Trigrams and the documents of each feature are counted over all of them;
+    only the regression is fitted to a sample of about ``SAMPLE`` at most, by a
+    hash of the id. Copies of a text with the same label count once. Labels
     that are null teach nothing; of several for an id, the largest counts.
     """
     marks = labels.filter("toxic IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    share = min(1.0, SAMPLE / max(1, marks.count()))
-    marks = marks.filter(F.pmod(F.xxhash64("_id", F.lit(10)), F.lit(1 << 20)) < int((1 << 20) * share))
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
-    training = slim.join(F.broadcast(marks), "_id").withColumn("_sha", F.sha2("text", 256)).dropDuplicates(["_sha", "toxic"])
+    training = slim.join(small(marks), "_id").withColumn("_sha", F.sha2("text", 256)).dropDuplicates(["_sha", "toxic"])
     training = written(training.select("_id", "text", "toxic"), "toxicity-training")
+    share = min(1.0, SAMPLE / max(1, training.count()))
+    sample = training.filter(F.pmod(F.xxhash64("_id", F.lit(10)), F.lit(1 << 20)) < int((1 << 20) * share))
     model = train_character_model(training)
     known = choose_features(training, model)
 
@@ -230,7 +231,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([sorted(features.of(t)) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["_id", "toxic", "f"])
 
     id_type = dict(training.dtypes)["_id"]
-    rows = training.mapInArrow(number, f"_id {id_type}, toxic int, f array<int>").collect()
+    rows = sample.mapInArrow(number, f"_id {id_type}, toxic int, f array<int>").collect()
     examples = [(int(bool(r["toxic"])), r["f"]) for r in sorted(rows, key=lambda r: (r["_id"], r["toxic"], r["f"]))]
     return Judge(model, known, fit(examples, len(known)) if examples else np.array([-math.log(99)]))
 

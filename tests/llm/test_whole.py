@@ -2,7 +2,7 @@
 
 import random
 
-from tessera.llm import simhash
+from tessera.llm import simhash, toxicity
 
 
 def jaccard_kept(rows, words, share):
@@ -55,3 +55,17 @@ def test_near_stage_on_documents(spark):
     rows = sorted((r["doc_id"], r["text"] or "") for r in found.collect())
     kept = simhash.keep_one_of_near(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == jaccard_kept(rows, 5, 0.8)
+
+
+def test_toxic_features_are_counted_over_all_labels(spark, monkeypatch):
+    """With a sample of an eighth, a word of 9 toxic documents is still a feature."""
+    monkeypatch.setattr(toxicity, "SAMPLE", 50)
+    rng = random.Random(7)
+    plain = ["the", "cat", "went", "home", "with", "some", "bread", "and", "milk", "today"]
+    rows = [(k, " ".join(rng.choices(plain, k=12)) + f" n{k}" + (" idiot" if k % 4 == 0 else "") + (" blockhead" if k % 48 == 0 else "")) for k in range(400)]
+    fitted = []
+    monkeypatch.setattr(toxicity, "fit", lambda examples, size, fit=toxicity.fit: fitted.append(len(examples)) or fit(examples, size))
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    judge = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert {"idiot", "blockhead"} <= set(judge.known)
+    assert 0 < fitted[0] < 100
