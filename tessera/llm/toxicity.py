@@ -2,10 +2,11 @@
 
 Tokens with signs of disguise (symbols or digits among letters, a letter three
 times in a row, letters set apart by spaces) are decoded: a lattice offers for
-each character itself, the letters it may stand for, or nothing (a repetition
-or a separator), and Viterbi finds the likeliest letters under a character
-trigram model. Any other token is its own only reading. The restored words and
-their beginnings are the features of a logistic regression.
+each character itself, the letters it may stand for, nothing (a repetition or a
+separator) or the end of a word (a separator), and Viterbi finds the likeliest
+words under a character trigram model. Any other token is its own only reading.
+The restored words and their beginnings, hashed to a fixed number of slots, are
+the features of a logistic regression.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,20 +29,21 @@ from .common import small, written
 # The letters that a sign may stand for.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "µ": "u"}
 SEPARATORS = set(".-_*~'`,/\\^:;=#&%\"<>[]{})?" + "+|!(")
-#: Log probabilities of the channel: a sign for a letter, a separator put in, a letter repeated, a sign kept as it is.
+#: Log probabilities of the channel: a sign for a letter, a separator put in (in a word or between two), a letter repeated, a sign kept as it is.
 SIGN, SEPARATOR, REPEAT, KEPT = (math.log(x) for x in (0.05, 0.05, 0.1, 0.001))
-#: Longer tokens are not decoded but read as they are: nobody writes words of this length, and addresses and keys are.
-DECODED = 48
+#: Characters after which the decoder writes down what all surviving readings share (it bounds memory, never results).
+SETTLE = 256
 #: Beginnings of words that are features.
 BEGINNINGS = (4, 5)
-#: Features that are learned; a feature's least number of toxic training documents; examples that the regression is fitted to.
-FEATURES, LEAST_DOCS, SAMPLE = 4_096, 3, 45_000
-REMEMBERED, COUNTED = 300_000, 300_000
+#: Slots that features are hashed to; a slot's least number of toxic training documents; examples that the regression is fitted to.
+SLOTS, LEAST_DOCS, SAMPLE = 1 << 21, 3, 45_000
+REMEMBERED = 300_000
 OTHER, EDGE, SIGN_KEPT = "?", "^", "#"
 
-_DISGUISED = re.compile(r"[^\W\d_].*[^\w\s]+.*[^\W\d_]|[^\W\d_].*\d|\d.*[^\W\d_]|[@$!|(+€£¡µ].*[^\W\d_]|[^\W\d_]+[@$|(+€£]|_|([^\W\d_])\1\1", re.S)
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|])(?: (?:[^\W_]|[@$!|])){2,}(?!\S)")
 _WORDS = re.compile(r"[^\W\d_]+")
+_LETTER, _DIGIT, _SYMBOL = re.compile(r"[^\W\d_]"), re.compile(r"\d"), re.compile(r"[^\w\s]")
+_SIGN_BEFORE, _SIGN_AFTER, _TRIPLE = re.compile(r"[@$!|(+€£¡µ]"), re.compile(r"[^\W\d_][@$|(+€£]"), re.compile(r"([^\W\d_])\1\1")
 
 
 class CharacterModel:
@@ -64,11 +68,30 @@ class CharacterModel:
         return (plain[k : k + 3] for k in range(len(plain) - 2))
 
 
+def disguised(token: str) -> bool:
+    """Whether a token has signs of disguise; each test reads it once."""
+    if token.isalpha():
+        return bool(_TRIPLE.search(token))
+    first = _LETTER.search(token)
+    if not first:
+        return "_" in token
+    last = next(k for k in range(len(token) - 1, -1, -1) if _LETTER.match(token, k))
+    return bool("_" in token or _DIGIT.search(token) or _SYMBOL.search(token, first.end(), last) or _SIGN_BEFORE.search(token, 0, last) or _SIGN_AFTER.search(token) or _TRIPLE.search(token))
+
+
 def restore(token: str, model: CharacterModel) -> str:
-    """The likeliest letters behind a token in lower case."""
-    best: dict[str, tuple[float, str]] = {EDGE * 2: (0.0, "")}
-    before = ""
-    for c in token:
+    """The likeliest words behind a token of any length in lower case, by Viterbi with back-pointers."""
+    best, before, done = {EDGE * 2: (0.0, 0)}, "", []
+    steps: list[tuple[int, str]] = [(-1, "")]  # (step before, what is written)
+
+    def written_at(k: int) -> str:
+        shown = []
+        while k >= 0:
+            k, piece = steps[k]
+            shown.append(piece)
+        return "".join(reversed(shown))
+
+    for at, c in enumerate(token):
         readings: list[tuple[str, str, float]] = []  # (class, what is written, log probability)
         if c.isalpha():
             readings.append((c if "a" <= c <= "z" else OTHER, c, 0.0))
@@ -78,16 +101,29 @@ def restore(token: str, model: CharacterModel) -> str:
             readings += [(x, x, SIGN) for x in STANDS_FOR.get(c, "")]
             if c in SEPARATORS or c == before:
                 readings.append(("", "", SEPARATOR))
+            if c in SEPARATORS:
+                readings.append((EDGE, " ", SEPARATOR))
             readings.append((SIGN_KEPT, " ", KEPT))
-        following: dict[str, tuple[float, str]] = {}
-        for state, (score, text) in best.items():
+        following: dict[str, tuple[float, int, str]] = {}
+        for state, (score, step) in best.items():
             row = model.log[state]
             for kind, shown, gain in readings:
-                new, value = (state[1] + kind, score + gain + row[kind]) if kind else (state, score + gain)
+                new, value = (EDGE * 2 if kind == EDGE else state[1] + kind, score + gain + row[kind]) if kind else (state, score + gain)
                 if new not in following or value > following[new][0]:
-                    following[new] = (value, text + shown)
-        best, before = following, c
-    return max((score + model.log[state][EDGE], text) for state, (score, text) in best.items())[1]
+                    following[new] = (value, step, shown)
+        best, before = {}, c
+        for state, (score, step, shown) in following.items():
+            if shown:
+                steps.append((step, shown))
+                step = len(steps) - 1
+            best[state] = (score, step)
+        if at % SETTLE == SETTLE - 1:
+            texts = {state: written_at(step) for state, (_, step) in best.items()}
+            shared = len(commonprefix(list(texts.values())))
+            done.append(next(iter(texts.values()))[:shared])
+            steps = [(-1, text[shared:]) for text in texts.values()]
+            best = {state: (score, k) for k, (state, (score, _)) in enumerate(best.items())}
+    return "".join(done) + max((score + model.log[state][EDGE], written_at(step)) for state, (score, step) in best.items())[1]
 
 
 def readings(text: str) -> list[str]:
@@ -100,8 +136,8 @@ def readings(text: str) -> list[str]:
 
 def token_features(token: str, model: CharacterModel) -> list[str]:
     """The restored words of a token (``word``) and their beginnings (``begin-``)."""
-    core = token if len(token) <= DECODED and token.isalpha() else token.rstrip(".,;:?\"')]}")
-    if len(core) <= DECODED and _DISGUISED.search(core):
+    core = token if token.isalpha() else token.rstrip(".,;:?\"')]}")
+    if disguised(core):
         core = restore(core, model)
     found = []
     for word in _WORDS.findall(core):
@@ -111,17 +147,18 @@ def token_features(token: str, model: CharacterModel) -> list[str]:
 
 
 class _Features(dict):
-    """token -> its features, as numbers if ``known`` numbers them."""
+    """token -> the slots of its features; with ``places`` (the chosen slots' numbers, else -1) the numbers of those that are chosen."""
 
-    def __init__(self, model: CharacterModel, known: dict[str, int] | None = None):
-        self.model, self.known = model, known
+    def __init__(self, model: CharacterModel, places: np.ndarray | None = None):
+        self.model, self.places = model, places
 
     def __missing__(self, token: str) -> tuple:
-        found = token_features(token, self.model)
-        out = tuple(found) if self.known is None else tuple({self.known[f] for f in found if f in self.known})
+        out = {xxhash.xxh3_64_intdigest(f) % SLOTS for f in token_features(token, self.model)}
+        if self.places is not None:
+            out = {int(self.places[s]) for s in out if self.places[s] >= 0}
         if len(token) <= 100:
-            self[token] = out
-        return out
+            self[token] = tuple(out)
+        return tuple(out)
 
     def of(self, text: str | None) -> set:
         if len(self) > REMEMBERED:
@@ -148,34 +185,28 @@ def train_character_model(training: DataFrame) -> CharacterModel:
     return CharacterModel({r["gram"]: r["n"] for r in rows.collect()})
 
 
-def choose_features(training: DataFrame, model: CharacterModel) -> dict[str, int]:
-    """The features whose presence tells most of a label of 1, over the training documents."""
+def choose_slots(training: DataFrame, model: CharacterModel) -> np.ndarray:
+    """By slot its number if the presence of its features tells of a label of 1 over all training documents, else -1.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, counts = _Features(model), ({}, {})
-
-        def flush() -> pa.RecordBatch:
-            names = sorted(set(counts[0]) | set(counts[1]))
-            batch = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c.get(x, 0) for x in names], pa.int64()) for c in counts)], names=["feature", "clean", "toxic"])
-            counts[0].clear()
-            counts[1].clear()
-            return batch
+    The driver gets a row per chosen slot, at most ``SLOTS``. Features that meet in a slot count together.
+    """
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, counts = _Features(model), np.zeros((2, SLOTS), np.int64)
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = counts[1 if toxic else 0]
-                for f in features.of(text):
-                    own[f] = own.get(f, 0) + 1
-                if len(counts[0]) + len(counts[1]) > COUNTED:
-                    yield flush()
-        yield flush()
-
-    rows = training.select("text", "toxic").mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+                if found := features.of(text):
+                    counts[1 if toxic else 0, list(found)] += 1
+        seen = np.nonzero(counts.any(axis=0))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[0, seen]), pa.array(counts[1, seen])], names=["slot", "clean", "toxic"])
+
+    rows = training.select("text", "toxic").mapInArrow(count, "slot int, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     n = {bool(r["toxic"]): r["count"] for r in training.groupBy("toxic").count().collect()}
     ratio = (F.col("toxic") + 0.5) / (n.get(True, 0) + 1) / ((F.col("clean") + 0.5) / (n.get(False, 0) + 1))
-    told = F.col("toxic") * F.log(ratio)
-    best = rows.filter((F.col("toxic") >= LEAST_DOCS) & (ratio > 2)).orderBy(told.desc(), "feature").limit(FEATURES)
-    return {r["feature"]: k for k, r in enumerate(best.select("feature").collect())}
+    chosen = sorted(r["slot"] for r in rows.filter((F.col("toxic") >= LEAST_DOCS) & (ratio > 2)).select("slot").collect())
+    places = np.full(SLOTS, -1, np.int32)
+    places[chosen] = np.arange(len(chosen))
+    return places
 
 
 def fit(examples: list[tuple[int, list[int]]], size: int, rounds: int = 1000, penalty: float = 0.03) -> np.ndarray:
@@ -195,13 +226,13 @@ def fit(examples: list[tuple[int, list[int]]], size: int, rounds: int = 1000, pe
 
 
 class Judge:
-    """What is learned: a character model, the features' numbers and their weights."""
+    """What is learned: a character model, the numbers of the slots that count, and their weights (the last is the constant)."""
 
-    def __init__(self, model: CharacterModel, known: dict[str, int], weights: np.ndarray):
-        self.model, self.known, self.weights = model, known, weights
+    def __init__(self, model: CharacterModel, places: np.ndarray, weights: np.ndarray):
+        self.model, self.places, self.weights = model, places, weights
 
     def start(self) -> None:
-        self.features = _Features(self.model, self.known)
+        self.features = _Features(self.model, self.places)
 
     def score(self, text: str | None) -> float:
         z = self.weights[-1] + sum(self.weights[k] for k in sorted(self.features.of(text)))
@@ -223,17 +254,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = min(1.0, SAMPLE / max(1, training.count()))
     sample = training.filter(F.pmod(F.xxhash64("_id", F.lit(10)), F.lit(1 << 20)) < int((1 << 20) * share))
     model = train_character_model(training)
-    known = choose_features(training, model)
+    places = choose_slots(training, model)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = _Features(model, known)
+        features = _Features(model, places)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([sorted(features.of(t)) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["_id", "toxic", "f"])
 
     id_type = dict(training.dtypes)["_id"]
     rows = sample.mapInArrow(number, f"_id {id_type}, toxic int, f array<int>").collect()
     examples = [(int(bool(r["toxic"])), r["f"]) for r in sorted(rows, key=lambda r: (r["_id"], r["toxic"], r["f"]))]
-    return Judge(model, known, fit(examples, len(known)) if examples else np.array([-math.log(99)]))
+    return Judge(model, places, fit(examples, int(places.max()) + 1) if examples else np.array([-math.log(99)]))
 
 
 def score_documents(docs: DataFrame, judge: Judge, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,7 +291,12 @@ def score_documents(docs: DataFrame, judge: Judge, threshold: float = 0.7, id_co
 
 
 def keep_clean(docs: DataFrame, judge: Judge, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` (all columns) whose text scores below the threshold."""
+    """The rows of ``docs`` (all columns, whatever their names) whose text scores below the threshold.
+
+    Null and empty texts have the score of a document without any known
+    feature. Repeated rows stay or go together, null ids are kept as they are,
+    and an empty table gives an empty table.
+    """
     sent, at = docs.sparkSession.sparkContext.broadcast(judge), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -498,3 +498,14 @@ def test_nothing_to_learn_from(spark):
 def test_no_labels_of_one_kind(spark):
     judge = toxicity.learn(docs(spark, [(1, "x y"), (2, "z")]), spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int"))
     assert all(r["score"] < 0.7 for r in toxicity.score_documents(awkward(spark), judge).collect())
+
+
+def test_tokens_of_any_length_are_decoded(spark):
+    judge = taught(spark)
+    for letters in (24, 25, 400):
+        run = " ".join("home" * (letters // 4) + "loser")
+        assert "loser" in toxicity.restore(toxicity.readings("go " + run)[-1], judge.model)
+        assert toxicity.score_documents(docs(spark, [(1, "the cat went " + run)]), judge).first()["predicted"] == 1
+    assert toxicity.restore("the.cat.went.h0me", judge.model).split() == ["the", "cat", "went", "home"]
+    for token in ("1a" * 3000, "a" * 100_000, "." * 100_000, "a.b" * 3000):
+        assert isinstance(toxicity.token_features(token, judge.model), list)
