@@ -1,22 +1,26 @@
 """Language-model scores by online logistic context mixing.
 
-A text is its lower-cased words and an end. Each word is a path in a Huffman
-tree of the most frequent training words, an escape and the end, and a word
-after an escape is spelled as a path for each of its bytes. So the model only
-predicts bits. For each bit several predictors see different contexts, hashed
-with the tree's node to a slot of a fixed table that has the counts of both
-bits in training: for words, none, the last one and the last two function
-words, and the word before; for bytes, the last one, two and three, and the
-word so far. A mixer adds the predictors' log odds with weights; a gate, how
-well the longer contexts are known, selects the set of weights. Along a text
-the word weights are refined by gradient steps on what was just read. The
-starting weights come from a fold of the training data that the tables of that
-step have not seen.
-
-After an escape, a rare word that was seen in training may also be told by its
-count. The probability of a text depends on its own words and the model only.
-How a rare word is spelled does not depend on the text around it, so each distinct
-one is spelled once, in a table that the texts join.
+A text is its lower-cased words and an end. The most frequent training words
+are symbols of their own; all others share the symbols of their endings. A
+symbol is a path in a Huffman tree, so the model only predicts bits. For each
+bit several predictors see different contexts, hashed with the tree's node to a
+slot of a table that has the counts of both bits in training: none, the last
+function word, the last two, and the symbol before. A mixer adds the
+predictors' log odds with weights; a gate, how well the longer contexts are
+known, selects the set of weights. Along a text the weights are refined by
+gradient steps on what was just read, after every fourth word at first and in
+longer steps later. The weights at the start fit a fold of the training data
+that the tables of that step have not seen (Newton's method on sums of whole
+numbers, so that no partitioning changes them).
+
+Within its symbol a word has the probability of its count in training; the
+counts of all words are a Spark table that grows with the corpus. A word that
+was never seen is the unknown word of its symbol: as in the base score, it is
+one event. Only ``bits_per_byte`` adds the bits that spell it, by a second set
+of predictors over bytes: the last one, two and three, and the word so far.
+
+Texts are scored many at a time, all at the same step, each with weights of its
+own: the probability of a text depends on its own words and the model only.
 """
 
 from __future__ import annotations
@@ -25,7 +29,8 @@ import heapq
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from itertools import chain, repeat
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -37,18 +42,24 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Symbols of the word tree besides words, and the byte that ends a spelled word (white space, so never part of one).
-END, ESCAPE, STOP = 0, 1, 10
-#: Words of the tree; longer and rarer ones are always spelled, and teach how. The most frequent serve as function words.
-HEAD_WORDS, HEAD_LENGTH, HEAD_COUNT, FUNCTION_WORDS = 50_000, 64, 3, 128
-#: log2 of the slots of each predictor's table, for words and for bytes.
+#: The symbol of a text's end, and the byte that ends a spelled word (white space, so never part of one).
+END, STOP = 0, 10
+#: Words that are symbols of their own, and those of them that serve as function words; symbols of endings, and their bytes.
+HEAD_WORDS, FUNCTION_WORDS, ENDINGS, ENDING_BYTES = 4_096, 128, 512, 3
+#: Words that are sent with their counts, and their longest; all others meet their counts by a join.
+SENT_WORDS, SENT_LENGTH = 200_000, 64
+#: log2 of the slots of each predictor's table, for symbols and for bytes.
 WORD_TABLES, BYTE_TABLES = (16, 20, 20, 20), (16, 18, 20, 20)
 #: Slots of a table that are summed together; partial tables that one task adds up.
 CHUNK, FAN_IN = 1 << 16, 64
-#: Symbols that are turned into arrays at a time; bits between two refinements of the weights.
-SEGMENT, REFINE = 1 << 16, 1024
-#: Refinement per step; shrinkage of counts; gates.
-RATE, SHRINK, GATES = 1.5, 0.2, 16
+#: Symbols that are turned into arrays at a time.
+SEGMENT = 1 << 16
+#: (words, from this one on): a step of refinement.
+STEPS = ((4, 0), (16, 64), (64, 320))
+#: Refinement per step; shrinkage of counts; gates; rounds of Newton's method and its ridge.
+RATE, SHRINK, GATES, ROUNDS, RIDGE = 1.5, 0.2, 16, 2, 20.0
+#: Sums that must not depend on an order are of whole numbers of these fractions.
+FRACTION, BIT_FRACTION, LOG_FRACTION = 1 << 10, 1 << 20, 1 << 36
 COUNTED = 200_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -93,13 +104,16 @@ class Code:
         return length, np.repeat(self.start[x] - before, length) + np.arange(length.sum())
 
 
-def word_contexts(x: np.ndarray) -> list[np.ndarray]:
-    """What is before each symbol of a text: nothing, the last function word, the last two, the symbol before."""
+def word_contexts(x: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+    """What is before each symbol of texts one after another: nothing, the last function word, the last two, the symbol before.
+
+    ``start`` has the place of the first symbol of each symbol's text; every text ends with END.
+    """
     before = np.concatenate(([END], x[:-1])).astype(np.uint64)
-    function = (before > ESCAPE) & (before < ESCAPE + 1 + FUNCTION_WORDS)
-    place = np.maximum.accumulate(np.where(function, np.arange(len(x)), -1))
-    last = np.where(place >= 0, before[np.maximum(place, 0)], 0).astype(np.uint64)
-    again = np.where(place > 0, last[np.maximum(place - 1, 0)], 0).astype(np.uint64)
+    place = np.arange(len(x))
+    place = np.maximum.accumulate(np.where((before > END) & (before <= FUNCTION_WORDS), place, -1))
+    last = np.where(place >= start, before[place], 0).astype(np.uint64)
+    again = np.where(place > start, last[np.maximum(place - 1, 0)], 0).astype(np.uint64)
     return [np.zeros(len(x), np.uint64), last, last * np.uint64(1000) + again + np.uint64(1), before + np.uint64(1 << 40)]
 
 
@@ -168,32 +182,75 @@ class Scorer:
         odds[-1] = 0.3
         return odds, (found[3] & 3) * 4 + (found[2] & 3), self.code.sign[place], length
 
+    def mixed(self, odds: np.ndarray, sign: np.ndarray, weights: list[np.ndarray], key: np.ndarray) -> np.ndarray:
+        """The odds against every bit as it is; ``weights`` has an array per predictor, in which ``key`` finds a bit's own."""
+        z = weights[0].take(key)
+        z *= odds[0]
+        for own, o in zip(weights[1:], odds[1:]):
+            z += own.take(key) * o
+        z *= sign
+        return np.exp(np.minimum(z, np.float32(60), out=z), out=z)
+
     def fixed(self, x: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
         """The information in bits of every symbol, with the starting weights."""
         odds, gate, sign, length = self.inputs(x, contexts)
-        z = np.einsum("ij,ji->i", self.weights[gate], odds)
-        loss = np.log1p(np.exp(np.minimum(sign * z, 60)), dtype=np.float64)
-        return np.bincount(np.repeat(np.arange(len(x)), length), loss, len(x)) / np.log(2)
+        odd = self.mixed(odds, sign, list(self.weights.T.copy()), gate)
+        return np.bincount(np.repeat(np.arange(len(x)), length), np.log1p(odd, dtype=np.float64), len(x)) / np.log(2)
 
-    def refined(self, x: np.ndarray, contexts: list[np.ndarray], w: np.ndarray) -> float:
-        """The information in bits of the symbols together; refines ``w`` as it goes."""
+    def slopes(self, x: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
+        """By gate, sums over all bits of the gradient and of the upper half of the curvature, in whole numbers of 1 / FRACTION."""
         odds, gate, sign, _ = self.inputs(x, contexts)
-        n = len(sign)
-        odd = np.empty(n, np.float32)
-        # For each bit of a step a row of gates, of which only the bit's own counts.
-        first = np.arange(min(n, REFINE)) * GATES
-        errors = np.zeros((min(n, REFINE), GATES), np.float32)
-        for k in range(0, n, REFINE):
-            o, s, c, g = odds[:, k : k + REFINE].T, sign[k : k + REFINE], odd[k : k + REFINE], gate[k : k + REFINE]
-            at = first[: len(s)] + g
-            z = (o @ w.T).ravel().take(at)
-            z *= s
-            np.exp(np.minimum(z, np.float32(60), out=z), out=c)
-            errors.ravel()[at] = s * c / (np.float32(-1) - c)
-            counts = np.bincount(g, minlength=GATES).astype(np.float32)
-            w += np.float32(RATE) * (errors[: len(s)].T @ o) / (counts[:, None] + np.float32(100))
-            errors.ravel()[at] = 0
-        return float(np.log(np.float32(1) + odd).sum(dtype=np.float64)) / math.log(2)
+        odd = self.mixed(odds, sign, list(self.weights.T.copy()), gate)
+        wrong = odd / (1 + odd)
+        error, curve = -sign * wrong, wrong * (1 - wrong)
+        parts = [error * o for o in odds] + [curve * odds[j] * odds[k] for j in range(len(odds)) for k in range(j, len(odds))]
+        return np.stack([np.bincount(gate, np.rint(p * FRACTION), GATES) for p in parts], axis=1).astype(np.int64)
+
+    def refined(self, x: np.ndarray, contexts: list[np.ndarray], text: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+        """The information of each of ``n`` texts in whole numbers of 1 / BIT_FRACTION bits.
+
+        ``text`` and ``place`` are the number of every symbol's text and the
+        symbol's place there. All texts take a step together; then each
+        refines weights of its own.
+        """
+        step, ended = np.zeros(len(x), np.int64), 0
+        for k, (words, first) in enumerate(STEPS):
+            inside = np.maximum(place - first, 0)
+            if k + 1 < len(STEPS):
+                inside = np.minimum(inside, STEPS[k + 1][1] - first)
+            step += inside // words
+        order = np.argsort(step, kind="stable")
+        x, text, step, contexts = x[order], text[order], step[order], [c[order] for c in contexts]
+        ends = np.append(np.nonzero(np.diff(step))[0] + 1, len(x))
+        weights = [np.tile(w, n) for w in self.weights.T]
+        total = np.zeros(n)
+        while ended < len(x):
+            # As many whole steps as fit a segment; one at least.
+            until = max(int(np.searchsorted(ends, ended + SEGMENT, side="right")) - 1, int(np.searchsorted(ends, ended, side="right")))
+            part = slice(ended, int(ends[until]))
+            odds, gate, sign, length = self.inputs(x[part], [c[part] for c in contexts])
+            owner = np.repeat(text[part], length)
+            key = owner * GATES + gate
+            odd = np.empty(len(sign), np.float32)
+            bits = np.concatenate(([0], np.cumsum(length)))
+            at = 0
+            for stop in bits[ends[np.searchsorted(ends, ended, side="right") : until + 1] - ended].tolist():
+                here = slice(at, stop)
+                odd[here] = c = self.mixed(odds[:, here], sign[here], weights, key[here])
+                error = sign[here] * c / (np.float32(-1) - c)
+                own, where = np.unique(key[here], return_inverse=True) if stop - at < len(weights[0]) // 4 else (None, key[here])
+                size = len(weights[0]) if own is None else len(own)
+                rate = RATE / (np.bincount(where, minlength=size) + 100.0)
+                for w, o in zip(weights, odds):
+                    change = (np.bincount(where, error * o[here], size) * rate).astype(np.float32)
+                    if own is None:
+                        w += change
+                    else:
+                        w[own] += change
+                at = stop
+            total += np.bincount(owner, np.rint(np.log1p(odd, dtype=np.float64) * (BIT_FRACTION / math.log(2))), n)
+            ended = part.stop
+        return total
 
 
 def starting_weights(predictors: int) -> np.ndarray:
@@ -206,19 +263,46 @@ def starting_weights(predictors: int) -> np.ndarray:
     return w
 
 
-def symbols(words: list[bytes], numbers: dict[bytes, int]) -> np.ndarray:
-    """The symbols of a text: words of the tree, escapes for others, the end."""
-    found = np.full(len(words) + 1, END, np.int64)
-    found[:-1] = np.fromiter(map(numbers.get, words, repeat(ESCAPE)), np.int64, len(words))
-    return found
-
-
-def text_bits(scorer: Scorer, x: np.ndarray, w: np.ndarray) -> float:
-    """The bits of a text's symbols, in segments of bounded memory."""
-    contexts, total = word_contexts(x), 0.0
-    for k in range(0, len(x), SEGMENT):
-        total += scorer.refined(x[k : k + SEGMENT], [c[k : k + SEGMENT] for c in contexts], w)
-    return total
+class Lexicon:
+    """The words that are sent: their symbols, and what they and the words of an ending add to a score."""
+
+    def __init__(self, words: list[bytes], counts: list[int], endings: dict[int, tuple[int, int]], ends: int):
+        """``words`` by falling ``counts``; ``endings`` has by ending the tokens of all its words and how many words occur once."""
+        self.number = {w: k for k, w in enumerate(words)}
+        n, ending = np.array(counts, np.int64), np.array([ending_of(w) for w in words], np.int64)
+        self.head = min(HEAD_WORDS, len(words))
+        inside, once = (np.array([endings.get(k, (0, 0))[i] for k in range(ENDINGS)], np.int64) for i in (0, 1))
+        np.subtract.at(inside, ending[: self.head], n[: self.head])
+        np.subtract.at(once, ending[: self.head], (n[: self.head] == 1).astype(np.int64))
+        unseen = (once + 1) / (inside + once + 2)
+        self.known = np.log10(1 - unseen) - np.log10(np.maximum(inside, 1))
+        self.miss = np.log10(unseen) - self.known
+        self.symbol = np.where(np.arange(len(n)) < self.head, np.arange(len(n)) + 1, self.head + 1 + ending)
+        self.base = np.log10(n + 1.0)
+        self.inside = np.where(np.arange(len(n)) < self.head, 0.0, np.log10(n) + self.known[ending])
+        self.sizes = [ends, *counts[: self.head], *inside.tolist()]
+
+    def read(self, texts: list) -> tuple[np.ndarray, np.ndarray, list[list[bytes]], np.ndarray]:
+        """Of some texts: all symbols, the number of each word (below -1: the ending of one that was not sent; END is -1), the words, the lengths with ENDs."""
+        words = [tokens(t) for t in texts]
+        length = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        flat = list(chain.from_iterable(words))
+        found = np.fromiter(map(self.number.get, flat, repeat(-2)), np.int64, len(flat))
+        rare = np.nonzero(found == -2)[0]
+        found[rare] = [-2 - ending_of(flat[k]) for k in rare.tolist()]
+        number = np.full(length.sum(), -1, np.int64)
+        inner = np.ones(len(number), bool)
+        inner[np.cumsum(length) - 1] = False
+        number[inner] = found
+        if len(self.symbol):
+            x = np.where(number >= 0, self.symbol[np.maximum(number, 0)], np.where(number == -1, END, self.head - 1 - number))
+        else:
+            x = np.where(number == -1, END, self.head - 1 - number)
+        return x, number, words, length
+
+
+def ending_of(word: bytes) -> int:
+    return crc32(word[-ENDING_BYTES:]) % ENDINGS
 
 
 def spelled(word: bytes) -> bytes:
@@ -297,29 +381,41 @@ def count_tables(rows: DataFrame, code: Code, table_bits: tuple[int, ...], read:
     return out
 
 
-def mean_weights(rows: DataFrame, scorer: Scorer, learn: Callable[[Scorer, list, np.ndarray], int]) -> np.ndarray:
-    """Starting weights: each task refines them along its rows (column value); their means, by symbols, are taken."""
-    sent = rows.sparkSession.sparkContext.broadcast(scorer)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, w, size = sent.value, sent.value.weights.copy(), 0
-        for batch in batches:
-            size += learn(own, batch.column(0).to_pylist(), w)
-        if size:
-            yield pa.RecordBatch.from_arrays([pa.array(range(w.size), pa.int32()), pa.array((w.ravel().astype(np.float64) * size)), pa.array([float(size)] * w.size)], names=["k", "w", "size"])
-
-    means = rows.select("value").mapInArrow(run, "k int, w double, size double").groupBy("k").agg((F.sum("w") / F.sum("size")).alias("w")).collect()
-    weights = scorer.weights.copy()
-    for r in means:
-        weights.ravel()[r["k"]] = round(r["w"], 4)
-    return weights
-
-
-def train(rows: DataFrame, code: Code, table_bits: tuple[int, ...], read: Callable, weight: Callable, learn: Callable) -> Scorer:
+def fitted_weights(rows: DataFrame, scorer: Scorer, read: Callable[[list], tuple[np.ndarray, list[np.ndarray]]]) -> np.ndarray:
+    """The weights, without refinement, that fit the values of ``rows`` best: Newton's method on sums over all their bits."""
+    size = scorer.weights.shape[1]
+    upper = np.triu_indices(size)
+    for _ in range(ROUNDS):
+        sent = rows.sparkSession.sparkContext.broadcast(scorer)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((GATES, size + len(upper[0])), np.int64)
+            for batch in batches:
+                values = batch.column(0).to_pylist()
+                for k in range(0, len(values), 256):
+                    x, contexts = read(values[k : k + 256])
+                    for j in range(0, len(x), SEGMENT):
+                        total += sent.value.slopes(x[j : j + SEGMENT], [c[j : j + SEGMENT] for c in contexts])
+            yield pa.RecordBatch.from_arrays([pa.array(range(total.size), pa.int32()), pa.array(total.ravel())], names=["k", "total"])
+
+        total = np.zeros(GATES * (size + len(upper[0])))
+        for r in rows.select("value").mapInArrow(run, "k int, total long").groupBy("k").agg(F.sum("total").alias("total")).collect():
+            total[r["k"]] = r["total"] / FRACTION
+        weights = scorer.weights.astype(np.float64)
+        for gate, own in enumerate(total.reshape(GATES, -1)):
+            curve = np.zeros((size, size))
+            curve[upper] = own[size:]
+            curve += np.triu(curve, 1).T
+            weights[gate] += np.linalg.solve(curve + RIDGE * np.eye(size), own[:size]).clip(-1, 1)
+        scorer = Scorer(scorer.code, scorer.table_bits, scorer.tables, np.round(weights, 4).astype(np.float32))
+    return scorer.weights
+
+
+def train(rows: DataFrame, code: Code, table_bits: tuple[int, ...], read: Callable, weight: Callable) -> Scorer:
     """A scorer from rows (value, late)."""
     counts = count_tables(rows, code, table_bits, read, weight)
     early = Scorer(code, table_bits, Tables(counts[False]), starting_weights(len(table_bits)))
-    weights = mean_weights(rows.filter("late"), early, learn)
+    weights = fitted_weights(rows.filter("late"), early, read)
     return Scorer(code, table_bits, Tables([a + b for a, b in zip(counts[False], counts[True])]), weights)
 
 
@@ -360,16 +456,18 @@ def score_documents(docs: DataFrame, trains: str, late: str, id_col: str = "doc_
 
     Returns one row per input row: doc_id, n_tokens (words and the end),
     n_known (tokens seen in training), train_tokens, base_score (add-one
-    unigrams, log10), score (the model's log10 probability), n_bytes,
-    bits_per_byte.
+    unigrams, log10), score (the model's log10 probability of the tokens, an
+    unknown word being one event as in the base), n_bytes (of the text in
+    UTF-8), bits_per_byte (of the score and the spelling of unknown words).
 
-    * A null text is the empty text: one token, the end.
+    * A null text is the empty text: one token, the end. Its bits are given for one byte.
     * Texts of any length are scored whole, in segments of bounded memory.
     * Repeated rows and null ids give a row each; copies count in training as often as they occur.
     * With nothing to train on, train_tokens is 0, every word is unknown, and the score is that of the untrained model.
     * An empty table gives an empty result. Other columns, whatever their names, are not read.
+    * No partitioning of the rows changes a score.
 
-    The driver gets tables of fixed size and the ``HEAD_WORDS`` most frequent words; all other counts meet by a join.
+    The driver gets tables of fixed size and the ``SENT_WORDS`` most frequent words; all other counts meet by a join.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.expr(trains).alias("_trains"), F.expr(late).alias("late"))
@@ -377,95 +475,96 @@ def score_documents(docs: DataFrame, trains: str, late: str, id_col: str = "doc_
 
     words = word_counts(training.withColumnRenamed("value", "text"))
     ends = training.count()
-    sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    all_tokens, kinds = sums[0] + ends, sums[1] + (1 if ends else 0)
-    head = [(bytes(r["word"]), r["n"]) for r in words.filter((F.octet_length("word") <= HEAD_LENGTH) & (F.col("n") >= HEAD_COUNT)).orderBy(F.col("n").desc(), "word").limit(HEAD_WORDS).collect()]
-    known = {w: n for w, n in head}
-    numbers = {w: k + ESCAPE + 1 for k, (w, _) in enumerate(head)}
-    code = Code([ends, sums[0] - sum(known.values()), *known.values()])
-    sent_numbers = spark.sparkContext.broadcast(numbers)
+    ending = (F.crc32(F.expr(f"substring(word, -{ENDING_BYTES}, {ENDING_BYTES})")) % ENDINGS).alias("ending")
+    endings = words.groupBy(ending).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.expr("count_if(n = 1)").alias("once")).collect()
+    all_tokens, kinds = sum(r["n"] for r in endings) + ends, sum(r["kinds"] for r in endings) + (1 if ends else 0)
+    top = words.filter(F.octet_length("word") <= SENT_LENGTH).orderBy(F.col("n").desc(), "word").limit(SENT_WORDS).toArrow()
+    lexicon = Lexicon(top["word"].to_pylist(), top["n"].to_pylist(), {r["ending"]: (r["n"], r["once"]) for r in endings}, ends)
+    sent_lexicon = spark.sparkContext.broadcast(lexicon)
 
     def read_texts(texts: list) -> tuple[np.ndarray, list[np.ndarray]]:
-        each = [symbols(tokens(t), sent_numbers.value) for t in texts]
-        return np.concatenate(each), [np.concatenate(c) for c in zip(*map(word_contexts, each))]
-
-    def learn_texts(own: Scorer, texts: list, w: np.ndarray) -> int:
-        return sum(text_bits(own, x, w) * 0 + len(x) for x in (symbols(tokens(t), sent_numbers.value) for t in texts))
-
-    of_words = train(training, code, WORD_TABLES, read_texts, lambda t: len(t) // 4, learn_texts)
-
-    head_words = spark.createDataFrame([(w,) for w in known], "word binary") if known else words.select("word").limit(0)
-    kinds_of_words = words.select(F.col("word").alias("value"), (F.pmod(F.xxhash64("word"), F.lit(7)) == 6).alias("late"))
+        x, _, _, length = sent_lexicon.value.read(texts)
+        return x, word_contexts(x, np.repeat(np.cumsum(length) - length, length))
 
     def read_words(values: list) -> tuple[np.ndarray, list[np.ndarray]]:
         return byte_contexts([spelled(v) for v in values])
 
-    def learn_words(own: Scorer, values: list, w: np.ndarray) -> int:
-        size = 0
-        for k in range(0, len(values), 4096):
-            x, contexts = read_words(values[k : k + 4096])
-            own.refined(x, contexts, w)
-            size += len(x)
-        return size
-
-    of_bytes = train(kinds_of_words, Code(byte_counts(words)), BYTE_TABLES, read_words, len, learn_words)
-    sent = spark.sparkContext.broadcast((of_words, known))
-    sent_speller = spark.sparkContext.broadcast(of_bytes)
+    of_words = train(training, Code(lexicon.sizes), WORD_TABLES, read_texts, lambda t: len(t) // 4)
+    kinds_of_words = words.select(F.col("word").alias("value"), (F.pmod(F.xxhash64("word"), F.lit(7)) == 6).alias("late"))
+    of_bytes = train(kinds_of_words, Code(byte_counts(words)), BYTE_TABLES, read_words, len)
+    sent, sent_speller = spark.sparkContext.broadcast(of_words), spark.sparkContext.broadcast(of_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (own, known), numbers = sent.value, sent_numbers.value
-        logs = np.log10(np.array([ends, 0, *known.values()], np.float64) + 1)
+        own, lexicon = sent.value, sent_lexicon.value
         for batch in batches:
-            rows, rare_words, rare_counts, ends_at = [], [], [], [0]
-            for text in batch.column(1).to_pylist():
-                found = tokens(text)
-                x = symbols(found, numbers)
-                bits = text_bits(own, x, own.weights.copy())
-                rare = Counter(found[k] for k in np.nonzero(x == ESCAPE)[0].tolist())
-                rare_words += rare
-                rare_counts += rare.values()
-                base, n_known = float(logs[x].sum()), len(found) - rare.total()
-                ends_at.append(len(rare_words))
-                rows.append((len(found) + 1, n_known + (1 if ends else 0), base, bits, sum(map(len, found)) + len(found) + 1))
-            columns = list(zip(*rows)) or [()] * 5
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
-            rest = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], ["word", "k"]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types)), rest], names=["doc_id", "n_tokens", "head_known", "head_log", "head_bits", "n_bytes", "rest"])
+            texts, at = batch.column(1).to_pylist(), 0
+            while at < len(texts):
+                until, held = at, 0
+                while until < len(texts) and (until == at or held < 2 * SEGMENT):
+                    held += len(texts[until]) // 4 + 1
+                    until += 1
+                x, number, words, length = lexicon.read(texts[at:until])
+                text = np.repeat(np.arange(len(length)), length)
+                start = np.repeat(np.cumsum(length) - length, length)
+                bits = own.refined(x, word_contexts(x, start), text, np.arange(len(x)) - start, len(length)) / BIT_FRACTION
+                sure, rare = number >= 0, number < -1
+                inside, base = np.zeros(len(x)), np.zeros(len(x))
+                inside[sure], base[sure] = lexicon.inside[number[sure]], lexicon.base[number[sure]]
+                base[number == -1] = math.log10(ends + 1)
+                inside[rare] = lexicon.known[-2 - number[rare]]
+                score = np.bincount(text, inside, len(length)) - bits * math.log10(2)
+                known = np.bincount(text, sure | ((number == -1) & (ends > 0)), len(length)).astype(np.int64)
+                rare_words, rare_counts, rare_miss, ends_at = [], [], [], [0]
+                owners, places = text[rare], (np.arange(len(x)) - start)[rare]
+                edges = np.searchsorted(owners, np.arange(len(length) + 1))
+                for k, found in enumerate(words):
+                    own_rare = Counter(found[p] for p in places[edges[k] : edges[k + 1]].tolist())
+                    rare_words += own_rare
+                    rare_counts += own_rare.values()
+                    ends_at.append(len(rare_words))
+                rare_miss = [lexicon.miss[ending_of(w)] for w in rare_words]
+                rest = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64()), pa.array(rare_miss, pa.float64())], ["word", "k", "miss"]))
+                n_bytes = [len(t.encode()) for t in texts[at:until]]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, until - at), pa.array(length), pa.array(known), pa.array(np.bincount(text, base, len(length))), pa.array(score), pa.array(n_bytes, pa.int64()), rest],
+                    names=["doc_id", "n_tokens", "head_known", "head_base", "head_score", "n_bytes", "rest"],
+                )
+                at = until
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent_speller.value
         for batch in batches:
-            bits = np.empty(0)
-            values = [spelled(v) for v in batch.column(0).to_pylist()]
+            lists = batch.column(batch.num_columns - 1).to_pylist()
+            values = [spelled(u["word"]) for found in lists for u in found or []]
+            bits = []
             for k in range(0, len(values), 4096):
                 part = values[k : k + 4096]
                 each = own.fixed(*byte_contexts(part))
-                ends_at = np.cumsum([len(v) for v in part])
-                bits = np.concatenate((bits, np.add.reduceat(each, ends_at - [len(v) for v in part])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits, pa.float64())], names=["word", "n", "bits"])
+                bits += np.add.reduceat(each, np.cumsum([0] + [len(v) for v in part[:-1]])).tolist()
+            left = iter(bits)
+            more = [math.fsum(u["k"] * next(left) for u in found or []) for found in lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(more, pa.float64())], names=[*batch.schema.names[:-1], "spelling"])
 
     id_type = dict(slim.dtypes)["doc_id"]
-    scored = slim.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_tokens long, head_known long, head_log double, head_bits double, n_bytes long, rest array<struct<word: binary, k: long>>")
+    scored = slim.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_tokens long, head_known long, head_base double, head_score double, n_bytes long, rest array<struct<word: binary, k: long, miss: double>>")
     scored = written(scored.withColumn("row_no", F.monotonically_increasing_id()), "lm-scored")
-    tail = scored.select("row_no", F.explode("rest").alias("x")).select("row_no", "x.word", "x.k")
-    distinct = tail.select("word").distinct().join(words, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
-    # A rare word after an escape: one seen in training by its count, any by its spelling (their shares after Good and Turing).
-    once, rare_tokens = words.join(F.broadcast(head_words), "word", "left_anti").agg(F.count_if(F.col("n") == 1), F.coalesce(F.sum("n"), F.lit(0))).first()
-    unseen = min(0.99, max(0.01, once / rare_tokens)) if rare_tokens else 1.0
-    seen_share = F.col("n") * ((1 - unseen) / max(1, rare_tokens))
-    bits = F.when(F.col("n") > 0, -F.log2(seen_share + unseen * F.pow(F.lit(2.0), -F.col("bits")))).otherwise(F.col("bits") - F.log2(F.lit(unseen)))
-    distinct = written(distinct.mapInArrow(spell, "word binary, n long, bits double").withColumn("bits", bits), "lm-spelled")
-    sums = tail.join(distinct, "word").groupBy("row_no").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(F.lit(0))).alias("tail_known"),
-        F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("tail_log"),
-        F.sum(F.col("k") * F.col("bits")).alias("tail_bits"),
+    tail = scored.select("row_no", F.explode("rest").alias("x")).select("row_no", "x.word", "x.k", "x.miss").join(words, "word", "left")
+    # Sums of doubles that arrive in any order are of whole numbers.
+    whole = lambda c: F.round(c * LOG_FRACTION).cast("long")
+    sums = tail.groupBy("row_no").agg(
+        F.sum(F.when(F.col("n").isNotNull(), F.col("k"))).alias("tail_known"),
+        F.sum(F.col("k") * whole(F.log10(F.coalesce("n", F.lit(0)) + 1))).alias("tail_base"),
+        F.sum(F.col("k") * whole(F.coalesce(F.log10("n"), F.col("miss")))).alias("tail_score"),
+        F.collect_list(F.when(F.col("n").isNull(), F.struct("word", "k"))).alias("unseen"),
     )
-    zero = F.lit(0)
-    bits = F.col("head_bits") + F.coalesce("tail_bits", F.lit(0.0))
-    return scored.drop("rest").join(sums, "row_no", "left").select(
+    part = lambda name: F.coalesce(name, F.lit(0)) / LOG_FRACTION
+    found = scored.drop("rest").join(sums, "row_no", "left").select(
         "doc_id", "n_tokens",
-        (F.col("head_known") + F.coalesce("tail_known", zero)).alias("n_known"),
+        (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(all_tokens).cast("long").alias("train_tokens"),
-        (F.col("head_log") + F.coalesce("tail_log", zero) - F.col("n_tokens") * F.log10(F.lit(float(all_tokens + kinds + 1)))).alias("base_score"),
-        (-bits * float(np.log10(2))).alias("score"), "n_bytes", (bits / F.col("n_bytes")).alias("bits_per_byte"),
+        (F.col("head_base") + part("tail_base") - F.col("n_tokens") * F.log10(F.lit(float(all_tokens + kinds + 1)))).alias("base_score"),
+        (F.col("head_score") + part("tail_score")).alias("score"), "n_bytes", F.sort_array("unseen").alias("unseen"),
     )
+    found = found.mapInArrow(spell, f"doc_id {id_type}, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, spelling double")
+    bits = F.col("spelling") - F.col("score") / math.log10(2)
+    return found.withColumn("bits_per_byte", bits / F.greatest("n_bytes", F.lit(1))).drop("spelling")
