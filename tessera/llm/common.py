@@ -8,18 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table of more rows than this is never broadcast by hand.
+#: Unless a caller states another bound, a table of more rows than this is never broadcast by hand.
 BROADCAST_ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is made and set.
+    Only where the session names none and runs on one machine (tests), a
+    temporary folder is made and set; elsewhere that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -38,8 +40,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows; else as it is, for an ordinary join."""
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).collect()) <= rows else df
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, which are counted; else as it is, for an ordinary join."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -27,14 +27,13 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import chain, repeat
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -45,7 +44,7 @@ from .common import written
 #: The symbol of a text's end, and the byte that ends a spelled word (white space, so never part of one).
 END, STOP = 0, 10
 #: Words that are symbols of their own, and those of them that serve as function words; symbols of endings, and their bytes.
-HEAD_WORDS, FUNCTION_WORDS, ENDINGS, ENDING_BYTES = 4_096, 128, 512, 3
+HEAD_WORDS, FUNCTION_WORDS, ENDINGS, ENDING_BYTES = 1_024, 128, 256, 3
 #: Words that are sent with their counts, and their longest; all others meet their counts by a join.
 SENT_WORDS, SENT_LENGTH = 200_000, 64
 #: log2 of the slots of each predictor's table, for symbols and for bytes.
@@ -59,15 +58,21 @@ STEPS = ((4, 0), (16, 64), (64, 320))
 #: Refinement per step; shrinkage of counts; gates; rounds of Newton's method and its ridge.
 RATE, SHRINK, GATES, ROUNDS, RIDGE = 1.5, 0.2, 16, 2, 20.0
 #: Sums that must not depend on an order are of whole numbers of these fractions.
-FRACTION, BIT_FRACTION, LOG_FRACTION = 1 << 10, 1 << 20, 1 << 36
-COUNTED = 200_000
+FRACTION, BIT_FRACTION, LOG_FRACTION = 1 << 8, 1 << 20, 1 << 36
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _R = 0x100000001B3
+#: The remainders of CRC-32 by its last byte.
+_CRC = np.array([crc32(bytes([k])) ^ crc32(b"\0") for k in range(256)], np.uint32)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return text.encode().lower().split() if text else []
+def word_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of some texts (none null), one after another, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, offsets = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    full = pc.binary_length(flat).to_numpy() > 0  # white space at an edge gives an empty word
+    before = np.concatenate(([0], np.cumsum(full)))
+    return flat.filter(pa.array(full)), before[offsets[1:]] - before[offsets[:-1]]
 
 
 class Code:
@@ -198,13 +203,23 @@ class Scorer:
         return np.bincount(np.repeat(np.arange(len(x)), length), np.log1p(odd, dtype=np.float64), len(x)) / np.log(2)
 
     def slopes(self, x: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
-        """By gate, sums over all bits of the gradient and of the upper half of the curvature, in whole numbers of 1 / FRACTION."""
+        """By gate, sums over all bits of the gradient and of the upper half of the curvature, in whole numbers of 1 / FRACTION²."""
         odds, gate, sign, _ = self.inputs(x, contexts)
         odd = self.mixed(odds, sign, list(self.weights.T.copy()), gate)
         wrong = odd / (1 + odd)
         error, curve = -sign * wrong, wrong * (1 - wrong)
-        parts = [error * o for o in odds] + [curve * odds[j] * odds[k] for j in range(len(odds)) for k in range(j, len(odds))]
-        return np.stack([np.bincount(gate, np.rint(p * FRACTION), GATES) for p in parts], axis=1).astype(np.int64)
+        upper, total = np.triu_indices(len(odds)), np.zeros((GATES, len(odds) * (len(odds) + 3) // 2), np.int64)
+        order = np.argsort(gate.astype(np.int8), kind="stable")
+        edges = np.searchsorted(gate[order], np.arange(GATES + 1))
+        own, root, error = np.take(odds, order, axis=1), np.sqrt(curve)[order], np.rint(error[order] * FRACTION).astype(np.float64)
+        # Products of whole numbers: exact in doubles, so their sums have no order.
+        whole, bent = np.rint(own * FRACTION).astype(np.float64), np.rint(own * (root * FRACTION)).astype(np.float64)
+        for k in range(GATES):
+            at = slice(edges[k], edges[k + 1])
+            total[k, : len(odds)] = whole[:, at] @ error[at]
+            total[k, len(odds) :] = (bent[:, at] @ bent[:, at].T)[upper]
+        return total
+
 
     def refined(self, x: np.ndarray, contexts: list[np.ndarray], text: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
         """The information of each of ``n`` texts in whole numbers of 1 / BIT_FRACTION bits.
@@ -219,6 +234,10 @@ class Scorer:
             if k + 1 < len(STEPS):
                 inside = np.minimum(inside, STEPS[k + 1][1] - first)
             step += inside // words
+        # The longest texts come first, so that those that take a step have the first weights.
+        rank = np.empty(n, np.int64)
+        rank[np.argsort(-np.bincount(text, minlength=n), kind="stable")] = np.arange(n)
+        text = rank[text]
         order = np.argsort(step, kind="stable")
         x, text, step, contexts = x[order], text[order], step[order], [c[order] for c in contexts]
         ends = np.append(np.nonzero(np.diff(step))[0] + 1, len(x))
@@ -238,19 +257,15 @@ class Scorer:
                 here = slice(at, stop)
                 odd[here] = c = self.mixed(odds[:, here], sign[here], weights, key[here])
                 error = sign[here] * c / (np.float32(-1) - c)
-                own, where = np.unique(key[here], return_inverse=True) if stop - at < len(weights[0]) // 4 else (None, key[here])
-                size = len(weights[0]) if own is None else len(own)
-                rate = RATE / (np.bincount(where, minlength=size) + 100.0)
+                own = key[here]
+                size = (int(owner[here].max()) + 1) * GATES
+                rate = RATE / (np.bincount(own, minlength=size) + 100.0)
                 for w, o in zip(weights, odds):
-                    change = (np.bincount(where, error * o[here], size) * rate).astype(np.float32)
-                    if own is None:
-                        w += change
-                    else:
-                        w[own] += change
+                    w[:size] += (np.bincount(own, error * o[here], size) * rate).astype(np.float32)
                 at = stop
-            total += np.bincount(owner, np.rint(np.log1p(odd, dtype=np.float64) * (BIT_FRACTION / math.log(2))), n)
+            total += np.bincount(owner, np.rint(np.log(odd + np.float32(1)) * (BIT_FRACTION / math.log(2))), n)
             ended = part.stop
-        return total
+        return total[rank]
 
 
 def starting_weights(predictors: int) -> np.ndarray:
@@ -266,10 +281,10 @@ def starting_weights(predictors: int) -> np.ndarray:
 class Lexicon:
     """The words that are sent: their symbols, and what they and the words of an ending add to a score."""
 
-    def __init__(self, words: list[bytes], counts: list[int], endings: dict[int, tuple[int, int]], ends: int):
+    def __init__(self, words: pa.Array, counts: list[int], endings: dict[int, tuple[int, int]], ends: int):
         """``words`` by falling ``counts``; ``endings`` has by ending the tokens of all its words and how many words occur once."""
-        self.number = {w: k for k, w in enumerate(words)}
-        n, ending = np.array(counts, np.int64), np.array([ending_of(w) for w in words], np.int64)
+        self.words = words.cast(pa.string())
+        n, ending = np.array(counts, np.int64), endings_of(words)
         self.head = min(HEAD_WORDS, len(words))
         inside, once = (np.array([endings.get(k, (0, 0))[i] for k in range(ENDINGS)], np.int64) for i in (0, 1))
         np.subtract.at(inside, ending[: self.head], n[: self.head])
@@ -282,27 +297,35 @@ class Lexicon:
         self.inside = np.where(np.arange(len(n)) < self.head, 0.0, np.log10(n) + self.known[ending])
         self.sizes = [ends, *counts[: self.head], *inside.tolist()]
 
-    def read(self, texts: list) -> tuple[np.ndarray, np.ndarray, list[list[bytes]], np.ndarray]:
-        """Of some texts: all symbols, the number of each word (below -1: the ending of one that was not sent; END is -1), the words, the lengths with ENDs."""
-        words = [tokens(t) for t in texts]
-        length = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        flat = list(chain.from_iterable(words))
-        found = np.fromiter(map(self.number.get, flat, repeat(-2)), np.int64, len(flat))
-        rare = np.nonzero(found == -2)[0]
-        found[rare] = [-2 - ending_of(flat[k]) for k in rare.tolist()]
+    def read(self, texts: list) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Of some texts: all symbols, the number of each word (below -1: the ending of one that was not sent; END is -1), the words not sent, the lengths with ENDs."""
+        flat, length = word_lists(pa.array(texts, pa.string()))
+        length = length + 1
+        found = pc.fill_null(pc.index_in(flat, value_set=self.words), -2).to_numpy().astype(np.int64)
+        missing = np.nonzero(found == -2)[0]
+        rare = flat.take(pa.array(missing))
+        found[missing] = -2 - endings_of(rare)
         number = np.full(length.sum(), -1, np.int64)
         inner = np.ones(len(number), bool)
         inner[np.cumsum(length) - 1] = False
         number[inner] = found
-        if len(self.symbol):
-            x = np.where(number >= 0, self.symbol[np.maximum(number, 0)], np.where(number == -1, END, self.head - 1 - number))
-        else:
-            x = np.where(number == -1, END, self.head - 1 - number)
-        return x, number, words, length
+        x = np.where(number == -1, END, self.head - 1 - number)
+        sent = np.nonzero(number >= 0)[0]
+        x[sent] = self.symbol[number[sent]]
+        return x, number, rare, length
 
 
-def ending_of(word: bytes) -> int:
-    return crc32(word[-ENDING_BYTES:]) % ENDINGS
+def endings_of(words: pa.Array) -> np.ndarray:
+    """CRC-32 of the last bytes of each word (none is empty), modulo ``ENDINGS``."""
+    words = words.cast(pa.binary())
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(data or b"", np.uint8)
+    crc = np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for back in range(ENDING_BYTES, 0, -1):
+        at = np.nonzero(ends[1:] - back >= ends[:-1])[0]
+        crc[at] = _CRC[(crc[at] ^ data[ends[1:][at] - back]) & 0xFF] ^ crc[at] >> np.uint32(8)
+    return (~crc).astype(np.int64) % ENDINGS
 
 
 def spelled(word: bytes) -> bytes:
@@ -394,13 +417,13 @@ def fitted_weights(rows: DataFrame, scorer: Scorer, read: Callable[[list], tuple
                 values = batch.column(0).to_pylist()
                 for k in range(0, len(values), 256):
                     x, contexts = read(values[k : k + 256])
-                    for j in range(0, len(x), SEGMENT):
-                        total += sent.value.slopes(x[j : j + SEGMENT], [c[j : j + SEGMENT] for c in contexts])
+                    for j in range(0, len(x), SEGMENT // 8):
+                        total += sent.value.slopes(x[j : j + SEGMENT // 8], [c[j : j + SEGMENT // 8] for c in contexts])
             yield pa.RecordBatch.from_arrays([pa.array(range(total.size), pa.int32()), pa.array(total.ravel())], names=["k", "total"])
 
         total = np.zeros(GATES * (size + len(upper[0])))
         for r in rows.select("value").mapInArrow(run, "k int, total long").groupBy("k").agg(F.sum("total").alias("total")).collect():
-            total[r["k"]] = r["total"] / FRACTION
+            total[r["k"]] = r["total"] / FRACTION**2
         weights = scorer.weights.astype(np.float64)
         for gate, own in enumerate(total.reshape(GATES, -1)):
             curve = np.zeros((size, size))
@@ -423,14 +446,9 @@ def word_counts(training: DataFrame) -> DataFrame:
     """word (binary), n: the words of all training texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words.update(tokens(text))
-                if len(words) >= COUNTED:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
-                    words.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+            found = pc.value_counts(word_lists(batch.column(0).cast(pa.string()))[0])
+            yield pa.RecordBatch.from_arrays([found.field(0).cast(pa.binary()), found.field(1)], names=["word", "n"])
 
     rows = training.select("text").mapInArrow(count, "word binary, n long")
     return written(rows.groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
@@ -479,7 +497,7 @@ def score_documents(docs: DataFrame, trains: str, late: str, id_col: str = "doc_
     endings = words.groupBy(ending).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.expr("count_if(n = 1)").alias("once")).collect()
     all_tokens, kinds = sum(r["n"] for r in endings) + ends, sum(r["kinds"] for r in endings) + (1 if ends else 0)
     top = words.filter(F.octet_length("word") <= SENT_LENGTH).orderBy(F.col("n").desc(), "word").limit(SENT_WORDS).toArrow()
-    lexicon = Lexicon(top["word"].to_pylist(), top["n"].to_pylist(), {r["ending"]: (r["n"], r["once"]) for r in endings}, ends)
+    lexicon = Lexicon(top["word"].combine_chunks(), top["n"].to_pylist(), {r["ending"]: (r["n"], r["once"]) for r in endings}, ends)
     sent_lexicon = spark.sparkContext.broadcast(lexicon)
 
     def read_texts(texts: list) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -500,10 +518,10 @@ def score_documents(docs: DataFrame, trains: str, late: str, id_col: str = "doc_
             texts, at = batch.column(1).to_pylist(), 0
             while at < len(texts):
                 until, held = at, 0
-                while until < len(texts) and (until == at or held < 2 * SEGMENT):
+                while until < len(texts) and (until == at or held < 4 * SEGMENT):
                     held += len(texts[until]) // 4 + 1
                     until += 1
-                x, number, words, length = lexicon.read(texts[at:until])
+                x, number, rare_words, length = lexicon.read(texts[at:until])
                 text = np.repeat(np.arange(len(length)), length)
                 start = np.repeat(np.cumsum(length) - length, length)
                 bits = own.refined(x, word_contexts(x, start), text, np.arange(len(x)) - start, len(length)) / BIT_FRACTION
@@ -514,19 +532,16 @@ def score_documents(docs: DataFrame, trains: str, late: str, id_col: str = "doc_
                 inside[rare] = lexicon.known[-2 - number[rare]]
                 score = np.bincount(text, inside, len(length)) - bits * math.log10(2)
                 known = np.bincount(text, sure | ((number == -1) & (ends > 0)), len(length)).astype(np.int64)
-                rare_words, rare_counts, rare_miss, ends_at = [], [], [], [0]
-                owners, places = text[rare], (np.arange(len(x)) - start)[rare]
-                edges = np.searchsorted(owners, np.arange(len(length) + 1))
-                for k, found in enumerate(words):
-                    own_rare = Counter(found[p] for p in places[edges[k] : edges[k + 1]].tolist())
-                    rare_words += own_rare
-                    rare_counts += own_rare.values()
-                    ends_at.append(len(rare_words))
-                rare_miss = [lexicon.miss[ending_of(w)] for w in rare_words]
-                rest = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64()), pa.array(rare_miss, pa.float64())], ["word", "k", "miss"]))
-                n_bytes = [len(t.encode()) for t in texts[at:until]]
+                kinds_here = rare_words.dictionary_encode()
+                own = text[rare] * max(1, len(kinds_here.dictionary)) + kinds_here.indices.to_numpy()
+                own, times = np.unique(own, return_counts=True)
+                owner, kind = np.divmod(own, max(1, len(kinds_here.dictionary)))
+                columns = [kinds_here.dictionary.take(pa.array(kind)).cast(pa.binary()), pa.array(times), pa.array(lexicon.miss[endings_of(kinds_here.dictionary)][kind])]
+                edges = np.searchsorted(owner, np.arange(len(length) + 1)).astype(np.int32)
+                rest = pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays(columns, ["word", "k", "miss"]))
+                n_bytes = pc.binary_length(batch.column(1).slice(at, until - at))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, until - at), pa.array(length), pa.array(known), pa.array(np.bincount(text, base, len(length))), pa.array(score), pa.array(n_bytes, pa.int64()), rest],
+                    [batch.column(0).slice(at, until - at), pa.array(length), pa.array(known), pa.array(np.bincount(text, base, len(length))), pa.array(score), n_bytes.cast(pa.int64()), rest],
                     names=["doc_id", "n_tokens", "head_known", "head_base", "head_score", "n_bytes", "rest"],
                 )
                 at = until

@@ -37,6 +37,8 @@ SETTLE = 256
 BEGINNINGS = (4, 5)
 #: Slots that features are hashed to; a slot's least number of toxic training documents; examples that the regression is fitted to.
 SLOTS, LEAST_DOCS, SAMPLE = 1 << 21, 3, 45_000
+#: Labels (an id and a mark, some 32 MB) up to which they are broadcast to the texts; beyond, texts are joined by a shuffle.
+SENT_LABELS = 1_000_000
 REMEMBERED = 300_000
 OTHER, EDGE, SIGN_KEPT = "?", "^", "#"
 
@@ -249,7 +251,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     marks = labels.filter("toxic IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
-    training = slim.join(small(marks), "_id").withColumn("_sha", F.sha2("text", 256)).dropDuplicates(["_sha", "toxic"])
+    training = slim.join(small(marks, SENT_LABELS), "_id").withColumn("_sha", F.sha2("text", 256)).dropDuplicates(["_sha", "toxic"])
     training = written(training.select("_id", "text", "toxic"), "toxicity-training")
     share = min(1.0, SAMPLE / max(1, training.count()))
     sample = training.filter(F.pmod(F.xxhash64("_id", F.lit(10)), F.lit(1 << 20)) < int((1 << 20) * share))
