@@ -513,7 +513,7 @@ def score_documents(docs: DataFrame, trains: str, late: str, id_col: str = "doc_
     sent, sent_speller = spark.sparkContext.broadcast(of_words), spark.sparkContext.broadcast(of_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, lexicon = sent.value, sent_lexicon.value
+        scorer, lexicon = sent.value, sent_lexicon.value
         for batch in batches:
             texts, at = batch.column(1).to_pylist(), 0
             while at < len(texts):
@@ -524,7 +524,7 @@ def score_documents(docs: DataFrame, trains: str, late: str, id_col: str = "doc_
                 x, number, rare_words, length = lexicon.read(texts[at:until])
                 text = np.repeat(np.arange(len(length)), length)
                 start = np.repeat(np.cumsum(length) - length, length)
-                bits = own.refined(x, word_contexts(x, start), text, np.arange(len(x)) - start, len(length)) / BIT_FRACTION
+                bits = scorer.refined(x, word_contexts(x, start), text, np.arange(len(x)) - start, len(length)) / BIT_FRACTION
                 sure, rare = number >= 0, number < -1
                 inside, base = np.zeros(len(x)), np.zeros(len(x))
                 inside[sure], base[sure] = lexicon.inside[number[sure]], lexicon.base[number[sure]]
