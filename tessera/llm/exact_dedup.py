@@ -15,6 +15,21 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+def digests_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_sha256 and a row_no of every row; a null text counts as empty."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    digests = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("text_sha256"))
+    return written(digests.withColumn("row_no", F.monotonically_increasing_id()), "digests")
+
+
+def frequent_groups(digests: DataFrame, frequent: int, tracked: int) -> DataFrame:
+    """text_sha256, top (doc_id, row_no) and group_size of the digests that may be frequent, at most ``frequent`` rows; recounted, so exact."""
+    candidates = digests.agg(F.expr(f"approx_top_k(text_sha256, {int(frequent)}, {int(tracked)})").alias("found"))
+    candidates = candidates.select(F.explode("found").alias("c")).filter("c.count > 1").select("c.item")
+    winners = digests.join(F.broadcast(candidates.withColumnRenamed("item", "text_sha256")), "text_sha256", "left_semi")
+    return written(winners.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "row_no")).alias("top"), F.count("*").alias("group_size")), "winners")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = 1000, tracked: int = 8192) -> DataFrame:
     """Group rows of equal text; the row with the largest id stays.
 
@@ -28,16 +43,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``frequent`` bounds what is broadcast (rows), ``tracked`` the sketch.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    digests = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("text_sha256"))
-    digests = written(digests.withColumn("row_no", F.monotonically_increasing_id()), "digests")
-
+    digests = digests_of(docs, id_col, text_col)
+    winners = frequent_groups(digests, frequent, tracked)
     top, size = F.max(F.struct("doc_id", "row_no")), F.count("*")
-    candidates = digests.agg(F.expr(f"approx_top_k(text_sha256, {int(frequent)}, {int(tracked)})").alias("found"))
-    candidates = candidates.select(F.explode("found.item").alias("text_sha256"))
-    winners = digests.join(F.broadcast(candidates), "text_sha256", "left_semi")
-    winners = written(winners.groupBy("text_sha256").agg(top.alias("top"), size.alias("group_size")), "winners")
-
     heavy = digests.join(F.broadcast(winners), "text_sha256")
     same = Window.partitionBy("text_sha256")
     rest = digests.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
@@ -51,10 +59,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def keep_last_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they were."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    names = docs.columns
-    keyed = docs.withColumn("_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    keyed = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_kept_id"]) & (keyed["_sha"] == kept["_kept_sha"]), "left_semi")
-    return keyed.dropDuplicates(["doc_id", "_sha"]).select(*names)
+def keep_last_copies(docs: DataFrame, frequent: int = 1000, tracked: int = 8192) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns (whatever their names) as they were.
+
+    As in ``exact_dedup``: null texts count as empty, null ids sort below all
+    others, of repeated rows one stays, and an empty table gives an empty
+    table. Rows of frequent texts that do not stay go where they are read; the
+    others meet by their digests, in one shuffle.
+    """
+    winners = frequent_groups(digests_of(docs), frequent, tracked)
+    winners = winners.select(F.col("text_sha256").alias("_sha"), F.col("top.doc_id").alias("_top"))
+    sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), sha.alias("_sha"))
+    rows = rows.join(F.broadcast(winners.withColumn("_heavy", F.lit(True))), "_sha", "left")
+    rows = rows.filter(F.col("_heavy").isNull() | F.col("_id").eqNullSafe(F.col("_top")))
+    last = F.row_number().over(Window.partitionBy("_sha").orderBy(F.desc_nulls_last("_id")))
+    return rows.withColumn("_n", last).filter("_n = 1").select("_row.*")

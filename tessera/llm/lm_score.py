@@ -48,7 +48,7 @@ HEAD_WORDS, FUNCTION_WORDS, ENDINGS, ENDING_BYTES = 1_024, 128, 256, 3
 #: Words that are sent with their counts, and their longest; all others meet their counts by a join.
 SENT_WORDS, SENT_LENGTH = 200_000, 64
 #: log2 of the slots of each predictor's table, for symbols and for bytes.
-WORD_TABLES, BYTE_TABLES = (16, 20, 20, 20), (16, 18, 20, 20)
+WORD_TABLES, BYTE_TABLES = (12, 19, 20, 20), (16, 18, 20, 20)
 #: Slots of a table that are summed together; partial tables that one task adds up.
 CHUNK, FAN_IN = 1 << 16, 64
 #: Symbols that are turned into arrays at a time.
@@ -56,7 +56,7 @@ SEGMENT = 1 << 16
 #: (words, from this one on): a step of refinement.
 STEPS = ((4, 0), (16, 64), (64, 320))
 #: Refinement per step; shrinkage of counts; gates; rounds of Newton's method and its ridge.
-RATE, SHRINK, GATES, ROUNDS, RIDGE = 1.5, 0.2, 16, 2, 20.0
+RATE, SHRINK, GATES, ROUNDS, RIDGE = 1.5, 0.2, 16, 1, 20.0
 #: Sums that must not depend on an order are of whole numbers of these fractions.
 FRACTION, BIT_FRACTION, LOG_FRACTION = 1 << 8, 1 << 20, 1 << 36
 
@@ -365,7 +365,11 @@ def count_tables(rows: DataFrame, code: Code, table_bits: tuple[int, ...], read:
                 length, place = code.expand(x[s : s + 2 * SEGMENT])
                 bit = code.bit[place].astype(np.uint32)
                 for table, at in zip(own[late], slots(code, [c[s : s + 2 * SEGMENT] for c in contexts], table_bits, length, place)):
-                    np.add.at(table, (at.astype(np.uint32) << 1 | bit).astype(np.intp), np.uint32(1))
+                    both = (at.astype(np.uint32) << 1 | bit).astype(np.intp)
+                    if len(table) <= CHUNK:
+                        table += np.bincount(both, minlength=len(table)).astype(np.uint32)
+                    else:
+                        np.add.at(table, both, np.uint32(1))
 
         for batch in batches:
             for value, late in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

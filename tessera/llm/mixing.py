@@ -13,7 +13,7 @@ own documents by a hash.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small, written
@@ -65,16 +65,22 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> Data
     return out.withColumn("target", target).drop("left_words", "left_weight")
 
 
+def _text_key(id_col: str, text_col: str) -> Column:
+    """What tells rows without an id apart: the digest of the text; null for rows with an id."""
+    return F.when(F.col(id_col).isNull(), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, shards: int = 64, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How often the mix takes each document, and into which shards.
 
     Returns one row per input row: doc_id, size (words), source, source_size,
     target, taken (words, repeats counted), copies, shards (one shard number
-    for each copy). A shard is read in the order of ``shuffle_key``.
+    for each copy), shuffle_key, alt (the text's digest where the id is null).
+    A shard is read in the order of ``shuffle_key``.
 
     * A null text has size 0; size-0 documents are copied like others but take no words.
     * A null source is a source of its own, last in the order.
-    * Rows that share source and id (repeated rows, null ids) are taken together or not at all.
+    * Rows that share source and id are taken together or not at all; so are those of null ids and equal text.
     * A source without words has target 0. An empty table gives an empty result.
     * Other columns, whatever their names, are not read. The same table and seed give the same mix.
 
@@ -82,7 +88,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), _text_key(id_col, text_col).alias("alt"), F.col(source_col).alias("source"), size.alias("size"))
     rows = written(rows, "mix-sizes")
 
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
@@ -91,7 +97,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     targets = targets.withColumn("n_blocks", F.ceil(F.sqrt("n_rows"))).withColumn("passes", F.least(passes, F.lit(cap)))
     targets = written(targets.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")), "mix-targets")
 
-    block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("n_blocks"))
+    block = F.pmod(F.xxhash64("doc_id", "alt", F.lit(seed)), F.col("n_blocks"))
     blocked = rows.join(small(targets), rows["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     blocked = blocked.withColumn("block", block)
     ahead = Window.partitionBy("source_no").orderBy("block")
@@ -102,13 +108,13 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     edge = edge.select("source_no", F.col("e.block").alias("edge_block"), (F.col("e.rest") - F.col("e.ends") + F.col("e.words")).alias("room"))
 
     # The boundary: largest documents of a few blocks first, each that still fits.
-    units = blocked.join(small(edge), "source_no").filter(F.col("block").between(F.col("edge_block"), F.col("edge_block") + FILL_BLOCKS - 1)).groupBy("source_no", "room", "doc_id").agg(F.sum("size").alias("words"))
-    units = units.groupBy("source_no", "room").agg(F.sort_array(F.collect_list(F.struct("words", F.xxhash64("doc_id", F.lit(seed + 1)).alias("h"), "doc_id")), asc=False).alias("u"))
+    units = blocked.join(small(edge), "source_no").filter(F.col("block").between(F.col("edge_block"), F.col("edge_block") + FILL_BLOCKS - 1)).groupBy("source_no", "room", "doc_id", "alt").agg(F.sum("size").alias("words"))
+    units = units.groupBy("source_no", "room").agg(F.sort_array(F.collect_list(F.struct("words", F.xxhash64("doc_id", "alt", F.lit(seed + 1)).alias("h"), "doc_id", "alt")), asc=False).alias("u"))
     fold = F.expr(
         "aggregate(u, struct(room AS room, slice(u, 1, 0) AS got), (a, x) -> "
         "IF(x.words <= a.room, struct(a.room - x.words AS room, concat(a.got, array(x)) AS got), a), a -> a.got)"
     )
-    chosen = written(units.select("source_no", F.explode(fold).alias("x")).select("source_no", F.col("x.doc_id").alias("doc_id")), "mix-boundary")
+    chosen = written(units.select("source_no", F.explode(fold).alias("x")).select("source_no", "x.doc_id", "x.alt"), "mix-boundary")
 
     plan = targets.join(edge, "source_no", "left").select("*", (F.col("passes") * F.col("n_blocks") + F.coalesce(F.col("edge_block") + 1, F.when(F.col("rest") > 0, F.col("n_blocks")), F.lit(0))).alias("quota"))
     quotas = [(r["source_no"], r["quota"]) for r in plan.select("source_no", "quota").orderBy("source_no").collect()]
@@ -121,7 +127,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
 
     extra = chosen.withColumn("chosen", F.lit(True))
     out = blocked.join(small(edge.select("source_no", "edge_block")), "source_no", "left").join(small(tree), "source_no")
-    out = out.join(small(extra), (out["source_no"] == extra["source_no"]) & out["doc_id"].eqNullSafe(extra["doc_id"]) & (out["block"] >= out["edge_block"]), "left").drop(extra["source_no"]).drop(extra["doc_id"])
+    out = out.join(small(extra), (out["source_no"] == extra["source_no"]) & out["doc_id"].eqNullSafe(extra["doc_id"]) & out["alt"].eqNullSafe(extra["alt"]) & (out["block"] >= out["edge_block"]), "left").drop(extra["source_no"]).drop(extra["doc_id"]).drop(extra["alt"])
     last = F.when(F.col("edge_block").isNull(), F.col("rest") > 0).otherwise((F.col("block") < F.col("edge_block")) | F.coalesce("chosen", F.lit(False)))
     out = out.withColumn("copies", (F.col("passes") + last.cast("int")).cast("int"))
     shard = F.expr(
@@ -131,16 +137,21 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     return out.select(
         "doc_id", "size", "source", "source_size", "target",
         (F.col("size") * F.col("copies")).alias("taken"), "copies", shard.alias("shards"),
-        F.xxhash64("doc_id", "source", F.lit(seed + 2)).alias("shuffle_key"),
+        F.xxhash64("doc_id", "alt", "source", F.lit(seed + 2)).alias("shuffle_key"), "alt",
     )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as the mix takes them: dropped, kept or repeated, each shard in its own shuffled order."""
-    mix = mix_sources(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "shards", "shuffle_key")
-    mix = mix.dropDuplicates(["_id", "_source"])
-    names = docs.columns
-    out = docs.join(mix, docs["doc_id"].eqNullSafe(mix["_id"]) & docs["source"].eqNullSafe(mix["_source"]))
-    out = out.select(*[docs[c] for c in names], F.posexplode("shards").alias("_copy", "_shard"), "shuffle_key")
-    out = out.repartition(F.col("_shard"), F.pmod("shuffle_key", F.lit(8))).sortWithinPartitions("_shard", F.xxhash64("shuffle_key", "_copy"))
-    return out.select(*names)
+    """The rows of ``docs`` as the mix takes them: dropped, kept or repeated, each shard in its own shuffled order.
+
+    All columns, whatever their names, come back as they were. Rows of null
+    ids, null sources and repeated rows are taken as ``mix_sources`` says; an
+    empty table gives an empty table.
+    """
+    mix = mix_sources(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("alt").alias("_alt"), F.col("source").alias("_source"), F.col("shards").alias("_shards"), F.col("shuffle_key").alias("_order"))
+    mix = mix.dropDuplicates(["_id", "_alt", "_source"])
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_own_id"), _text_key("doc_id", "text").alias("_own_alt"), F.col("source").alias("_own_source"))
+    out = rows.join(mix, F.col("_own_id").eqNullSafe(F.col("_id")) & F.col("_own_alt").eqNullSafe(F.col("_alt")) & F.col("_own_source").eqNullSafe(F.col("_source")))
+    out = out.select("_row", F.posexplode("_shards").alias("_copy", "_shard"), "_order")
+    out = out.repartition(F.col("_shard"), F.pmod("_order", F.lit(8))).sortWithinPartitions("_shard", F.xxhash64("_order", "_copy"))
+    return out.select("_row.*")

@@ -400,7 +400,9 @@ def keep_one_of_near(docs: DataFrame, words: int = 5, share: float = 0.8) -> Dat
     Groups are the components of links between documents whose sets of
     shingles have a Jaccard similarity of ``share`` or more (``similar_links``).
     Rows with a null doc_id stay only if their group has no other; repeated
-    rows of the smallest doc_id and equal text stay once.
+    rows of the smallest doc_id and equal text stay once. Null and empty texts
+    and white space have no shingles and are one group. All columns, whatever
+    their names, come back as they were; an empty table gives an empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,7 +411,7 @@ def keep_one_of_near(docs: DataFrame, words: int = 5, share: float = 0.8) -> Dat
             keys, prints = [xxhash.xxh3_128_digest(h.tobytes()) for h in sets], [wide_print(h) for h in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(prints, pa.binary())], names=["_id", "_sha", "key", "wide"])
 
-    names, id_type = docs.columns, dict(docs.dtypes)["doc_id"]
+    id_type = dict(docs.dtypes)["doc_id"]
     sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     rows = docs.select(F.col("doc_id").alias("_id"), sha.alias("_sha"), F.col("text").alias("text"))
     texts = rows.select("_sha", "text")
@@ -419,6 +421,8 @@ def keep_one_of_near(docs: DataFrame, words: int = 5, share: float = 0.8) -> Dat
     grouped = components(similar_links(nodes, texts, words, share), "near")
     rooted = nodes.join(grouped, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._id").alias("_kept_id"), F.col("first._sha").alias("_kept_sha"))
-    keyed = docs.withColumn("_sha", sha)
-    keyed = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_kept_id"]) & (keyed["_sha"] == kept["_kept_sha"]), "left_semi")
-    return keyed.dropDuplicates(["doc_id", "_sha"]).select(*names)
+    # One key of id and digest, so that the join and the removal of repeated rows share a shuffle.
+    key = lambda i, digest: F.concat_ws("/", digest, F.col(i).cast("string"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), sha.alias("_sha")).withColumn("_key", key("_id", F.col("_sha")))
+    kept = kept.select(key("_kept_id", F.col("_kept_sha")).alias("_key"))
+    return rows.select("_key", "_row").join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
