@@ -37,7 +37,7 @@ BUCKET_ROWS, MISSED = 2_000, 0.001
 #: Standard deviations above the mean distance of a pair at the threshold that still make it a candidate.
 TAIL = 4
 #: A bucket with more candidate pairs than this for each of its rows gives them in two steps (it decides speed, never results).
-DENSE = 16
+DENSE = 4
 #: Fingerprints from which the trees are grown (a bounded sample; it decides speed, never results).
 TREE_SAMPLE = 32_768
 #: A leaf is split while it is expected to own more fingerprints than this; larger leaves are dealt to several tasks.
@@ -324,6 +324,7 @@ def candidates(nodes: DataFrame, plan: tuple[int, int, int], dense: DataFrame |
                 yield pa.RecordBatch.from_arrays([pa.array(k << sampled | bits[:, places[k]] @ weights), *batch.columns], names=["bucket", "node", "wide", "root"])
 
     def match(bucket: pd.DataFrame) -> pd.DataFrame:
+        bucket = bucket.sort_values("node")  # so that all rounds find the same closest of the rows before
         ids, root = bucket["node"].to_numpy(), bucket["root"].to_numpy()
         prints = np.frombuffer(b"".join(bucket["wide"]), np.uint64).reshape(-1, WIDE)
         found, count = [], 0
