@@ -10,21 +10,21 @@ maximisation (forward-backward) over the same words.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 from .pieces import SPACE, Vocabulary, default_model
 
-#: Longer words are scored in parts of this many characters, so that no product underflows.
-PART = 24
+#: Words of up to this many characters go on together; longer ones one by one, in logarithms (it decides speed, never results).
+TOGETHER_LETTERS = 24
 #: Distinct words that a worker remembers, and that it counts before it passes them on.
 REMEMBERED, COUNTED = 300_000, 200_000
 #: Characters of text whose new words are scored together.
@@ -37,13 +37,12 @@ FRACTION = 1 << 10
 #: Letters that have a column in the dense table of children.
 FREQUENT = 63
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 
 
-def word_parts(token: str) -> list[str]:
-    """The runs of letters of a token in lower case, marked as words, in parts."""
-    found = [SPACE + token] if token.isalpha() else [SPACE + w for w in _LETTERS.findall(token)]
-    return found if len(token) < PART else [w[k : k + PART] for w in found for k in range(0, len(w), PART)]
+def marked_words(token: str) -> list[str]:
+    """The runs of letters of a token in lower case, marked as words."""
+    return [SPACE + token] if token.isalpha() else [SPACE + w for w in _LETTERS.findall(token)]
 
 
 class Lattice:
@@ -113,7 +112,7 @@ class Lattice:
             found.append((at[whole], self.piece_at[node[whole]], np.full(int(whole.sum()), depth)))
         at, piece, length = (np.concatenate(c) for c in zip(*found))
         end = start[at] + length
-        order = np.argsort(end.astype(np.uint16), kind="stable")
+        order = np.argsort(end.astype(np.uint16) if size.max() < 1 << 16 else end, kind="stable")
         at, end = at[order], end[order]
         return word_no[at], start[at], end, piece[order]
 
@@ -136,13 +135,59 @@ class Lattice:
             sums[t][:, stuck[t]] = sums[t - 1][:, stuck[t]] * UNKNOWN
         return sums, stuck
 
+    def long_forward(self, word: str, arcs: tuple, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``forward`` for one word of any length: log sums by t and language, and where no piece ends."""
+        _, start, end, piece = arcs
+        bounds = np.searchsorted(end, np.arange(len(word) + 2))
+        sums, stuck = np.zeros((len(word) + 1, logs.shape[1])), bounds[1:] == bounds[:-1]
+        for t in range(1, len(sums)):
+            here = slice(bounds[t], bounds[t + 1])
+            sums[t] = sums[t - 1] + np.log(UNKNOWN) if stuck[t] else np.logaddexp.reduce(sums[start[here]] + logs[piece[here]], axis=0)
+        return sums, stuck
+
     def log_probabilities(self, words: list[str], table: np.ndarray) -> np.ndarray:
         """Log probability of each word in every language, a row per word; ``table`` has a row per piece."""
-        sums, _ = self.forward(words, self.arcs(words), table)
-        return np.log(np.maximum(sums[np.array([len(w) for w in words]), :, np.arange(len(words))], 1e-300))
+        out = np.empty((len(words), table.shape[1]))
+        short = [k for k, w in enumerate(words) if len(w) <= TOGETHER_LETTERS]
+        if short:
+            some = [words[k] for k in short]
+            sums, _ = self.forward(some, self.arcs(some), table)
+            out[short] = np.log(np.maximum(sums[np.array([len(w) for w in some]), :, np.arange(len(some))], 1e-300))
+        if len(short) < len(words):
+            logs = np.log(table)
+            for k, w in enumerate(words):
+                if len(w) > TOGETHER_LETTERS:
+                    out[k] = self.long_forward(w, self.arcs([w]), logs)[0][-1]
+        return out
 
     def expected(self, words: list[str], p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected uses of pieces in the segmentations of each word: word number, piece, uses (forward-backward)."""
+        """Expected uses of pieces in the segmentations of each word: word number, piece, uses."""
+        short = np.array([k for k, w in enumerate(words) if len(w) <= TOGETHER_LETTERS], np.int64)
+        found = []
+        if len(short):
+            word_no, piece, share = self.expected_together([words[k] for k in short], p)
+            found.append((short[word_no], piece, share))
+        if len(short) < len(words):
+            logs = np.log(p)
+            found += [(np.full(len(piece), k), piece, share) for k, w in enumerate(words) if len(w) > TOGETHER_LETTERS for piece, share in [self.expected_alone(w, logs)]]
+        return tuple(np.concatenate(c) for c in zip(*found))
+
+    def expected_alone(self, word: str, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece and expected uses of every occurrence in one word of any length (forward-backward in logarithms)."""
+        arcs = _, start, end, piece = self.arcs([word])
+        sums, stuck = self.long_forward(word, arcs, logs[:, None])
+        back = np.full(len(sums), -np.inf)
+        back[-1] = 0.0
+        bounds = np.searchsorted(end, np.arange(len(sums) + 1))
+        for t in range(len(sums) - 1, 0, -1):
+            here = slice(bounds[t], bounds[t + 1])
+            np.logaddexp.at(back, start[here], back[t] + logs[piece[here]])
+            if stuck[t]:
+                back[t - 1] = np.logaddexp(back[t - 1], back[t] + np.log(UNKNOWN))
+        return piece, np.minimum(np.exp(sums[start, 0] + logs[piece] + back[end] - sums[-1, 0]), 1.0)
+
+    def expected_together(self, words: list[str], p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``expected`` for short words, all at once (forward-backward)."""
         arcs = word_no, start, end, piece = self.arcs(words)
         sums, stuck = self.forward(words, arcs, p[:, None])
         length = np.array([len(w) for w in words])
@@ -185,7 +230,7 @@ class _Scores(dict):
         first: list[int] = []
         new: list[str] = []
         for token in tokens.difference(self):
-            found = word_parts(token)
+            found = marked_words(token)
             if found:
                 new.append(token)
                 first.append(len(parts))
@@ -215,7 +260,7 @@ def piece_probabilities(training: DataFrame, model_file: str) -> tuple[list[str]
             for lang, tokens in counts.items():
                 words: Counter = Counter()
                 for token, n in tokens.items():
-                    for part in word_parts(token):
+                    for part in marked_words(token):
                         words[part] += n
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"])
             counts.clear()

@@ -68,16 +68,21 @@ def with_host_and_path(pages: DataFrame, url_col: str = "url") -> DataFrame:
     return pages.withColumns({"host": F.translate(part(1), UPPER, LOWER), "path": part(2)})
 
 
-def url_keys(host: str, path: str, lengths: list[int]) -> list[str]:
-    """The keys of a url, longest first; of equal length, the one with the longer host first."""
+def url_keys(host: str, path: str, lengths: list[int], depths: list[int]) -> list[str]:
+    """The keys of a url, longest first; of equal length, the one with the longer host first.
+
+    Only ends of the host with as many labels as some rule's host (``depths``)
+    and beginnings of the path as long as some rule's (``lengths``) can be a
+    rule, so a url has a bounded number of keys, however long it is.
+    """
     if not host:
         return []
-    labels = host.split(".")
-    domains = [".".join(labels[k:]) for k in range(len(labels))]
+    labels = host.rsplit(".", max(depths, default=0))
+    domains = [".".join(labels[-n:]) for n in sorted(depths, reverse=True) if n <= len(labels)]
     return sorted((d + path[:n] for d in domains for n in lengths if len(path) >= n), key=len, reverse=True)
 
 
-def build_cascades(pages: DataFrame, rules: dict[str, set[str]], lengths: list[int]) -> dict[str, Cascade]:
+def build_cascades(pages: DataFrame, rules: dict[str, set[str]], lengths: list[int], depths: list[int]) -> dict[str, Cascade]:
     """One cascade for each list of rules, over all keys of ``pages`` (columns host, path).
 
     Two passes: an approximate count of the universe sets the rate of level 1
@@ -89,7 +94,7 @@ def build_cascades(pages: DataFrame, rules: dict[str, set[str]], lengths: list[i
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {k for h, p in zip(*(c.to_pylist() for c in batch.columns)) for k in url_keys(h, p, lengths)}
+            found = {k for h, p in zip(*(c.to_pylist() for c in batch.columns)) for k in url_keys(h, p, lengths, depths)}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["key"])
 
     urls = pages.select("host", "path")
@@ -99,7 +104,7 @@ def build_cascades(pages: DataFrame, rules: dict[str, set[str]], lengths: list[i
 
         def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = {k for h, p in zip(*(c.to_pylist() for c in batch.columns)) for k in url_keys(h, p, lengths)}
+                found = {k for h, p in zip(*(c.to_pylist() for c in batch.columns)) for k in url_keys(h, p, lengths, depths)}
                 pairs = sorted((name, k) for name, level in first.items() for k in found if k in level and k not in rules[name])
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.string()), pa.array([x for _, x in pairs], pa.string())], names=["name", "key"])
 
@@ -130,13 +135,14 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str
             lists.setdefault(verdict, set()).add(host + path)
     lengths = sorted({len(path) for _, _, path in rules})
     urls = with_host_and_path(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))).select("page_id", "host", "path")
-    cascades = build_cascades(urls, lists, lengths)
+    depths = sorted({host.count(".") + 1 for _, host, _ in rules})
+    cascades = build_cascades(urls, lists, lengths, depths)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for host, path in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                fits = ((k, v) for k in url_keys(host, path, lengths) for v, cascade in cascades.items() if k in cascade)
+                fits = ((k, v) for k in url_keys(host, path, lengths, depths) for v, cascade in cascades.items() if k in cascade)
                 found.append(next(fits, (None, default)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r for r, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
 

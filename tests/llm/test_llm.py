@@ -224,6 +224,38 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(covered, [sum(c in number for c in w) for w in words])
 
 
+def test_hosts_of_many_labels(spark):
+    long = ".".join(["a"] * 100_000)
+    rows = [(1, f"http://{long}.example.com/en/7x"), (2, f"http://{long}.com/en/"), (3, f"http://{long}/en/"), (4, "http://com/en/"), (5, "http://.com/en/")]
+    found = {r["page_id"]: r["rule"] for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), queries.URL_RULES).collect()}
+    assert found == {1: "example.com/en/7", 2: "com/en/", 3: None, 4: "com/en/", 5: "com/en/"}
+
+
+def test_long_words_are_not_cut():
+    own = language_id.lattice(pieces.default_model())
+    rng = np.random.default_rng(1)
+    table = rng.random((len(own.names), 3)) + 1e-3
+    table /= table.sum(axis=0)
+    for n in (23, 24, 25, 40):
+        word = pieces.SPACE + "".join(rng.choice(list("aetion"), n - 1))
+        sums = own.forward([word], own.arcs([word]), table)[0][n, :, 0]
+        assert np.allclose(own.log_probabilities([word, "\u2581a"], table)[0], np.log(sums))
+        slow = {}
+        for k, piece, share in zip(*own.expected_together([word], table[:, 0])):
+            slow[piece] = slow.get(piece, 0) + share
+        found = {}
+        for k, piece, share in zip(*own.expected(["\u2581a", word], table[:, 0])):
+            if k == 1:
+                found[piece] = found.get(piece, 0) + share
+        assert slow.keys() == found.keys() and all(abs(slow[x] - found[x]) < 1e-9 for x in slow)
+    assert np.isfinite(own.log_probabilities([pieces.SPACE + "ab" * 40_000], table)).all()
+
+
+def test_numbers_are_not_letters(spark):
+    found = language_id.identify(docs(spark, [(1, "² ½ 12"), (2, "der")]), spark.createDataFrame([("der die das", "de"), ("the", "en")], "text string, lang string"))
+    assert {r["doc_id"]: r["lang_pred"] for r in found.collect()} == {1: "und", 2: "de"}
+
+
 # --- 6 -------------------------------------------------------------------------
 
 
