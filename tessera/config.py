@@ -23,7 +23,7 @@ def as_mode(value: str, modes: Mapping[str, str]) -> str:
 @dataclass(frozen=True)
 class Config:
     embedding_dim: int = 128
-    recent_episodes: int = 4
+    recent_episodes: int = 6
     dedup_limit: int = 5
     max_layers: int = 4
     min_children: int = 2

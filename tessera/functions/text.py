@@ -45,7 +45,7 @@ def shown_timestamp(c: Column) -> Column:
 
 
 def utc_seconds() -> Column:
-    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def slug(c: Column) -> Column:

@@ -86,12 +86,15 @@ def children(parents: DataFrame, categorizes: DataFrame, nodes: DataFrame) -> Da
     return found.join(nodes.select("group_id", "uuid", "name", "tag", "layer"), ["group_id", "uuid"])
 
 
-def descendants(parents: DataFrame, categorizes: DataFrame, nodes: DataFrame, max_depth: int = 4) -> DataFrame:
+def descendants(parents: DataFrame, categorizes: DataFrame, nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Distinct nodes one or more links below ``parents``.
 
-    A hierarchy of L layers needs at most L joins, so the closure is a plan of
-    ``max_depth`` joins over distinct frontiers, without an action in between.
+    A link leads to a lower layer, so as many steps as the highest layer reach
+    everything. A caller that knows that number gives it as ``max_depth``; else
+    it is looked up. The closure is one plan of so many joins over distinct frontiers.
     """
+    if max_depth is None:
+        max_depth = max(1, nodes.agg(F.max("layer")).first()[0] or 0)
     links = categorizes.select("group_id", F.col("parent_uuid").alias("uuid"), "child_uuid")
     frontier, reached = parents.select("query_id", "group_id", "uuid").distinct(), None
     for _ in range(max_depth):
@@ -100,7 +103,7 @@ def descendants(parents: DataFrame, categorizes: DataFrame, nodes: DataFrame, ma
     return reached.distinct().join(nodes.select("group_id", "uuid", "name", "tag", "layer"), ["group_id", "uuid"])
 
 
-def descendant_entities(parents: DataFrame, categorizes: DataFrame, nodes: DataFrame, max_depth: int = 4) -> DataFrame:
+def descendant_entities(parents: DataFrame, categorizes: DataFrame, nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """The leaves below ``parents``; parents that are entities themselves have none."""
     starts = parents.join(nodes.filter("layer > 0").select("group_id", "uuid"), ["group_id", "uuid"], "left_semi")
     return descendants(starts, categorizes, nodes, max_depth).filter("layer = 0")

@@ -57,11 +57,18 @@ def promoted_names(nodes: DataFrame, taken: DataFrame) -> DataFrame:
     A name is free if no category in ``taken`` (group_id, category) and no
     earlier node has it; then "(Promoted)", "(Promoted 2)" and so on follow.
     """
-    used = taken.select("group_id", F.col("category").alias("name")).distinct().withColumn("_used", F.lit(1))
+    names = taken.select("group_id", "category").unionByName(nodes.select("group_id", F.col("name").alias("category"))).distinct()
+    marked = r"^(.*) \(Promoted(?: (\d+))?\)$"
+    number = F.when(F.regexp_extract("category", marked, 2) == "", 1).otherwise(F.regexp_extract("category", marked, 2).cast("int"))
+    used = names.filter(F.col("category").rlike(marked)).select("group_id", F.regexp_extract("category", marked, 1).alias("name"), number.alias("k"))
+    used = used.unionByName(taken.select("group_id", F.col("category").alias("name"), F.lit(0).alias("k"))).groupBy("group_id", "name").agg(F.collect_set("k").alias("_used"))
     order = Window.partitionBy("group_id", "name").orderBy("index", "uuid")
-    rows = nodes.join(used, ["group_id", "name"], "left").withColumn("_nth", F.row_number().over(order) - 1 + F.coalesce("_used", F.lit(0)))
+    rows = nodes.join(used, ["group_id", "name"], "left").withColumn("_used", F.coalesce("_used", F.array().cast("array<int>")))
+    # The n-th node of a name gets the n-th number that is free.
+    rows = rows.withColumn("_n", F.row_number().over(order))
+    rows = rows.withColumn("_nth", F.expr("element_at(filter(sequence(0, _n + size(_used)), x -> NOT array_contains(_used, x)), _n)"))
     mark = F.when(F.col("_nth") == 0, F.lit("")).when(F.col("_nth") == 1, F.lit(" (Promoted)")).otherwise(F.concat(F.lit(" (Promoted "), F.col("_nth").cast("string"), F.lit(")")))
-    return rows.withColumn("category", F.concat("name", mark)).drop("_used", "_nth")
+    return rows.withColumn("category", F.concat("name", mark)).drop("_used", "_nth", "_n")
 
 
 def materialize_layer(assignments: DataFrame, nodes: DataFrame, layer: int, min_children: int = 2, speaker_mode: str = "paper_v2") -> DataFrame:

@@ -48,6 +48,7 @@ def entity_rows(resolved: DataFrame, episodes: DataFrame, known: DataFrame | Non
 
     details: group_id, key, summary, tag from a provider; without one the
     summary is a fallback, at most three tags are kept, and a forced speaker's first tag is ``speaker``.
+    An entity in ``known`` keeps its summary, tags, embeddings and other columns where there is nothing new.
     """
     turns = episodes.select("group_id", F.col("uuid").alias("episode_uuid"), "seq", "source_id")
     rows = resolved.join(turns, ["group_id", "episode_uuid"])
@@ -56,18 +57,26 @@ def entity_rows(resolved: DataFrame, episodes: DataFrame, known: DataFrame | Non
     out = rows.groupBy("group_id", "uuid").agg(F.min_by("name", first).alias("name"), F.min_by("key", first).alias("key"), F.max("is_speaker").alias("is_speaker"), ids("episode_uuid").alias("episode_idx"), ids("source_id").alias("source_ids"))
     given = details.select("group_id", "key", F.col("summary").alias("_s"), F.col("tag").alias("_t")) if details is not None else None
     out = out.join(given, ["group_id", "key"], "left") if given is not None else out.withColumn("_s", F.lit(None).cast("string")).withColumn("_t", F.lit(None).cast("array<string>"))
-    tag = F.slice(F.array_distinct(F.concat(F.when(F.col("is_speaker"), F.array(F.lit("speaker"))).otherwise(F.array().cast("array<string>")), F.coalesce("_t", F.array().cast("array<string>")))), 1, 3)
-    out = out.withColumns({"summary": F.coalesce("_s", F.concat("name", F.lit(" appears in the conversation."))), "tag": tag}).drop("_s", "_t", "key")
-    if known is not None:
-        old = known.select("group_id", "uuid", F.col("name").alias("_name"), F.col("is_speaker").alias("_sp"), F.col("episode_idx").alias("_e"), F.col("source_ids").alias("_i"))
-        none = F.array().cast("array<string>")
-        out = out.join(old, ["group_id", "uuid"], "left").withColumns({
-            "name": F.coalesce("_name", "name"),
-            "is_speaker": F.coalesce("_sp", F.lit(False)) | F.col("is_speaker"),
-            "episode_idx": F.array_union(F.coalesce("_e", none), F.col("episode_idx")),
-            "source_ids": F.array_union(F.coalesce("_i", none), F.col("source_ids")),
-        }).drop("_name", "_sp", "_e", "_i")
-    return out
+    none = F.array().cast("array<string>")
+    tag = F.slice(F.array_distinct(F.concat(F.when(F.col("is_speaker"), F.array(F.lit("speaker"))).otherwise(none), F.coalesce("_t", none))), 1, 3)
+    out = out.withColumns({"_fallback": F.concat("name", F.lit(" appears in the conversation.")), "tag": tag})
+    if known is None:
+        return out.withColumn("summary", F.coalesce("_s", "_fallback")).drop("_s", "_t", "_fallback", "key")
+    # A known entity keeps all that this batch has nothing new for; an embedding goes only with the summary it is of.
+    old = known.select("group_id", "uuid", F.struct(*[c for c in known.columns if c not in ("group_id", "uuid")]).alias("_old"))
+    out = out.join(old, ["group_id", "uuid"], "left").withColumns({
+        "name": F.coalesce("_old.name", "name"),
+        "summary": F.coalesce("_s", "_old.summary", "_fallback"),
+        "tag": F.when(F.col("_t").isNull() & (F.size("_old.tag") > 0), F.col("_old.tag")).otherwise(F.col("tag")),
+        "is_speaker": F.coalesce("_old.is_speaker", F.lit(False)) | F.col("is_speaker"),
+        "episode_idx": F.array_union(F.coalesce("_old.episode_idx", none), F.col("episode_idx")),
+        "source_ids": F.array_union(F.coalesce("_old.source_ids", none), F.col("source_ids")),
+    })
+    for c in known.columns:
+        if c not in out.columns:
+            kept = F.col("summary").eqNullSafe(F.col("_old.summary")) if c == "summary_embedding" else F.lit(True)
+            out = out.withColumn(c, F.when(kept, F.col(f"_old.{c}")))
+    return out.drop("_s", "_t", "_fallback", "_old", "key")
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:

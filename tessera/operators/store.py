@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # --- scans ------------------------------------------------------------------
@@ -143,15 +143,35 @@ def require_unique(table: DataFrame, keys: Sequence[str]) -> None:
         raise ValueError(f"key {twice[0].asDict()} occurs more than once")
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of ``path``, and the paths of the table, its next and its previous state."""
+    jvm = spark.sparkContext._jvm
+    now, new, old = (jvm.org.apache.hadoop.fs.Path(path + x) for x in ("", ".next", ".previous"))
+    return now.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), now, new, old
+
+
+def restore(spark: SparkSession, path: str) -> None:
+    """Puts the previous state back where a run ended between the two renames of ``write_swapped``. Call it before reading."""
+    fs, now, _, old = _files(spark, path)
+    if not fs.exists(now) and fs.exists(old) and not fs.rename(old, now):
+        raise OSError(f"cannot restore {path}")
+
+
 def write_swapped(table: DataFrame, path: str) -> None:
-    """Write next to ``path`` and swap, so that a table can be made from what it replaces."""
-    spark, jvm = table.sparkSession, table.sparkSession.sparkContext._jvm
+    """Write next to ``path`` and swap, so that a table can be made from what it replaces.
+
+    At every moment the table is at ``path`` or, between the renames, whole at
+    ``path``.previous, from where ``restore`` brings it back; the previous
+    state goes only when the new one is in place.
+    """
+    spark = table.sparkSession
+    restore(spark, path)
     table.write.mode("overwrite").parquet(path + ".next")
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
-    now, new, old = (jvm.org.apache.hadoop.fs.Path(path + x) for x in ("", ".next", ".previous"))
-    fs.delete(old, True)
+    fs, now, new, old = _files(spark, path)
     if fs.exists(now):
-        fs.rename(now, old)
-    fs.rename(new, now)
+        fs.delete(old, True)
+        if not fs.rename(now, old):
+            raise OSError(f"cannot move {path}")
+    if not fs.rename(new, now):
+        raise OSError(f"cannot put {path} in place")
     fs.delete(old, True)

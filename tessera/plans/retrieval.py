@@ -56,9 +56,10 @@ def system1(tables: dict[str, DataFrame], queries: DataFrame, config: Config = C
 
 
 def layer_walk(tables: dict[str, DataFrame], queries: DataFrame, selector: LayerSelector, top: int, mode: str = "faithful", leaf_resolution: bool = True) -> DataFrame:
-    """The nodes that a walk down the hierarchy from layer ``top`` selects: query_id, group_id, uuid.
+    """The nodes that a walk down the hierarchy selects: query_id, group_id, uuid.
 
-    At each layer the selector chooses among the candidates. A choice with all
+    Each group is entered at its own highest layer; ``top`` is the highest of
+    all, and groups above it are entered there. At each layer the selector chooses among the candidates. A choice with all
     children takes every entity below it; another is a parent of the next
     layer's candidates. At the end every chosen category stands for the
     entities below it. Modes: ``faithful`` keeps that for all chosen
@@ -72,7 +73,9 @@ def layer_walk(tables: dict[str, DataFrame], queries: DataFrame, selector: Layer
         raise ValueError(f"unknown walk mode {mode!r}")
     nodes, links = graph.hierarchy_nodes(tables["entities"], tables["categories"]), tables["categorizes"]
     group = queries.select("query_id", "group_id")
-    current = nodes.filter(F.col("layer") == top).join(group, "group_id").select("query_id", "group_id", "uuid", "name", "tag", "layer")
+    tops = tables["categories"].filter(F.col("layer") <= top).groupBy("group_id").agg(F.max("layer").alias("_top"))
+    entries = nodes.join(tops, "group_id").filter(F.col("layer") == F.col("_top")).join(group, "group_id").select("query_id", "group_id", "uuid", "name", "tag", "layer")
+    current = entries.filter(F.col("layer") == top)
     keys = ("query_id", "group_id", "uuid")
     chosen, parents = [], None
     for layer in range(top, 0, -1):
@@ -96,7 +99,7 @@ def layer_walk(tables: dict[str, DataFrame], queries: DataFrame, selector: Layer
         else:
             chosen.append(resolve.select(*keys))
         parents = categories
-        current = graph.children(parents, links, nodes)
+        current = graph.children(parents, links, nodes).select(*entries.columns).unionByName(entries.filter(F.col("layer") == layer - 1)).distinct()
     out = chosen[0]
     for part in chosen[1:]:
         out = out.unionByName(part)

@@ -112,6 +112,7 @@ class RoutedReranker:
     """A primary reranker and its fallback. Modes: auto, true_reranker, llm_scoring.
 
     In auto mode the first failure of the primary switches to the fallback for good; ``reason`` says why.
+    Plans are lazy, so in that mode the primary's scores are computed at once, kept, and only then returned.
     """
 
     def __init__(self, primary: Reranker, fallback: Reranker, mode: str = "auto"):
@@ -125,7 +126,9 @@ class RoutedReranker:
         if self.mode == "true_reranker":
             return self.primary.scores(items, queries)
         try:
-            return self.primary.scores(items, queries)
+            scores = self.primary.scores(items, queries).persist()
+            scores.count()
+            return scores
         except Exception as error:
             self.reason = f"{type(error).__name__}: {error}"
             return self.fallback.scores(items, queries)

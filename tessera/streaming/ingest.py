@@ -20,6 +20,7 @@ def upsert_stream(turns: DataFrame, read: Callable[[], DataFrame], path: str, ch
     """
 
     def merge(batch: DataFrame, _: int) -> None:
+        store.restore(batch.sparkSession, path)
         store.write_swapped(store.upsert_episodes(read(), batch), path)
 
     return turns.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
