@@ -60,19 +60,32 @@ TEMPLATES = [
 ]
 CUE = r"(?i)licen[sc]|copyright|all rights reserved|spdx|creative commons"
 _WORD = re.compile(r"[^\s,;:()\"'<>\[\]]+")
-#: Distinct blocks a worker remembers; templates that are compared word by word; differing words allowed of 100.
-REMEMBERED, COMPARED, DIFFER = 50_000, 3, 25
+#: Distinct blocks a worker remembers; differing words allowed of 100.
+REMEMBERED, DIFFER = 50_000, 25
+# Words, or parts of words joined by hyphens, that tell licenses of one family apart or turn a sentence round.
+NAMING = {"affero", "lesser", "library", "nc", "noncommercial", "nd", "noderivatives", "noderivs", "not", "sa", "sharealike", "2-clause", "3-clause", "4-clause", "two-clause", "four-clause"}
+#: Words on either side of a stretch that may name the license too.
+AROUND = 2
 
 
 def words(block: str) -> list[str]:
     return [w.rstrip(".!") for w in _WORD.findall(block.lower()) if w.rstrip(".!")]
 
 
+def naming_words(found: list[str]) -> set[str]:
+    return {p for w in found for p in (w, *w.split("-"))} & NAMING
+
+
 def word_differences(block: list[str], template: list[str]) -> int:
-    """Words to insert, delete or replace, least over all stretches of the block as long as the template is."""
-    best = len(template)
+    """Words to insert, delete or replace, least over all stretches of the block as long as the template is.
+
+    A stretch with a naming word in or around it that the template lacks differs wholly.
+    """
+    best, own = len(template), naming_words(template)
     for k in range(max(1, len(block) - len(template) + 1)):
         stretch = block[k : k + len(template)]
+        if naming_words(block[max(0, k - AROUND) : k + len(template) + AROUND]) - own:
+            continue
         codes = difflib.SequenceMatcher(None, stretch, template, autojunk=False).get_opcodes()
         best = min(best, sum(max(b - a, d - c) for op, a, b, c, d in codes if op != "equal"))
     return best
@@ -99,7 +112,7 @@ class Scanner:
     def _name(self, own: list[str], data: bytes) -> tuple[str | None, float, int | None]:
         alone = len(self.plain.compress(data))
         ranked = sorted(((1 - len(c.compress(data)) / alone, name, must, template) for name, must, template, c in self.wordings), key=lambda x: (-x[0], x[1], len(x[3])))
-        for saved, name, must, template in [x for x in ranked if must_have(own, x[2])][:COMPARED]:
+        for saved, name, must, template in [x for x in ranked if must_have(own, x[2])]:
             differing = word_differences(own, template)
             if differing * 100 <= DIFFER * len(template):
                 return name, saved, differing

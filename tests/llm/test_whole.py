@@ -4,7 +4,7 @@ import random
 
 import xxhash
 
-from tessera.llm import simhash, toxicity
+from tessera.llm import license_scan, simhash, toxicity
 
 
 def jaccard_kept(rows, words, share):
@@ -71,3 +71,11 @@ def test_toxic_features_are_counted_over_all_labels(spark, monkeypatch):
     judge = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels)
     assert all(judge.places[xxhash.xxh3_64_intdigest(word) % toxicity.SLOTS] >= 0 for word in ("idiot", "blockhead"))
     assert 0 < fitted[0] < 100
+
+
+def test_license_names_are_exact():
+    scanner = license_scan.Scanner()
+    others = ["GNU Lesser General Public License, version 3", "GNU Affero General Public License, version 3", "Licensed under CC BY-ND 4.0", "Licensed under CC BY-NC-SA 4.0", "Licensed under CC BY-NC-ND 4.0", "BSD 2-Clause License", "BSD 4-Clause License", "Not released under the MIT License."]
+    assert all(scanner.name(text)[0] is None for text in others)
+    named = {"Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "Licensed under the BSD 3-Clause License.": "BSD-3-Clause"}
+    assert {text: scanner.name(text)[0] for text in named} == named
