@@ -38,6 +38,8 @@ BUCKET_ROWS, MISSED = 2_000, 0.001
 TAIL = 4
 #: A bucket with more candidate pairs than this for each of its rows gives them in two steps (it decides speed, never results).
 DENSE = 4
+#: Slots of the bitmap of a set of shingles (a bound on the exact difference), and pairs that are compared by them at once.
+MAP_BITS, MAP_PAIRS = 2_048, 65_536
 #: Fingerprints from which the trees are grown (a bounded sample; it decides speed, never results).
 TREE_SAMPLE = 32_768
 #: A leaf is split while it is expected to own more fingerprints than this; larger leaves are dealt to several tasks.
@@ -300,65 +302,104 @@ def distances(tile: np.ndarray, other: np.ndarray) -> np.ndarray:
     return far
 
 
-def candidates(nodes: DataFrame, plan: tuple[int, int, int], dense: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b, bucket) of nodes (node long, wide binary, root long) whose fingerprints may be those of a similar pair.
+def shingle_map(h: np.ndarray) -> bytes:
+    """A bitmap of ``MAP_BITS`` slots of a set of shingle hashes."""
+    slots = np.zeros(MAP_BITS, np.uint8)
+    slots[(h % np.uint64(MAP_BITS)).astype(np.int64)] = 1
+    return np.packbits(slots).tobytes()
 
-    At such a similarity too many bits differ for trees over halves to exclude
-    anything, so the search is by samples of bits: each round groups the
-    fingerprints that agree in some sampled bits and compares all of a group
-    on all bits. A group of more than ``DENSE`` pairs a row gives, for each
-    row, the closest of the rows before it and of all rows, and names itself
-    in ``bucket`` (else null). With ``dense``, only the groups named there
-    give pairs: all of theirs that have different roots.
-    """
-    sampled, rounds, most = plan
+
+def close_pairs(prints: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (x, y) of rows x and earlier rows y of ``prints`` that differ in at most ``most`` bits, tile by tile."""
+    for i in range(0, len(prints), TILE_ROWS):
+        tile = prints[i : i + TILE_ROWS]
+        for j in range(0, i + len(tile), TILE_COLUMNS // WIDE):
+            x, y = np.nonzero(distances(tile, prints[j : min(j + TILE_COLUMNS // WIDE, i + len(tile))]) <= most)
+            x, y = x + i, y + j
+            yield x[x > y], y[x > y]
+
+
+def dealt(nodes: DataFrame, plan: tuple[int, int, int], *columns: str) -> DataFrame:
+    """``columns`` of ``nodes`` (node long, wide binary), once for each round, with the bucket of the sampled bits of that round."""
+    sampled, rounds, _ = plan
     rng = np.random.default_rng(SEED)
     places = np.stack([rng.choice(64 * WIDE, sampled, replace=False) for _ in range(rounds)])
     weights = (1 << np.arange(sampled)).astype(np.int64)
-    first = dense is None
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WIDE), axis=1)
             for k in range(rounds):
-                yield pa.RecordBatch.from_arrays([pa.array(k << sampled | bits[:, places[k]] @ weights), *batch.columns], names=["bucket", "node", "wide", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(k << sampled | bits[:, places[k]] @ weights), *(batch.column(c) for c in columns)], names=["bucket", *columns])
+
+    types = dict(nodes.dtypes)
+    return nodes.select("node", "wide").mapInArrow(deal, ", ".join(["bucket long", *(f"{c} {types[c]}" for c in columns)]))
+
+
+def candidates(nodes: DataFrame, plan: tuple[int, int, int]) -> DataFrame:
+    """Pairs (a, b) of nodes (node long, wide binary) whose fingerprints may be those of a similar pair.
+
+    At such a similarity too many bits differ for trees over halves to exclude
+    anything, so the search is by samples of bits: each round groups the
+    fingerprints that agree in some sampled bits and compares all of a group
+    on all bits. A group of more than ``DENSE`` pairs a row gives one row with
+    its number in ``bucket`` (else null) and no pairs; ``dense_candidates``
+    finds those.
+    """
+
+    def match(bucket: pd.DataFrame) -> pd.DataFrame:
+        ids, prints = bucket["node"].to_numpy(), np.frombuffer(b"".join(bucket["wide"]), np.uint64).reshape(-1, WIDE)
+        found, count = [(np.empty(0, np.int64),) * 2], 0
+        for x, y in close_pairs(prints, plan[2]):
+            found.append((x, y))
+            count += len(x)
+            if count > DENSE * len(ids):
+                return pd.DataFrame({"a": [0], "b": [0], "bucket": bucket["bucket"].iloc[:1].to_numpy()})
+        a, b = (ids[np.concatenate(part)] for part in zip(*found))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "bucket": pd.array([None] * len(a), "Int64")})
+
+    return dealt(nodes, plan, "node", "wide").groupBy("bucket").applyInPandas(match, "a long, b long, bucket long")
+
+
+def dense_candidates(members: DataFrame, nodes: DataFrame, most: int, share: float, closest: bool) -> DataFrame:
+    """Pairs (a, b) of the dense groups ``members`` (bucket, node) of nodes (node, wide, map, size, root) of different roots.
+
+    Beside the fingerprints, bitmaps of the sets of shingles exclude pairs:
+    sets of sizes m and n with a Jaccard similarity of ``share`` or more differ
+    in at most (m + n) (1 - share) / (1 + share) shingles, and their bitmaps
+    never in more bits than that. So no similar pair is lost here. With
+    ``closest``, each row gives only the closest of the rows before it and of all rows.
+    """
 
     def match(bucket: pd.DataFrame) -> pd.DataFrame:
         bucket = bucket.sort_values("node")  # so that all rounds find the same closest of the rows before
-        ids, root = bucket["node"].to_numpy(), bucket["root"].to_numpy()
-        prints = np.frombuffer(b"".join(bucket["wide"]), np.uint64).reshape(-1, WIDE)
-        found, count = [], 0
-        before, closest = (np.full(len(ids), np.iinfo(np.int64).max) for _ in range(2))
-        for i in range(0, len(ids), TILE_ROWS):
-            tile = prints[i : i + TILE_ROWS]
-            for j in range(0, i + len(tile), TILE_COLUMNS // WIDE):
-                far = distances(tile, prints[j : min(j + TILE_COLUMNS // WIDE, i + len(tile))])
-                x, y = np.nonzero(far <= most)
-                d, x, y = far[x, y].astype(np.int64) << 32, x + i, y + j
-                real = (x > y) & (first | (root[x] != root[y]))
-                d, x, y = d[real], x[real], y[real]
-                count += len(x)
-                if first:
+        ids, root, size = (bucket[c].to_numpy() for c in ("node", "root", "size"))
+        prints, maps = (np.frombuffer(b"".join(bucket[c]), np.uint64).reshape(len(ids), -1) for c in ("wide", "map"))
+        none = np.iinfo(np.int64).max
+        found = [(np.empty(0, np.int64),) * 2]
+        before, near = np.full(len(ids), none), np.full(len(ids), none)
+        for xs, ys in close_pairs(prints, most):
+            for k in range(0, len(xs), MAP_PAIRS):
+                x, y = xs[k : k + MAP_PAIRS], ys[k : k + MAP_PAIRS]
+                apart = np.bitwise_count(maps[x] ^ maps[y]).sum(axis=1, dtype=np.int64)
+                real = (root[x] != root[y]) & (apart * (1 + share) <= (size[x] + size[y]) * (1 - share) + 1e-9)
+                x, y, d = x[real], y[real], apart[real] << 32
+                if closest:
                     np.minimum.at(before, x, d | y)
-                    np.minimum.at(closest, x, d | y)
-                    np.minimum.at(closest, y, d | x)
-                if not first or count <= DENSE * len(ids):
+                    np.minimum.at(near, x, d | y)
+                    np.minimum.at(near, y, d | x)
+                else:
                     found.append((x, y))
-        named = first and count > DENSE * len(ids)
-        if named:
-            found = [(at := np.nonzero(c < np.iinfo(np.int64).max)[0], c[at] & 0xFFFFFFFF) for c in (before, closest)]
-        a, b = (np.concatenate([np.empty(0, np.int64), *part]) for part in (zip(*found) if found else ((), ())))
-        pairs = pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
-        return pairs.assign(bucket=pd.array([bucket["bucket"].iloc[0] if named else None] * len(pairs), "Int64"))
+        if closest:
+            found = [(at := np.nonzero(c < none)[0], c[at] & 0xFFFFFFFF) for c in (before, near)]
+        a, b = (ids[np.concatenate(part)] for part in zip(*found))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    dealt = nodes.select("node", "wide", "root").mapInArrow(deal, "bucket long, node long, wide binary, root long")
-    if dense is not None:
-        dealt = dealt.join(small(dense), "bucket", "left_semi")
-    return dealt.groupBy("bucket").applyInPandas(match, "a long, b long, bucket long")
+    return members.join(nodes.select("node", "wide", "map", "size", "root"), "node").groupBy("bucket").applyInPandas(match, "a long, b long")
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, words: int, share: float) -> DataFrame:
-    """Links (a, b) between nodes (node long, wide binary, _sha string) whose shingle sets have a Jaccard similarity of ``share`` or more.
+    """Links (a, b) between nodes (node long, wide binary, map binary, size int, _sha string) whose shingle sets have a Jaccard similarity of ``share`` or more.
 
     ``candidates`` finds pairs by their fingerprints, and the exact sets,
     made of ``texts`` (_sha, text) for the nodes of those pairs, decide. In
@@ -384,15 +425,17 @@ def similar_links(nodes: DataFrame, texts: DataFrame, words: int, share: float)
         return written(both.filter(F.col("common") / (F.col("n") - F.col("common")) >= share).select("a", "b"), "near-links")
 
     plan = search_plan(nodes.count(), share)
-    found = written(candidates(nodes.withColumn("root", F.col("node")), plan), "near-found")
-    links = decided(written(found.select("a", "b").distinct(), "near-pairs"))
-    dense = found.filter("bucket IS NOT NULL").select("bucket").distinct()
+    found = written(candidates(nodes, plan), "near-found")
+    pairs = found.filter("bucket IS NULL").select("a", "b")
+    dense = written(found.filter("bucket IS NOT NULL").select("bucket"), "near-buckets")
     if dense.isEmpty():
-        return links
-    grouped = components(links, "near-dense")
-    rooted = nodes.join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = candidates(written(rooted.select("node", "wide", "root"), "near-rooted"), plan, written(dense, "near-buckets"))
-    return links.union(decided(written(rest.select("a", "b").distinct(), "near-rest")))
+        return decided(written(pairs.distinct(), "near-pairs"))
+    members = written(dealt(nodes, plan, "node").join(small(dense), "bucket", "left_semi"), "near-members")
+    near = dense_candidates(members, nodes.withColumn("root", F.col("node")), plan[2], share, closest=True)
+    links = decided(written(pairs.union(near).distinct(), "near-pairs"))
+    rooted = nodes.join(components(links, "near-dense"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = dense_candidates(members, written(rooted, "near-rooted"), plan[2], share, closest=False)
+    return links.union(decided(written(rest.distinct(), "near-rest")))
 
 
 def keep_one_of_near(docs: DataFrame, words: int = 5, share: float = 0.8) -> DataFrame:
@@ -409,16 +452,17 @@ def keep_one_of_near(docs: DataFrame, words: int = 5, share: float = 0.8) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t or "", words) for t in batch.column(2).to_pylist()]
-            keys, prints = [xxhash.xxh3_128_digest(h.tobytes()) for h in sets], [wide_print(h) for h in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(prints, pa.binary())], names=["_id", "_sha", "key", "wide"])
+            keys, prints, maps = ([f(h) for h in sets] for f in (lambda h: xxhash.xxh3_128_digest(h.tobytes()), wide_print, shingle_map))
+            made = [*(pa.array(x, pa.binary()) for x in (keys, prints, maps)), pa.array([len(h) for h in sets], pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["_id", "_sha", "key", "wide", "map", "size"])
 
     id_type = dict(docs.dtypes)["doc_id"]
     sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     rows = docs.select(F.col("doc_id").alias("_id"), sha.alias("_sha"), F.col("text").alias("text"))
     texts = rows.select("_sha", "text")
-    rows = written(rows.mapInArrow(run, f"_id {id_type}, _sha string, key binary, wide binary"), "near-prints")
-    nodes = rows.groupBy("key").agg(F.first("wide").alias("wide"), F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_sha")).alias("first"))
-    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "wide", "first", F.col("first._sha").alias("_sha")), "near-nodes")
+    rows = written(rows.mapInArrow(run, f"_id {id_type}, _sha string, key binary, wide binary, map binary, size int"), "near-prints")
+    nodes = rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("wide", "map", "size")], F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_sha")).alias("first"))
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "wide", "map", "size", "first", F.col("first._sha").alias("_sha")), "near-nodes")
     grouped = components(similar_links(nodes, texts, words, share), "near")
     rooted = nodes.join(grouped, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._id").alias("_kept_id"), F.col("first._sha").alias("_kept_sha"))
