@@ -37,7 +37,7 @@ BUCKET_ROWS, MISSED = 2_000, 0.001
 #: Standard deviations above the mean distance of a pair at the threshold that still make it a candidate.
 TAIL = 4
 #: A bucket with more candidate pairs than this for each of its rows gives them in two steps (it decides speed, never results).
-DENSE = 4
+DENSE = 1
 #: Slots of the bitmap of a set of shingles (a bound on the exact difference), and pairs that are compared by them at once.
 MAP_BITS, MAP_PAIRS = 2_048, 65_536
 #: Fingerprints from which the trees are grown (a bounded sample; it decides speed, never results).
