@@ -160,10 +160,10 @@ def edge_resolution(spark, d):
 
 
 @register(REGISTRY, """SELECT l.vec_id, arg_max(r.vec_id, (round(list_cosine_similarity(l.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6), -r.vec_id)) AS nearest
-FROM embeddings l JOIN embeddings r ON l.vec_id % 50 = 0 AND r.label = l.label AND r.vec_id <> l.vec_id GROUP BY l.vec_id""")
+FROM embeddings l JOIN embeddings r ON l.vec_id % 20 = 0 AND r.label = l.label AND r.vec_id <> l.vec_id GROUP BY l.vec_id""")
 def nearest_in_label(spark, d):
     v = table(spark, d, "embeddings")
-    asked = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "label", F.col("embedding").alias("e"))
+    asked = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), "label", F.col("embedding").alias("e"))
     pairs = v.join(asked, "label").filter("vec_id <> q")
     best = F.max_by("vec_id", F.struct(F.round(cosine(F.col("embedding"), F.col("e")), 6), -F.col("vec_id")))
     return pairs.groupBy(F.col("q").alias("vec_id")).agg(best.alias("nearest"))

@@ -10,8 +10,8 @@ from .base import GRAPH, TREE, graph_tables, register, table, tree_tables
 
 REGISTRY: dict = {}
 
-# Seeds: entities whose id begins with 0; one query per group.
-SEEDS = GRAPH.rstrip() + """, seed AS (SELECT group_id AS query_id, group_id, uuid, name FROM ent WHERE starts_with(uuid, '0'))"""
+# Seeds: all entities; one query per group.
+SEEDS = GRAPH.rstrip() + """, seed AS (SELECT group_id AS query_id, group_id, uuid, name FROM ent)"""
 EPISODES = SEEDS + """, xe AS (
   SELECT s.query_id, m.episode_uuid AS uuid, string_agg(DISTINCT s.name, ',' ORDER BY s.name) AS names, count(DISTINCT s.uuid) AS matched_entity_count
   FROM seed s JOIN men m ON m.group_id = s.group_id AND m.entity_uuid = s.uuid GROUP BY ALL),
@@ -27,7 +27,7 @@ xp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched_entit
 
 
 def seeds(g):
-    return g["entities"].filter(F.col("uuid").startswith("0")).select(F.col("group_id").alias("query_id"), "group_id", "uuid", "name")
+    return g["entities"].select(F.col("group_id").alias("query_id"), "group_id", "uuid", "name")
 
 
 @register(REGISTRY, EPISODES + "SELECT query_id, uuid, names, matched_entity_count, CAST(place AS BIGINT) AS place FROM xr WHERE place <= 20")
@@ -141,12 +141,12 @@ def entities_by_name(spark, d):
     return store.entities_by_name(graph_tables(spark, d)["entities"], wanted).select("group_id", "name", "uuid")
 
 
-@register(REGISTRY, TREE.rstrip() + """, sel AS (SELECT 'c' || c_custkey AS uuid, 'nobody' AS name FROM customer WHERE c_custkey % 50 = 0 UNION ALL SELECT 'lost' AS uuid, n_name AS name FROM nation UNION ALL SELECT 'lost2', 'nobody')
+@register(REGISTRY, TREE.rstrip() + """, sel AS (SELECT 'c' || c_custkey AS uuid, 'nobody' AS name FROM customer WHERE c_custkey % 20 = 0 UNION ALL SELECT 'lost' AS uuid, n_name AS name FROM nation UNION ALL SELECT 'lost2', 'nobody')
 SELECT sel.uuid, sel.name, coalesce(a.uuid, b.uuid) AS node_uuid FROM sel LEFT JOIN node a ON a.uuid = sel.uuid LEFT JOIN (SELECT name, max(uuid) AS uuid FROM node GROUP BY ALL) b ON b.name = sel.name""")
 def resolve_selections(spark, d):
     t = tree_tables(spark, d)
     nodes = graph.hierarchy_nodes(t["entities"], t["categories"]).withColumn("seq", F.col("uuid"))
     q, g = F.lit("q").alias("query_id"), F.lit("tpch").alias("group_id")
-    wanted = table(spark, d, "customer").filter("c_custkey % 50 = 0").select(q, g, F.concat(F.lit("c"), "c_custkey").alias("uuid"), F.lit("nobody").alias("name"))
+    wanted = table(spark, d, "customer").filter("c_custkey % 20 = 0").select(q, g, F.concat(F.lit("c"), "c_custkey").alias("uuid"), F.lit("nobody").alias("name"))
     wanted = wanted.unionByName(table(spark, d, "nation").select(q, g, F.lit("lost").alias("uuid"), F.col("n_name").alias("name"))).unionByName(spark.sql("SELECT 'q' AS query_id, 'tpch' AS group_id, 'lost2' AS uuid, 'nobody' AS name"))
     return graph.resolve_selections(wanted, nodes).select("uuid", "name", "node_uuid")

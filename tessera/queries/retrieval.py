@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.config import Config
@@ -93,13 +94,11 @@ def prompt_payload(spark, d):
 
 # --- System 1 over the conversation graph ------------------------------------------
 
-#: Candidates per search and pool; small, so that limits matter.
-SMALL = Config(candidate_limit=12, episode_top_k=5, node_top_k=6, edge_top_k=6)
-
-
 def named_queries(spark, g):
     """One query per group: its two entities with the smallest ids, by name."""
-    names = g["entities"].groupBy("group_id").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("uuid", "name"))), 1, 2), lambda x: x["name"]), " ").alias("text"))
+    place = F.row_number().over(Window.partitionBy("group_id").orderBy("uuid"))
+    first = g["entities"].select("group_id", "uuid", "name", place.alias("place")).filter("place <= 2")
+    names = first.groupBy("group_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("uuid", "name"))), lambda x: x["name"]), " ").alias("text"))
     return names.select(F.concat(F.lit("q-"), "group_id").alias("query_id"), "group_id", "text")
 
 
@@ -109,28 +108,28 @@ def _bm25(name, docs, text):
 {name}s AS (SELECT count(*) AS n_docs, avg(len) AS mean_len FROM {name}l),
 {name}b AS (SELECT query_id, w.group_id, uuid, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean_len))), 6) AS fulltext_score
   FROM w JOIN {name}p USING (group_id, token) JOIN {name}l USING (uuid) JOIN {name}f USING (token), {name}s GROUP BY ALL),
-{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fulltext_score DESC, uuid) AS rank, round(1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY query_id ORDER BY fulltext_score DESC, uuid)), 9) AS rrf_score FROM {name}b QUALIFY rank <= 12)"""
+{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fulltext_score DESC, uuid) AS rank, round(1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY query_id ORDER BY fulltext_score DESC, uuid)), 9) AS rrf_score FROM {name}b QUALIFY rank <= 50)"""
 
 
 SYSTEM1 = GRAPH.rstrip() + """, q AS (SELECT 'q-' || group_id AS query_id, group_id, string_agg(name, ' ' ORDER BY uuid) AS text FROM (SELECT * FROM ent QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY uuid) <= 2) GROUP BY group_id),
 w AS (SELECT DISTINCT query_id, group_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_-]+')) AS token FROM q),
 """ + _bm25("se", "ent", "name || ' ' || summary") + ",\n" + _bm25("de", "ep", "content") + """,
 xe AS (SELECT s.query_id, m.episode_uuid AS uuid, count(DISTINCT s.uuid) AS n, max(s.rrf_score) AS score FROM se s JOIN men m ON m.group_id = s.group_id AND m.entity_uuid = s.uuid GROUP BY ALL),
-xel AS (SELECT xe.*, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, ep.valid_at DESC, xe.uuid) AS place FROM xe JOIN ep ON ep.uuid = xe.uuid QUALIFY place <= 12),
+xel AS (SELECT xe.*, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, ep.valid_at DESC, xe.uuid) AS place FROM xe JOIN ep ON ep.uuid = xe.uuid QUALIFY place <= 50),
 und AS (SELECT group_id, uuid AS edge_uuid, valid_at, source_uuid AS seed, target_uuid AS other FROM rel UNION ALL SELECT group_id, uuid, valid_at, target_uuid, source_uuid FROM rel WHERE source_uuid <> target_uuid),
 xg AS (SELECT s.query_id, u.edge_uuid, u.other, u.valid_at, count(DISTINCT s.uuid) AS n, max(s.rrf_score) AS score FROM se s JOIN und u ON u.group_id = s.group_id AND u.seed = s.uuid GROUP BY ALL),
-xp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, valid_at DESC, edge_uuid, other) AS place FROM xg QUALIFY place <= 12),
+xp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, valid_at DESC, edge_uuid, other) AS place FROM xg QUALIFY place <= 50),
 pe AS (SELECT query_id, uuid, max(score) AS rrf_score, max(n) AS n, max(ft) AS ft FROM (SELECT query_id, uuid, score, n, NULL AS ft FROM xel UNION ALL SELECT query_id, uuid, rrf_score, NULL, fulltext_score FROM de) GROUP BY ALL),
 pn AS (SELECT query_id, uuid, max(score) AS rrf_score, max(n) AS n, max(ft) AS ft FROM (SELECT query_id, uuid, rrf_score AS score, NULL AS n, fulltext_score AS ft FROM se
   UNION ALL SELECT query_id, other, arg_max(score, place), arg_max(n, place), NULL FROM xp GROUP BY 1, 2) GROUP BY ALL),
 pg AS (SELECT query_id, edge_uuid AS uuid, arg_max(score, place) AS rrf_score, arg_max(n, place) AS n, NULL AS ft FROM xp GROUP BY 1, 2)
 """
-_POOL = "SELECT query_id, uuid, rrf_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, coalesce(n, 0) DESC, coalesce(ft, 0) DESC, uuid) AS BIGINT) AS place FROM {} QUALIFY place <= 12"
+_POOL = "SELECT query_id, uuid, rrf_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, coalesce(n, 0) DESC, coalesce(ft, 0) DESC, uuid) AS BIGINT) AS place FROM {} QUALIFY place <= 50"
 
 
 def _system1(spark, d, item):
     g = graph_tables(spark, d)
-    return retrieval.system1(g, named_queries(spark, g), SMALL)[item].select("query_id", "uuid", "rrf_score", F.col("place").cast("long").alias("place"))
+    return retrieval.system1(g, named_queries(spark, g), Config())[item].select("query_id", "uuid", "rrf_score", F.col("place").cast("long").alias("place"))
 
 
 @register(REGISTRY, SYSTEM1 + _POOL.format("pe"))
@@ -153,8 +152,6 @@ def system1_retrieve_edges(spark, d):
 sec AS (SELECT query_id, item_type, '<' || upper(item_type) || '>' || chr(10) || string_agg(line, chr(10) ORDER BY place) || chr(10) || '</' || upper(item_type) || '>' AS body FROM picked GROUP BY query_id, item_type)
 SELECT query_id, string_agg(body, chr(10) ORDER BY CASE item_type WHEN 'nodes' THEN 0 ELSE 2 END) AS context FROM sec GROUP BY query_id""")
 def context_render(spark, d):
-    from pyspark.sql import Window
-
     g = graph_tables(spark, d)
     e = g["episodes"].withColumn("place", F.row_number().over(Window.partitionBy("group_id").orderBy("seq"))).filter("place <= 3")
     lines = e.select(F.col("group_id").alias("query_id"), F.lit("episodes").alias("item_type"), "place", retrieval.candidate_text("episodes").alias("line"))
@@ -173,7 +170,7 @@ def whole_retrieval(spark, d, item):
     links = g["entities"].select("group_id", letter.alias("name"), F.col("uuid").alias("child_uuid")).join(cats.withColumnRenamed("uuid", "parent_uuid"), ["group_id", "name"])
     tables = g | {"categories": categories, "categorizes": links.select("group_id", "parent_uuid", "child_uuid")}
     queries = named_queries(spark, g).withColumn("text", F.concat_ws(" ", "text", F.substring("text", 1, 1)))
-    return retrieval.retrieve(tables, queries, LexicalSelector(), LexicalReranker(), 1, SMALL)[item]
+    return retrieval.retrieve(tables, queries, LexicalSelector(), LexicalReranker(), 1, Config())[item]
 
 
 @register(REGISTRY)
