@@ -2,14 +2,16 @@
 
 Lines with a license cue form candidate blocks. Each block is compressed alone
 and with each template as a zstandard raw dictionary; the template that saves
-most explains the block best. The leading templates are then compared word by
-word, and the first whose wording differs little enough is confirmed.
+most explains the block best. All templates are then compared word by word with
+the stretches of the block, and each stretch whose wording differs little
+enough confirms a license, so notices that share a block or a line are all named.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -76,47 +78,72 @@ def naming_words(found: list[str]) -> set[str]:
     return {p for w in found for p in (w, *w.split("-"))} & NAMING
 
 
-def word_differences(block: list[str], template: list[str]) -> int:
-    """Words to insert, delete or replace, least over all stretches of the block as long as the template is.
+def likely_stretches(block: list[str], template: list[str], most: int) -> list[int]:
+    """Starts of the stretches, as long as the template is, that share all but ``most`` of its words in any order; no other can differ in ``most`` words or less."""
+    lacking, missing, found = Counter(template), len(template), []
+    for k, word in enumerate(block):
+        missing -= lacking[word] > 0
+        lacking[word] -= 1
+        if k >= len(template):
+            gone = block[k - len(template)]
+            lacking[gone] += 1
+            missing += lacking[gone] > 0
+        if missing <= most and (k + 1 >= len(template) or k + 1 == len(block)):
+            found.append(max(0, k + 1 - len(template)))
+    return found
 
-    A stretch with a naming word in or around it that the template lacks differs wholly.
-    """
-    best, own = len(template), naming_words(template)
-    for k in range(max(1, len(block) - len(template) + 1)):
-        stretch = block[k : k + len(template)]
-        if naming_words(block[max(0, k - AROUND) : k + len(template) + AROUND]) - own:
-            continue
-        codes = difflib.SequenceMatcher(None, stretch, template, autojunk=False).get_opcodes()
-        best = min(best, sum(max(b - a, d - c) for op, a, b, c, d in codes if op != "equal"))
-    return best
+
+def word_differences(stretch: list[str], template: list[str]) -> int:
+    """Words to insert, delete or replace."""
+    codes = difflib.SequenceMatcher(None, stretch, template, autojunk=False).get_opcodes()
+    return sum(max(b - a, d - c) for op, a, b, c, d in codes if op != "equal")
 
 
 class Scanner:
-    """Names the license of a block."""
+    """Names the licenses of a block."""
 
     def __init__(self, templates: list = TEMPLATES):
         self.wordings = [(name, set(must), words(text), zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(" ".join(words(text)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))) for name, must, texts in templates for text in texts]
         self.plain = zstandard.ZstdCompressor(level=9)
         self.known: dict[str, tuple] = {}
 
-    def name(self, block: str) -> tuple[str | None, float, int | None]:
-        """(license or None, part of the size saved by its template, differing words)."""
+    def names(self, block: str) -> tuple[list[tuple[str, int]], float]:
+        """([(license, differing words) of each confirmed stretch, in the order of the text], largest part of the size that a template saves)."""
         own = words(block)
         key = " ".join(own)
         if key not in self.known:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            self.known[key] = self._name(own, key.encode())
+            self.known[key] = self._names(own, key.encode())
         return self.known[key]
 
-    def _name(self, own: list[str], data: bytes) -> tuple[str | None, float, int | None]:
+    def _names(self, own: list[str], data: bytes) -> tuple[list[tuple[str, int]], float]:
         alone = len(self.plain.compress(data))
         ranked = sorted(((1 - len(c.compress(data)) / alone, name, must, template) for name, must, template, c in self.wordings), key=lambda x: (-x[0], x[1], len(x[3])))
-        for saved, name, must, template in [x for x in ranked if must_have(own, x[2])]:
-            differing = word_differences(own, template)
-            if differing * 100 <= DIFFER * len(template):
-                return name, saved, differing
-        return None, max(0.0, ranked[0][0]), None
+        taken: list[str | None] = [None] * len(own)
+        confirmed: dict[int, tuple[str, int]] = {}
+        # The stretches whose wording is close enough to a template; of equally close ones, the longer template, then the one that saves more.
+        close = []
+        for rank, (_, name, must, template) in enumerate(ranked):
+            most = DIFFER * len(template) // 100
+            for k in likely_stretches(own, template, most) if must_have(own, must) else []:
+                differing = word_differences(own[k : k + len(template)], template)
+                if differing <= most:
+                    close.append((differing / len(template), -len(template), rank, k, differing, name, must, naming_words(template)))
+        # Words of a confirmed stretch do not name its neighbours, so each pass may confirm what the one before could not.
+        found = True
+        while found:
+            found = False
+            for _, length, _, k, differing, name, must, allowed in sorted(close):
+                end = min(len(own), k - length)
+                if any(taken[k:end]):
+                    continue
+                around = [w for w, t in zip(own[max(0, k - AROUND) : end + AROUND], taken[max(0, k - AROUND) : end + AROUND]) if t is None]
+                if must_have(around, must) and not naming_words(around) - allowed:
+                    taken[k:end] = [name] * (end - k)
+                    confirmed[k] = (name, differing)
+                    found = True
+        return [confirmed[k] for k in sorted(confirmed)], max(0.0, ranked[0][0])
 
 
 def must_have(own: list[str], must: set[str]) -> bool:
@@ -142,8 +169,10 @@ def scan_licenses(docs: DataFrame, templates: list = TEMPLATES, id_col: str = "d
     Returns one row per input row: doc_id, n_blocks (candidate blocks),
     licenses (distinct confirmed names in order), n_unconfirmed (blocks
     without a confirmed name), most_saved (largest size reduction, 0 if no block),
-    differences (least number of differing words of a confirmed block, else null).
+    differences (least number of differing words of a confirmed stretch, else null).
 
+    * A block gives every license that a stretch of it names. Of stretches that overlap, the closest wording
+      counts; in a tie the longer template, then the one that saves more, then the smaller name.
     * A null or empty text has no blocks. Texts of any length are read whole.
     * Repeated rows and null ids give a row each. An empty table gives an empty result.
     * Other columns, whatever their names, are not read.
@@ -156,9 +185,9 @@ def scan_licenses(docs: DataFrame, templates: list = TEMPLATES, id_col: str = "d
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                judged = [scanner.name(b) for b in blocks(text or "", cue)] if text else []
-                named = [j for j in judged if j[0]]
-                rows.append((len(judged), sorted({j[0] for j in named}), len(judged) - len(named), max((j[1] for j in judged), default=0.0), min((j[2] for j in named), default=None)))
+                judged = [scanner.names(b) for b in blocks(text, cue)] if text else []
+                named = [found for confirmed, _ in judged for found in confirmed]
+                rows.append((len(judged), sorted({name for name, _ in named}), sum(not confirmed for confirmed, _ in judged), max((saved for _, saved in judged), default=0.0), min((n for _, n in named), default=None)))
             columns = list(zip(*rows)) or [()] * 5
             kinds = [pa.int64(), pa.list_(pa.string()), pa.int64(), pa.float64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", "n_blocks", "licenses", "n_unconfirmed", "most_saved", "differences"])

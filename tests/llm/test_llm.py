@@ -104,7 +104,7 @@ def test_every_template_names_itself():
     scanner = license_scan.Scanner()
     for name, _, wordings in license_scan.TEMPLATES:
         for wording in wordings:
-            assert scanner.name(wording)[0] == name
+            assert scanner.names(wording)[0] == [(name, 0)]
 
 
 def test_license_query_against_phrases(spark):

@@ -76,6 +76,24 @@ def test_toxic_features_are_counted_over_all_labels(spark, monkeypatch):
 def test_license_names_are_exact():
     scanner = license_scan.Scanner()
     others = ["GNU Lesser General Public License, version 3", "GNU Affero General Public License, version 3", "Licensed under CC BY-ND 4.0", "Licensed under CC BY-NC-SA 4.0", "Licensed under CC BY-NC-ND 4.0", "BSD 2-Clause License", "BSD 4-Clause License", "Not released under the MIT License."]
-    assert all(scanner.name(text)[0] is None for text in others)
+    assert all(scanner.names(text)[0] == [] for text in others)
     named = {"Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "Licensed under the BSD 3-Clause License.": "BSD-3-Clause"}
-    assert {text: scanner.name(text)[0] for text in named} == named
+    assert {text: scanner.names(text)[0] for text in named} == {text: [(name, 0)] for text, name in named.items()}
+
+
+def test_every_notice_of_a_block_is_named():
+    names = lambda block: [name for name, _ in license_scan.Scanner().names(block)[0]]
+    assert names("All rights reserved. Released under the MIT License. Licensed under CC BY-SA 4.0.") == ["All-Rights-Reserved", "MIT", "CC-BY-SA-4.0"]
+    assert names("Licensed under CC BY-SA 4.0. Licensed under CC BY 4.0.") == ["CC-BY-SA-4.0", "CC-BY-4.0"]
+    assert names("word " * 5_000 + "Licensed under CC BY 4.0." + " word" * 5_000 + " Licensed under CC BY 4.0.") == ["CC-BY-4.0"] * 2
+    assert names("") == [] and names("This work is licensed") == []
+
+
+def test_likely_stretches_lose_none():
+    rng = random.Random(3)
+    for _ in range(300):
+        block, template = rng.choices("abcde", k=rng.randint(0, 14)), rng.choices("abcdef", k=rng.randint(1, 6))
+        most = rng.randint(0, len(template) - 1)
+        starts = range(max(1, len(block) - len(template) + 1)) if block else []
+        close = [k for k in starts if license_scan.word_differences(block[k : k + len(template)], template) <= most]
+        assert set(close) <= set(license_scan.likely_stretches(block, template, most))
