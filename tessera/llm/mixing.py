@@ -4,7 +4,7 @@ Documents of a source fall into hash blocks (about the square root of its
 rows, so that both the blocks of a source and the documents of a block stay
 few). A source's quota is a number of whole passes over its blocks plus a
 last pass over the first blocks of a hash permutation; the rest is filled
-greedily from the blocks at the boundary. The exact quotas of drawn blocks are then divided among the
+greedily, largest first, with documents of all blocks from the boundary on. The exact quotas of drawn blocks are then divided among the
 output shards by a binary tree of multivariate hypergeometric draws; each
 shard owns disjoint runs of every source's permuted blocks and shuffles its
 own documents by a hash.
@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 from .common import small, written
 
-#: So many blocks from the boundary on are searched for documents that fill the rest of a quota.
-FILL_BLOCKS = 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -78,7 +76,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     for each copy), shuffle_key, alt (the text's digest where the id is null).
     A shard is read in the order of ``shuffle_key``.
 
-    * A null text has size 0; size-0 documents are copied like others but take no words.
+    * A null text has size 0; size-0 documents are copied like their blocks, but do not fill the rest of a quota.
     * A null source is a source of its own, last in the order.
     * Rows that share source and id are taken together or not at all; so are those of null ids and equal text.
     * A source without words has target 0. An empty table gives an empty result.
@@ -107,14 +105,26 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     edge = blocks.filter("ends > rest").groupBy("source_no").agg(F.min(F.struct("block", "words", "rest", "ends")).alias("e"))
     edge = edge.select("source_no", F.col("e.block").alias("edge_block"), (F.col("e.rest") - F.col("e.ends") + F.col("e.words")).alias("room"))
 
-    # The boundary: largest documents of a few blocks first, each that still fits.
-    units = blocked.join(small(edge), "source_no").filter(F.col("block").between(F.col("edge_block"), F.col("edge_block") + FILL_BLOCKS - 1)).groupBy("source_no", "room", "doc_id", "alt").agg(F.sum("size").alias("words"))
-    units = units.groupBy("source_no", "room").agg(F.sort_array(F.collect_list(F.struct("words", F.xxhash64("doc_id", "alt", F.lit(seed + 1)).alias("h"), "doc_id", "alt")), asc=False).alias("u"))
+    # The rest of the quota: largest documents first, from the boundary on, each that still fits. Only how many of each
+    # size are taken is decided per source; which ones, block by block, is an ordinary distributed rank.
+    units = blocked.join(small(edge), "source_no").filter("block >= edge_block")
+    units = units.groupBy("source_no", "block", "room", "doc_id", "alt").agg(F.sum("size").alias("words")).filter("words > 0 AND words <= room")
+    units = written(units, "mix-units")
+    counts = written(units.groupBy("source_no", "block", "room", "words").agg(F.count("*").alias("n")), "mix-counts")
+    of_size = counts.groupBy("source_no", "room", "words").agg(F.sum("n").alias("n"))
+    of_size = of_size.groupBy("source_no", "room").agg(F.sort_array(F.collect_list(F.struct("words", "n")), asc=False).alias("u"))
     fold = F.expr(
-        "aggregate(u, struct(room AS room, slice(u, 1, 0) AS got), (a, x) -> "
-        "IF(x.words <= a.room, struct(a.room - x.words AS room, concat(a.got, array(x)) AS got), a), a -> a.got)"
+        "aggregate(u, struct(room AS room, transform(slice(u, 1, 0), x -> struct(x.words AS words, x.n AS take)) AS got), (a, x) -> "
+        "IF(x.words <= a.room, struct(a.room - x.words * least(x.n, floor(a.room / x.words)) AS room, "
+        "concat(a.got, array(struct(x.words AS words, least(x.n, floor(a.room / x.words)) AS take))) AS got), a), a -> a.got)"
     )
-    chosen = written(units.select("source_no", F.explode(fold).alias("x")).select("source_no", "x.doc_id", "x.alt"), "mix-boundary")
+    wanted = written(of_size.select("source_no", F.explode(fold).alias("x")).select("source_no", "x.words", "x.take"), "mix-wanted")
+    in_turn = Window.partitionBy("source_no", "words").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    due = counts.join(small(wanted), ["source_no", "words"]).withColumn("due", F.col("take") - F.coalesce(F.sum("n").over(in_turn), F.lit(0)))
+    due = written(due.filter("due > 0").select("source_no", "words", "block", "due"), "mix-due")
+    in_block = Window.partitionBy("source_no", "words", "block").orderBy(F.xxhash64("doc_id", "alt", F.lit(seed + 1)), "doc_id", "alt")
+    chosen = units.join(small(due), ["source_no", "words", "block"]).withColumn("nth", F.row_number().over(in_block)).filter("nth <= due")
+    chosen = written(chosen.select("source_no", "doc_id", "alt"), "mix-boundary")
 
     plan = targets.join(edge, "source_no", "left").select("*", (F.col("passes") * F.col("n_blocks") + F.coalesce(F.col("edge_block") + 1, F.when(F.col("rest") > 0, F.col("n_blocks")), F.lit(0))).alias("quota"))
     quotas = [(r["source_no"], r["quota"]) for r in plan.select("source_no", "quota").orderBy("source_no").collect()]

@@ -292,7 +292,7 @@ def test_mixing(spark):
     for r in found:
         s = source[r["doc_id"]]
         assert r["source_size"] == sizes[s] and abs(r["target"] - want[s]) < 1e-6
-    assert all(abs(taken[s] - want[s]) <= 40 for s in want)
+    assert all(0 <= want[s] - taken[s] <= 40 for s in want)
     again = mixing.mix_sources(df.repartition(3)).collect()
     key = lambda r: (r["doc_id"], r["taken"], r["shards"])
     assert sorted(map(key, again)) == sorted(map(key, found))
@@ -302,6 +302,26 @@ def test_mixing(spark):
     assert out.columns == df.columns and out.count() == sum(r["copies"] for r in found)
 
 
+def test_mixing_fills_quotas_from_all_blocks(spark):
+    """One word is missing after the large documents; of 400 only one has so few, in whichever block."""
+    rows = [(k, " ".join(["w"] * 6), "en", "a", 0) for k in range(400)] + [(1000 + k, " ".join(["w"] * n), "en", "b", 0) for k, n in enumerate([50] * 400 + [1, 1, 2, 3, 7, 20])]
+    found = mixing.mix_sources(spark.createDataFrame(rows, DOCS), cap=1, weights=(1, 5)).collect()
+    taken, target, sizes = Counter(), {}, {}
+    for r in found:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        sizes.setdefault(r["source"], []).append((r["size"], r["copies"]))
+    for s in target:
+        room = target[s] - taken[s]
+        assert 0 <= room and not any(0 < size <= room and copies == 0 for size, copies in sizes[s])
+    # The same with more passes: what is left is smaller than every document that the last pass leaves out.
+    found = mixing.mix_sources(spark.createDataFrame(rows, DOCS), weights=(5, 1)).collect()
+    for s in ("a", "b"):
+        mine = [r for r in found if r["source"] == s]
+        room, least = mine[0]["target"] - sum(r["taken"] for r in mine), min(r["copies"] for r in mine)
+        assert 0 <= room and (max(r["copies"] for r in mine) == least or not any(r["copies"] == least and r["size"] <= room for r in mine))
+
+
 def test_mixing_query_targets(spark):
     found = queries.op6_mixing(spark, DATA).collect()
     source = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
