@@ -115,6 +115,19 @@ def max_layer(categories: DataFrame, groups: DataFrame) -> DataFrame:
     return groups.select("group_id").distinct().join(top, "group_id", "left").select("group_id", F.coalesce("top", F.lit(0)).cast("int").alias("max_layer"))
 
 
+def matched_selections(found: DataFrame) -> DataFrame:
+    """The rows of ``resolve_selections`` that have a node.
+
+    Those without one are left out, unless none of a query's selections has
+    one: that is an error, raised when the rows are computed. A query without
+    selections has no rows and is none.
+    """
+    counts = found.groupBy("query_id").agg(F.count("node_uuid").alias("_matched"))
+    message = F.concat(F.lit("no selection matches a node for query "), F.col("query_id").cast("string"))
+    rows = found.join(counts, "query_id").withColumn("node_uuid", F.when(F.col("_matched") == 0, F.raise_error(message)).otherwise(F.col("node_uuid")).cast("string"))
+    return rows.filter("node_uuid IS NOT NULL").drop("_matched")
+
+
 def resolve_selections(selections: DataFrame, nodes: DataFrame) -> DataFrame:
     """Selections (query_id, group_id, uuid, name, ...) to nodes: by uuid, else by name (the last of equal names, by ``seq``), else null.
 

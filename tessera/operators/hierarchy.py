@@ -103,6 +103,23 @@ def layer_categories(members: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def with_details(categories: DataFrame, details: DataFrame, most_tags: int = 2) -> DataFrame:
+    """``categories`` with the summaries and tags of ``details`` (group_id, category, summary, tag) where it has some.
+
+    Names meet trimmed. A summary is trimmed and a blank one does not count;
+    of the tags that are not blank the first ``most_tags`` stay. A category
+    without details keeps what it has. Of several details of one name the
+    smallest counts.
+    """
+    summary = F.when(F.trim("summary") != "", F.trim("summary"))
+    tags = F.slice(F.array_distinct(F.filter(F.transform("tag", lambda t: F.trim(t)), lambda t: t != "")), 1, most_tags)
+    told = details.select("group_id", F.trim("category").alias("_name"), summary.alias("_summary"), F.when(F.size(tags) > 0, tags).alias("_tag"))
+    told = told.groupBy("group_id", "_name").agg(F.min("_summary").alias("_summary"), F.min("_tag").alias("_tag"))
+    rows = categories.withColumn("_name", F.trim("category")).join(told, ["group_id", "_name"], "left")
+    rows = rows.withColumns({"summary": F.coalesce("_summary", "summary"), "tag": F.coalesce("_tag", "tag")})
+    return rows.select(*categories.columns)
+
+
 def merged_tags(lists: Column, most: int = 5) -> Column:
     return F.slice(F.array_distinct(F.flatten(lists)), 1, most)
 

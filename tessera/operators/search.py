@@ -87,6 +87,17 @@ def hybrid_search(index: TextIndex, rows: DataFrame, vector: str, queries: DataF
     return fuse_ranked(text.unionByName(near, allowMissingColumns=True), limit, k)
 
 
+def fact_search(index: TextIndex, edges: DataFrame, queries: DataFrame, limit: int, k: int = 60) -> DataFrame:
+    """Facts near each query, by text and, where queries and edges have vectors, by ``fact_embedding``; with both ends."""
+    if "vector" in queries.columns and "fact_embedding" in edges.columns:
+        found = hybrid_search(index, edges, "fact_embedding", queries, limit, k)
+    else:
+        found = fuse_ranked(fulltext_search(index, queries, limit).withColumn("list_no", F.lit(0)), limit, k)
+    group = queries.select("query_id", "group_id")
+    ends = edges.select("group_id", "uuid", "source_uuid", "target_uuid", "fact")
+    return found.drop("group_id").join(group, "query_id").join(ends, ["group_id", "uuid"])
+
+
 def edge_candidates(index: TextIndex, edges: DataFrame, queries: DataFrame, limit: int, k: int = 60) -> DataFrame:
     """Candidates for equal facts: only edges between the query's source_uuid and target_uuid."""
     pairs = queries.select("query_id", "group_id", "source_uuid", "target_uuid")

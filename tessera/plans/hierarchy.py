@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from tessera.config import Config
 from tessera.functions.text import stable_id
 from tessera.operators import hierarchy
-from tessera.providers import Categorizer
+from tessera.providers import Categorizer, Detailer
 
 
-def build(entities: DataFrame, categorizer: Categorizer, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
+def build(entities: DataFrame, categorizer: Categorizer, config: Config = Config(), detailer: Detailer | None = None) -> tuple[DataFrame, DataFrame]:
     """Categories and their links for all groups of ``entities``.
 
-    A group's layer that breaks a constraint is dropped and the group stops
+    The categoriser gets the nodes of a layer in batches (``batch_id``) of
+    ``config.assign_batch``; the detailer gets the accepted categories in
+    batches of ``config.detail_batch``, and those that it does not describe
+    keep the fallback. A group's layer that breaks a constraint is dropped and the group stops
     there; its earlier layers stay. Lineage is cut by a checkpoint per layer,
     so a lost executor costs one layer at most.
     """
@@ -22,10 +25,14 @@ def build(entities: DataFrame, categorizer: Categorizer, config: Config = Config
     categories = links = None
     for layer in range(1, config.max_layers + 1):
         current = hierarchy.indexed(nodes)
-        members = hierarchy.materialize_layer(categorizer.assign(current, layer), current, layer, config.min_children, config.speaker_mode)
+        asked = hierarchy.batched(current, config.assign_batch)
+        members = hierarchy.materialize_layer(categorizer.assign(asked, layer), current, layer, config.min_children, config.speaker_mode)
         made = hierarchy.layer_categories(members, current)
         good = hierarchy.check_layer(made, current, layer, config.min_children).filter("accepted")
         made = made.join(good.select("group_id"), "group_id", "left_semi")
+        if detailer:
+            described = hierarchy.batched(made, config.detail_batch, order=("category",))
+            made = hierarchy.with_details(made, detailer.details(described, layer))
         made = made.withColumn("uuid", stable_id("category", F.col("group_id"), F.lit(layer), F.col("category"))).checkpoint()
         if made.isEmpty():
             break

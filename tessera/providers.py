@@ -36,6 +36,10 @@ class Categorizer(Protocol):
     def assign(self, nodes: DataFrame, layer: int) -> DataFrame: ...
 
 
+class Detailer(Protocol):
+    def details(self, categories: DataFrame, layer: int) -> DataFrame: ...
+
+
 class LayerSelector(Protocol):
     def select(self, candidates: DataFrame, queries: DataFrame) -> DataFrame: ...
 
@@ -108,6 +112,23 @@ class LexicalReranker:
         return items.join(asked, "query_id").select("query_id", "uuid", (F.lit(100.0) * shared / F.greatest(F.size("_asked"), F.lit(1))).alias("rerank_score"))
 
 
+def indexed_scores(items: DataFrame, answers: DataFrame) -> DataFrame:
+    """Scores that a service gave by place, as query_id, uuid, rerank_score.
+
+    items: query_id, uuid, index. answers: query_id, index, score. Places that
+    the items do not have and null scores are ignored; of repeated places the
+    highest score counts. A query whose items got no score at all is an error,
+    raised when the rows are computed.
+    """
+    best = answers.filter("score IS NOT NULL").groupBy("query_id", "index").agg(F.max("score").alias("rerank_score"))
+    rows = items.select("query_id", "uuid", "index").join(best, ["query_id", "index"], "left")
+    scored = rows.groupBy("query_id").agg(F.count("rerank_score").alias("_scored"))
+    rows = rows.join(scored, "query_id")
+    message = F.concat(F.lit("no usable rerank scores for query "), F.col("query_id").cast("string"))
+    checked = F.when(F.col("_scored") == 0, F.raise_error(message)).otherwise(F.col("rerank_score")).cast("double")
+    return rows.select("query_id", "uuid", checked.alias("rerank_score")).filter("rerank_score IS NOT NULL")
+
+
 class RoutedReranker:
     """A primary reranker and its fallback. Modes: auto, true_reranker, llm_scoring.
 

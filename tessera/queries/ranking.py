@@ -241,6 +241,22 @@ def tag_merge_and_summary(spark, d):
     return made.select("group_id", "category", F.array_join("tag", ",").alias("tags"), "summary")
 
 
+_TAGS = REGISTRY["tag_merge_and_summary"][1]
+
+
+@register(REGISTRY, f"""SELECT group_id, category, CASE WHEN hash_no % 3 = 0 THEN 'x,y' ELSE tags END AS tags, CASE WHEN hash_no % 3 < 2 THEN 'About ' || trim(category) ELSE summary END AS summary
+FROM (SELECT *, length(category) AS hash_no FROM ({_TAGS}))""")
+def category_details(spark, d):
+    """Details as a model may give them: for some categories blank summaries, for some no tags, for some nothing."""
+    n = layer_nodes(spark, d)
+    made = hierarchy.layer_categories(hierarchy.materialize_layer(layer_assignments(n), n, 1), n)
+    no = F.length("category") % 3
+    summary = F.when(no < 2, F.concat(F.lit(" About "), F.trim("category"), F.lit(" "))).otherwise(F.lit("  "))
+    tags = F.when(no == 0, F.array(F.lit(" x "), F.lit(""), F.lit("y"), F.lit("z")))
+    told = made.select("group_id", F.concat(F.lit(" "), "category").alias("category"), summary.alias("summary"), tags.alias("tag"))
+    return hierarchy.with_details(made, told).select("group_id", "category", F.array_join("tag", ",").alias("tags"), "summary")
+
+
 def _speakers(mode, where):
     sql = "SELECT conv_id, turn, CAST(" + where + " AS BOOLEAN) AS reserved FROM conversations"
 

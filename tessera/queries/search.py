@@ -8,7 +8,7 @@ from tessera.functions.text import normalize_text, sanitize_query, shown_timesta
 from tessera.functions.vectors import truncate_renormalize
 from tessera.operators import fusion, search
 
-from .base import ASKED, GRAPH, episodes, register, table, text_queries, vector_queries, vectors
+from .base import ASKED, GRAPH, episodes, graph_tables, register, table, text_queries, vector_queries, vectors
 
 REGISTRY: dict = {}
 
@@ -67,6 +67,19 @@ def fulltext_bm25_topk(spark, d):
     return found.select("query_id", "uuid", "fulltext_score", F.col("rank").cast("long").alias("rank"))
 
 
+_FACTS = _BM25.replace("FROM ep\n), p AS", "FROM (SELECT group_id, uuid, fact AS content FROM rel)\n), p AS").replace("VALUES @asked", "SELECT 0, 'with'")
+
+
+@register(REGISTRY, _FACTS + "SELECT query_id, uuid, source_uuid, target_uuid, fact, fulltext_score, round(1.0::DOUBLE / (60 + rank), 9) AS rrf_score, CAST(rank AS BIGINT) AS rank FROM ranked JOIN rel USING (group_id, uuid) WHERE rank <= 50")
+def fact_search(spark, d):
+    """The facts of each group that a word asks for, with both ends."""
+    edges = graph_tables(spark, d)["edges"]
+    groups = episodes(spark, d).select("group_id").distinct()
+    asked = groups.select(F.concat("group_id", F.lit("-0")).alias("query_id"), "group_id", F.lit("with").alias("text"))
+    found = search.fact_search(search.build_text_index(edges, F.col("fact")), edges, asked, 50)
+    return found.select("query_id", "uuid", "source_uuid", "target_uuid", "fact", "fulltext_score", "rrf_score", F.col("rank").cast("long").alias("rank"))
+
+
 @register(REGISTRY, "SELECT conv_id, turn, coalesce(nullif(array_to_string(regexp_extract_all(text, '[\\p{L}\\p{N}_-]+'), ' '), ''), 'none') AS sanitized FROM conversations")
 def fulltext_sanitize(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", sanitize_query(F.col("text")).alias("sanitized"))

@@ -6,10 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import schema
+from tessera.config import Config
 from tessera.functions import text
 from tessera.operators import graph, hierarchy, store
+from tessera.plans import hierarchy as hierarchy_plan
 from tessera.plans import ingestion, retrieval
-from tessera.providers import LexicalReranker, LexicalSelector, RoutedReranker, TokenExtractor
+from tessera.providers import LexicalReranker, LexicalSelector, RoutedReranker, TokenExtractor, indexed_scores
 
 
 def tables(spark):
@@ -123,3 +125,38 @@ def test_hierarchy_is_cleared_with_its_links(spark):
     t = hierarchy_of(spark, [("a", 2), ("b", 1)])
     categories, links = store.clear_hierarchy(t["categories"], t["categorizes"], spark.createDataFrame([("a",)], "group_id string"))
     assert [r["uuid"] for r in categories.collect()] == ["b1"] and links.count() == 1
+
+
+def test_selections_that_all_miss_are_an_error(spark):
+    nodes = spark.createDataFrame([("g", "u1", "tree", 1)], "group_id string, uuid string, name string, seq int")
+    kind = "query_id string, group_id string, uuid string, name string"
+    picked = lambda rows: graph.matched_selections(graph.resolve_selections(spark.createDataFrame(rows, kind), nodes)).collect()
+    assert [r["node_uuid"] for r in picked([("q", "g", "u1", "x"), ("q", "g", "lost", "lost")])] == ["u1"]
+    assert picked([]) == []
+    with pytest.raises(Exception, match="no selection matches a node for query r"):
+        picked([("q", "g", "u1", "x"), ("r", "g", "lost", "lost")])
+
+
+def test_rerank_scores_by_place(spark):
+    items = spark.createDataFrame([("q", "a", 0), ("q", "b", 1), ("r", "c", 0)], "query_id string, uuid string, index int")
+    scored = lambda rows: {r["uuid"]: r["rerank_score"] for r in indexed_scores(items, spark.createDataFrame(rows, "query_id string, index int, score double")).collect()}
+    assert scored([("q", 1, 3.0), ("q", 1, 5.0), ("q", 9, 1.0), ("q", -1, 1.0), ("q", 0, None), ("r", 0, 2.0)]) == {"b": 5.0, "c": 2.0}
+    with pytest.raises(Exception, match="no usable rerank scores for query r"):
+        scored([("q", 0, 1.0), ("r", 7, 2.0)])
+
+
+def test_layers_are_assigned_in_batches_and_described(spark):
+    class Pairs:
+        def assign(self, nodes, layer):
+            rows = nodes.groupBy("group_id", "batch_id").agg(F.array_sort(F.collect_list("index")).alias("indexes"))
+            return rows.select("group_id", F.concat(F.lit(f"L{layer} "), F.col("batch_id").cast("string")).alias("category"), "indexes", F.col("batch_id").alias("row_no"))
+
+    class Told:
+        def details(self, categories, layer):
+            return categories.filter("batch_id = 0").select("group_id", "category", F.lit(" told ").alias("summary"), F.array(F.lit("t")).alias("tag"))
+
+    rows = [("g", f"u{k}", f"n{k}", ["old"], False) for k in range(6)]
+    entities = spark.createDataFrame(rows, "group_id string, uuid string, name string, tag array<string>, is_speaker boolean")
+    categories, _ = hierarchy_plan.build(entities, Pairs(), Config(assign_batch=2, detail_batch=2, max_layers=1), Told())
+    found = {r["name"]: (r["summary"], r["tag"]) for r in categories.collect()}
+    assert found == {"L1 0": ("told", ["t"]), "L1 1": ("told", ["t"]), "L1 2": ("L1 2: n4, n5", ["old"])}
