@@ -428,6 +428,7 @@ def fitted_weights(rows: DataFrame, scorer: Scorer, read: Callable[[list], tuple
         total = np.zeros(GATES * (size + len(upper[0])))
         for r in rows.select("value").mapInArrow(run, "k int, total long").groupBy("k").agg(F.sum("total").alias("total")).collect():
             total[r["k"]] = r["total"] / FRACTION**2
+        sent.unpersist()
         weights = scorer.weights.astype(np.float64)
         for gate, own in enumerate(total.reshape(GATES, -1)):
             curve = np.zeros((size, size))
@@ -567,6 +568,8 @@ def score_documents(docs: DataFrame, trains: str, late: str, id_col: str = "doc_
     id_type = dict(slim.dtypes)["doc_id"]
     scored = slim.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_tokens long, head_known long, head_base double, head_score double, n_bytes long, rest array<struct<word: binary, k: long, miss: double>>")
     scored = written(scored.withColumn("row_no", F.monotonically_increasing_id()), "lm-scored")
+    for done in (sent, sent_lexicon):
+        done.unpersist()
     tail = scored.select("row_no", F.explode("rest").alias("x")).select("row_no", "x.word", "x.k", "x.miss").join(words, "word", "left")
     # Sums of doubles that arrive in any order are of whole numbers.
     whole = lambda c: F.round(c * LOG_FRACTION).cast("long")
