@@ -40,6 +40,12 @@ def build_text_index(docs: DataFrame, text: Column, per_group: bool = False) ->
     return TextIndex(postings, frequencies, totals)
 
 
+def index_of(postings: DataFrame) -> TextIndex:
+    """The index of stored ``postings`` (token, group_id, uuid, tf, len), with frequencies over all groups."""
+    lengths = postings.select("group_id", "uuid", "len").distinct()
+    return TextIndex(postings, postings.groupBy("token").agg(F.count("*").alias("df")), lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len")))
+
+
 def fulltext_scores(index: TextIndex, queries: DataFrame) -> DataFrame:
     """BM25 of every document of the query's group that holds one of its tokens: query_id, group_id, uuid, fulltext_score."""
     wanted = queries.select("query_id", "group_id", F.explode(F.array_distinct(tokens(F.lower("text")))).alias("token"))
@@ -58,6 +64,9 @@ def top_per_query(scores: DataFrame, score: str, limit: int, ties: tuple[str, ..
 
 
 def fulltext_search(index: TextIndex, queries: DataFrame, limit: int) -> DataFrame:
+    """The best documents of each query. A written index (``text_index``) searches by itself, with the same result."""
+    if hasattr(index, "search"):
+        return index.search(queries, limit)
     scores = fulltext_scores(index, queries)
     # The first six places decide the order, so that sums in another order give the same ranks.
     return top_per_query(scores.withColumn("fulltext_score", F.round("fulltext_score", 6)), "fulltext_score", limit)

@@ -9,6 +9,7 @@ from tessera.config import Config
 from tessera.functions.text import shown_timestamp
 from tessera.operators import evaluate, fusion, graph, search
 from tessera.providers import LayerSelector, Reranker
+from tessera.stages import Keep, Stages, as_it_is
 
 ITEMS = ("episodes", "nodes", "edges")
 
@@ -21,22 +22,32 @@ def candidates(index: search.TextIndex, rows: DataFrame, vector: str | None, que
     return fusion.fuse_ranked(hits, limit, k)
 
 
-def system1(tables: dict[str, DataFrame], queries: DataFrame, config: Config = Config(), last_wins: bool = False) -> dict[str, DataFrame]:
-    """Entities near the query, their episodes, facts and neighbours, and the episodes near the query itself."""
+def text_indexes(tables: dict[str, DataFrame]) -> dict[str, search.TextIndex]:
+    """The text indexes that the first route asks: names and summaries of entities, contents of episodes."""
+    text = F.concat_ws(" ", "name", F.coalesce("summary", F.lit("")))
+    return {"entities": search.build_text_index(tables["entities"], text), "episodes": search.build_text_index(tables["episodes"], F.col("content"))}
+
+
+def system1(tables: dict[str, DataFrame], queries: DataFrame, config: Config = Config(), last_wins: bool = False, keep: Keep = as_it_is, indexes: dict[str, search.TextIndex] | None = None) -> dict[str, DataFrame]:
+    """Entities near the query, their episodes, facts and neighbours, and the episodes near the query itself.
+
+    ``keep`` gets every step that more than one plan reads. ``indexes`` has
+    the text indexes of entities and episodes, where they are there already.
+    """
+    indexes = indexes or text_indexes(tables)
     limit, k = config.candidate_limit, config.rrf_k
     entities, episodes = tables["entities"], tables["episodes"]
-    text = F.concat_ws(" ", "name", F.coalesce("summary", F.lit("")))
-    seeds = candidates(search.build_text_index(entities, text), entities, "summary_embedding", queries, limit, k)
+    seeds = keep("seeds", candidates(indexes["entities"], entities, "summary_embedding", queries, limit, k))
     group = queries.select("query_id", "group_id")
     start = seeds.select("query_id", "uuid").join(group, "query_id")
 
     near_episodes = fusion.propagate_scores(graph.expand_to_episodes(start, entities, tables["mentions"], episodes, limit), seeds)
-    near_edges = graph.expand_to_edges(start, entities, tables["edges"], limit)
+    near_edges = keep("near-edges", graph.expand_to_edges(start, entities, tables["edges"], limit))
     edges = graph.distinct_last(near_edges, "edge_uuid").withColumnRenamed("edge_uuid", "uuid")
     nodes = graph.distinct_last(near_edges, "neighbour_uuid").select("query_id", F.col("neighbour_uuid").alias("uuid"), "matched_entity_uuids", "matched_entity_count")
     edges, nodes = fusion.propagate_scores(edges, seeds), fusion.propagate_scores(nodes, seeds)
 
-    direct = candidates(search.build_text_index(episodes, F.col("content")), episodes, "episode_embedding", queries, limit, k)
+    direct = candidates(indexes["episodes"], episodes, "episode_embedding", queries, limit, k)
     direct = direct.join(group, "query_id").join(episodes.select("group_id", "uuid", "content", "valid_at", "source_id"), ["group_id", "uuid"])
     named = entities.select("group_id", "uuid", "name", "summary", "tag")
 
@@ -55,7 +66,7 @@ def system1(tables: dict[str, DataFrame], queries: DataFrame, config: Config = C
     }
 
 
-def layer_walk(tables: dict[str, DataFrame], queries: DataFrame, selector: LayerSelector, top: int, mode: str = "faithful", leaf_resolution: bool = True) -> DataFrame:
+def layer_walk(tables: dict[str, DataFrame], queries: DataFrame, selector: LayerSelector, top: int, mode: str = "faithful", leaf_resolution: bool = True, keep: Keep = as_it_is) -> DataFrame:
     """The nodes that a walk down the hierarchy selects: query_id, group_id, uuid.
 
     Each group is entered at its own highest layer; ``top`` is the highest of
@@ -67,7 +78,8 @@ def layer_walk(tables: dict[str, DataFrame], queries: DataFrame, selector: Layer
     for those whose children offered nothing to choose. Without
     ``leaf_resolution`` categories stay categories.
 
-    The loop is over layers; each adds joins to one lazy plan.
+    The loop is over layers; each adds joins to one lazy plan, or with ``keep``
+    starts from the written choices of the layer above.
     """
     if mode not in ("faithful", "narrowing"):
         raise ValueError(f"unknown walk mode {mode!r}")
@@ -79,7 +91,7 @@ def layer_walk(tables: dict[str, DataFrame], queries: DataFrame, selector: Layer
     keys = ("query_id", "group_id", "uuid")
     chosen, parents = [], None
     for layer in range(top, 0, -1):
-        picked = selector.select(current, queries)
+        picked = keep(f"picked-{layer}", selector.select(current, queries))
         taken = picked.filter("get_all_children")
         plain = picked.filter("NOT get_all_children")
         chosen.append(picked.filter("layer = 0").select(*keys))
@@ -103,12 +115,12 @@ def layer_walk(tables: dict[str, DataFrame], queries: DataFrame, selector: Layer
     out = chosen[0]
     for part in chosen[1:]:
         out = out.unionByName(part)
-    return out.distinct()
+    return keep("selected", out.distinct())
 
 
-def system2(tables: dict[str, DataFrame], queries: DataFrame, selector: LayerSelector, top: int, mode: str = "faithful", leaf_resolution: bool = True) -> dict[str, DataFrame]:
+def system2(tables: dict[str, DataFrame], queries: DataFrame, selector: LayerSelector, top: int, mode: str = "faithful", leaf_resolution: bool = True, keep: Keep = as_it_is) -> dict[str, DataFrame]:
     """What one hop around the walk's nodes holds, and the nodes."""
-    selected = layer_walk(tables, queries, selector, top, mode, leaf_resolution)
+    selected = layer_walk(tables, queries, selector, top, mode, leaf_resolution, keep)
     near = graph.one_hop(selected, tables["entities"], tables["mentions"], tables["episodes"], tables["edges"])
     own = graph.hierarchy_nodes(tables["entities"], tables["categories"]).select("group_id", "uuid", "name")
     summaries = tables["entities"].select("group_id", "uuid", "summary", "tag")
@@ -139,36 +151,41 @@ def render_context(final: DataFrame) -> DataFrame:
     return section.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["body"]), "\n").alias("context"))
 
 
-def retrieve(tables: dict[str, DataFrame], queries: DataFrame, selector: LayerSelector, reranker: Reranker, top: int, config: Config = Config(), mode: str = "faithful") -> dict[str, DataFrame]:
+def item_counts(ranked: dict[str, DataFrame], tops: dict[str, int]) -> DataFrame:
+    """The rows of each query and item type at each step, told from the ranked rows alone: they say which routes found them."""
+    steps: dict[str, DataFrame] = {}
+    for kind, rows in ranked.items():
+        rows = rows.select("query_id", F.lit(kind).alias("item_type"), "uuid", "from_system1", "from_system2", (F.col("place") <= tops[kind]).alias("final"))
+        raw = rows.filter("from_system1").withColumn("route", F.lit("1")).unionByName(rows.filter("from_system2").withColumn("route", F.lit("2")))
+        for step, part in (("raw", raw), ("merged", rows), ("final", rows.filter("final"))):
+            steps[step] = part if step not in steps else steps[step].unionByName(part)
+    return evaluate.counts_block(steps["raw"], steps["merged"], steps["merged"], steps["final"])
+
+
+def retrieve(tables: dict[str, DataFrame], queries: DataFrame, selector: LayerSelector, reranker: Reranker, top: int, config: Config = Config(), mode: str = "faithful", stages: Stages | None = None) -> dict[str, DataFrame]:
     """Both routes merged, reranked and cut per item type; with the counts of each step and the context text.
 
-    Tables, queries and pools are read by several plans each, so they are kept (``persist``) and not made again.
+    Staged: what several plans read is written once (``stages``), so no plan
+    holds another's, and steps that do not need each other run together. The
+    stages are the postings of both text indexes, the seeds and the facts
+    around them, the walk's choices, and for each item type its merged pool
+    and its ranked rows, from which all results are read. Tables and queries
+    should be stored ones: they are read several times.
     """
-    queries, tables = queries.persist(), {name: t.persist() for name, t in tables.items()}
-    one = {kind: t.persist() for kind, t in system1(tables, queries, config).items()}
-    two = {kind: t.persist() for kind, t in system2(tables, queries, selector, top, mode).items()}
+    stages = stages or Stages(queries.sparkSession, "retrieve")
+    keep = stages.keep
+    postings = stages.keep_all({name: index.postings for name, index in text_indexes(tables).items()})
+    indexes = {name: search.index_of(rows) for name, rows in postings.items()}
+    one, two = system1(tables, queries, config, keep=keep, indexes=indexes), system2(tables, queries, selector, top, mode, keep=keep)
     tops = {"episodes": config.episode_top_k, "nodes": config.node_top_k, "edges": config.edge_top_k}
-    out: dict[str, DataFrame] = {}
-    steps: dict[str, DataFrame] = {}
-
-    def tag(step: str, df: DataFrame, kind: str, route: int | None = None) -> None:
-        rows = df.select("query_id", F.lit(kind).alias("item_type"), "uuid")
-        rows = rows.withColumn("route", F.lit(str(route))) if route else rows
-        steps[step] = rows if step not in steps else steps[step].unionByName(rows)
-
     context = None
-    for kind in ITEMS:
-        merged = fusion.merge_routes(one[kind], two[kind])
-        pool = merged.withColumn("candidate_text", candidate_text(kind))
-        ranked = fusion.rerank(pool, reranker.scores(pool, queries), 1 << 30).persist()
-        out[kind] = ranked.filter(F.col("place") <= tops[kind])
-        for step, df, route in (("raw", one[kind], 1), ("raw", two[kind], 2), ("merged", merged, None), ("reranked", ranked, None), ("final", out[kind], None)):
-            tag(step, df, kind, route)
-        lines = out[kind].select("query_id", F.lit(kind).alias("item_type"), "place", F.col("candidate_text").alias("line"))
+    pools = stages.keep_all({kind: fusion.merge_routes(one[kind], two[kind]).withColumn("candidate_text", candidate_text(kind)) for kind in ITEMS})
+    ranked = stages.keep_all({kind: fusion.rerank(pool, reranker.scores(pool, queries), 1 << 30) for kind, pool in pools.items()})
+    out = {kind: rows.filter(F.col("place") <= tops[kind]) for kind, rows in ranked.items()}
+    for kind, rows in out.items():
+        lines = rows.select("query_id", F.lit(kind).alias("item_type"), "place", F.col("candidate_text").alias("line"))
         context = lines if context is None else context.unionByName(lines)
-    out["counts"] = evaluate.counts_block(steps["raw"], steps["merged"], steps["reranked"], steps["final"])
-    out["context"] = render_context(context)
-    return out
+    return out | {"counts": item_counts(ranked, tops), "context": render_context(context)}
 
 
 def prompt_payload(nodes: DataFrame, columns: tuple[str, ...] = ("uuid", "name", "tag")) -> DataFrame:

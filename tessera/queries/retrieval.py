@@ -9,6 +9,7 @@ from tessera.config import Config
 from tessera.operators import graph
 from tessera.plans import retrieval
 from tessera.providers import LexicalReranker, LexicalSelector
+from tessera.stages import Stages
 
 from .base import GRAPH, TREE, graph_tables, register, tree_tables
 
@@ -160,29 +161,54 @@ def context_render(spark, d):
 
 
 def whole_retrieval(spark, d, item):
-    """Both routes over the conversation graph, with a hierarchy by first letters."""
+    """Both routes over the conversation graph, with a hierarchy by first letters; the queries name two entities and a letter."""
     from tessera.functions.text import stable_id
 
-    g = graph_tables(spark, d)
-    letter = F.upper(F.substring("name", 1, 1))
+    stages = Stages(spark, "retrieve")
+    g = stages.keep_all(graph_tables(spark, d))
+    letter = F.substring("name", 1, 1)
     cats = g["entities"].select("group_id", letter.alias("name")).distinct().withColumn("uuid", stable_id("category", F.col("group_id"), F.lit(1), F.col("name")))
     categories = cats.select("group_id", "uuid", "name", F.array("name").alias("tag"), F.lit(1).alias("layer"))
     links = g["entities"].select("group_id", letter.alias("name"), F.col("uuid").alias("child_uuid")).join(cats.withColumnRenamed("uuid", "parent_uuid"), ["group_id", "name"])
     tables = g | {"categories": categories, "categorizes": links.select("group_id", "parent_uuid", "child_uuid")}
-    queries = named_queries(spark, g).withColumn("text", F.concat_ws(" ", "text", F.substring("text", 1, 1)))
-    return retrieval.retrieve(tables, queries, LexicalSelector(), LexicalReranker(), 1, Config())[item]
+    queries = stages.keep("queries", named_queries(spark, g).withColumn("text", F.concat_ws(" ", "text", F.substring("text", 1, 1))))
+    return retrieval.retrieve(tables, queries, LexicalSelector(), LexicalReranker(), 1, Config(), stages=stages)[item]
+
+
+_TOKENS = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_-]+'))"
+_LETTERED = "string_agg(name, ' ' ORDER BY uuid) || ' ' || substr(string_agg(name, ' ' ORDER BY uuid), 1, 1) AS text"
+RETRIEVED = SYSTEM1.replace("string_agg(name, ' ' ORDER BY uuid) AS text", _LETTERED).rstrip() + f""",
+taken AS (SELECT q.query_id, e.group_id, e.uuid FROM q JOIN ent e ON e.group_id = q.group_id AND substr(e.name, 1, 1) = substr(q.text, 1, 1)),
+two AS (SELECT DISTINCT query_id, 'episodes' AS item_type, m.episode_uuid AS uuid FROM taken JOIN men m ON m.group_id = taken.group_id AND m.entity_uuid = taken.uuid
+  UNION SELECT query_id, 'edges', u.edge_uuid FROM taken JOIN und u ON u.group_id = taken.group_id AND u.seed = taken.uuid
+  UNION SELECT query_id, 'nodes', u.other FROM taken JOIN und u ON u.group_id = taken.group_id AND u.seed = taken.uuid
+  UNION SELECT query_id, 'nodes', uuid FROM taken),
+one AS (SELECT 'episodes' AS item_type, * FROM ({_POOL.format("pe")}) UNION ALL SELECT 'nodes', * FROM ({_POOL.format("pn")}) UNION ALL SELECT 'edges', * FROM ({_POOL.format("pg")})),
+line AS (SELECT 'episodes' AS item_type, uuid, '[' || strftime(valid_at, '%Y/%m/%d (%a) %H:%M') || '] ' || content AS line FROM ep
+  UNION ALL SELECT 'nodes', uuid, '{{"name":"' || name || '","tag":["' || tag || '"],"summary":"' || summary || '"}}' FROM ent
+  UNION ALL SELECT 'edges', uuid, '{{"fact":"' || fact || '","valid_at":"' || strftime(valid_at, '%Y/%m/%d (%a) %H:%M') || '","invalid_at":null}}' FROM rel),
+pool AS (SELECT coalesce(one.query_id, two.query_id) AS query_id, coalesce(one.item_type, two.item_type) AS item_type, coalesce(one.uuid, two.uuid) AS uuid, one.uuid IS NOT NULL AS in1, two.uuid IS NOT NULL AS in2,
+  coalesce(rrf_score, 0) AS rrf, CASE WHEN two.uuid IS NOT NULL THEN greatest(coalesce(rrf_score, 0), 1.0) ELSE coalesce(rrf_score, 0) END AS route_score
+  FROM one FULL JOIN two ON one.query_id = two.query_id AND one.item_type = two.item_type AND one.uuid = two.uuid),
+asked AS (SELECT query_id, {_TOKENS.format("text")} AS asked FROM q),
+scored AS (SELECT pool.*, line, 100.0::DOUBLE * len(list_intersect({_TOKENS.format("line")}, asked)) / len(asked) AS rerank_score FROM pool JOIN line USING (item_type, uuid) JOIN asked USING (query_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, item_type ORDER BY rerank_score DESC, route_score DESC, rrf DESC, uuid) AS place FROM scored),
+final AS (SELECT * FROM ranked WHERE place <= CASE item_type WHEN 'episodes' THEN 10 ELSE 20 END)
+"""
 
 
-@register(REGISTRY)
+@register(REGISTRY, RETRIEVED + "SELECT query_id, uuid, rerank_score, route_score, CAST(place AS BIGINT) AS place FROM final WHERE item_type = 'episodes'")
 def retrieve_final_episodes(spark, d):
-    return whole_retrieval(spark, d, "episodes").select("query_id", "uuid", "rerank_score", "route_score", "place")
+    return whole_retrieval(spark, d, "episodes").select("query_id", "uuid", "rerank_score", "route_score", F.col("place").cast("long").alias("place"))
 
 
-@register(REGISTRY)
+@register(REGISTRY, RETRIEVED + """, sec AS (SELECT query_id, item_type, '<' || upper(item_type) || '>' || chr(10) || string_agg(line, chr(10) ORDER BY place) || chr(10) || '</' || upper(item_type) || '>' AS body FROM final GROUP BY query_id, item_type)
+SELECT query_id, string_agg(body, chr(10) ORDER BY CASE item_type WHEN 'nodes' THEN 0 WHEN 'edges' THEN 1 ELSE 2 END) AS context FROM sec GROUP BY query_id""")
 def retrieve_context(spark, d):
     return whole_retrieval(spark, d, "context")
 
 
-@register(REGISTRY)
+@register(REGISTRY, RETRIEVED + """SELECT query_id, item_type, count(*) FILTER (in1) AS system1_count, count(*) FILTER (in2) AS system2_count, count(*) FILTER (in1) + count(*) FILTER (in2) AS raw_count,
+  count(*) AS merged_unique_count, count(*) AS reranked_count, count(*) FILTER (place <= CASE item_type WHEN 'episodes' THEN 10 ELSE 20 END) AS final_count FROM ranked GROUP BY query_id, item_type""")
 def retrieve_counts(spark, d):
     return whole_retrieval(spark, d, "counts")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tessera.functions.text import normalize_text, sanitize_query, shown_timestamp, slug, speaker_name
 from tessera.functions.vectors import truncate_renormalize
 from tessera.operators import fusion, search
+from tessera.operators.text_index import WrittenIndex
+from tessera.stages import Stages
 
 from .base import ASKED, GRAPH, episodes, graph_tables, register, table, text_queries, vector_queries, vectors
 
@@ -67,6 +69,16 @@ def fulltext_bm25_topk(spark, d):
     return found.select("query_id", "uuid", "fulltext_score", F.col("rank").cast("long").alias("rank"))
 
 
+@register(REGISTRY, BM25 + "SELECT query_id, uuid, fulltext_score, CAST(rank AS BIGINT) AS rank FROM ranked WHERE rank <= 10")
+def fulltext_written_index(spark, d):
+    """As ``fulltext_bm25_topk``, from an index that is written in two segments and searched block by block."""
+    e = episodes(spark, d)
+    index = WrittenIndex(spark, Stages(spark, "index").folder, 16)
+    index.create(e.filter("conv_id % 2 = 0"), F.col("content")).append(e.filter("conv_id % 2 <> 0"), F.col("content"))
+    found = search.fulltext_search(index, text_queries(spark, d), 10)
+    return found.select("query_id", "uuid", "fulltext_score", F.col("rank").cast("long").alias("rank"))
+
+
 _FACTS = _BM25.replace("FROM ep\n), p AS", "FROM (SELECT group_id, uuid, fact AS content FROM rel)\n), p AS").replace("VALUES @asked", "SELECT 0, 'with'")
 
 
