@@ -131,17 +131,20 @@ class Snapshots:
         return touched
 
     def vacuum(self, keep: int = 1) -> int:
-        """Deletes the states before the last ``keep`` and the folders that no other state names; gives how many folders went.
+        """Deletes the states before the last ``keep`` and the buckets that no other state names; gives how many buckets went.
 
         Readers of older states fail afterwards, so keep as many states as the longest reader may see go by.
         """
         newest = self.version()
-        kept = [v for v in sorted(int(n.removesuffix(".json")) for n in self._names("manifest") if n.endswith(".json")) if v > newest - keep]
-        used = {folder.split("/")[1] for v in kept for table in self.state(v).values() for _, folder in table["parts"]}
-        gone = [n for n in self._names("data") if n not in used]
-        for v in (int(n.removesuffix(".json")) for n in self._names("manifest") if n.endswith(".json")):
-            if v not in kept:
-                self.fs.delete(self._path(f"manifest/{v:010d}.json"), False)
-        for n in gone:
-            self.fs.delete(self._path(f"data/{n}"), True)
-        return len(gone)
+        versions = [int(n.removesuffix(".json")) for n in self._names("manifest") if n.endswith(".json")]
+        used = {folder for v in versions if v > newest - keep for table in self.state(v).values() for _, folder in table["parts"]}
+        for v in (v for v in versions if v <= newest - keep):
+            self.fs.delete(self._path(f"manifest/{v:010d}.json"), False)
+        gone = 0
+        for folder in self._names("data"):
+            buckets = [f"data/{folder}/{n}" for n in self._names(f"data/{folder}") if n.startswith(BUCKET)]
+            dead = [b for b in buckets if b not in used]
+            for b in [f"data/{folder}"] if len(dead) == len(buckets) else dead:
+                self.fs.delete(self._path(b), True)
+            gone += len(dead)
+        return gone

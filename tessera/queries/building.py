@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tessera.functions.text import stable_id
 from tessera.functions.vectors import cosine
 from tessera.operators import ingest, store
+from tessera.operators.snapshots import Snapshots
 from tessera.plans.ingestion import ingest_turns
 from tessera.providers import TokenExtractor
+from tessera.stages import Stages
 
 from .base import GRAPH, episode_tokens, episodes, graph_tables, register, table
 
@@ -67,6 +69,16 @@ def upsert_episode(spark, d):
     return store.upsert_episodes(*_old_and_new(spark, d)).select("source_id", "uuid", "content", "ingestion_complete")
 
 
+@register(REGISTRY, REGISTRY["upsert_episode"][1])
+def upsert_touched_buckets(spark, d):
+    """As ``upsert_episode``, into a stored table of which only the touched buckets are rewritten."""
+    old, new = _old_and_new(spark, d)
+    tables = Snapshots(spark, Stages(spark, "episodes").folder)
+    tables.create("episodes", old, ["group_id", "source_id"], 32)
+    tables.upsert("episodes", new, store.upsert_episodes)
+    return tables.read("episodes").select("source_id", "uuid", "content", "ingestion_complete")
+
+
 @register(REGISTRY, GRAPH + "SELECT source_id, ingestion_complete OR (seq % 2 = 0) AS ingestion_complete FROM ep")
 def mark_ingested(spark, d):
     e = episodes(spark, d)

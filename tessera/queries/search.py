@@ -8,6 +8,7 @@ from tessera.functions.text import normalize_text, sanitize_query, shown_timesta
 from tessera.functions.vectors import truncate_renormalize
 from tessera.operators import fusion, search
 from tessera.operators.text_index import WrittenIndex
+from tessera.operators.vector_index import VectorIndex
 from tessera.stages import Stages
 
 from .base import ASKED, GRAPH, episodes, graph_tables, register, table, text_queries, vector_queries, vectors
@@ -34,6 +35,14 @@ def vector_topk_batched(spark, d):
     return found.select("query_id", "uuid", "similarity", F.col("rank").cast("long").alias("rank"))
 
 
+@register(REGISTRY, _TOP.format(n=20))
+def vector_topk_pruned(spark, d):
+    """As ``vector_topk_cosine``, from a written index whose cells are compared only where their bound reaches the threshold."""
+    index = VectorIndex(spark, Stages(spark, "vectors").folder, 16).create(vectors(spark, d), "summary_embedding")
+    found = index.search(vector_queries(spark, d), 20)
+    return found.select("query_id", "uuid", "similarity", F.col("rank").cast("long").alias("rank"))
+
+
 @register(REGISTRY, """
 SELECT vec_id, round(list_sum(list_transform(h, lambda x: x / n)), 6) AS component_sum, round(h[1] / n, 6) AS first_component
 FROM (SELECT vec_id, h, greatest(sqrt(list_sum(list_transform(h, lambda x: x * x))), 1e-12) AS n FROM (SELECT vec_id, (embedding::DOUBLE[])[1:16] AS h FROM embeddings))

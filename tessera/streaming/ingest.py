@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,17 +11,18 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators import store
+from tessera.operators.snapshots import Snapshots
 
 
-def upsert_stream(turns: DataFrame, read: Callable[[], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch is merged into the episodes at ``path`` by (group_id, source_id), so replays change nothing.
+def upsert_stream(turns: DataFrame, tables: Snapshots, name: str, checkpoint: str) -> StreamingQuery:
+    """Each micro-batch is merged into the episodes ``name`` of ``tables`` by (group_id, source_id), so replays change nothing.
 
-    ``read`` gives the table as it is, or an empty one. Runs over what is there and stops.
+    Only the buckets of a batch's keys are rewritten, and a reader sees the
+    table before or after a batch. Runs over what is there and stops.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
-        store.restore(batch.sparkSession, path)
-        store.write_swapped(store.upsert_episodes(read(), batch), path)
+        tables.upsert(name, batch, store.upsert_episodes)
 
     return turns.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

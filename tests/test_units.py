@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera import config, providers, telemetry
 from tessera.functions import payload, text, vectors
+from tessera.operators.snapshots import Snapshots
 from tessera.operators import evaluate, fusion, graph, hierarchy, ingest, store
 from tessera.plans import hierarchy as hierarchy_plan
 from tessera.plans.answering import answer_and_judge
@@ -262,14 +263,11 @@ def test_streams(spark, tmp_path):
     at = datetime(2024, 1, 1)
     source = spark.createDataFrame([("g", f"e{k}", f"s{k}", "user", f"t{k}", at, k, False) for k in range(5)], schema)
     source.coalesce(1).write.parquet(f"{tmp_path}/in")
-    table = f"file://{tmp_path}/table"
-
-    def read():
-        return spark.read.parquet(table) if (tmp_path / "table").exists() else spark.createDataFrame([], schema)
-
+    tables = Snapshots(spark, f"file://{tmp_path}/tables")
+    tables.create("episodes", spark.createDataFrame([], schema), ["group_id", "source_id"], 4)
     for run in ("c1", "c2"):  # a second run replays every turn
-        streaming.upsert_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), read, table, f"{tmp_path}/{run}").awaitTermination()
-        assert spark.read.parquet(table).count() == 5
+        streaming.upsert_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), tables, "episodes", f"{tmp_path}/{run}").awaitTermination()
+        assert tables.read("episodes").count() == 5
     q = streaming.recent_windows(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 2).writeStream.format("memory").queryName("recent").option("checkpointLocation", f"{tmp_path}/c3").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert dict(rows(spark.table("recent"), "source_id", "recent"))["s3"] == "t1\nt2"
