@@ -29,6 +29,9 @@ class Config:
     min_children: int = 2
     assign_batch: int = 96
     detail_batch: int = 48
+    entity_detail_tokens: int = 768
+    edge_tokens: int = 768
+    reflection_rounds: int = 1
     episode_top_k: int = 10
     node_top_k: int = 20
     edge_top_k: int = 20

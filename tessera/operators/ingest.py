@@ -94,19 +94,37 @@ def resolve_edges(edges: DataFrame, entities: DataFrame, episodes: DataFrame, ma
     """
     key = (lambda c: c) if exact_case else normalize_text
     ends = entities.select("group_id", key(F.col("name")).alias("_k"), "uuid").groupBy("group_id", "_k").agg(F.min("uuid").alias("_u"))
+    rows = _with_ends(edges, ends, key, ["group_id"], episodes)
+    if matched is not None:
+        rows = rows.join(matched.select("uuid", "match_uuid"), "uuid", "left").withColumn("uuid", F.coalesce("match_uuid", "uuid")).drop("match_uuid")
+    return latest_edges(rows)
+
+
+def placed_edges(edges: DataFrame, resolved: DataFrame, entities: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Edges with the entities that their ends' names mean in their own turn, or else in the group by equal normalised name."""
+    said = resolved.select("group_id", "episode_uuid", F.col("key").alias("_k"), "uuid").groupBy("group_id", "episode_uuid", "_k").agg(F.min("uuid").alias("_u"))
+    named = entities.select("group_id", normalize_text(F.col("name")).alias("_k"), "uuid").groupBy("group_id", "_k").agg(F.min("uuid").alias("_named"))
+    turns = edges.select("group_id", "episode_uuid", "source", "target")
+    names = turns.select("group_id", "episode_uuid", normalize_text(F.col("source")).alias("_k")).union(turns.select("group_id", "episode_uuid", normalize_text(F.col("target")))).distinct()
+    ends = names.join(said, ["group_id", "episode_uuid", "_k"], "left").join(named, ["group_id", "_k"], "left")
+    ends = ends.select("group_id", "episode_uuid", "_k", F.coalesce("_u", "_named").alias("_u")).filter("_u IS NOT NULL")
+    return _with_ends(edges, ends, normalize_text, ["group_id", "episode_uuid"], episodes)
+
+
+def _with_ends(edges: DataFrame, ends: DataFrame, key, by: list[str], episodes: DataFrame) -> DataFrame:
     rows = edges
     for end in ("source", "target"):
-        side = ends.select("group_id", F.col("_k").alias(f"_{end}"), F.col("_u").alias(f"{end}_uuid"))
-        rows = rows.withColumn(f"_{end}", key(F.col(end))).join(side, ["group_id", f"_{end}"]).drop(f"_{end}")
+        side = ends.select(*by, F.col("_k").alias(f"_{end}"), F.col("_u").alias(f"{end}_uuid"))
+        rows = rows.withColumn(f"_{end}", key(F.col(end))).join(side, [*by, f"_{end}"]).drop(f"_{end}")
     rows = rows.filter("source_uuid <> target_uuid").withColumn("_fact", normalize_text(F.col("fact")))
     rows = rows.join(episodes.select("group_id", F.col("uuid").alias("episode_uuid"), "valid_at", "seq"), ["group_id", "episode_uuid"])
-    new = stable_id("fact", F.col("source_uuid"), F.col("target_uuid"), F.col("_fact"))
-    rows = rows.withColumn("uuid", new)
-    if matched is not None:
-        rows = rows.join(matched.select("uuid", "match_uuid"), "uuid", "left").withColumn("uuid", F.coalesce("match_uuid", "uuid")).drop("match_uuid")
-    order = Window.partitionBy("source_uuid", "target_uuid", "uuid").orderBy(F.desc("seq"), F.desc("fact"))
-    last = rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1")
-    return last.select("group_id", "uuid", "source_uuid", "target_uuid", "fact", "valid_at", F.lit(None).cast("timestamp").alias("invalid_at"))
+    return rows.withColumn("uuid", stable_id("fact", F.col("source_uuid"), F.col("target_uuid"), F.col("_fact")))
+
+
+def latest_edges(rows: DataFrame) -> DataFrame:
+    """Of rows with one id the latest turn's, as edges."""
+    last = F.max_by(F.struct("group_id", "fact", "valid_at"), F.struct("seq", "fact")).alias("_e")
+    return rows.groupBy("source_uuid", "target_uuid", "uuid").agg(last).select("_e.group_id", "uuid", "source_uuid", "target_uuid", "_e.fact", "_e.valid_at", F.lit(None).cast("timestamp").alias("invalid_at"))
 
 
 def detail_batch_size(max_tokens: int) -> int:

@@ -27,9 +27,19 @@ class Embedder(Protocol):
 
 
 class Extractor(Protocol):
+    """Finds names and facts. One that can reflect also has ``reflect_names`` and ``reflect_edges`` (see ``operators.reflection``)."""
+
     def names(self, episodes: DataFrame) -> DataFrame: ...
 
-    def edges(self, episodes: DataFrame, mentions: DataFrame) -> DataFrame: ...
+    def edges(self, episodes: DataFrame, mentions: DataFrame) -> DataFrame:
+        """Facts between mentions of one turn and batch: pairs do not span batches (``batch_id``)."""
+        ...
+
+
+class EntityDetailer(Protocol):
+    def entity_details(self, mentions: DataFrame) -> DataFrame:
+        """Summaries and tags of mentions in batches (``batch_id``): group_id, key, summary, tag."""
+        ...
 
 
 class Categorizer(Protocol):
@@ -56,8 +66,18 @@ class Judge(Protocol):
     def judge(self, reference: Column, predicted: Column) -> Column: ...
 
 
+class LetterEmbedder:
+    """A vector of letter counts, a to z: names of nearly the same spelling have a similarity near 1."""
+
+    dimensions = 26
+
+    def embed(self, text: Column) -> Column:
+        low = F.lower(text)
+        return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(chr(97 + k))))).cast("float") for k in range(self.dimensions)])
+
+
 class HashEmbedder:
-    """A vector of token hashes: component k counts the tokens whose hash is k, with a sign."""
+    """A vector of token hashes: component k counts the tokens whose hash is k."""
 
     def __init__(self, dimensions: int = 128):
         self.dimensions = dimensions
@@ -68,6 +88,34 @@ class HashEmbedder:
         return F.transform(F.sequence(F.lit(0), F.lit(self.dimensions - 1)), lambda k: F.size(F.filter(place, lambda p: p == k)).cast("float"))
 
 
+class RemoteEmbedder:
+    """An embedding service or model: ``load`` gives, once per worker, a function from texts to vectors.
+
+    Texts go in batches of ``batch``, with tries; an answer of another length, or a vector of another size, is an error.
+    """
+
+    def __init__(self, load: Callable[[], Callable[[list[str]], list[list[float]]]], dimensions: int, batch: int = 32, tries: int = 3):
+        self.load, self.dimensions, self.batch, self.tries = load, dimensions, batch, tries
+
+    def embed(self, text: Column) -> Column:
+        load, dimensions, batch, tries = self.load, self.dimensions, self.batch, self.tries
+
+        def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            ask = load()
+            for values in series:
+                texts, found = values.dropna(), []
+                for k in range(0, len(texts), batch):
+                    part = texts.iloc[k : k + batch].tolist()
+                    got = with_tries(lambda: ask(part), tries)
+                    if len(got) != len(part) or any(len(v) != dimensions for v in got):
+                        raise ValueError(f"not {len(part)} vectors of {dimensions} components for {len(part)} texts")
+                    found += got
+                yield pd.Series(found, index=texts.index, dtype="object").reindex(values.index).replace({float("nan"): None})
+
+        run.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}
+        return F.pandas_udf(run, "array<float>")(text)
+
+
 class TokenExtractor:
     """Names are long tokens; a fact joins two names that follow each other in a turn."""
 
@@ -80,9 +128,10 @@ class TokenExtractor:
 
     def edges(self, episodes: DataFrame, mentions: DataFrame) -> DataFrame:
         ordered = F.array_sort(F.collect_list(F.struct("pos", "name")))
-        chains = mentions.filter("pos >= 0").groupBy("group_id", "episode_uuid").agg(ordered.alias("m")).filter(F.size("m") >= 2)
-        pairs = chains.select("group_id", "episode_uuid", F.posexplode(F.expr("transform(sequence(1, size(m) - 1), i -> struct(m[i - 1].name AS source, m[i].name AS target))")).alias("pos", "p"))
-        return pairs.select("group_id", "episode_uuid", F.lit(0).alias("round"), "pos", "p.source", "p.target", F.concat_ws(" with ", "p.source", "p.target").alias("fact"))
+        batch = F.col("batch_id") if "batch_id" in mentions.columns else F.lit(0)
+        chains = mentions.filter("pos >= 0").groupBy("group_id", "episode_uuid", batch.alias("_batch")).agg(ordered.alias("m")).filter(F.size("m") >= 2)
+        pairs = chains.select("group_id", "episode_uuid", F.explode(F.expr("transform(sequence(1, size(m) - 1), i -> struct(m[i - 1].pos AS pos, m[i - 1].name AS source, m[i].name AS target))")).alias("p"))
+        return pairs.select("group_id", "episode_uuid", F.lit(0).alias("round"), "p.pos", "p.source", "p.target", F.concat_ws(" with ", "p.source", "p.target").alias("fact"))
 
 
 class TagCategorizer:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.config import Config
 from tessera.functions.text import stable_id
 from tessera.functions.vectors import cosine
-from tessera.operators import ingest, store
+from tessera.operators import ingest, resolution, store
 from tessera.operators.snapshots import Snapshots
 from tessera.plans.ingestion import ingest_turns
-from tessera.providers import TokenExtractor
+from tessera.providers import LetterEmbedder, TokenExtractor
 from tessera.stages import Stages
 
 from .base import GRAPH, episode_tokens, episodes, graph_tables, register, table
@@ -181,7 +182,11 @@ def nearest_in_label(spark, d):
     return pairs.groupBy(F.col("q").alias("vec_id")).agg(best.alias("nearest"))
 
 
-@register(REGISTRY)
+@register(REGISTRY, _NAMES + """, placed AS (SELECT *, (row_number() OVER (PARTITION BY episode_uuid ORDER BY pos, key) - 1) // 6 AS batch FROM found),
+chain AS (SELECT group_id, uuid AS source_uuid, lead(uuid) OVER w AS target_uuid, name || ' with ' || lead(name) OVER w AS fact FROM placed WHERE pos >= 0 WINDOW w AS (PARTITION BY episode_uuid, batch ORDER BY pos, name)),
+fact AS (SELECT DISTINCT group_id, source_uuid, target_uuid, trim(regexp_replace(lower(fact), '\\s+', ' ', 'g')) AS fact FROM chain WHERE source_uuid <> target_uuid)
+SELECT group_id, 'episodes' AS "table", count(*) AS count FROM ep GROUP BY group_id UNION ALL SELECT group_id, 'entities', count(DISTINCT uuid) FROM found GROUP BY group_id
+UNION ALL SELECT group_id, 'mentions', count(*) FROM found GROUP BY group_id UNION ALL SELECT group_id, 'edges', count(*) FROM fact GROUP BY group_id""")
 def ingest_twice(spark, d):
     """A batch of turns ingested into an empty graph, then the whole table on top: counts per group."""
     e = episodes(spark, d).drop("conv_id", "turn").withColumn("ingestion_complete", F.lit(None).cast("boolean"))
@@ -200,6 +205,32 @@ def ingest_twice(spark, d):
     return out
 
 
+_LETTERS = "list_transform(range(97, 123), lambda k: (length({0}) - length(replace({0}, chr(k::INT), '')))::DOUBLE)"
+
+
+@register(REGISTRY, _NAMES.replace("WITH ep AS", "WITH RECURSIVE ep AS").rstrip() + f""", have AS (SELECT group_id, name AS key, uuid FROM ent WHERE seq % 2 = 0),
+first AS (SELECT group_id, key, min(seq) AS first FROM found WHERE NOT EXISTS (SELECT 1 FROM have WHERE have.group_id = found.group_id AND have.key = found.key) GROUP BY ALL),
+vectored AS (SELECT *, {_LETTERS.format("key")} AS v, regexp_extract_all(key, '[\\p{{L}}\\p{{N}}_-]+') AS words FROM (SELECT group_id, key, NULL::BIGINT AS first, true AS known FROM have UNION ALL SELECT group_id, key, first, false FROM first)),
+near AS (SELECT * FROM (SELECT a.group_id, a.key, a.first, b.key AS other, b.first AS other_first, b.known, a.words, b.words AS other_words, round(list_cosine_similarity(a.v, b.v), 6) AS similarity
+  FROM vectored a JOIN vectored b ON a.group_id = b.group_id AND a.key <> b.key WHERE NOT a.known AND list_sum(a.v) > 0 AND list_sum(b.v) > 0) WHERE similarity >= 0.92 OR (similarity >= 0.88 AND len(list_intersect(words, other_words)) > 0)),
+open AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY first, key) AS i FROM first WHERE NOT EXISTS (SELECT 1 FROM near WHERE near.known AND near.group_id = first.group_id AND near.key = first.key)),
+adjacent AS (SELECT o.group_id, o.i, o.key, coalesce(list(p.i) FILTER (p.i IS NOT NULL), []) AS before FROM open o LEFT JOIN near n ON n.group_id = o.group_id AND n.key = o.key AND n.other_first < o.first LEFT JOIN open p ON p.group_id = n.group_id AND p.key = n.other GROUP BY ALL),
+step AS (SELECT group_id, 0::BIGINT AS i, []::BIGINT[] AS made FROM (SELECT DISTINCT group_id FROM open)
+  UNION ALL SELECT a.group_id, a.i, CASE WHEN len(list_intersect(a.before, step.made)) > 0 THEN step.made ELSE list_append(step.made, a.i) END FROM step JOIN adjacent a ON a.group_id = step.group_id AND a.i = step.i + 1),
+last AS (SELECT group_id, arg_max(made, i) AS made FROM step GROUP BY group_id),
+there AS (SELECT group_id, key, uuid, NULL::BIGINT AS since FROM have UNION ALL SELECT o.group_id, o.key, md5('entity|' || o.group_id || '|' || o.key), o.first FROM open o JOIN last l ON l.group_id = o.group_id AND list_contains(l.made, o.i))
+SELECT f.group_id, f.episode_uuid, f.key, t.uuid FROM found f JOIN there t ON t.group_id = f.group_id AND t.key = f.key
+UNION ALL SELECT f.group_id, f.episode_uuid, f.key, arg_min(t.uuid, (-n.similarity, t.uuid)) FROM found f JOIN near n ON n.group_id = f.group_id AND n.key = f.key JOIN there t ON t.group_id = n.group_id AND t.key = n.other AND (t.since IS NULL OR t.since < f.seq)
+WHERE NOT EXISTS (SELECT 1 FROM there x WHERE x.group_id = f.group_id AND x.key = f.key) GROUP BY f.group_id, f.episode_uuid, f.key""")
+def ingest_known_entities(spark, d):
+    """The entity that each mention means, with half of the graph's entities known: equal names, near spellings, those that earlier turns made."""
+    stages = Stages(spark, "known")
+    e, m = mentions(spark, d)
+    known = stages.keep("known", graph_tables(spark, d)["entities"].filter("seq % 2 = 0").select("group_id", "uuid", "name"))
+    found = resolution.resolve_in_order(m, e, known, LetterEmbedder(), Config().entity_match, stages)
+    return found.select("group_id", "episode_uuid", "key", "uuid")
+
+
 @register(REGISTRY, "SELECT DISTINCT 'e' || (c_custkey % 7) AS key, md5('entity|' || c_nationkey || '|' || c_name) AS id FROM customer")
 def stable_ids(spark, d):
     return table(spark, d, "customer").select(F.concat(F.lit("e"), (F.col("c_custkey") % 7).cast("string")).alias("key"), stable_id("entity", F.col("c_nationkey"), F.col("c_name")).alias("id")).distinct()
