@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 
 def counts_block(raw: DataFrame, merged: DataFrame, reranked: DataFrame, final: DataFrame) -> DataFrame:
     """Rows per query and item type at each step: tables of (query_id, item_type, uuid, ...); raw also has route."""
@@ -27,20 +29,21 @@ def stage_report(events: DataFrame) -> DataFrame:
     """
     llm, run = F.col("event_type") == "llm_call", F.col("event_type") == "stage_runtime"
     zero = F.lit(0.0)
-    stage_time = F.sum(F.when(run, F.col("runtime_seconds")).otherwise(zero))
-    calls = events.groupBy("stage", "operation").agg(
+    # Sums per model first, so that an operation's models are as many rows as it has models.
+    first = F.struct("seq", F.when(llm, F.col("runtime_seconds")).otherwise(zero).alias("seconds"))
+    each = events.groupBy("stage", "operation", "model").agg(
         F.count_if(llm).alias("llm_calls"),
         F.sum(F.when(llm, F.col("runtime_seconds")).otherwise(zero)).alias("llm_seconds"),
-        F.sum(F.coalesce("prompt_tokens", F.lit(0))).alias("prompt_tokens"),
-        F.sum(F.coalesce("completion_tokens", F.lit(0))).alias("completion_tokens"),
-        F.sum(F.coalesce("total_tokens", F.lit(0))).alias("total_tokens"),
-        stage_time.alias("_stage"),
-        # The rule of the event order: a call seen while the stage's clock is still 0 sets it once.
-        F.min_by(F.when(llm, F.col("runtime_seconds")).otherwise(zero), "seq").alias("_first"),
-        F.expr("array_join(transform(array_sort(collect_list(CASE WHEN model IS NOT NULL THEN struct(seq, model) END)), x -> x.model), '|')").alias("_models"),
+        *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")],
+        F.sum(F.when(run, F.col("runtime_seconds")).otherwise(zero)).alias("_stage"),
+        F.min(first).alias("_first"),
     )
-    models = F.array_join(F.array_distinct(F.split("_models", "[|]")), "|")
-    return calls.select("stage", "operation", "llm_calls", "llm_seconds", "prompt_tokens", "completion_tokens", "total_tokens", models.alias("models"), (F.col("_stage") + F.col("_first")).alias("wall_clock_seconds"))
+    sums = ("llm_calls", "llm_seconds", "prompt_tokens", "completion_tokens", "total_tokens", "_stage")
+    seen = F.array_sort(F.collect_list(F.when(F.col("model").isNotNull(), F.struct(F.col("_first.seq").alias("seq"), "model"))))
+    calls = each.groupBy("stage", "operation").agg(*[F.sum(c).alias(c) for c in sums], F.min("_first").alias("_first"), seen.alias("_models"))
+    models = F.array_join(F.transform("_models", lambda x: x["model"]), "|")
+    # The rule of the event order: a call seen while the stage's clock is still 0 sets it once.
+    return calls.select("stage", "operation", *sums[:5], models.alias("models"), (F.col("_stage") + F.col("_first.seconds")).alias("wall_clock_seconds"))
 
 
 def eval_summary(answers: DataFrame, *by: str) -> DataFrame:
@@ -62,16 +65,17 @@ def category_accuracy(answers: DataFrame, excluded: str) -> DataFrame:
 
 def running_accuracy(answers: DataFrame) -> DataFrame:
     """Accuracy after each question of a group, in the order of (user_index, question_index)."""
-    order = Window.partitionBy("group_id").orderBy("user_index", "question_index").rowsBetween(Window.unboundedPreceding, 0)
-    right = F.sum(F.coalesce(F.col("is_correct"), F.lit(False)).cast("long")).over(order)
-    seen = F.count("*").over(order)
-    return answers.select("group_id", "user_index", "question_index", seen.alias("seen"), right.alias("correct"), (right / seen).alias("running_accuracy"))
+    right = F.coalesce(F.col("is_correct"), F.lit(False)).cast("long")
+    rows = answers.select("group_id", "user_index", "question_index", "is_correct")
+    rows = running(rows, ["group_id"], ["user_index", "question_index"], {"correct": right})
+    return rows.select("group_id", "user_index", "question_index", F.col("place").alias("seen"), "correct", (F.col("correct") / F.col("place")).alias("running_accuracy"))
 
 
 def gold_hits(found: DataFrame, gold: DataFrame) -> DataFrame:
     """How many of a query's gold source ids its results hold: query_id, hits, n_gold."""
-    have = found.groupBy("query_id").agg(F.collect_set("source_id").alias("_f"))
-    return gold.join(have, "query_id", "left").select("query_id", F.size(F.array_intersect("evidence", F.coalesce("_f", F.array().cast("array<string>")))).cast("long").alias("hits"), F.size("evidence").cast("long").alias("n_gold"))
+    wanted = gold.select("query_id", F.explode(F.array_distinct("evidence")).alias("source_id"))
+    hits = wanted.join(found.select("query_id", "source_id"), ["query_id", "source_id"], "left_semi").groupBy("query_id").agg(F.count("*").alias("hits"))
+    return gold.join(hits, "query_id", "left").select("query_id", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), F.size("evidence").cast("long").alias("n_gold"))
 
 
 def token_delta(before: Column, after: Column) -> Column:

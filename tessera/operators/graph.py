@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.stages import Stages
+
 
 def _matched() -> list:
     return [
@@ -86,20 +88,39 @@ def children(parents: DataFrame, categorizes: DataFrame, nodes: DataFrame) -> Da
     return found.join(nodes.select("group_id", "uuid", "name", "tag", "layer"), ["group_id", "uuid"])
 
 
-def descendants(parents: DataFrame, categorizes: DataFrame, nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Distinct nodes one or more links below ``parents``.
+def reachable(parents: DataFrame, categorizes: DataFrame, stages: Stages | None = None) -> DataFrame:
+    """Everything one or more links below ``parents``, however deep and in whatever shape: query_id, group_id, uuid.
 
-    A link leads to a lower layer, so as many steps as the highest layer reach
-    everything. A caller that knows that number gives it as ``max_depth``; else
-    it is looked up. The closure is one plan of so many joins over distinct frontiers.
+    Semi-naive: a step follows only the nodes that the step before reached for
+    the first time, and it ends when there are none. Each step's new nodes are
+    written, so every step's plan has the same size, and cycles end.
     """
-    if max_depth is None:
-        max_depth = max(1, nodes.agg(F.max("layer")).first()[0] or 0)
+    stages = stages or Stages(parents.sparkSession, "reachable")
     links = categorizes.select("group_id", F.col("parent_uuid").alias("uuid"), "child_uuid")
     frontier, reached = parents.select("query_id", "group_id", "uuid").distinct(), None
-    for _ in range(max_depth):
-        frontier = frontier.join(links, ["group_id", "uuid"]).select("query_id", "group_id", F.col("child_uuid").alias("uuid")).distinct()
-        reached = frontier if reached is None else reached.unionByName(frontier)
+    while True:
+        below = frontier.join(links, ["group_id", "uuid"]).select("query_id", "group_id", F.col("child_uuid").alias("uuid")).distinct()
+        frontier = stages.keep("frontier", below if reached is None else below.join(reached, ["query_id", "group_id", "uuid"], "left_anti"))
+        if frontier.isEmpty():
+            return frontier if reached is None else reached
+        # Steps so far are read as one folder list, so the plan does not grow.
+        reached = frontier if reached is None else parents.sparkSession.read.schema(frontier.schema).parquet(*reached.inputFiles(), *frontier.inputFiles())
+
+
+def descendants(parents: DataFrame, categorizes: DataFrame, nodes: DataFrame, max_depth: int | None = None, stages: Stages | None = None) -> DataFrame:
+    """Distinct nodes one or more links below ``parents``.
+
+    A caller that knows how many layers there can be gives ``max_depth`` and
+    gets one lazy plan of so many joins; else the closure is followed to its end (``reachable``).
+    """
+    if max_depth is None:
+        reached = reachable(parents, categorizes, stages)
+    else:
+        links = categorizes.select("group_id", F.col("parent_uuid").alias("uuid"), "child_uuid")
+        frontier, reached = parents.select("query_id", "group_id", "uuid").distinct(), None
+        for _ in range(max_depth):
+            frontier = frontier.join(links, ["group_id", "uuid"]).select("query_id", "group_id", F.col("child_uuid").alias("uuid")).distinct()
+            reached = frontier if reached is None else reached.unionByName(frontier)
     return reached.distinct().join(nodes.select("group_id", "uuid", "name", "tag", "layer"), ["group_id", "uuid"])
 
 
@@ -137,3 +158,17 @@ def resolve_selections(selections: DataFrame, nodes: DataFrame) -> DataFrame:
     by_uuid = nodes.select("group_id", "uuid", F.col("uuid").alias("_by_uuid")).distinct()
     found = selections.join(by_uuid, ["group_id", "uuid"], "left").join(by_name, ["group_id", "name"], "left")
     return found.withColumn("node_uuid", F.coalesce("_by_uuid", "_by_name")).drop("_by_uuid", "_by_name")
+
+
+def with_endpoints(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """Edges with the names of both ends; those without both in the group go."""
+    names = entities.select("group_id", "uuid", "name")
+    for end in ("source", "target"):
+        edges = edges.join(names.select("group_id", F.col("uuid").alias(f"{end}_uuid"), F.col("name").alias(f"{end}_name")), ["group_id", f"{end}_uuid"])
+    return edges
+
+
+def split_layers(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities, whose layer is 0 or null, and categories."""
+    layer = F.coalesce("layer", F.lit(0))
+    return nodes.filter(layer == 0), nodes.filter(layer != 0)

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.stages import Stages
+
+from .ordered import numbered
+
 SPEAKER = "Speaker"
 #: Names that mean a speaker where speakers are told by name.
 SPEAKER_NAMES = ("user", "i", "me")
@@ -143,13 +147,15 @@ def check_layer(categories: DataFrame, nodes: DataFrame, layer: int, min_childre
     return counts.join(found, "group_id").select("group_id", "n_nodes", "n_categories", (F.col("_good") & fewer).alias("accepted"))
 
 
-def indexed(nodes: DataFrame) -> DataFrame:
+def indexed(nodes: DataFrame, stages: Stages | None = None) -> DataFrame:
     """Nodes with their index from 0 in the order of names."""
-    order = Window.partitionBy("group_id").orderBy("name", "uuid")
-    return nodes.withColumn("index", F.row_number().over(order) - 1)
+    placed = numbered(nodes, ["group_id"], ["name", "uuid"], stages)
+    return placed.withColumn("index", (F.col("place") - 1).cast("int")).drop("place")
 
 
-def batched(rows: DataFrame, size: int, partition: tuple[str, ...] = ("group_id",), order: tuple[str, ...] = ("index",)) -> DataFrame:
+def batched(rows: DataFrame, size: int, partition: tuple[str, ...] = ("group_id",), order: tuple[str, ...] = ("index",), stages: Stages | None = None) -> DataFrame:
     """Adds batch_id: consecutive runs of ``size`` rows."""
-    place = F.row_number().over(Window.partitionBy(*partition).orderBy(*order))
-    return rows.withColumn("batch_id", F.floor((place - 1) / size))
+    if order == ("index",) and partition == ("group_id",):  # rows of a layer have their place already
+        return rows.withColumn("batch_id", F.floor(F.col("index") / size))
+    placed = numbered(rows, partition, order, stages)
+    return placed.withColumn("batch_id", F.floor((F.col("place") - 1) / size)).drop("place")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ordered import looking_back, numbered
+
 # --- scans ------------------------------------------------------------------
 
 
@@ -40,16 +42,17 @@ def recent_episodes(episodes: DataFrame, limit: int, before: DataFrame | None =
 
 def turn_contexts(episodes: DataFrame, limit: int) -> DataFrame:
     """Every turn with the contents of the ``limit`` turns before it, oldest first: the set form of a sequential read."""
-    order = Window.partitionBy("group_id").orderBy("valid_at", "seq", "source_id")
-    recent = F.collect_list(F.concat_ws(": ", "speaker", "content")).over(order.rowsBetween(-limit, -1))
-    return episodes.withColumn("recent", recent)
+    placed = numbered(episodes, ["group_id"], ["valid_at", "seq", "source_id"])
+    return looking_back(placed, ["group_id"], F.concat_ws(": ", "speaker", "content"), limit, "recent").drop("place")
+
+
+def completed(episodes: DataFrame) -> DataFrame:
+    return episodes.filter("coalesce(ingestion_complete, false)")
 
 
 def completed_sources(episodes: DataFrame) -> DataFrame:
     """Source ids of completed turns with their place in the group's order."""
-    order = Window.partitionBy("group_id").orderBy("valid_at", "source_id")
-    done = episodes.filter("coalesce(ingestion_complete, false)")
-    return done.select("group_id", "source_id", "valid_at", F.row_number().over(order).alias("place"))
+    return numbered(completed(episodes).select("group_id", "source_id", "valid_at"), ["group_id"], ["valid_at", "source_id"])
 
 
 def resume_positions(episodes: DataFrame, completed: DataFrame, logged: DataFrame | None = None) -> DataFrame:
@@ -63,8 +66,7 @@ def resume_positions(episodes: DataFrame, completed: DataFrame, logged: DataFram
     if logged is not None:
         done = done.union(logged.select("group_id", "source_id"))
     done = done.distinct().withColumn("done", F.lit(True))
-    order = Window.partitionBy("group_id").orderBy("seq", "source_id")
-    turns = episodes.select("group_id", "source_id", F.row_number().over(order).alias("place"), "seq").join(done, ["group_id", "source_id"], "left")
+    turns = numbered(episodes.select("group_id", "source_id", "seq"), ["group_id"], ["seq", "source_id"]).join(done, ["group_id", "source_id"], "left")
     first_open = F.min(F.when(F.col("done").isNull(), F.col("place")))
     out = turns.groupBy("group_id").agg(F.count("*").alias("n_turns"), F.coalesce(first_open - 1, F.count("*")).alias("start_index"))
     if logged is None:

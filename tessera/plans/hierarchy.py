@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from tessera.config import Config
 from tessera.functions.text import stable_id
 from tessera.operators import hierarchy
-from tessera.providers import Categorizer, Detailer
+from tessera.providers import BatchCategorizer, Categorizer, Detailer, assigned_in_order
 
 
-def build(entities: DataFrame, categorizer: Categorizer, config: Config = Config(), detailer: Detailer | None = None) -> tuple[DataFrame, DataFrame]:
+def build(entities: DataFrame, categorizer: Categorizer | BatchCategorizer, config: Config = Config(), detailer: Detailer | None = None) -> tuple[DataFrame, DataFrame]:
     """Categories and their links for all groups of ``entities``.
 
     The categoriser gets the nodes of a layer in batches (``batch_id``) of
-    ``config.assign_batch``; the detailer gets the accepted categories in
+    ``config.assign_batch``, one after another with the names so far where it
+    assigns by batches (``BatchCategorizer``); the detailer gets the accepted categories in
     batches of ``config.detail_batch``, and those that it does not describe
     keep the fallback. A group's layer that breaks a constraint is dropped and the group stops
     there; its earlier layers stay. Lineage is cut by a checkpoint per layer,
@@ -26,7 +27,8 @@ def build(entities: DataFrame, categorizer: Categorizer, config: Config = Config
     for layer in range(1, config.max_layers + 1):
         current = hierarchy.indexed(nodes)
         asked = hierarchy.batched(current, config.assign_batch)
-        members = hierarchy.materialize_layer(categorizer.assign(asked, layer), current, layer, config.min_children, config.speaker_mode)
+        assigned = assigned_in_order(asked, layer, categorizer) if hasattr(categorizer, "assign_batch") else categorizer.assign(asked, layer)
+        members = hierarchy.materialize_layer(assigned, current, layer, config.min_children, config.speaker_mode)
         made = hierarchy.layer_categories(members, current)
         good = hierarchy.check_layer(made, current, layer, config.min_children).filter("accepted")
         made = made.join(good.select("group_id"), "group_id", "left_semi")

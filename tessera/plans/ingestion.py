@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import Config
 from tessera.operators import ingest, reflection, resolution, store
 from tessera.operators.embedding_store import EmbeddingStore
-from tessera.operators.hierarchy import batched
 from tessera.providers import EntityDetailer, Extractor
 from tessera.stages import Stages
 
 
 def in_batches(mentions: DataFrame, size: int) -> DataFrame:
     """Mentions with the batch of their turn, in first-seen order: the speaker first, if forced."""
-    return batched(mentions, size, ("group_id", "episode_uuid"), ("pos", "key"))
+    place = F.row_number().over(Window.partitionBy("group_id", "episode_uuid").orderBy("pos", "key"))
+    return mentions.withColumn("batch_id", F.floor((place - 1) / size))
 
 
 def ingest_turns(
@@ -39,7 +39,7 @@ def ingest_turns(
     """
     stages = stages or Stages(turns.sparkSession, "ingest")
     keep, rounds = stages.keep, config.reflection_rounds if hasattr(extractor, "reflect_names") else 0
-    done = store.completed_sources(tables["episodes"]).select("group_id", "source_id")
+    done = store.completed(tables["episodes"]).select("group_id", "source_id")
     turns = turns.join(done, ["group_id", "source_id"], "left_anti")
     if vectors is not None:
         turns = vectors.embed(turns, {"content": "episode_embedding"})

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import normalize_text, tokens
@@ -46,6 +46,14 @@ class Categorizer(Protocol):
     def assign(self, nodes: DataFrame, layer: int) -> DataFrame: ...
 
 
+class BatchCategorizer(Protocol):
+    """Assigns one batch of a group's nodes at a time, and is told the categories that earlier batches made."""
+
+    def assign_batch(self, nodes: list[dict], existing: list[str], layer: int) -> list[tuple[str, list[int]]]:
+        """nodes: index, name, tag of a batch. existing: names so far, sorted. Gives categories with the indexes of their nodes."""
+        ...
+
+
 class Detailer(Protocol):
     def details(self, categories: DataFrame, layer: int) -> DataFrame: ...
 
@@ -143,6 +151,47 @@ class TagCategorizer:
         return rows.withColumn("row_no", F.xxhash64("category"))
 
 
+class ReusingCategorizer:
+    """A batch categoriser by first tags that takes a category there is, whatever its case, before it makes one."""
+
+    def assign_batch(self, nodes: list[dict], existing: list[str], layer: int) -> list[tuple[str, list[int]]]:
+        names = {name.lower(): name for name in existing}
+        found: dict[str, list[int]] = {}
+        for node in nodes:
+            tag = (list(node["tag"]) or ["untagged"])[0]
+            found.setdefault(names.setdefault(f"layer {layer} {tag}".lower(), f"Layer {layer} {tag}"), []).append(node["index"])
+        return list(found.items())
+
+
+def assigned_in_order(nodes: DataFrame, layer: int, categorizer: BatchCategorizer) -> DataFrame:
+    """The assignments (group_id, row_no, category, indexes) of nodes in batches (``batch_id``), each batch seeing the names of those before it.
+
+    A fold over each group's batches as a stream over sorted rows: a task holds
+    one batch, and the names of its group so far.
+    """
+    sorted_rows = nodes.select("group_id", "batch_id", F.col("index").alias("place"), "name", "tag").repartition("group_id").sortWithinPartitions("group_id", "batch_id", "place")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, batch, names = None, [], set()
+
+        def answered() -> pd.DataFrame:
+            rows = [(at[0], (int(at[1]) << 32) + k, category, [int(i) for i in indexes]) for k, (category, indexes) in enumerate(categorizer.assign_batch(batch, sorted(names), layer))]
+            names.update(category for _, _, category, _ in rows)
+            return pd.DataFrame(rows, columns=["group_id", "row_no", "category", "indexes"])
+
+        for frame in frames:
+            for r in frame.itertuples():
+                if at is not None and (r.group_id, r.batch_id) != at:
+                    yield answered()
+                    batch, names = [], names if r.group_id == at[0] else set()
+                at = (r.group_id, r.batch_id)
+                batch.append({"index": r.place, "name": r.name, "tag": [] if r.tag is None else list(r.tag)})
+        if batch:
+            yield answered()
+
+    return sorted_rows.mapInPandas(run, "group_id string, row_no long, category string, indexes array<int>")
+
+
 class LexicalSelector:
     """Selects candidates whose name shares a token with the query; an exact name takes all children."""
 
@@ -219,6 +268,73 @@ class ContainmentJudge:
         return F.size(F.array_except(tokens(F.lower(reference)), tokens(F.lower(predicted)))) == 0
 
 
+def by_query(rows: DataFrame, columns: tuple[str, ...], order: tuple[str, ...], ask: Callable[[str, list[dict]], list[tuple]], schema: str) -> DataFrame:
+    """``ask(text, rows)`` once for each query over its rows in order, as a stream over sorted rows: query_id and the columns of ``schema``.
+
+    rows: query_id, text, columns. A task holds one query's rows.
+    """
+    dealt = rows.select("query_id", "text", *columns).repartition("query_id").sortWithinPartitions("query_id", *order)
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        query, text, held = None, None, []
+
+        def answered() -> pd.DataFrame:
+            return pd.DataFrame([(query, *row) for row in ask(text, held)], columns=["query_id", *names])
+
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                if held and row["query_id"] != query:
+                    yield answered()
+                    held = []
+                query, text = row["query_id"], row["text"]
+                held.append({c: row[c] for c in columns})
+        if held:
+            yield answered()
+
+    return dealt.mapInPandas(run, f"query_id string, {schema}")
+
+
+class ServiceReranker:
+    """A reranking service: ``ask(query, texts)`` gives (index, score) pairs, with tries. See ``indexed_scores`` for what counts."""
+
+    def __init__(self, ask: Callable[[str, list[str]], list[tuple[int, float]]], tries: int = 3):
+        self.ask, self.tries = ask, tries
+
+    def scores(self, items: DataFrame, queries: DataFrame) -> DataFrame:
+        ask, tries = self.ask, self.tries
+        rows = items.join(queries.select("query_id", "text"), "query_id").select("query_id", "text", "uuid", "candidate_text")
+        call = lambda text, held: with_tries(lambda: ask(text, [h["candidate_text"] for h in held]), tries)
+        answers = by_query(rows, ("uuid", "candidate_text"), ("uuid",), call, "index int, score double")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("uuid")) - 1
+        return indexed_scores(items.select("query_id", "uuid", place.alias("index")), answers)
+
+
+class ServiceSelector:
+    """A model that selects nodes: ``ask(query, nodes)`` gives (uuid or None, name, get_all_children), with tries.
+
+    Selections become nodes by uuid, else by name. Those that match none are
+    left out; where all of a query's match none that is an error if ``strict``.
+    """
+
+    def __init__(self, ask: Callable[[str, list[dict]], list[tuple]], strict: bool = True, tries: int = 3):
+        self.ask, self.strict, self.tries = ask, strict, tries
+
+    def select(self, candidates: DataFrame, queries: DataFrame) -> DataFrame:
+        from tessera.operators.graph import matched_selections, resolve_selections
+
+        ask, tries = self.ask, self.tries
+        rows = candidates.join(queries.select("query_id", "text"), "query_id")
+        call = lambda text, held: with_tries(lambda: ask(text, held), tries)
+        told = by_query(rows, ("uuid", "name", "tag"), ("name", "uuid"), call, "uuid string, name string, get_all_children boolean")
+        # Candidates are a query's own, so they are resolved with the query in place of the group.
+        nodes = candidates.select(F.col("query_id").alias("group_id"), "uuid", "name", F.struct("name", "uuid").alias("seq"))
+        found = resolve_selections(told.withColumn("group_id", F.col("query_id")), nodes)
+        found = matched_selections(found) if self.strict else found.filter("node_uuid IS NOT NULL")
+        chosen = found.groupBy("query_id", F.col("node_uuid").alias("uuid")).agg(F.max("get_all_children").alias("get_all_children"))
+        return candidates.join(chosen, ["query_id", "uuid"]).select(*candidates.columns, "get_all_children")
+
+
 def is_retried(error: Exception) -> bool:
     state = getattr(error, "status_code", None)
     return isinstance(error, (TimeoutError, ConnectionError)) or (state is not None and (state in RETRIED_STATES or state >= 500))

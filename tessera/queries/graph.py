@@ -78,11 +78,7 @@ def one_hop_nodes(spark, d):
 @register(REGISTRY, GRAPH + "SELECT r.uuid, s.name AS source_name, t.name AS target_name FROM rel r JOIN ent s ON s.uuid = r.source_uuid JOIN ent t ON t.uuid = r.target_uuid")
 def edge_endpoints(spark, d):
     g = graph_tables(spark, d)
-    names = g["entities"].select("group_id", "uuid", "name")
-    out = g["edges"]
-    for end in ("source", "target"):
-        out = out.join(names.select("group_id", F.col("uuid").alias(f"{end}_uuid"), F.col("name").alias(f"{end}_name")), ["group_id", f"{end}_uuid"])
-    return out.select("uuid", "source_name", "target_name")
+    return graph.with_endpoints(g["edges"], g["entities"]).select("uuid", "source_name", "target_name")
 
 
 def parents(t):
@@ -104,14 +100,14 @@ def child_nodes(spark, d):
 @register(REGISTRY, _PARENTS + " SELECT DISTINCT query_id, n.uuid, n.name, CAST(n.layer AS BIGINT) AS layer FROM down JOIN node n USING (uuid)")
 def all_descendants(spark, d):
     t = tree_tables(spark, d)
-    found = graph.descendants(parents(t), t["categorizes"], graph.hierarchy_nodes(t["entities"], t["categories"]), 3)
+    found = graph.descendants(parents(t), t["categorizes"], graph.hierarchy_nodes(t["entities"], t["categories"]))
     return found.select("query_id", "uuid", "name", F.col("layer").cast("long").alias("layer"))
 
 
 @register(REGISTRY, _PARENTS + " SELECT DISTINCT query_id, n.uuid, n.name FROM down JOIN node n USING (uuid) WHERE layer = 0")
 def descendant_entities(spark, d):
     t = tree_tables(spark, d)
-    return graph.descendant_entities(parents(t), t["categorizes"], graph.hierarchy_nodes(t["entities"], t["categories"]), 3).select("query_id", "uuid", "name")
+    return graph.descendant_entities(parents(t), t["categorizes"], graph.hierarchy_nodes(t["entities"], t["categories"])).select("query_id", "uuid", "name")
 
 
 @register(REGISTRY, TREE + " SELECT 'tpch' AS group_id, CAST(coalesce(max(layer), 0) AS BIGINT) AS max_layer FROM node UNION ALL SELECT 'empty', 0")

@@ -284,5 +284,6 @@ def index_and_batches(spark, d):
 def entity_category_split(spark, d):
     t = tree_tables(spark, d)
     layer = F.when(F.col("layer") > 0, F.col("layer"))  # entities carry no layer
-    nodes = graph.hierarchy_nodes(t["entities"], t["categories"]).select(layer.alias("layer"))
-    return nodes.groupBy(F.when(F.coalesce("layer", F.lit(0)) == 0, "entity").otherwise("category").alias("kind")).agg(F.count("*").alias("n"))
+    parts = graph.split_layers(graph.hierarchy_nodes(t["entities"], t["categories"]).select(layer.alias("layer")))
+    counts = [part.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n") for kind, part in zip(("entity", "category"), parts)]
+    return counts[0].unionByName(counts[1])
