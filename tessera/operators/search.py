@@ -46,11 +46,18 @@ def index_of(postings: DataFrame) -> TextIndex:
     return TextIndex(postings, postings.groupBy("token").agg(F.count("*").alias("df")), lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len")))
 
 
-def fulltext_scores(index: TextIndex, queries: DataFrame) -> DataFrame:
-    """BM25 of every document of the query's group that holds one of its tokens: query_id, group_id, uuid, fulltext_score."""
+def fulltext_scores(index: TextIndex, queries: DataFrame, inside: DataFrame | None = None) -> DataFrame:
+    """BM25 of every document of the query's group that holds one of its tokens: query_id, group_id, uuid, fulltext_score.
+
+    With ``inside`` (query_id, group_id, uuid), only of those documents; frequencies stay those of the index.
+    """
     wanted = queries.select("query_id", "group_id", F.explode(F.array_distinct(tokens(F.lower("text")))).alias("token"))
     group = [c for c in ("group_id",) if c in index.frequencies.columns]
-    found = index.postings.join(wanted, ["group_id", "token"]).join(index.frequencies, ["token", *group])
+    if inside is None:
+        found = index.postings.join(wanted, ["group_id", "token"])
+    else:
+        found = index.postings.join(inside, ["group_id", "uuid"]).join(wanted, ["query_id", "group_id", "token"])
+    found = found.join(index.frequencies, ["token", *group])
     found = found.join(index.totals, group) if group else found.crossJoin(F.broadcast(index.totals))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
@@ -111,7 +118,7 @@ def edge_candidates(index: TextIndex, edges: DataFrame, queries: DataFrame, limi
     """Candidates for equal facts: only edges between the query's source_uuid and target_uuid."""
     pairs = queries.select("query_id", "group_id", "source_uuid", "target_uuid")
     inside = edges.join(pairs, ["group_id", "source_uuid", "target_uuid"]).select("query_id", "group_id", "uuid")
-    text = fulltext_scores(index, queries).join(inside, ["query_id", "group_id", "uuid"], "left_semi")
+    text = fulltext_scores(index, queries, inside)
     text = top_per_query(text.withColumn("fulltext_score", F.round("fulltext_score", 6)), "fulltext_score", limit)
     asked = queries.select("query_id", F.col("vector").alias("_q"))
     near = edges.filter("fact_embedding IS NOT NULL").join(inside, ["group_id", "uuid"]).join(asked, "query_id")

@@ -132,4 +132,7 @@ WITH RECURSIVE node AS (
 )
 """
 
+#: The vector of ``providers.LetterEmbedder`` of a text.
+LETTERS = "list_transform(range(97, 123), lambda k: (length({0}) - length(replace({0}, chr(k::INT), '')))::DOUBLE)"
+
 COSINE = "coalesce(list_cosine_similarity(a::DOUBLE[], b::DOUBLE[]), 0)"

@@ -14,7 +14,7 @@ from tessera.plans.ingestion import ingest_turns
 from tessera.providers import LetterEmbedder, TokenExtractor
 from tessera.stages import Stages
 
-from .base import GRAPH, episode_tokens, episodes, graph_tables, register, table
+from .base import GRAPH, LETTERS, episode_tokens, episodes, graph_tables, register, table
 
 REGISTRY: dict = {}
 
@@ -205,12 +205,9 @@ def ingest_twice(spark, d):
     return out
 
 
-_LETTERS = "list_transform(range(97, 123), lambda k: (length({0}) - length(replace({0}, chr(k::INT), '')))::DOUBLE)"
-
-
 @register(REGISTRY, _NAMES.replace("WITH ep AS", "WITH RECURSIVE ep AS").rstrip() + f""", have AS (SELECT group_id, name AS key, uuid FROM ent WHERE seq % 2 = 0),
 first AS (SELECT group_id, key, min(seq) AS first FROM found WHERE NOT EXISTS (SELECT 1 FROM have WHERE have.group_id = found.group_id AND have.key = found.key) GROUP BY ALL),
-vectored AS (SELECT *, {_LETTERS.format("key")} AS v, regexp_extract_all(key, '[\\p{{L}}\\p{{N}}_-]+') AS words FROM (SELECT group_id, key, NULL::BIGINT AS first, true AS known FROM have UNION ALL SELECT group_id, key, first, false FROM first)),
+vectored AS (SELECT *, {LETTERS.format("key")} AS v, regexp_extract_all(key, '[\\p{{L}}\\p{{N}}_-]+') AS words FROM (SELECT group_id, key, NULL::BIGINT AS first, true AS known FROM have UNION ALL SELECT group_id, key, first, false FROM first)),
 near AS (SELECT * FROM (SELECT a.group_id, a.key, a.first, b.key AS other, b.first AS other_first, b.known, a.words, b.words AS other_words, round(list_cosine_similarity(a.v, b.v), 6) AS similarity
   FROM vectored a JOIN vectored b ON a.group_id = b.group_id AND a.key <> b.key WHERE NOT a.known AND list_sum(a.v) > 0 AND list_sum(b.v) > 0) WHERE similarity >= 0.92 OR (similarity >= 0.88 AND len(list_intersect(words, other_words)) > 0)),
 open AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY first, key) AS i FROM first WHERE NOT EXISTS (SELECT 1 FROM near WHERE near.known AND near.group_id = first.group_id AND near.key = first.key)),

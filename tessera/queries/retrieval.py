@@ -6,12 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.config import Config
-from tessera.operators import graph
+from tessera.operators import graph, search
 from tessera.plans import retrieval
-from tessera.providers import LexicalReranker, LexicalSelector
+from tessera.providers import LetterEmbedder, LexicalReranker, LexicalSelector
 from tessera.stages import Stages
 
-from .base import GRAPH, TREE, graph_tables, register, tree_tables
+from .base import GRAPH, LETTERS, TREE, graph_tables, register, tree_tables
 
 REGISTRY: dict = {}
 
@@ -212,3 +212,78 @@ def retrieve_context(spark, d):
   count(*) AS merged_unique_count, count(*) AS reranked_count, count(*) FILTER (place <= CASE item_type WHEN 'episodes' THEN 10 ELSE 20 END) AS final_count FROM ranked GROUP BY query_id, item_type""")
 def retrieve_counts(spark, d):
     return whole_retrieval(spark, d, "counts")
+
+
+# --- Searches with both branches: BM25 and letter vectors ---------------------------
+
+_Q = GRAPH.rstrip() + """, q AS (SELECT 'q-' || group_id AS query_id, group_id, string_agg(name, ' ' ORDER BY uuid) AS text FROM (SELECT * FROM ent QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY uuid) <= 2) GROUP BY group_id),
+w AS (SELECT DISTINCT query_id, group_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_-]+')) AS token FROM q),
+"""
+
+
+def _branches(docs, text, told, limit, same=""):
+    """Both ranked lists over ``docs`` and their fusion; ``told`` is the text of the vector, ``same`` a condition on query and row."""
+    letters = f"(SELECT *, {LETTERS.format('lower(' + told + ')')} AS v FROM {docs})"
+    asked = f"(SELECT *, {LETTERS.format('lower(text)')} AS v FROM q)"
+    return _bm25("h", docs, text).replace("JOIN hl USING (uuid)", f"JOIN hl USING (uuid) {same}") + f""",
+vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, uuid) AS rank FROM (SELECT q.query_id, d.uuid, CASE WHEN list_sum(d.v) > 0 AND list_sum(q.v) > 0 THEN round(list_cosine_similarity(d.v, q.v), 6) ELSE 0 END AS similarity
+  FROM {asked} q JOIN {letters} d ON d.group_id = q.group_id {same.replace("JOIN pair USING (query_id, uuid)", "JOIN pair ON pair.query_id = q.query_id AND pair.uuid = d.uuid")}) QUALIFY rank <= {limit}),
+listed AS (SELECT query_id, uuid, fulltext_score, NULL::DOUBLE AS similarity, 0 AS list_no, rank FROM h WHERE rank <= {limit} UNION ALL SELECT query_id, uuid, NULL, similarity, 1, rank FROM vec),
+fused AS (SELECT query_id, uuid, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf_score, max(fulltext_score) AS fulltext_score, max(similarity) AS similarity, min(list_no * 1000000 + rank) AS first FROM listed GROUP BY ALL),
+final AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, coalesce(similarity, 0) DESC, coalesce(fulltext_score, 0) DESC, first, uuid) AS BIGINT) AS rank FROM fused QUALIFY rank <= {limit})
+SELECT query_id, uuid, rrf_score, fulltext_score, similarity, rank FROM final"""
+
+
+def letter_queries(spark, g):
+    return named_queries(spark, g).withColumn("vector", LetterEmbedder().embed(F.col("text")))
+
+
+def _hits(found):
+    return found.select("query_id", "uuid", "rrf_score", "fulltext_score", "similarity", F.col("rank").cast("long").alias("rank"))
+
+
+@register(REGISTRY, _Q + _branches("ent", "name || ' ' || summary", "summary", 50))
+def entity_search_both(spark, d):
+    """Entities near each query, by the text of name and summary and by the summary's vector."""
+    g = graph_tables(spark, d)
+    rows = g["entities"].withColumn("summary_embedding", LetterEmbedder().embed(F.col("summary")))
+    index = search.build_text_index(rows, F.concat_ws(" ", "name", "summary"))
+    return _hits(retrieval.candidates(index, rows, "summary_embedding", letter_queries(spark, g), 50, 60))
+
+
+@register(REGISTRY, _Q + _branches("ent", "name", "name", 5))
+def entity_dedup_candidates(spark, d):
+    """The five entities that each query's text may be a spelling of, by name and by the name's vector."""
+    g = graph_tables(spark, d)
+    rows = g["entities"].withColumn("name_embedding", LetterEmbedder().embed(F.col("name")))
+    return _hits(search.hybrid_search(search.build_text_index(rows, F.col("name")), rows, "name_embedding", letter_queries(spark, g), Config().dedup_limit))
+
+
+@register(REGISTRY, _Q + _branches("ep", "content", "content", 50))
+def episode_search_both(spark, d):
+    g = graph_tables(spark, d)
+    rows = g["episodes"].withColumn("episode_embedding", LetterEmbedder().embed(F.col("content")))
+    return _hits(retrieval.candidates(search.build_text_index(rows, F.col("content")), rows, "episode_embedding", letter_queries(spark, g), 50, 60))
+
+
+@register(REGISTRY, _Q + _branches("rel", "fact", "fact", 50).replace("SELECT query_id, uuid, rrf_score, fulltext_score, similarity, rank FROM final", "SELECT query_id, uuid, source_uuid, target_uuid, fact, rrf_score, fulltext_score, similarity, rank FROM final JOIN rel USING (uuid)"))
+def fact_search_both(spark, d):
+    """Facts near each query, by text and by the fact's vector, with both ends."""
+    g = graph_tables(spark, d)
+    rows = g["edges"].withColumn("fact_embedding", LetterEmbedder().embed(F.col("fact")))
+    found = search.fact_search(search.build_text_index(rows, F.col("fact")), rows, letter_queries(spark, g), 50)
+    return found.select("query_id", "uuid", "source_uuid", "target_uuid", "fact", "rrf_score", "fulltext_score", "similarity", F.col("rank").cast("long").alias("rank"))
+
+
+_PAIRS = GRAPH.rstrip() + """, q AS (SELECT 'q-' || uuid AS query_id, group_id, fact AS text, source_uuid, target_uuid FROM rel), pair AS (SELECT q.query_id, r.uuid FROM q JOIN rel r USING (group_id, source_uuid, target_uuid)),
+w AS (SELECT DISTINCT query_id, group_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_-]+')) AS token FROM q),
+"""
+
+
+@register(REGISTRY, _PAIRS + _branches("rel", "fact", "fact", 5, "JOIN pair USING (query_id, uuid)"))
+def edge_dedup_candidates(spark, d):
+    """For every fact the facts between its two ends, in its direction, that may be the same."""
+    g = graph_tables(spark, d)
+    rows = g["edges"].withColumn("fact_embedding", LetterEmbedder().embed(F.col("fact")))
+    asked = rows.select(F.concat(F.lit("q-"), "uuid").alias("query_id"), "group_id", "source_uuid", "target_uuid", F.col("fact").alias("text"), F.col("fact_embedding").alias("vector"))
+    return _hits(search.edge_candidates(search.build_text_index(rows, F.col("fact")), rows, asked, Config().dedup_limit))
