@@ -246,15 +246,16 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Trigrams and the documents of each feature are counted over all of them;
     only the regression is fitted to a sample of about ``SAMPLE`` at most, by a
-    hash of the id. Copies of a text with the same label count once. Labels
+    hash of the text. Copies of a text with the same label count once, under
+    the least id, so nothing depends on how the tables are dealt. Labels
     that are null teach nothing; of several for an id, the largest counts.
     """
     marks = labels.filter("toxic IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
-    training = slim.join(small(marks, SENT_LABELS), "_id").withColumn("_sha", F.sha2("text", 256)).dropDuplicates(["_sha", "toxic"])
-    training = written(training.select("_id", "text", "toxic"), "toxicity-training")
+    training = slim.join(small(marks, SENT_LABELS), "_id").groupBy(F.sha2("text", 256).alias("_sha"), "toxic").agg(F.min("_id").alias("_id"), F.first("text").alias("text"))
+    training = written(training.select("_id", "text", "toxic", "_sha"), "toxicity-training")
     share = min(1.0, SAMPLE / max(1, training.count()))
-    sample = training.filter(F.pmod(F.xxhash64("_id", F.lit(10)), F.lit(1 << 20)) < int((1 << 20) * share))
+    sample = training.filter(F.pmod(F.xxhash64("_sha", F.lit(10)), F.lit(1 << 20)) < int((1 << 20) * share)).drop("_sha")
     model = train_character_model(training)
     places = choose_slots(training, model)
 
