@@ -30,14 +30,23 @@ class TextIndex:
 
 def build_text_index(docs: DataFrame, text: Column, per_group: bool = False) -> TextIndex:
     """Index ``docs`` (group_id, uuid). Frequencies are over all groups unless ``per_group``."""
-    words = docs.select("group_id", "uuid", F.explode(tokens(F.lower(text))).alias("token"))
-    postings = words.groupBy("group_id", "uuid", "token").agg(F.count("*").alias("tf"))
-    lengths = words.groupBy("group_id", "uuid").agg(F.count("*").alias("len"))
-    postings = postings.join(lengths, ["group_id", "uuid"])
+    words = tokenized(docs, text)
     group = ["group_id"] if per_group else []
-    frequencies = postings.groupBy("token", *group).agg(F.count("*").alias("df"))
-    totals = lengths.groupBy(*group).agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len"))
-    return TextIndex(postings, frequencies, totals)
+    frequencies = words.select("group_id", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token", *group).agg(F.count("*").alias("df"))
+    totals = words.groupBy(*group).agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len"))
+    return TextIndex(counted_postings(words), frequencies, totals)
+
+
+def tokenized(docs: DataFrame, text: Column) -> DataFrame:
+    """The tokens of each document that has some, and their number: group_id, uuid, tokens, len. A uuid has one document."""
+    words = docs.select("group_id", "uuid", tokens(F.lower(text)).alias("tokens"))
+    return words.withColumn("len", F.size("tokens").cast("long")).filter("len > 0")
+
+
+def counted_postings(words: DataFrame) -> DataFrame:
+    """How often each document of ``tokenized`` has each token: token, group_id, uuid, tf, len. The length comes along, so nothing is joined."""
+    flat = words.select("group_id", "uuid", "len", F.explode("tokens").alias("token"))
+    return flat.groupBy("group_id", "uuid", "token").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
 
 
 def index_of(postings: DataFrame) -> TextIndex:

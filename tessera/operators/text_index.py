@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
 
-from .search import K1, B, top_per_query
+from .search import K1, B, counted_postings, tokenized, top_per_query
 from .snapshots import Snapshots
 
 #: Postings of a block, levels of shares, and what rounding may take from a score.
@@ -38,10 +38,8 @@ class WrittenIndex:
     # --- writing
 
     def _tables(self, docs: DataFrame, text: Column) -> dict[str, DataFrame]:
-        words = docs.select("group_id", "uuid", F.explode(tokens(F.lower(text))).alias("token"))
-        counted = words.groupBy("group_id", "uuid", "token").agg(F.count("*").alias("tf"))
-        lengths = words.groupBy("group_id", "uuid").agg(F.count("*").alias("len"))
-        return {"postings": blocks(counted.join(lengths, ["group_id", "uuid"])), "lengths": lengths}
+        words = tokenized(docs, text)
+        return {"postings": blocks(counted_postings(words)), "lengths": words.select("group_id", "uuid", "len")}
 
     def create(self, docs: DataFrame, text: Column) -> WrittenIndex:
         """An index of ``docs`` (group_id, uuid) in place of what is there."""
