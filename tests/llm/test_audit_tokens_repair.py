@@ -239,3 +239,23 @@ def test_repair_of_empty_tables(spark):
     dropped = next(k for k in range(1_000) if zlib.crc32(f"{k}:0".encode()) % 20 == 0)
     row = conversation.repair_conversations(spark.createDataFrame([(dropped, 0, "user", "Hi.")], CONVERSATIONS), True).first()
     assert tuple(row) == (dropped, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+
+
+# --- 10: what is learned does not depend on how the tables are dealt
+
+
+def test_toxicity_does_not_depend_on_the_partitioning(spark):
+    from tessera.llm import toxicity
+
+    rng = random.Random(10)
+    plain = ["the", "cat", "went", "home", "with", "bread", "milk", "today"]
+    texts = [" ".join(rng.choices(plain, k=8)) + (" idiot" if k % 3 == 0 else "") for k in range(90)]
+    rows = [(k, texts[k % 60]) for k in range(180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int((k % 60) % 3 == 0)) for k in range(180)], "doc_id long, toxic int")
+    found = []
+    for parts in (1, 7):
+        dealt = docs.repartition(parts, F.xxhash64("doc_id", F.lit(parts)))
+        judge = toxicity.learn(dealt, labels.repartition(parts + 1))
+        found.append(sorted(tuple(r) for r in toxicity.score_documents(dealt, judge).collect()))
+    assert found[0] == found[1]
