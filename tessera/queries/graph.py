@@ -129,11 +129,11 @@ def layer_zero_nodes(spark, d):
     return store.layer_zero_nodes(graph_tables(spark, d)["entities"], "g3").select("uuid", "name", "summary", "is_speaker")
 
 
-@register(REGISTRY, GRAPH + "SELECT e.group_id, e.name, e.uuid FROM ent e JOIN (SELECT DISTINCT group_id, name FROM tok WHERE pos <= 3) n USING (group_id, name)")
+@register(REGISTRY, GRAPH + "SELECT e.group_id, e.name, e.uuid FROM ent e JOIN (SELECT DISTINCT group_id, name FROM tok) n USING (group_id, name)")
 def entities_by_name(spark, d):
     from .base import episode_tokens
 
-    wanted = episode_tokens(spark, d).filter("pos <= 2").select("group_id", "name")
+    wanted = episode_tokens(spark, d).select("group_id", "name")
     return store.entities_by_name(graph_tables(spark, d)["entities"], wanted).select("group_id", "name", "uuid")
 
 

@@ -148,15 +148,15 @@ def system1_retrieve_edges(spark, d):
     return _system1(spark, d, "edges")
 
 
-@register(REGISTRY, GRAPH + """, picked AS (SELECT group_id AS query_id, 'episodes' AS item_type, row_number() OVER (PARTITION BY group_id ORDER BY seq) AS place, '[' || strftime(valid_at, '%Y/%m/%d (%a) %H:%M') || '] ' || content AS line FROM ep QUALIFY place <= 3
-  UNION ALL SELECT group_id, 'nodes', row_number() OVER (PARTITION BY group_id ORDER BY uuid), name FROM ent QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY uuid) <= 3),
+@register(REGISTRY, GRAPH + """, picked AS (SELECT group_id AS query_id, 'episodes' AS item_type, row_number() OVER (PARTITION BY group_id ORDER BY seq) AS place, '[' || strftime(valid_at, '%Y/%m/%d (%a) %H:%M') || '] ' || content AS line FROM ep
+  UNION ALL SELECT group_id, 'nodes', row_number() OVER (PARTITION BY group_id ORDER BY uuid), name FROM ent),
 sec AS (SELECT query_id, item_type, '<' || upper(item_type) || '>' || chr(10) || string_agg(line, chr(10) ORDER BY place) || chr(10) || '</' || upper(item_type) || '>' AS body FROM picked GROUP BY query_id, item_type)
 SELECT query_id, string_agg(body, chr(10) ORDER BY CASE item_type WHEN 'nodes' THEN 0 ELSE 2 END) AS context FROM sec GROUP BY query_id""")
 def context_render(spark, d):
     g = graph_tables(spark, d)
-    e = g["episodes"].withColumn("place", F.row_number().over(Window.partitionBy("group_id").orderBy("seq"))).filter("place <= 3")
+    e = g["episodes"].withColumn("place", F.row_number().over(Window.partitionBy("group_id").orderBy("seq")))
     lines = e.select(F.col("group_id").alias("query_id"), F.lit("episodes").alias("item_type"), "place", retrieval.candidate_text("episodes").alias("line"))
-    n = g["entities"].withColumn("place", F.row_number().over(Window.partitionBy("group_id").orderBy("uuid"))).filter("place <= 3")
+    n = g["entities"].withColumn("place", F.row_number().over(Window.partitionBy("group_id").orderBy("uuid")))
     return retrieval.render_context(lines.unionByName(n.select(F.col("group_id").alias("query_id"), F.lit("nodes").alias("item_type"), "place", F.col("name").alias("line"))))
 
 
