@@ -259,3 +259,15 @@ def test_toxicity_does_not_depend_on_the_partitioning(spark):
         judge = toxicity.learn(dealt, labels.repartition(parts + 1))
         found.append(sorted(tuple(r) for r in toxicity.score_documents(dealt, judge).collect()))
     assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("name", ["op11_source_divergence", "op13_conversation_repair"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    found = queries.queries()[name](spark, DATA).select(want.columns)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want.fetchall(), key=repr)
