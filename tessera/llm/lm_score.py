@@ -141,21 +141,22 @@ def byte_contexts(parts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def slots(code: Code, contexts: list[np.ndarray], table_bits: tuple[int, ...], length: np.ndarray, place: np.ndarray) -> Iterator[np.ndarray]:
-    """By predictor, the table slots of every bit: of a symbol's context together with the node of its path.
-
-    A context is mixed to a random place, from which its nodes spread in golden steps.
-    """
+    """By predictor, the table slots of every bit: of a symbol's context together with the node of its path."""
     step = code.hashed[place]
     for k, (context, bits) in enumerate(zip(contexts, table_bits)):
-        if k == 0 and not context.any():
-            yield code.node[place] & (1 << bits) - 1
-            continue
-        mixed = (context + np.uint64(k + 1)) * _A
-        mixed ^= mixed >> np.uint64(29)
-        at = np.repeat((mixed * _B >> np.uint64(32)).astype(np.uint32), length)
-        at += step
-        at >>= np.uint32(32 - bits)
-        yield at
+        yield slots_of(k, code, context, bits, length, place, step)
+
+
+def slots_of(k: int, code: Code, context: np.ndarray, bits: int, length: np.ndarray, place: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """The slots of predictor ``k``. A context is mixed to a random place, from which its nodes spread in golden steps."""
+    if k == 0 and not context.any():
+        return code.node[place] & (1 << bits) - 1
+    mixed = (context + np.uint64(k + 1)) * _A
+    mixed ^= mixed >> np.uint64(29)
+    at = np.repeat((mixed * _B >> np.uint64(32)).astype(np.uint32), length)
+    at += step
+    at >>= np.uint32(32 - bits)
+    return at
 
 
 class Tables:
@@ -340,17 +341,28 @@ def _unpacked(b: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint32)
 
 
-def count_tables(rows: DataFrame, code: Code, table_bits: tuple[int, ...], read: Callable[[list], tuple[np.ndarray, list[np.ndarray]]], weight: Callable[[object], int]) -> dict[bool, list[np.ndarray]]:
+def add_to(table: np.ndarray, at: np.ndarray) -> None:
+    if len(table) <= CHUNK:
+        table += np.bincount(at, minlength=len(table)).astype(np.uint32)
+    else:
+        np.add.at(table, at, np.uint32(1))
+
+
+def count_tables(rows: DataFrame, code: Code, table_bits: tuple[int, ...], read: Callable[[list], tuple[np.ndarray, list[np.ndarray]]], weight: Callable[[object], int], dense: dict[int, tuple[int, int]]) -> dict[bool, list[np.ndarray]]:
     """Counts of both bits in every slot, for rows (value, late) with late false and true apart.
 
     ``read`` gives the symbols and contexts of some values, ``weight`` about
-    how many symbols a value has. Each task sums its own tables; partial
+    how many symbols a value has. ``dense`` has, for predictors of few contexts, the
+    first one and their number: there a task counts contexts with symbols, and
+    takes the bits of each pair once at its end. Each task sums its own tables; partial
     tables are added in groups of at most ``FAN_IN`` until one is left, and the
     driver gets that one, whose size is fixed by ``table_bits``.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[bool, list[np.ndarray]] = {}
+        pairs: dict[bool, dict[int, np.ndarray]] = {}
+        symbols = len(code.length)
         waiting: dict[bool, list] = {True: [], False: []}
         held = {True: 0, False: 0}
 
@@ -360,16 +372,26 @@ def count_tables(rows: DataFrame, code: Code, table_bits: tuple[int, ...], read:
                 return
             if late not in own:
                 own[late] = [np.zeros(2 << b, np.uint32) for b in table_bits]
+                pairs[late] = {k: np.zeros(n * symbols, np.uint32) for k, (_, n) in dense.items()}
             x, contexts = read(values)
-            for s in range(0, len(x), 2 * SEGMENT):
+            for k, (first, _) in dense.items():
+                add_to(pairs[late][k], (contexts[k] - np.uint64(first)).astype(np.intp) * symbols + x)
+            for s in range(0, len(x) if len(dense) < len(table_bits) else 0, 2 * SEGMENT):
                 length, place = code.expand(x[s : s + 2 * SEGMENT])
-                bit = code.bit[place].astype(np.uint32)
-                for table, at in zip(own[late], slots(code, [c[s : s + 2 * SEGMENT] for c in contexts], table_bits, length, place)):
-                    both = (at.astype(np.uint32) << 1 | bit).astype(np.intp)
-                    if len(table) <= CHUNK:
-                        table += np.bincount(both, minlength=len(table)).astype(np.uint32)
-                    else:
-                        np.add.at(table, both, np.uint32(1))
+                bit, step = code.bit[place].astype(np.uint32), code.hashed[place]
+                for k in range(len(table_bits)):
+                    if k not in dense:
+                        at = slots_of(k, code, contexts[k][s : s + 2 * SEGMENT], table_bits[k], length, place, step)
+                        add_to(own[late][k], (at.astype(np.uint32) << 1 | bit).astype(np.intp))
+
+        def add_pairs(late: bool) -> None:
+            for k, counts in pairs.get(late, {}).items():
+                found = np.nonzero(counts)[0]
+                for s in range(0, len(found), SEGMENT):
+                    context, x = np.divmod(found[s : s + SEGMENT], symbols)
+                    length, place = code.expand(x)
+                    at = slots_of(k, code, context.astype(np.uint64) + np.uint64(dense[k][0]), table_bits[k], length, place, code.hashed[place])
+                    np.add.at(own[late][k], (at.astype(np.uint32) << 1 | code.bit[place].astype(np.uint32)).astype(np.intp), np.repeat(counts[found[s : s + SEGMENT]], length))
 
         for batch in batches:
             for value, late in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -377,8 +399,9 @@ def count_tables(rows: DataFrame, code: Code, table_bits: tuple[int, ...], read:
                 held[late] += weight(value)
                 if held[late] >= 2 * SEGMENT:
                     add(late)
-        add(True)
-        add(False)
+        for late in (True, False):
+            add(late)
+            add_pairs(late)
         part = TaskContext.get().partitionId()
         for late, tables in own.items():
             for k, table in enumerate(tables):
@@ -439,9 +462,9 @@ def fitted_weights(rows: DataFrame, scorer: Scorer, read: Callable[[list], tuple
     return scorer.weights
 
 
-def train(rows: DataFrame, code: Code, table_bits: tuple[int, ...], read: Callable, weight: Callable) -> Scorer:
+def train(rows: DataFrame, code: Code, table_bits: tuple[int, ...], read: Callable, weight: Callable, dense: dict[int, tuple[int, int]]) -> Scorer:
     """A scorer from rows (value, late)."""
-    counts = count_tables(rows, code, table_bits, read, weight)
+    counts = count_tables(rows, code, table_bits, read, weight, dense)
     early = Scorer(code, table_bits, Tables(counts[False]), starting_weights(len(table_bits)))
     weights = fitted_weights(rows.filter("late"), early, read)
     return Scorer(code, table_bits, Tables([a + b for a, b in zip(counts[False], counts[True])]), weights)
@@ -463,8 +486,10 @@ def byte_counts(words: DataFrame) -> list[int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256, np.int64)
         for batch in batches:
-            for word in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(spelled(word), np.uint8), minlength=256)
+            _, offsets, data = batch.column(0).buffers()
+            ends = np.frombuffer(offsets, np.int32)[batch.column(0).offset :][: batch.num_rows + 1]
+            total += np.bincount(np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]], minlength=256)
+            total[STOP] += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(total)], names=["byte", "n"])
 
     found = {r["byte"]: r["n"] for r in words.select("word").mapInArrow(count, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()}
@@ -512,9 +537,10 @@ def score_documents(docs: DataFrame, trains: str, late: str, id_col: str = "doc_
     def read_words(values: list) -> tuple[np.ndarray, list[np.ndarray]]:
         return byte_contexts([spelled(v) for v in values])
 
-    of_words = train(training, Code(lexicon.sizes), WORD_TABLES, read_texts, lambda t: len(t) // 4)
+    word_pairs = {0: (0, 1), 1: (0, FUNCTION_WORDS + 1), 3: (1 << 40, len(lexicon.sizes))}
+    of_words = train(training, Code(lexicon.sizes), WORD_TABLES, read_texts, lambda t: len(t) // 4, word_pairs)
     kinds_of_words = words.select(F.col("word").alias("value"), (F.pmod(F.xxhash64("word"), F.lit(7)) == 6).alias("late"))
-    of_bytes = train(kinds_of_words, Code(byte_counts(words)), BYTE_TABLES, read_words, len)
+    of_bytes = train(kinds_of_words, Code(byte_counts(words)), BYTE_TABLES, read_words, len, {})
     sent, sent_speller = spark.sparkContext.broadcast(of_words), spark.sparkContext.broadcast(of_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -554,16 +580,15 @@ def score_documents(docs: DataFrame, trains: str, late: str, id_col: str = "doc_
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent_speller.value
         for batch in batches:
-            lists = batch.column(batch.num_columns - 1).to_pylist()
-            values = [spelled(u["word"]) for found in lists for u in found or []]
-            bits = []
+            unseen = np.nonzero(batch.column(1).is_valid().to_numpy(zero_copy_only=False))[0]
+            values = [spelled(w) for w in batch.column(1).take(pa.array(unseen)).to_pylist()]
+            bits = np.zeros(batch.num_rows, np.int64)
             for k in range(0, len(values), 4096):
                 part = values[k : k + 4096]
                 each = own.fixed(*byte_contexts(part))
-                bits += np.add.reduceat(each, np.cumsum([0] + [len(v) for v in part[:-1]])).tolist()
-            left = iter(bits)
-            more = [math.fsum(u["k"] * next(left) for u in found or []) for found in lists]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(more, pa.float64())], names=[*batch.schema.names[:-1], "spelling"])
+                bits[unseen[k : k + 4096]] = np.rint(np.add.reduceat(each, np.cumsum([0] + [len(v) for v in part[:-1]])) * BIT_FRACTION)
+            times = batch.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[3:], pa.array(bits * times)], names=["row_no", "known", "base", "score", "spelling"])
 
     id_type = dict(slim.dtypes)["doc_id"]
     scored = slim.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_tokens long, head_known long, head_base double, head_score double, n_bytes long, rest array<struct<word: binary, k: long, miss: double>>")
@@ -573,20 +598,22 @@ def score_documents(docs: DataFrame, trains: str, late: str, id_col: str = "doc_
     tail = scored.select("row_no", F.explode("rest").alias("x")).select("row_no", "x.word", "x.k", "x.miss").join(words, "word", "left")
     # Sums of doubles that arrive in any order are of whole numbers.
     whole = lambda c: F.round(c * LOG_FRACTION).cast("long")
-    sums = tail.groupBy("row_no").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("k"))).alias("tail_known"),
-        F.sum(F.col("k") * whole(F.log10(F.coalesce("n", F.lit(0)) + 1))).alias("tail_base"),
-        F.sum(F.col("k") * whole(F.coalesce(F.log10("n"), F.col("miss")))).alias("tail_score"),
-        F.collect_list(F.when(F.col("n").isNull(), F.struct("word", "k"))).alias("unseen"),
-    )
+    tail = tail.select(
+        "row_no", F.when(F.col("n").isNull(), F.col("word")).alias("unseen"), "k",
+        F.when(F.col("n").isNull(), 0).otherwise(F.col("k")).cast("long").alias("known"),
+        (F.col("k") * whole(F.log10(F.coalesce("n", F.lit(0)) + 1))).alias("base"),
+        (F.col("k") * whole(F.coalesce(F.log10("n"), F.col("miss")))).alias("score"),
+    )
+    tail = tail.mapInArrow(spell, "row_no long, known long, base long, score long, spelling long")
+    sums = tail.groupBy("row_no").agg(*(F.sum(c).alias(f"tail_{c}") for c in ("known", "base", "score", "spelling")))
     part = lambda name: F.coalesce(name, F.lit(0)) / LOG_FRACTION
     found = scored.drop("rest").join(sums, "row_no", "left").select(
         "doc_id", "n_tokens",
         (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(all_tokens).cast("long").alias("train_tokens"),
         (F.col("head_base") + part("tail_base") - F.col("n_tokens") * F.log10(F.lit(float(all_tokens + kinds + 1)))).alias("base_score"),
-        (F.col("head_score") + part("tail_score")).alias("score"), "n_bytes", F.sort_array("unseen").alias("unseen"),
+        (F.col("head_score") + part("tail_score")).alias("score"), "n_bytes",
+        (F.coalesce("tail_spelling", F.lit(0)) / BIT_FRACTION).alias("spelling"),
     )
-    found = found.mapInArrow(spell, f"doc_id {id_type}, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, spelling double")
     bits = F.col("spelling") - F.col("score") / math.log10(2)
     return found.withColumn("bits_per_byte", bits / F.greatest("n_bytes", F.lit(1))).drop("spelling")
