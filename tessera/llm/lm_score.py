@@ -595,14 +595,16 @@ def score_documents(docs: DataFrame, trains: str, late: str, id_col: str = "doc_
     scored = written(scored.withColumn("row_no", F.monotonically_increasing_id()), "lm-scored")
     for done in (sent, sent_lexicon):
         done.unpersist()
-    tail = scored.select("row_no", F.explode("rest").alias("x")).select("row_no", "x.word", "x.k", "x.miss").join(words, "word", "left")
-    # Sums of doubles that arrive in any order are of whole numbers.
-    whole = lambda c: F.round(c * LOG_FRACTION).cast("long")
+    # Sums of doubles that arrive in any order are of whole numbers. Logarithms are taken once per word of the training data.
+    whole = lambda c: F.rint(c * LOG_FRACTION).cast("long")
+    logs = words.select("word", whole(F.log10(F.col("n") + 1)).alias("add_one"), whole(F.log10("n")).alias("inside"))
+    tail = scored.select("row_no", F.explode("rest").alias("x")).select("row_no", "x.word", "x.k", whole(F.col("x.miss")).alias("miss")).join(logs, "word", "left")
+    unseen = F.col("inside").isNull()
     tail = tail.select(
-        "row_no", F.when(F.col("n").isNull(), F.col("word")).alias("unseen"), "k",
-        F.when(F.col("n").isNull(), 0).otherwise(F.col("k")).cast("long").alias("known"),
-        (F.col("k") * whole(F.log10(F.coalesce("n", F.lit(0)) + 1))).alias("base"),
-        (F.col("k") * whole(F.coalesce(F.log10("n"), F.col("miss")))).alias("score"),
+        "row_no", F.when(unseen, F.col("word")).alias("unseen"), "k",
+        F.when(unseen, 0).otherwise(F.col("k")).cast("long").alias("known"),
+        (F.col("k") * F.coalesce("add_one", F.lit(0))).alias("base"),
+        (F.col("k") * F.coalesce("inside", "miss")).alias("score"),
     )
     tail = tail.mapInArrow(spell, "row_no long, known long, base long, score long, spelling long")
     sums = tail.groupBy("row_no").agg(*(F.sum(c).alias(f"tail_{c}") for c in ("known", "base", "score", "spelling")))
