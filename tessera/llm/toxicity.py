@@ -3,8 +3,9 @@
 Tokens with signs of disguise (symbols or digits among letters, a letter three
 times in a row, letters set apart by spaces) are decoded: a lattice offers for
 each character itself, the letters it may stand for, nothing (a repetition or a
-separator) or the end of a word (a separator), and Viterbi finds the likeliest
-words under a character trigram model. Any other token is its own only reading.
+separator) or the end of a word (a separator), for two or more characters also
+the letter that they draw or sound like, and Viterbi finds the likeliest words
+under a character trigram model. Any other token is its own only reading.
 The restored words and their beginnings, hashed to a fixed number of slots, are
 the features of a logistic regression.
 """
@@ -29,8 +30,12 @@ from .common import small, written
 # The letters that a sign may stand for.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "µ": "u"}
 SEPARATORS = set(".-_*~'`,/\\^:;=#&%\"<>[]{})?" + "+|!(")
-#: Log probabilities of the channel: a sign for a letter, a separator put in (in a word or between two), a letter repeated, a sign kept as it is.
-SIGN, SEPARATOR, REPEAT, KEPT = (math.log(x) for x in (0.05, 0.05, 0.1, 0.001))
+# Characters that together are written for one letter.
+DRAWN_AS = {"|-|": "h", "\\/\\/": "w", "|\\|": "n", "|_|": "u", "\\/": "v", "/\\": "a", "()": "o", "|<": "k", "|)": "d", "|3": "b", "vv": "w", "ph": "f"}
+#: Log probabilities of the channel: a sign for a letter, several characters for one, a separator put in (in a word or between two), a letter repeated, a sign kept as it is.
+SIGN, DRAWN, SEPARATOR, REPEAT, KEPT = (math.log(x) for x in (0.05, 0.005, 0.05, 0.1, 0.001))
+#: A character that may stand for a letter is this one of the separators, or the second of a pair, not a repetition, more seldom.
+SIGN_AS_SEPARATOR, SIGN_TWICE = SEPARATOR - math.log(len(SEPARATORS)), math.log(0.002)
 #: Characters after which the decoder writes down what all surviving readings share (it bounds memory, never results).
 SETTLE = 256
 #: Beginnings of words that are features.
@@ -45,7 +50,8 @@ OTHER, EDGE, SIGN_KEPT = "?", "^", "#"
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|])(?: (?:[^\W_]|[@$!|])){2,}(?!\S)")
 _WORDS = re.compile(r"[^\W\d_]+")
 _LETTER, _DIGIT, _SYMBOL = re.compile(r"[^\W\d_]"), re.compile(r"\d"), re.compile(r"[^\w\s]")
-_SIGN_BEFORE, _SIGN_AFTER, _TRIPLE = re.compile(r"[@$!|(+€£¡µ]"), re.compile(r"[^\W\d_][@$|(+€£]"), re.compile(r"([^\W\d_])\1\1")
+_SIGN_BEFORE, _SIGN_AFTER, _TRIPLE = re.compile(r"[@$!|(+€£¡µ]|\\/|/\\"), re.compile(r"[^\W\d_][@$|(+€£]"), re.compile(r"([^\W\d_])\1\1|vv")
+_DRAWN = re.compile("|".join(f"(?={re.escape(x)})" for x in DRAWN_AS))
 
 
 class CharacterModel:
@@ -84,6 +90,7 @@ def disguised(token: str) -> bool:
 def restore(token: str, model: CharacterModel) -> str:
     """The likeliest words behind a token of any length in lower case, by Viterbi with back-pointers."""
     best, before, done = {EDGE * 2: (0.0, 0)}, "", []
+    ahead: dict[int, dict[str, tuple[float, int]]] = {}  # states of readings that end beyond the next character
     steps: list[tuple[int, str]] = [(-1, "")]  # (step before, what is written)
 
     def written_at(k: int) -> str:
@@ -93,38 +100,58 @@ def restore(token: str, model: CharacterModel) -> str:
             shown.append(piece)
         return "".join(reversed(shown))
 
+    def reach(column: dict[str, tuple[float, int]], readings: list[tuple[str, str, float]]) -> None:
+        following: dict[str, tuple[float, int, str]] = {}
+        for state, (score, step) in best.items():
+            row = model.log[state]
+            for kind, shown, gain in readings:
+                new, value = (EDGE * 2 if kind == EDGE else state[1] + kind, score + gain + row[kind]) if kind else (state, score + gain)
+                if new not in following or value > following[new][0]:
+                    following[new] = (value, step, shown)
+        for state, (score, step, shown) in following.items():
+            if state not in column or score > column[state][0]:
+                if shown:
+                    steps.append((step, shown))
+                    step = len(steps) - 1
+                column[state] = (score, step)
+
+    drawn: dict[int, list[str]] = {}
+    if _DRAWN.search(token):
+        for sign in DRAWN_AS:
+            for m in re.finditer(f"(?={re.escape(sign)})", token):
+                drawn.setdefault(m.start(), []).append(sign)
+    run = 0
     for at, c in enumerate(token):
+        run = run + 1 if c == before else 1
         readings: list[tuple[str, str, float]] = []  # (class, what is written, log probability)
         if c.isalpha():
             readings.append((c if "a" <= c <= "z" else OTHER, c, 0.0))
             if c == before:
                 readings.append(("", "", REPEAT))
         else:
-            readings += [(x, x, SIGN) for x in STANDS_FOR.get(c, "")]
-            if c in SEPARATORS or c == before:
-                readings.append(("", "", SEPARATOR))
+            letters = STANDS_FOR.get(c, "")
+            readings += [(x, x, SIGN) for x in letters]
+            if c == before:
+                pair = letters and run == 2 and token[at + 1 : at + 2] != c
+                readings.append(("", "", SIGN_TWICE if pair else SEPARATOR))
+            elif c in SEPARATORS:
+                readings.append(("", "", SIGN_AS_SEPARATOR if letters else SEPARATOR))
             if c in SEPARATORS:
-                readings.append((EDGE, " ", SEPARATOR))
+                readings.append((EDGE, " ", SIGN_AS_SEPARATOR if letters else SEPARATOR))
             readings.append((SIGN_KEPT, " ", KEPT))
-        following: dict[str, tuple[float, int, str]] = {}
-        for state, (score, step) in best.items():
-            row = model.log[state]
-            for kind, shown, gain in readings:
-                new, value = (EDGE * 2 if kind == EDGE else state[1] + kind, score + gain + row[kind]) if kind else (state, score + gain)
-                if new not in following or value > following[new][0]:
-                    following[new] = (value, step, shown)
-        best, before = {}, c
-        for state, (score, step, shown) in following.items():
-            if shown:
-                steps.append((step, shown))
-                step = len(steps) - 1
-            best[state] = (score, step)
+        for sign in drawn.get(at, ()):
+            reach(ahead.setdefault(at + len(sign), {}), [(DRAWN_AS[sign], DRAWN_AS[sign], DRAWN)])
+        column = ahead.pop(at + 1, {})
+        reach(column, readings)
+        best, before = column, c
         if at % SETTLE == SETTLE - 1:
-            texts = {state: written_at(step) for state, (_, step) in best.items()}
-            shared = len(commonprefix(list(texts.values())))
-            done.append(next(iter(texts.values()))[:shared])
-            steps = [(-1, text[shared:]) for text in texts.values()]
-            best = {state: (score, k) for k, (state, (score, _)) in enumerate(best.items())}
+            columns = [best, *ahead.values()]
+            texts = [written_at(step) for states in columns for _, step in states.values()]
+            shared = len(commonprefix(texts))
+            done.append(texts[0][:shared])
+            steps, number = [(-1, text[shared:]) for text in texts], iter(range(len(texts)))
+            for states in columns:
+                states.update({state: (score, next(number)) for state, (score, _) in states.items()})
     return "".join(done) + max((score + model.log[state][EDGE], written_at(step)) for state, (score, step) in best.items())[1]
 
 

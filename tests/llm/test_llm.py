@@ -595,6 +595,57 @@ def test_disguises_are_read(spark):
     assert toxicity.score_documents(docs(spark, []).limit(0), judge).count() == 0
 
 
+def every_reading(token, model):
+    """All readings of a short token with their log probabilities, one by one, as the lattice offers them."""
+    t = toxicity
+    open_, done = [(0, t.EDGE * 2, 0.0, "")], []
+    while open_:
+        at, state, score, text = open_.pop()
+        if at == len(token):
+            done.append((score + model.log[state][t.EDGE], text))
+            continue
+        c, letters = token[at], t.STANDS_FOR.get(token[at], "")
+        run = len(token[: at + 1]) - len(token[: at + 1].rstrip(c))
+        offers = [(len(x), y, y, t.DRAWN) for x, y in t.DRAWN_AS.items() if token.startswith(x, at)]
+        if c.isalpha():
+            offers += [(1, c if "a" <= c <= "z" else t.OTHER, c, 0.0)] + [(1, "", "", t.REPEAT)] * (run > 1)
+        else:
+            offers += [(1, x, x, t.SIGN) for x in letters] + [(1, t.SIGN_KEPT, " ", t.KEPT)]
+            if run > 1:
+                offers.append((1, "", "", t.SIGN_TWICE if letters and run == 2 and token[at + 1 : at + 2] != c else t.SEPARATOR))
+            elif c in t.SEPARATORS:
+                offers.append((1, "", "", t.SIGN_AS_SEPARATOR if letters else t.SEPARATOR))
+            if c in t.SEPARATORS:
+                offers.append((1, t.EDGE, " ", t.SIGN_AS_SEPARATOR if letters else t.SEPARATOR))
+        for length, kind, shown, gain in offers:
+            new = t.EDGE * 2 if kind == t.EDGE else state[1] + kind if kind else state
+            open_.append((at + length, new, score + gain + (model.log[state][kind] if kind else 0.0), text + shown))
+    return done
+
+
+def test_the_lattice_finds_the_likeliest_of_all_readings():
+    words = "where hate fool word idiot asshole kind hello the cat went home whole loser who"
+    model = toxicity.CharacterModel(Counter(g for w in words.split() * 5 for g in toxicity.CharacterModel.grams(w)))
+    for shown, word in (("\\/\\/here", "where"), ("|-|ate", "hate"), ("ph00l", "fool"), ("vv0rd", "word"), ("!d!0t", "idiot"), ("a55hole", "asshole"), ("|<ind", "kind"), ("he1l()", "hello")):
+        assert toxicity.disguised(shown) and toxicity.restore(shown, model) == word
+    rng = random.Random(9)
+    for _ in range(300):
+        token = "".join(rng.choice(["|-|", "\\/", "()", "vv", "ph", "!", "5", "0", "a", "h", "o", "w", "|", ".", "é"]) for _ in range(rng.randint(1, 5)))
+        readings = every_reading(token, model)
+        best = max(score for score, _ in readings)
+        assert toxicity.restore(token, model) in {text for score, text in readings if score > best - 1e-9}, token
+
+
+def test_settling_a_long_token_changes_nothing(monkeypatch):
+    model = toxicity.CharacterModel(Counter(g for w in ("where", "hate", "fool") * 5 for g in toxicity.CharacterModel.grams(w)))
+    token = "\\/\\/here.|-|ate!ph00l|\\|" * 40
+    monkeypatch.setattr(toxicity, "SETTLE", 1 << 40)
+    whole = toxicity.restore(token, model)
+    for settle in (1, 2, 3, 5, 256):
+        monkeypatch.setattr(toxicity, "SETTLE", settle)
+        assert toxicity.restore(token, model) == whole
+
+
 def test_nothing_to_learn_from(spark):
     judge = toxicity.learn(docs(spark, [(1, "x")]), spark.createDataFrame([], "doc_id long, toxic int"))
     assert [r["predicted"] for r in toxicity.score_documents(docs(spark, [(1, "x")]), judge).collect()] == [0]
