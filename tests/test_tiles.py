@@ -28,6 +28,22 @@ def test_a_group_of_several_tiles_is_searched_whole(spark, monkeypatch):
     assert found == want
 
 
+class Asked:
+    """A written index that remembers its queries."""
+
+    def search(self, queries, limit):
+        self.texts = sorted((r["group_id"], r["text"]) for r in queries.collect())
+        return queries.select("query_id", "group_id", F.concat("group_id", F.lit("-doc")).alias("uuid"), F.lit(1.0).alias("fulltext_score"), F.lit(1).alias("rank"))
+
+
+def test_equal_texts_of_a_group_are_searched_once(spark):
+    rows = [(f"q{k}", f"g{k % 2}", ("The and", "and the THE", "other", "", None)[k % 5]) for k in range(40)]
+    index = Asked()
+    found = search.fulltext_search(index, spark.createDataFrame(rows, "query_id string, group_id string, text string"), 5)
+    assert {(r["query_id"], r["uuid"], r["rank"]) for r in found.collect()} >= {(q, f"{g}-doc", 1) for q, g, t in rows if t}
+    assert [t for t in index.texts if t[1]] == [("g0", "and the"), ("g0", "other"), ("g1", "and the"), ("g1", "other")]
+
+
 def test_rows_of_its_own_do_not_count(spark):
     rows = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 2, [1.0, 0.0]), (1, 3, [1.0, 0.0]), (1, 4, [0.0, 1.0]), (2, 5, [1.0, 0.0])], "group_id int, uuid long, vector array<double>")
     queries = rows.select(F.col("uuid").alias("query_id"), "group_id", F.col("uuid").alias("own"), "vector")
