@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import search
+from tessera.queries.building import nearest_in_label
 
 ROWS = "group_id string, uuid string, vector array<double>"
 
@@ -48,3 +49,11 @@ def test_rows_of_its_own_do_not_count(spark):
     rows = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 2, [1.0, 0.0]), (1, 3, [1.0, 0.0]), (1, 4, [0.0, 1.0]), (2, 5, [1.0, 0.0])], "group_id int, uuid long, vector array<double>")
     queries = rows.select(F.col("uuid").alias("query_id"), "group_id", F.col("uuid").alias("own"), "vector")
     assert sorted((r["query_id"], r["uuid"]) for r in search.vector_search(rows, "vector", queries, 1).collect()) == [(1, 2), (2, 1), (3, 1), (4, 1)]
+
+
+def test_nearest_in_label_has_no_join_of_all_pairs(spark, tmp_path):
+    rows = [(0, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [0.8, 0.6], 1), (20, [1.0, 1.0], 2), (21, None, 2), (40, None, 3), (41, [1.0, 0.0], 3), (42, [1.0, 0.0], 3), (60, [1.0, 0.0], 4), (80, [1.0, 0.0], None), (81, [1.0, 0.0], None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = nearest_in_label(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [(0, 2), (20, 21), (40, 41)]
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
