@@ -44,14 +44,22 @@ def _undirected(edges: DataFrame) -> DataFrame:
 
 def expand_to_edges(seeds: DataFrame, entities: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
     """(edge, neighbour) rows around the seeds, whichever way the edge points; ``limit`` counts these rows."""
-    found = _seeds(seeds, entities).join(_undirected(edges), ["group_id", "seed_uuid"])
-    found = found.groupBy("query_id", "group_id", "edge_uuid", "neighbour_uuid").agg(
+    around, row = _undirected(edges), ["query_id", "group_id", "edge_uuid", "neighbour_uuid"]
+    order = Window.partitionBy("query_id").orderBy(F.desc("matched_entity_count"), F.desc_nulls_first("valid_at"), "edge_uuid", "neighbour_uuid")
+    starts, shared = _seeds(seeds, entities), ["group_id", "seed_uuid"]
+    if limit is not None:
+        # Ids and times give the places; only the rows that stay get names and facts. A seed is one end, the neighbour the other.
+        ids = starts.drop("seed_name").join(around.select(*shared, "edge_uuid", "neighbour_uuid", "valid_at"), shared)
+        ids = ids.join(entities.select("group_id", F.col("uuid").alias("neighbour_uuid")), ["group_id", "neighbour_uuid"], "left_semi")
+        ids = ids.groupBy(*row).agg(F.size(F.collect_set("seed_uuid")).alias("matched_entity_count"), F.first("valid_at").alias("valid_at"))
+        best = ids.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).select(*row)
+        around, shared = around.join(best, row[1:]), ["query_id", *shared]
+    found = starts.join(around, shared).groupBy(*row).agg(
         *_matched(), *[F.first(c).alias(c) for c in ("fact", "valid_at", "invalid_at", "source_uuid", "target_uuid")]
     )
     names = entities.select("group_id", "uuid", "name")
     for end in ("source", "target", "neighbour"):
         found = found.join(names.select("group_id", F.col("uuid").alias(f"{end}_uuid"), F.col("name").alias(f"{end}_name")), ["group_id", f"{end}_uuid"])
-    order = Window.partitionBy("query_id").orderBy(F.desc("matched_entity_count"), F.desc_nulls_first("valid_at"), "edge_uuid", "neighbour_uuid")
     placed = found.withColumn("place", F.row_number().over(order))
     return placed if limit is None else placed.filter(F.col("place") <= limit)
 

@@ -165,7 +165,8 @@ def whole_retrieval(spark, d, item):
     from tessera.functions.text import stable_id
 
     stages = Stages(spark, "retrieve")
-    g = stages.keep_all(graph_tables(spark, d))
+    made = graph_tables(spark, d)
+    g = {name: made[name] for name in ("entities", "edges")} | stages.keep_all({name: made[name] for name in ("episodes", "mentions")})
     letter = F.substring("name", 1, 1)
     cats = g["entities"].select("group_id", letter.alias("name")).distinct().withColumn("uuid", stable_id("category", F.col("group_id"), F.lit(1), F.col("name")))
     categories = cats.select("group_id", "uuid", "name", F.array("name").alias("tag"), F.lit(1).alias("layer"))
