@@ -17,24 +17,22 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import normalize_text, stable_id, tokens
 from tessera.providers import Embedder
 from tessera.stages import Stages
 
-from .vector_index import VectorIndex
+from .search import AT_ONCE, in_tiles, matrix
+from .vector_index import usable
 
 #: More rounds than this are an error; a round decides at least the earliest undecided names of each group.
 MOST_ROUNDS = 10_000
 RESOLVED = "group_id string, episode_uuid string, key string, name string, pos long, is_speaker boolean, uuid string"
 
 
-def is_near(similarity: Column, shares: Column, match: tuple[float, float]) -> Column:
-    return (similarity >= match[0]) | ((similarity >= match[1]) & shares)
-
-
 def with_turns(mentions: DataFrame, episodes: DataFrame) -> DataFrame:
     """Mentions (group_id, episode_uuid, key, ...) with ``turn``, the place of their episode in the group's order."""
     turn = F.struct(F.col("seq").cast("long").alias("seq"), "source_id", F.col("uuid").alias("episode"))
@@ -46,37 +44,86 @@ def known_keys(known: DataFrame) -> DataFrame:
     return known.select("group_id", normalize_text(F.col("name")).alias("key"), "uuid").groupBy("group_id", "key").agg(F.min("uuid").alias("uuid"))
 
 
-def near_names(names: DataFrame, known: DataFrame, embedder: Embedder, match: tuple[float, float], stages: Stages) -> DataFrame:
-    """The names of a group near each name (group_id, key) that is not itself, among ``names`` and ``known``: group_id, key, other, similarity.
+def turn_places(*turns: list[dict | None]) -> list[np.ndarray]:
+    """The place of each turn among all that are given; -1 for null, which is before all."""
+    keys = [[None if t is None else (t["seq"] is not None, t["seq"] or 0, t["source_id"] or "", t["episode"] or "") for t in part] for part in turns]
+    place = {t: k for k, t in enumerate(sorted({t for part in keys for t in part if t is not None}))} | {None: -1}
+    return [np.array([place[t] for t in part], np.int64) for part in keys]
+
+
+def near_in_tile(match: tuple[float, float], best: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For a tile's names (query_id, _q, _said, _turn) and rows (uuid, vector, words, since): the pairs that are near.
 
-    Only cells of an index of the names that may hold a near one are compared.
+    With ``best``, of a name's rows in the order of their similarity, then
+    uuid, only those that were there before all better ones: at any turn, the
+    best one there is among them. Else all rows that were there before the name.
     """
-    every = names.select("group_id", "key").union(known.select("group_id", "key")).distinct()
-    every = stages.keep("names", every.withColumn("vector", embedder.embed(F.col("key"))))
-    index = VectorIndex(stages.spark, f"{stages.folder}/names-index").create(every.withColumnRenamed("key", "uuid"), "vector")
-    asked = every.join(names.select("group_id", "key"), ["group_id", "key"], "left_semi").select(F.concat_ws("\x00", "group_id", "key").alias("query_id"), "group_id", "vector")
-    pairs = index.within(asked, match[1]).select("group_id", F.element_at(F.split("query_id", "\x00", 2), 2).alias("key"), F.col("uuid").alias("other"), "similarity").filter("key <> other")
-    shares = F.arrays_overlap(tokens(F.col("key")), tokens(F.col("other")))
-    return pairs.filter(is_near(F.col("similarity"), shares, match))
+
+    def run(asked: pa.Table, have: pa.Table) -> pa.Table:
+        have = have.sort_by("uuid")
+        found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 3]
+        if asked.num_rows and have.num_rows:
+            size = have.column("_d")[0].as_py()
+            (rows, lengths), (names, own_lengths) = matrix(have.column("vector"), size), matrix(asked.column("_q"), size)
+            since, turn = turn_places(have.column("since").to_pylist(), asked.column("_turn").to_pylist())
+            holders: dict[str, list[int]] = {}
+            for k, said in enumerate(have.column("words").to_pylist()):
+                for word in set(said):
+                    holders.setdefault(word, []).append(k)
+            own, step = asked.column("_said").to_pylist(), max(1, AT_ONCE // len(rows))
+            for i in range(0, len(names), step):
+                scale = own_lengths[i : i + step, None] * lengths
+                near = names[i : i + step] @ rows.T
+                near = np.round(np.divide(near, scale, out=np.zeros_like(near), where=scale > 0), 6)
+                real = near >= match[0]
+                for k, said in enumerate(own[i : i + step]):
+                    for word in said:
+                        if places := holders.get(word):
+                            real[k, places] |= near[k, places] >= match[1]
+                if not best:
+                    real &= since < turn[i : i + step, None]
+                q, v = np.nonzero(real)
+                similarity = near[q, v]
+                if best:
+                    order = np.lexsort((v, -similarity, q))
+                    q, v, similarity = q[order], v[order], similarity[order]
+                    # Each name's places lie below all of the name before, so that the running minimum starts anew.
+                    places = since[v] - q * (len(rows) + len(names) + 2)
+                    first = np.ones(len(q), bool)
+                    first[1:] = places[1:] < np.minimum.accumulate(places)[:-1]
+                    q, v, similarity = q[first], v[first], similarity[first]
+                found.append((q + i, v, similarity))
+        q, v, similarity = (np.concatenate(part) for part in zip(*found))
+        q, v = pa.array(q.astype(np.int64)), pa.array(v.astype(np.int64))
+        taken = [asked.column("query_id").take(q), *(have.column(c).take(v) for c in ("group_id", "uuid", "since"))]
+        return pa.table([*taken, pa.array(similarity.astype("f8"))], names=["key", "group_id", "other", "since", "similarity"])
+
+    return run
+
+
+def near_names(asked: DataFrame, have: DataFrame, match: tuple[float, float], best: bool) -> DataFrame:
+    """The rows of ``have`` near each name of ``asked`` (see ``near_in_tile``): key, group_id, other, since, similarity.
+
+    asked: group_id, key, vector, words, turn. have: group_id, key, vector, words, since (a turn, or null for known ones),
+    and with ``best`` uuid, which then is ``other``. All pairs are compared, tile by tile; memory does not grow with a group.
+    """
+    by = F.col("uuid" if best else "key").alias("uuid")
+    names = asked.select("group_id", F.col("key").alias("query_id"), F.col("vector").alias("_q"), F.col("words").alias("_said"), F.col("turn").alias("_turn"), F.size("vector").alias("_d"))
+    rows = have.select("group_id", by, "vector", "words", "since", F.size("vector").alias("_d"))
+    names, rows = in_tiles(names, rows)  # under names of their own, as both may come from one table
+    turn = dict(have.dtypes)["since"]
+    return names.cogroup(rows).applyInArrow(near_in_tile(match, best), f"key string, group_id string, other string, since {turn}, similarity double")
 
 
-def makers(first: DataFrame, near: DataFrame, stages: Stages) -> DataFrame:
-    """The names that make an entity: group_id, key, turn.
+def makers(open_names: DataFrame, edges: DataFrame, stages: Stages) -> DataFrame:
+    """Those of ``open_names`` (group_id, key, ...), names without a near one known, that make an entity.
 
-    first: group_id, key, turn (where it is first said). near: group_id, key,
-    other, of which ``other`` is another name or, with a null turn, a known one.
+    edges: group_id, key, other, of which ``other`` is a near open name said in an earlier turn.
 
-    A name that has a near one known makes none. Of the others, in rounds: one
-    makes an entity when no near name said in an earlier turn is undecided or
-    has made one; and none when such a name has made one. Each round's rows are
-    written, and only undecided names stay.
+    In rounds: a name makes an entity when no near name said in an earlier turn
+    is undecided or has made one; and none when such a name has made one. Each
+    round's rows are written, and only undecided names stay.
     """
-    said = first.select("group_id", F.col("key").alias("other"), F.col("turn").alias("other_turn"))
-    edges = near.join(first, ["group_id", "key"]).join(said, ["group_id", "other"], "left")
-    edges = edges.filter("other_turn IS NULL OR other_turn < turn").select("group_id", "key", "other", F.col("other_turn").isNull().alias("known"))
-    edges = stages.keep("near-before", edges)
-    open_names = first.join(edges.filter("known").select("group_id", "key"), ["group_id", "key"], "left_anti")
-    edges = edges.filter("NOT known").select("group_id", "key", "other")
     made = None
     for step in range(MOST_ROUNDS):
         # Names that were decided to make none do not count for others.
@@ -96,18 +143,31 @@ def resolve_in_order(mentions: DataFrame, episodes: DataFrame, known: DataFrame,
 
     mentions: one row per episode and key (see ``ingest.entity_mentions``).
     known: group_id, uuid, name. Of entities equally similar the least uuid counts.
+
+    Names are compared with entities, and with each other only where no known
+    one is near; and of the entities near a name only those are kept that are
+    the best one at some turn. So what is written grows with the names, not with their pairs.
     """
     rows = stages.keep("mentions-in-order", with_turns(mentions, episodes))
-    have = stages.keep("known-keys", known_keys(known))
-    first = rows.join(have, ["group_id", "key"], "left_anti").groupBy("group_id", "key").agg(F.min("turn").alias("turn"))
-    first = stages.keep("first-said", first)
-    near = stages.keep("near", near_names(first, have, embedder, match, stages))
-    made = stages.keep("made", makers(first, near, stages).withColumn("uuid", stable_id("entity", F.col("group_id"), F.col("key"))))
-    entities = have.withColumn("since", F.lit(None).cast(made.schema["turn"].dataType)).unionByName(made.select("group_id", "key", "uuid", F.col("turn").alias("since")))
+    have = known_keys(known).withColumn("since", F.lit(None).cast(rows.schema["turn"].dataType))
+    first = rows.join(have.select("group_id", "key"), ["group_id", "key"], "left_anti").groupBy("group_id", "key").agg(F.min("turn").alias("turn"))
+    seen = {"vector": embedder.embed(F.col("key")), "words": tokens(F.col("key"))}
+    have, first = stages.keep("known-keys", have.withColumns(seen)), stages.keep("first-said", first.withColumns(seen))
+    comparable = usable(F.col("vector"))
+    at_known = stages.keep("near-known", near_names(first.filter(comparable), have.filter(comparable), match, best=True))
+    open_names = stages.keep("open", first.join(at_known.select("group_id", "key"), ["group_id", "key"], "left_anti"))
+    able = open_names.filter(comparable)
+    earlier = stages.keep("near-before", near_names(able, able.withColumnRenamed("turn", "since"), match, best=False).select("group_id", "key", "other"))
+    made = makers(open_names.select("group_id", "key", F.col("turn").alias("since")), earlier, stages)
+    made = stages.keep("made", made.withColumn("uuid", stable_id("entity", F.col("group_id"), F.col("key"))))
+    entities = have.select("group_id", "key", "uuid", "since").unionByName(made)
     exact = rows.join(entities.select("group_id", "key", "uuid"), ["group_id", "key"])
     # A name without an entity of its own: of the near ones that are there at each turn, the most similar.
-    others = near.join(entities.select("group_id", F.col("key").alias("other"), "uuid", "since"), ["group_id", "other"])
-    fuzzy = rows.join(entities.select("group_id", "key"), ["group_id", "key"], "left_anti").join(others, ["group_id", "key"]).filter("since IS NULL OR since < turn")
+    others = first.filter(comparable).join(made.select("group_id", "key"), ["group_id", "key"], "left_anti")
+    makes = able.select("group_id", "key", "vector", "words").join(made, ["group_id", "key"])
+    at_made = stages.keep("near-made", near_names(others, makes, match, best=True))
+    near = at_known.unionByName(at_made).withColumnRenamed("other", "uuid")
+    fuzzy = rows.join(entities.select("group_id", "key"), ["group_id", "key"], "left_anti").join(near, ["group_id", "key"]).filter("since IS NULL OR since < turn")
     own = ["group_id", "episode_uuid", "key"]
     best = fuzzy.groupBy(*own).agg(*[F.first(c).alias(c) for c in ("name", "pos", "is_speaker")], F.min_by("uuid", F.struct(-F.col("similarity"), "uuid")).alias("uuid"))
     columns = ("group_id", "episode_uuid", "key", "name", "pos", "is_speaker", "uuid")
