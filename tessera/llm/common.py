@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Unless a caller states another bound, a table of more rows than this is never broadcast by hand.
 BROADCAST_ROWS = 20_000
+#: Bits of the map of a set of keys that ``marks`` makes: 2 MB, whatever the set.
+MARKS = 1 << 24
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +46,21 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def marks(keys: DataFrame, key: str) -> DataFrame:
+    """A bitmap of the hashes of ``key``, in at most ``MARKS`` / 32,768 rows (_group, _bits) of 4 KB, for ``marked``."""
+    slot = F.pmod(F.xxhash64(key), F.lit(MARKS)) + 1
+    return keys.select(slot.alias("_slot")).groupBy(F.bitmap_bucket_number("_slot").alias("_group")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
+
+
+def marked(rows: DataFrame, key: str, bits: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the boolean ``name``: true where ``key`` is in the set of ``marks``, and for few other keys. Nothing is shuffled."""
+    slot = F.pmod(F.xxhash64(key), F.lit(MARKS)) + 1
+    at = F.bitmap_bit_position(slot).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    rows = rows.withColumn("_group", F.bitmap_bucket_number(slot)).join(F.broadcast(bits), "_group", "left")
+    return rows.withColumn(name, F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))).drop("_group", "_bits")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of undirected ``edges`` (a, b): one row (node, root) per node that has an edge.
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, small, written
+from .common import components, marked, marks, small, written
 
 SEED = 42
 #: 64-bit words of a wide fingerprint, and the odd numbers that make them of one shingle hash.
@@ -395,7 +395,9 @@ def dense_candidates(members: DataFrame, nodes: DataFrame, most: int, share: flo
         a, b = (ids[np.concatenate(part)] for part in zip(*found))
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return members.join(nodes.select("node", "wide", "map", "size", "root"), "node").groupBy("bucket").applyInPandas(match, "a long, b long")
+    # A node is joined once with all its buckets, of which there are at most as many as rounds.
+    placed = members.groupBy("node").agg(F.collect_list("bucket").alias("buckets")).join(nodes.select("node", "wide", "map", "size", "root"), "node")
+    return placed.select("node", "wide", "map", "size", "root", F.explode("buckets").alias("bucket")).groupBy("bucket").applyInPandas(match, "a long, b long")
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, words: int, share: float) -> DataFrame:
@@ -417,7 +419,10 @@ def similar_links(nodes: DataFrame, texts: DataFrame, words: int, share: float)
 
     def decided(pairs: DataFrame) -> DataFrame:
         asked = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "_sha"), "node"), "near-asked")
-        sets = texts.join(small(asked), "_sha").dropDuplicates(["node"]).select("node", "text").mapInArrow(make, "node long, shingles array<long>")
+        wanted = small(asked)
+        # Where the join shuffles, only texts that are asked for, and few others, take part.
+        some = texts if wanted is not asked else marked(texts, "_sha", written(marks(asked, "_sha"), "near-marks"), "_asked").filter("_asked").drop("_asked")
+        sets = some.join(wanted, "_sha").dropDuplicates(["_sha"]).select("node", "text").mapInArrow(make, "node long, shingles array<long>")
         sets = written(sets, "near-sets")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a")
         both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
@@ -468,6 +473,12 @@ def keep_one_of_near(docs: DataFrame, words: int = 5, share: float = 0.8) -> Dat
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._id").alias("_kept_id"), F.col("first._sha").alias("_kept_sha"))
     # One key of id and digest, so that the join and the removal of repeated rows share a shuffle.
     key = lambda i, digest: F.concat_ws("/", digest, F.col(i).cast("string"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), sha.alias("_sha")).withColumn("_key", key("_id", F.col("_sha")))
-    kept = kept.select(key("_kept_id", F.col("_kept_sha")).alias("_key"))
-    return rows.select("_key", "_row").join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
+    kept = written(kept.select(key("_kept_id", F.col("_kept_sha")).alias("_key")), "near-kept")
+    # Whole rows are shuffled only where some of their key may go: most stay where they are.
+    keys = rows.groupBy(key("_id", F.col("_sha")).alias("_key")).agg(F.count("*").alias("n"))
+    doubtful = keys.join(kept.withColumn("stays", F.lit(True)), "_key", "left").filter("stays IS NULL OR n > 1")
+    doubtful = written(marks(doubtful, "_key"), "near-doubtful")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), key("doc_id", sha).alias("_key"))
+    rows = marked(rows, "_key", doubtful, "_doubtful")
+    rest = rows.filter("_doubtful").select("_key", "_row").join(kept, "_key", "left_semi").dropDuplicates(["_key"])
+    return rows.filter("NOT _doubtful").select("_row").union(rest.select("_row")).select("_row.*")
