@@ -79,11 +79,14 @@ def entity_rows(resolved: DataFrame, episodes: DataFrame, known: DataFrame | Non
     return out.drop("_s", "_t", "_fallback", "_old", "key")
 
 
-def distinct_edges(edges: DataFrame) -> DataFrame:
-    """Edges of an episode that normalise equal (source, target, fact) once: extraction (round 0) before reflection, then order."""
+def distinct_edges(edges: DataFrame, turn: tuple[str, ...] = ("group_id", "episode_uuid")) -> DataFrame:
+    """Edges of an episode that normalise equal (source, target, fact) once: extraction (round 0) before reflection, then order.
+
+    ``turn`` names the columns that tell episodes apart; edges dealt by them are not shuffled again.
+    """
     keys = [normalize_text(F.col(c)).alias(f"_{c}") for c in ("source", "target", "fact")]
     rows = edges.select("*", *keys)
-    order = Window.partitionBy("group_id", "episode_uuid", "_source", "_target", "_fact").orderBy("round", "pos")
+    order = Window.partitionBy(*turn, "_source", "_target", "_fact").orderBy("round", "pos")
     return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_source", "_target", "_fact")
 
 
