@@ -1,10 +1,12 @@
-"""What the operators of this package share: written tables, broadcasts behind a bound, components."""
+"""What the operators of this package share: written tables, broadcasts behind a bound, memories of workers, components."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 #: Bits of the map of a set of keys that ``marks`` makes: 2 MB, whatever the set.
 MARKS = 1 << 24
+#: What this Python worker remembers, by step (one at most).
+_MEMORIES: dict[str, dict] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +50,16 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def memory_of(step: str) -> dict:
+    """What a Python worker remembers from task to task of ``step``. A worker serves many steps: what it remembers of another goes first."""
+    if step not in _MEMORIES:
+        _MEMORIES.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _MEMORIES[step] = {}
+    return _MEMORIES[step]
+
+
 def marks(keys: DataFrame, key: str) -> DataFrame:
     """A bitmap of the hashes of ``key``, in at most ``MARKS`` / 32,768 rows (_group, _bits) of 4 KB, for ``marked``."""
     slot = F.pmod(F.xxhash64(key), F.lit(MARKS)) + 1

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import memory_of
+
 SPACE = "▁"
 #: Entries that a worker remembers before it starts anew; bounds its memory.
 REMEMBERED_WORDS, REMEMBERED_PAIRS = 600_000, 300_000
@@ -286,14 +288,12 @@ def _with_runs(words: list[str]) -> list[str]:
     return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(model_file: str) -> Encoder:
-    """One encoder per worker and model."""
-    if model_file not in _ENCODERS:
-        _ENCODERS[model_file] = Encoder(model_file)
-    return _ENCODERS[model_file]
+    """One encoder per worker and model, until the worker serves another step."""
+    known = memory_of("pieces")
+    if model_file not in known:
+        known[model_file] = Encoder(model_file)
+    return known[model_file]
 
 
 def default_model() -> str:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, marked, marks, small, written
+from .common import components, marked, marks, memory_of, small, written
 
 SEED = 42
 #: 64-bit words of a wide fingerprint, and the odd numbers that make them of one shingle hash.
@@ -78,6 +78,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     id_type = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory_of("simhash")
         for batch in batches:
             prints = np.array([fingerprint(t or "", words) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
@@ -182,6 +183,7 @@ def links(prints: DataFrame, bits: int = 3, tree_sample: int = TREE_SAMPLE, leaf
     trees = [VantagePointTree(half(sample), expected, bits // 2, leaf_rows) for half in halves]
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory_of("simhash")
         for batch in batches:
             signed = np.asarray(batch.column(0))
             own_hash = signed.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
@@ -196,6 +198,7 @@ def links(prints: DataFrame, bits: int = 3, tree_sample: int = TREE_SAMPLE, leaf
                         )
 
     def match(shard: pd.DataFrame) -> pd.DataFrame:
+        memory_of("simhash")
         values, own = shard["fp"].to_numpy().view(np.uint64), shard["own"].to_numpy()
         if not own.any():
             return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
@@ -327,6 +330,7 @@ def dealt(nodes: DataFrame, plan: tuple[int, int, int], *columns: str) -> DataFr
     weights = (1 << np.arange(sampled)).astype(np.int64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory_of("simhash")
         for batch in batches:
             bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WIDE), axis=1)
             for k in range(rounds):
@@ -348,6 +352,7 @@ def candidates(nodes: DataFrame, plan: tuple[int, int, int]) -> DataFrame:
     """
 
     def match(bucket: pd.DataFrame) -> pd.DataFrame:
+        memory_of("simhash")
         ids, prints = bucket["node"].to_numpy(), np.frombuffer(b"".join(bucket["wide"]), np.uint64).reshape(-1, WIDE)
         found, count = [(np.empty(0, np.int64),) * 2], 0
         for x, y in close_pairs(prints, plan[2]):
@@ -372,6 +377,7 @@ def dense_candidates(members: DataFrame, nodes: DataFrame, most: int, share: flo
     """
 
     def match(bucket: pd.DataFrame) -> pd.DataFrame:
+        memory_of("simhash")
         bucket = bucket.sort_values("node")  # so that all rounds find the same closest of the rows before
         ids, root, size = (bucket[c].to_numpy() for c in ("node", "root", "size"))
         prints, maps = (np.frombuffer(b"".join(bucket[c]), np.uint64).reshape(len(ids), -1) for c in ("wide", "map"))
@@ -411,6 +417,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, words: int, share: float)
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory_of("simhash")
         for whole in batches:
             for k in range(0, whole.num_rows, TILE_ROWS):
                 batch = whole.slice(k, TILE_ROWS)
@@ -455,6 +462,7 @@ def keep_one_of_near(docs: DataFrame, words: int = 5, share: float = 0.8) -> Dat
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory_of("simhash")
         for batch in batches:
             sets = [shingle_set(t or "", words) for t in batch.column(2).to_pylist()]
             keys, prints, maps = ([f(h) for h in sets] for f in (lambda h: xxhash.xxh3_128_digest(h.tobytes()), wide_print, shingle_map))

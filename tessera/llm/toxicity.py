@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import memory_of, small, written
 
 # The letters that a sign may stand for.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "µ": "u"}
@@ -199,6 +199,7 @@ def train_character_model(training: DataFrame) -> CharacterModel:
     """Trigram counts of the letter-only words of ``training`` (column text); at most 29³ counts reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory_of("toxicity")
         grams: Counter = Counter()
         for batch in batches:
             words: Counter = Counter()
@@ -221,6 +222,7 @@ def choose_slots(training: DataFrame, model: CharacterModel) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory_of("toxicity")
         features, counts = _Features(model), np.zeros((2, SLOTS), np.int64)
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -261,8 +263,12 @@ class Judge:
         self.model, self.places, self.weights = model, places, weights
 
     def start(self) -> None:
+        memory_of("toxicity")
         self.features = _Features(self.model, self.places)
 
+    def stop(self) -> None:
+        del self.features
+
     def score(self, text: str | None) -> float:
         z = self.weights[-1] + sum(self.weights[k] for k in sorted(self.features.of(text)))
         return float(1 / (1 + math.exp(-max(-50.0, min(50.0, z)))))
@@ -287,6 +293,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     places = choose_slots(training, model)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory_of("toxicity")
         features = _Features(model, places)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([sorted(features.of(t)) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["_id", "toxic", "f"])
@@ -315,6 +322,7 @@ def score_documents(docs: DataFrame, judge: Judge, threshold: float = 0.7, id_co
         for batch in batches:
             scores = [own.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=["doc_id", "score", "predicted"])
+        own.stop()
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, score double, predicted int")
@@ -334,5 +342,6 @@ def keep_clean(docs: DataFrame, judge: Judge, threshold: float = 0.7) -> DataFra
         own.start()
         for batch in batches:
             yield batch.filter(pa.array([own.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+        own.stop()
 
     return docs.mapInArrow(run, docs.schema)
