@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import as_doubles, norm
+from tessera.functions.vectors import norm
 from tessera.stages import Stages
 
 from .search import top_per_query
@@ -73,8 +73,8 @@ def angles_to(pivots: dict[int, np.ndarray], vector: Column) -> Column:
 
 
 def packed(rows: DataFrame, keys: list[str], name: str, vector: str, length: str) -> DataFrame:
-    """Rows with equal ``keys`` as one, for numpy: names, lengths, and the vectors one after another."""
-    own = F.collect_list(F.struct(F.col(name).alias("name"), as_doubles(F.col(vector)).alias("v"), F.col(length).alias("length")))
+    """Rows with equal ``keys`` as one, for numpy: names, lengths, and the vectors one after another, as they are (of doubles only where they were)."""
+    own = F.collect_list(F.struct(F.col(name).alias("name"), F.col(vector).alias("v"), F.col(length).alias("length")))
     rows = rows.groupBy(*keys).agg(own.alias("_own"))
     return rows.select(*keys, F.transform("_own", lambda x: x["name"]).alias("names"), F.flatten(F.transform("_own", lambda x: x["v"])).alias("flat"), F.transform("_own", lambda x: x["length"]).alias("lengths"))
 
@@ -91,7 +91,8 @@ def compare(limit: int | None, least: float | None):
             for i in range(batch.num_rows):
                 of = lambda c: column[c][i].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
                 names, asked, lengths, q_lengths = of("names"), of("q_names"), of("lengths"), of("q_lengths")
-                near = of("q_flat").reshape(len(asked), -1) @ of("flat").reshape(len(names), -1).T
+                doubles = lambda c, n: of(c).astype("f8", copy=False).reshape(n, -1)  # noqa: B023, E731
+                near = doubles("q_flat", len(asked)) @ doubles("flat", len(names)).T
                 scale = np.outer(q_lengths, lengths)
                 near = np.round(np.divide(near, scale, out=np.zeros_like(near), where=scale > 0), 6)
                 kept = np.ones_like(near, bool) if least is None else near >= least
