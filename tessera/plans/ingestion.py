@@ -58,25 +58,28 @@ def ingest_turns(
     resolved = keep("resolved", resolved)
     if detailer is not None:
         details = detailer.entity_details(in_batches(resolved, ingest.detail_batch_size(config.entity_detail_tokens)))
-    new_entities = ingest.entity_rows(resolved, turns, tables["entities"], details)
     if vectors is not None:
-        new_entities = vectors.embed(keep("new-entities", new_entities), {"name": "name_embedding", "summary": "summary_embedding"})
-    entities = keep("entities", store.upsert(tables["entities"], new_entities, ["group_id", "uuid"]))
-    new_links = resolved.select("group_id", F.col("uuid").alias("entity_uuid"), "episode_uuid").distinct()
-    mentions = keep("mentions", store.connect(tables["mentions"], new_links, entities, episodes))
+        new_entities = keep("new-entities", ingest.entity_rows(resolved, turns, tables["entities"], details))
+        new_entities = vectors.embed(new_entities, {"name": "name_embedding", "summary": "summary_embedding"})
+        entities = keep("entities", store.upsert(tables["entities"], new_entities, ["group_id", "uuid"]))
+    else:
+        entities = keep("entities", ingest.entity_rows(resolved, turns, tables["entities"], details, all_known=True))
+    # The ends of these links exist: the entities and episodes have just been stored.
+    new_links = resolved.select("group_id", F.col("uuid").alias("entity_uuid"), "episode_uuid")
+    mentions = keep("mentions", tables["mentions"].unionByName(new_links).dropDuplicates(["group_id", "entity_uuid", "episode_uuid"]))
 
-    several = resolved.groupBy("group_id", "episode_uuid").agg(F.count("*").alias("_n")).filter("_n >= 2").drop("_n")
-    able = keep("able", resolved.join(several, ["group_id", "episode_uuid"], "left_semi"))
+    able = resolved.withColumn("_n", F.count("*").over(Window.partitionBy("group_id", "episode_uuid"))).filter("_n >= 2").drop("_n")
+    able = keep("able", able) if rounds else able
     found = extractor.edges(turns, in_batches(able, ingest.edge_batch_size(config.edge_tokens)))
     if rounds:
-        asked = turns.join(several.select("group_id", F.col("episode_uuid").alias("uuid")), ["group_id", "uuid"], "left_semi")
+        asked = turns.join(able.select("group_id", F.col("episode_uuid").alias("uuid")), ["group_id", "uuid"], "left_semi")
         found = reflection.reflect(asked, found, lambda active, so_far, k: extractor.reflect_edges(active, able, so_far, k), reflection.by_fact, rounds, stages)
-    found = keep("found-edges", ingest.distinct_edges(found))
-    placed = ingest.placed_edges(found, resolved, entities, turns)
+    found = ingest.distinct_edges(found)
+    placed = ingest.placed_edges(found, resolved, entities, turns, keep)
     if vectors is not None:
         placed = resolution.fold_facts(keep("placed-edges", placed), tables["edges"], vectors.embedder, config.edge_match)
-    rows = ingest.latest_edges(placed)
-    if vectors is not None:
-        rows = vectors.embed(keep("new-edges", rows), {"fact": "fact_embedding"})
-    edges = keep("edges", store.upsert_edges(tables["edges"], rows, entities))
+        rows = vectors.embed(keep("new-edges", ingest.latest_edges(placed)), {"fact": "fact_embedding"})
+        edges = keep("edges", store.upsert_edges(tables["edges"], rows, entities))
+    else:
+        edges = keep("edges", ingest.latest_edges(placed, tables["edges"]))
     return {"episodes": keep("episodes-done", store.mark_ingested(episodes, turns)), "entities": entities, "mentions": mentions, "edges": edges}

@@ -41,7 +41,7 @@ class Stages:
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)  # ids are hexadecimal digits, which snappy leaves as they are
         return self.spark.read.schema(df.schema).parquet(path)
 
     def keep_all(self, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
