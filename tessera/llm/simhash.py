@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, marked, marks, memory_of, small, written
@@ -40,6 +40,12 @@ TAIL = 4
 DENSE = 1
 #: Slots of the bitmap of a set of shingles (a bound on the exact difference), and pairs that are compared by them at once.
 MAP_BITS, MAP_PAIRS = 2_048, 65_536
+#: Documents whose shingles are counted to tell frequent ones, shingles that are told, and documents of the sample that a frequent one is in (they decide speed, never results).
+PREFIX_SAMPLE, PREFIX_TOLD, PREFIX_LEAST = 4_096, 100_000, 3
+#: Shingles of prefixes that one task compares, and that a task gathers before it deals them (speed only).
+PREFIX_ROWS, PREFIX_BATCH = 4_000_000, 1 << 20
+#: Rows of groups of such sets that one task takes, if no group is larger (speed only).
+PREFIX_MEMBERS = 100_000
 #: Fingerprints from which the trees are grown (a bounded sample; it decides speed, never results).
 TREE_SAMPLE = 32_768
 #: A leaf is split while it is expected to own more fingerprints than this; larger leaves are dealt to several tasks.
@@ -406,14 +412,189 @@ def dense_candidates(members: DataFrame, nodes: DataFrame, most: int, share: flo
     return placed.select("node", "wide", "map", "size", "root", F.explode("buckets").alias("bucket")).groupBy("bucket").applyInPandas(match, "a long, b long")
 
 
-def similar_links(nodes: DataFrame, texts: DataFrame, words: int, share: float) -> DataFrame:
-    """Links (a, b) between nodes (node long, wide binary, map binary, size int, _sha string) whose shingle sets have a Jaccard similarity of ``share`` or more.
+def prefix_of(h: np.ndarray, share: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first of a set of shingle hashes, frequent ones last: two sets with a Jaccard similarity of ``share`` or more have one of these in common.
+
+    Such sets have ``share`` of the larger one in common. If the first shingles
+    of each, one more than may be missing, had nothing in common, the set whose
+    last one of these comes earlier in the order would miss them all, which is too many. That
+    holds for any order that is the same for all sets.
+    """
+    first = len(h) - int(np.ceil(share * len(h) - 1e-9)) + 1 if len(h) else 0
+    if len(frequent) and first < len(h):
+        at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+        rank = np.where(frequent[at] == h, counts[at], 0)
+        if rank.any():
+            h = h[np.lexsort((h, rank))]
+    return h[:first]
+
+
+def set_keys(h: np.ndarray) -> bytes:
+    """128 bits that stand for a set of shingle hashes; its ``kid`` are the first eight bytes."""
+    return xxhash.xxh3_128_digest(h.tobytes())
+
+
+def frequent_shingles(texts: DataFrame, n: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in a bounded sample of ``texts`` (of about ``n``), in order of their hash, and their counts there."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory_of("simhash")
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text or "", words).view(np.int64))], names=["shingle"])
+
+    some = texts.filter(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, PREFIX_SAMPLE / max(1, n))))
+    counted = some.select("text").mapInArrow(make, "shingle long").groupBy("shingle").count().filter(F.col("count") >= PREFIX_LEAST)
+    told = counted.orderBy(F.desc("count"), "shingle").limit(PREFIX_TOLD).toPandas()
+    hashes, counts = told["shingle"].to_numpy(np.int64).view(np.uint64), told["count"].to_numpy(np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def prefix_members(nodes: DataFrame, texts: DataFrame, words: int, share: float) -> DataFrame:
+    """Groups (bucket, kid, times) of sets that have a shingle of their prefixes in common (``prefix_of``): every similar pair is in one.
+
+    Shingles are dealt in blocks, 32 bits of each beside the shard. Where
+    these are equal by chance, a group is larger than it has to be. Equal
+    groups of a shard are given once, with the number of them.
+    """
+    n, total = nodes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    shards = max(1, round((total * (1 - share) + n) / PREFIX_ROWS))
+    frequent, counts = frequent_shingles(texts, n, words)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory_of("simhash")
+        kids, prefixes, held = [], [], 0
+
+        def dealt_blocks() -> Iterator[pa.RecordBatch]:
+            every, own = np.concatenate(prefixes), np.repeat(np.arange(len(kids), dtype=np.uint32), [len(p) for p in prefixes])
+            shard, known = (every >> np.uint64(32)) % np.uint64(shards), np.array(kids, np.int64)
+            order = np.argsort(shard, kind="stable")
+            ends = np.searchsorted(shard[order], np.arange(shards + 1))
+            for k in range(shards):
+                if ends[k] < ends[k + 1]:
+                    at = order[ends[k] : ends[k + 1]]
+                    present, place = np.unique(own[at], return_inverse=True)
+                    block = (every[at].astype(np.uint32), place.astype(np.uint32), known[present])
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in block)], names=["shard", "rest", "place", "kids"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                h = shingle_set(text or "", words)
+                if len(h):
+                    kids.append(int.from_bytes(set_keys(h)[:8], "little", signed=True))
+                    prefixes.append(prefix_of(h, share, frequent, counts))
+                    held += len(prefixes[-1])
+                if held >= PREFIX_BATCH:
+                    yield from dealt_blocks()
+                    kids, prefixes, held = [], [], 0
+        if held:
+            yield from dealt_blocks()
+
+    def match(table: pa.Table) -> pa.Table:
+        memory_of("simhash")
+        rest, kids = [], []
+        for k in range(table.num_rows):
+            row = [table.column(c)[k].as_py() for c in ("rest", "place", "kids")]
+            rest.append(np.frombuffer(row[0], np.uint32))
+            kids.append(np.frombuffer(row[2], np.int64)[np.frombuffer(row[1], np.uint32)])
+        rest, kids, shard = np.concatenate(rest), np.concatenate(kids), table.column("shard")[0].as_py()
+        order = np.argsort(rest, kind="stable")
+        shared = rest[order][1:] == rest[order][:-1]
+        order = order[np.concatenate((shared, [False])) | np.concatenate(([False], shared))]  # all others are in one set only
+        order = order[np.lexsort((kids[order], rest[order]))]
+        rest, kids = rest[order], kids[order]
+        new = np.concatenate((np.ones(1, bool), (rest[1:] != rest[:-1]) | (kids[1:] != kids[:-1])))[: len(rest)]
+        rest, kids = rest[new], kids[new]
+        starts = np.nonzero(np.concatenate((np.ones(1, bool), rest[1:] != rest[:-1]))[: len(rest)])[0]
+        sizes = np.diff(np.concatenate((starts, [len(rest)])))
+        turned = kids.view(np.uint64)[:, None] * _TURNS[:2]
+        turned ^= turned >> np.uint64(29)
+        turned *= _TURNS[2:]
+        sums = np.column_stack((sizes.astype(np.uint64), np.add.reduceat(turned, starts, axis=0))) if len(starts) else np.empty((0, 3), np.uint64)
+        times = np.zeros(len(starts), np.int64)
+        _, first, counted = np.unique(sums, axis=0, return_index=True, return_counts=True)
+        times[first] = counted
+        times = np.repeat(np.where(sizes > 1, times, 0), sizes)
+        stays = times > 0
+        return pa.table([pa.array(rest[stays].astype(np.int64) | shard << 32), pa.array(kids[stays]), pa.array(times[stays])], names=["bucket", "kid", "times"])
+
+    blocks = texts.select("text").mapInArrow(deal, "shard int, rest binary, place binary, kids binary")
+    return blocks.groupBy("shard").applyInArrow(match, "bucket long, kid long, times long")
+
+
+def prefix_pairs(members: DataFrame, share: float) -> DataFrame:
+    """Pairs (a, b) of the groups ``members`` (bucket, times, node, root, size) of different roots that may be similar.
+
+    Of two sets, that whose prefix ends earlier has all that both have in
+    common up to there in both prefixes, and the rest of it, which has one less than ``share``
+    of its shingles, may be in common too. So similar sets of about equal size have many shingles of
+    their prefixes in common, by how many groups hold both.
+    """
+    parts = max(1, -(-members.count() // PREFIX_MEMBERS))
+
+    def match(part: pd.DataFrame) -> pd.DataFrame:
+        memory_of("simhash")
+        part = part.sort_values(["bucket", "node"], kind="stable")
+        ids, place = np.unique(part["node"].to_numpy(), return_inverse=True)
+        bucket, times, root, size = (part[c].to_numpy().astype(np.int64) for c in ("bucket", "times", "root", "size"))
+        starts = np.nonzero(np.concatenate((np.ones(1, bool), bucket[1:] != bucket[:-1])))[0]
+        code, total = np.empty(0, np.int64), np.empty(0, np.int64)
+        held, weights, count = [], [], 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            every, at = np.unique(np.concatenate((code, *held)), return_inverse=True)
+            sums = np.zeros(len(every), np.int64)
+            np.add.at(sums, at, np.concatenate((total, *weights)))
+            return every, sums
+
+        for i, j in zip(starts, [*starts[1:], len(bucket)]):
+            for k, l in ((k, l) for k in range(i, j, TILE_ROWS) for l in range(i, min(k + TILE_ROWS, j), TILE_COLUMNS)):
+                a, b = np.arange(k, min(k + TILE_ROWS, j))[:, None], np.arange(l, min(l + TILE_COLUMNS, k + TILE_ROWS, j))[None]
+                x, y = np.nonzero((a > b) & (root[a] != root[b]) & (np.minimum(size[a], size[b]) >= share * np.maximum(size[a], size[b]) - 1e-9))
+                held.append(place[k + x] * len(ids) + place[l + y])
+                weights.append(np.full(len(x), times[i]))
+                count += len(x)
+                if count > 16 * MAP_PAIRS:
+                    code, total = summed()
+                    held, weights, count = [], [], 0
+        code, total = summed()
+        x, y = np.divmod(code, len(ids))
+        sizes = np.zeros(len(ids), np.int64)
+        sizes[place] = size
+        return pd.DataFrame({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y]), "common": total, "m": sizes[x], "n": sizes[y]})
+
+    found = members.groupBy(F.pmod(F.xxhash64("bucket"), F.lit(parts))).applyInPandas(match, "a long, b long, common long, m long, n long")
+    found = found.groupBy("a", "b").agg(F.sum("common").alias("common"), *[F.first(c).alias(c) for c in ("m", "n")])
+    both = F.ceil((F.col("m") + F.col("n")) * (share / (1 + share)) - 1e-9)
+    return found.filter(F.col("common") > both - F.ceil(F.greatest("m", "n") * share - 1e-9)).select("a", "b", "m", "n")
+
+
+def near_maps(pairs: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
+    """The ``pairs`` (a, b, sizes m and n) that the bitmaps of nodes (node, map) do not exclude, as in ``dense_candidates``."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory_of("simhash")
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("_x", "_y"))
+            apart, sizes = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), np.asarray(batch.column("m")) + np.asarray(batch.column("n"))
+            yield batch.select(["a", "b"]).filter(pa.array(apart * (1 + share) <= sizes * (1 - share) + 1e-9))
+
+    for end, name in (("a", "_x"), ("b", "_y")):
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("map").alias(name)), end)
+    return pairs.mapInArrow(keep, "a long, b long")
+
+
+def similar_groups(nodes: DataFrame, texts: DataFrame, words: int, share: float) -> DataFrame:
+    """The groups (node, root) of nodes (node long, kid long, wide binary, map binary, size int, _sha string) that are linked by shingle sets with a Jaccard similarity of ``share`` or more.
 
     ``candidates`` finds pairs by their fingerprints, and the exact sets,
     made of ``texts`` (_sha, text) for the nodes of those pairs, decide. In
     dense groups the closest pairs are decided first; then all pairs that are
     not yet connected, so that many copies of one text are not compared each
-    with each. All candidate pairs are connected by links, or decided.
+    with each. Fingerprints leave out a pair whose bits differ by an
+    unlikely lot or in each round's sample. So at last all pairs that are not yet connected and have a
+    shingle of their prefixes in common (``prefix_members``) are decided too, which are all that can be similar.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,20 +622,32 @@ def similar_links(nodes: DataFrame, texts: DataFrame, words: int, share: float)
     pairs = found.filter("bucket IS NULL").select("a", "b")
     dense = written(found.filter("bucket IS NOT NULL").select("bucket"), "near-buckets")
     if dense.isEmpty():
-        return decided(written(pairs.distinct(), "near-pairs"))
-    members = written(dealt(nodes, plan, "node").join(small(dense), "bucket", "left_semi"), "near-members")
-    near = dense_candidates(members, nodes.withColumn("root", F.col("node")), plan[2], share, closest=True)
-    links = decided(written(pairs.union(near).distinct(), "near-pairs"))
-    rooted = nodes.join(components(links, "near-dense"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = dense_candidates(members, written(rooted, "near-rooted"), plan[2], share, closest=False)
-    return links.union(decided(written(rest.distinct(), "near-rest")))
+        links = decided(written(pairs.distinct(), "near-pairs"))
+    else:
+        members = written(dealt(nodes, plan, "node").join(small(dense), "bucket", "left_semi"), "near-members")
+        near = dense_candidates(members, nodes.withColumn("root", F.col("node")), plan[2], share, closest=True)
+        links = decided(written(pairs.union(near).distinct(), "near-pairs"))
+        rooted = nodes.join(components(links, "near-dense"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rest = dense_candidates(members, written(rooted, "near-rooted"), plan[2], share, closest=False)
+        links = links.union(decided(written(rest.distinct(), "near-rest")))
+    grouped = components(links, "near")
+    # What the fingerprints left out: sets that share a shingle of their prefixes and are not connected.
+    roots = nodes.join(grouped, "node", "left").select("node", "kid", "size", F.coalesce("root", "node").alias("root"))
+    members = prefix_members(nodes, texts, words, share).join(roots, "kid")
+    bucket = Window.partitionBy("bucket")
+    members = members.withColumn("_least", F.min("root").over(bucket)).withColumn("_most", F.max("root").over(bucket)).filter("_least < _most")
+    members = written(members.select("bucket", "times", "node", "root", "size"), "near-prefixes")
+    rest = written(near_maps(written(prefix_pairs(members, share), "near-shared"), nodes, share), "near-left")
+    if rest.isEmpty() or (more := decided(rest)).isEmpty():
+        return grouped
+    return components(links.union(more), "near-all")
 
 
 def keep_one_of_near(docs: DataFrame, words: int = 5, share: float = 0.8) -> DataFrame:
     """The rows of ``docs`` (all columns) that stay when each group of near copies keeps its smallest doc_id.
 
     Groups are the components of links between documents whose sets of
-    shingles have a Jaccard similarity of ``share`` or more (``similar_links``).
+    shingles have a Jaccard similarity of ``share`` or more (``similar_groups``).
     Rows with a null doc_id stay only if their group has no other; repeated
     rows of the smallest doc_id and equal text stay once. Null and empty texts
     and white space have no shingles and are one group. All columns, whatever
@@ -465,18 +658,19 @@ def keep_one_of_near(docs: DataFrame, words: int = 5, share: float = 0.8) -> Dat
         memory_of("simhash")
         for batch in batches:
             sets = [shingle_set(t or "", words) for t in batch.column(2).to_pylist()]
-            keys, prints, maps = ([f(h) for h in sets] for f in (lambda h: xxhash.xxh3_128_digest(h.tobytes()), wide_print, shingle_map))
+            keys, prints, maps = ([f(h) for h in sets] for f in (set_keys, wide_print, shingle_map))
             made = [*(pa.array(x, pa.binary()) for x in (keys, prints, maps)), pa.array([len(h) for h in sets], pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["_id", "_sha", "key", "wide", "map", "size"])
+            kids = pa.array([int.from_bytes(k[:8], "little", signed=True) for k in keys], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, kids], names=["_id", "_sha", "key", "wide", "map", "size", "kid"])
 
     id_type = dict(docs.dtypes)["doc_id"]
     sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     rows = docs.select(F.col("doc_id").alias("_id"), sha.alias("_sha"), F.col("text").alias("text"))
     texts = rows.select("_sha", "text")
-    rows = written(rows.mapInArrow(run, f"_id {id_type}, _sha string, key binary, wide binary, map binary, size int"), "near-prints")
-    nodes = rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("wide", "map", "size")], F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_sha")).alias("first"))
-    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "wide", "map", "size", "first", F.col("first._sha").alias("_sha")), "near-nodes")
-    grouped = components(similar_links(nodes, texts, words, share), "near")
+    rows = written(rows.mapInArrow(run, f"_id {id_type}, _sha string, key binary, wide binary, map binary, size int, kid long"), "near-prints")
+    nodes = rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("wide", "map", "size", "kid")], F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_sha")).alias("first"))
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "kid", "wide", "map", "size", "first", F.col("first._sha").alias("_sha")), "near-nodes")
+    grouped = similar_groups(nodes, texts, words, share)
     rooted = nodes.join(grouped, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._id").alias("_kept_id"), F.col("first._sha").alias("_kept_sha"))
     # One key of id and digest, so that the join and the removal of repeated rows share a shuffle.
