@@ -9,8 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import packed, unpacked
 from tessera.stages import Stages
 
+from .fusion import sort_pool
+
+#: A set of up to so many keys is broadcast.
+FEW_KEYS = 20_000
+
 
 def _matched() -> list:
     return [
@@ -70,6 +76,41 @@ def distinct_last(expanded: DataFrame, key: str) -> DataFrame:
     return expanded.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
+def edge_pool(seeds: DataFrame, entities: DataFrame, edges: DataFrame, limit: int, stages: Stages | None = None) -> DataFrame:
+    """The head of the pool of all edges around the seeds: query_id, uuid, matched_entity_count, place.
+
+    The rows are those of ``sort_pool(distinct_last(expand_to_edges(seeds, entities, edges), "edge_uuid"), limit)``, but no query's
+    edges are sorted whole. An edge row meets each of its ends once, by packed ids. If no other row has
+    its uuid, it is one row of each query that has one of its ends as a seed, with one seed
+    matched; only uuids of several rows are counted as the expansion does.
+    """
+    stages = stages or Stages(edges.sparkSession, "edge-pool")
+    # Different uuids may have the same hash: then they are only counted the longer way.
+    key = F.xxhash64("edge_uuid")
+    twice = stages.keep("twice", edges.groupBy(F.xxhash64("uuid").alias("_key")).count().filter("count > 1").select("_key"))
+    twice = F.broadcast(twice) if twice.count() <= FEW_KEYS else twice
+    nodes = entities.select("group_id", packed(F.col("uuid")).alias("end"), F.lit(None).cast(dict(seeds.dtypes)["query_id"]).alias("query_id"))
+    nodes = nodes.unionByName(_seeds(seeds, entities).select("group_id", packed(F.col("seed_uuid")).alias("end"), "query_id"))
+    nodes = nodes.groupBy("group_id", "end").agg(F.collect_set("query_id").alias("asked"))
+    rows = edges.select("group_id", F.col("uuid").alias("edge_uuid"), "valid_at", packed(F.col("source_uuid")).alias("source"), packed(F.col("target_uuid")).alias("target"))
+
+    def met(rows: DataFrame) -> DataFrame:
+        for end in ("source", "target"):
+            rows = rows.join(nodes.withColumnsRenamed({"end": end, "asked": f"_{end}"}), ["group_id", end])
+        return rows
+
+    rows = rows.withColumn("_key", key)
+    once = rows.join(twice, "_key", "left_anti").drop("_key", "valid_at").withColumn("edge_uuid", packed(F.col("edge_uuid")))
+    once = met(once).select(F.explode(F.array_union("_source", "_target")).alias("query_id"), unpacked(F.col("edge_uuid")).alias("uuid"), F.lit(1).cast("long").alias("matched_entity_count"))
+    more = met(rows.join(twice, "_key", "left_semi"))
+    out = more.select("group_id", "edge_uuid", "valid_at", F.explode("_source").alias("query_id"), F.col("source").alias("seed"), F.col("target").alias("neighbour"))
+    back = more.filter("source <> target").select("group_id", "edge_uuid", "valid_at", F.explode("_target").alias("query_id"), F.col("target").alias("seed"), F.col("source").alias("neighbour"))
+    more = out.unionByName(back).groupBy("query_id", "group_id", "edge_uuid", "neighbour").agg(F.countDistinct("seed").alias("n"), F.first("valid_at").alias("valid_at"))
+    last = Window.partitionBy("query_id", "edge_uuid").orderBy("n", F.asc_nulls_last("valid_at"), F.desc(unpacked(F.col("neighbour"))))
+    more = more.withColumn("_n", F.row_number().over(last)).filter("_n = 1").select("query_id", F.col("edge_uuid").alias("uuid"), F.col("n").alias("matched_entity_count"))
+    return sort_pool(once.unionByName(more), limit).select("query_id", "uuid", "matched_entity_count", "place")
+
+
 def one_hop(nodes: DataFrame, entities: DataFrame, mentions: DataFrame, episodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
     """Distinct episodes, edges and neighbour nodes next to ``nodes`` (query_id, group_id, uuid)."""
     start = nodes.select("query_id", "group_id", F.col("uuid").alias("seed_uuid")).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import evaluate, fusion, graph, hierarchy
 
 from .base import GRAPH, TREE, graph_tables, register, table, tree_tables
-from .graph import EDGES, EPISODES, edge_expansion, parents, seeds
+from .graph import EDGES, EPISODES, parents, seeds
 
 REGISTRY: dict = {}
 
@@ -104,8 +104,8 @@ def retrieval_counts(spark, d):
 
 @register(REGISTRY, EDGES + "SELECT query_id, edge_uuid AS uuid, CAST(row_number() OVER (PARTITION BY query_id ORDER BY matched_entity_count DESC, edge_uuid) AS BIGINT) AS place FROM (SELECT query_id, edge_uuid, arg_max(matched_entity_count, place) AS matched_entity_count FROM xp GROUP BY ALL) QUALIFY place <= 10")
 def candidate_pool_sort(spark, d):
-    edges = graph.distinct_last(edge_expansion(graph_tables(spark, d), None), "edge_uuid").select("query_id", F.col("edge_uuid").alias("uuid"), "matched_entity_count")
-    return fusion.sort_pool(edges, 10).select("query_id", "uuid", F.col("place").cast("long").alias("place"))
+    g = graph_tables(spark, d)
+    return graph.edge_pool(seeds(g), g["entities"], g["edges"], 10).select("query_id", "uuid", F.col("place").cast("long").alias("place"))
 
 
 # --- evaluation -----------------------------------------------------------------
