@@ -37,7 +37,7 @@ def test_no_query_is_sorted_whole(spark):
 
 
 def test_packed_ids_come_back(spark):
-    ids = ["0" * 32, "0123456789abcdef" * 2, "0123456789ABCDEF" * 2, "g" * 32, "", "e1", "é" * 3, "a" * 31, "a" * 33, None]
+    ids = ["0" * 32, "0123456789abcdef" * 2, "0123456789ABCDEF" * 2, "g" * 32, "", "e1", "é" * 3, "a" * 31, "a" * 33, "q-" + "0" * 32, "é" + "0" * 32, "0" * 32 + "\n", "\n" + "0" * 32, None]
     found = spark.createDataFrame([(i,) for i in ids], "id string").select("id", packed(F.col("id")).alias("p")).select("id", "p", unpacked(F.col("p")).alias("back")).collect()
     assert [r["back"] for r in found] == ids
     assert len({bytes(r["p"]) for r in found if r["id"] is not None}) == len(ids) - 1
