@@ -38,8 +38,10 @@ BUCKET_ROWS, MISSED = 2_000, 0.001
 TAIL = 4
 #: A bucket with more candidate pairs than this for each of its rows gives them in two steps (it decides speed, never results).
 DENSE = 1
-#: Slots of the bitmap of a set of shingles (a bound on the exact difference), and pairs that are compared by them at once.
+#: Slots of the map of a set of shingles, which bounds the exact difference, and pairs that are compared by them at once.
 MAP_BITS, MAP_PAIRS = 2_048, 65_536
+#: Nodes whose numbers are broadcast to pick their bitmaps; more are joined.
+MAP_ROWS = 250_000
 #: Documents whose shingles are counted to tell frequent ones, shingles that are told, and documents of the sample that a frequent one is in (they decide speed, never results).
 PREFIX_SAMPLE, PREFIX_TOLD, PREFIX_LEAST = 4_096, 100_000, 3
 #: Shingles of prefixes that one task compares, and that a task gathers before it deals them (speed only).
@@ -312,10 +314,12 @@ def distances(tile: np.ndarray, other: np.ndarray) -> np.ndarray:
 
 
 def shingle_map(h: np.ndarray) -> bytes:
-    """A bitmap of ``MAP_BITS`` slots of a set of shingle hashes."""
-    slots = np.zeros(MAP_BITS, np.uint8)
-    slots[(h % np.uint64(MAP_BITS)).astype(np.int64)] = 1
-    return np.packbits(slots).tobytes()
+    """For each of ``MAP_BITS`` slots whether an odd number of a set's shingle hashes lie there.
+
+    Two such maps differ where that holds for the shingles that only one set
+    has, so in no more slots than those are, and what large sets have in common hides none of them.
+    """
+    return np.packbits(np.bincount((h % np.uint64(MAP_BITS)).astype(np.int64), minlength=MAP_BITS).astype(np.uint8) & 1).tobytes()
 
 
 def close_pairs(prints: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -580,8 +584,10 @@ def near_maps(pairs: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
             apart, sizes = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), np.asarray(batch.column("m")) + np.asarray(batch.column("n"))
             yield batch.select(["a", "b"]).filter(pa.array(apart * (1 + share) <= sizes * (1 - share) + 1e-9))
 
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-mapped")
+    maps = written(nodes.select("node", "map").join(small(asked, MAP_ROWS), "node", "left_semi"), "near-maps")
     for end, name in (("a", "_x"), ("b", "_y")):
-        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("map").alias(name)), end)
+        pairs = pairs.join(maps.select(F.col("node").alias(end), F.col("map").alias(name)), end)
     return pairs.mapInArrow(keep, "a long, b long")
 
 
